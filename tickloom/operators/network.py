@@ -54,17 +54,21 @@ def links(pairs: DataFrame, least: float = 0.6) -> DataFrame:
     return pairs.where(F.col("corr") >= least).withColumn("sign", F.when(F.col("sign_a") == F.col("sign_b"), F.col("sign_a")).otherwise(0))
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], squarings: int = 4) -> DataFrame:
-    """Connected components of many small graphs at once, one for each value of keys. nodes: (keys, node); edges: (keys, a, b), either way round.
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Connected components of many small graphs at once, one for each value of keys. nodes: (keys, node); edges: (keys, a, b). Label: least node.
 
-    The closure is squared a fixed number of times, which covers paths of up to 2**squarings links: enough for eleven nodes. Label: least node.
+    A graph has at most a few dozen nodes, so it fits in one row: a fold over its edges gives both sides of each the lesser label.
     """
-    self_loops = nodes.select(*keys, F.col("node").alias("a"), F.col("node").alias("b"))
-    reach = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(self_loops).distinct()
-    for _ in range(squarings):
-        step = reach.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"))
-        reach = reach.join(step, [*keys, "b"]).select(*keys, "a", F.col("c").alias("b")).distinct()
-    return reach.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    n = nodes.groupBy(*keys).agg(F.collect_list(F.struct("node", F.col("node").alias("label"))).alias("_n"))
+    e = edges.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("_e"))
+    rows = n.join(e, keys, "left").withColumn("_e", F.coalesce("_e", F.array().cast(e.schema["_e"].dataType)))
+
+    def joined(acc, x):
+        pair = F.filter(acc, lambda v: (v["node"] == x["a"]) | (v["node"] == x["b"]))
+        low, high = F.array_min(F.transform(pair, lambda v: v["label"])), F.array_max(F.transform(pair, lambda v: v["label"]))
+        return F.when(F.size(pair) < 2, acc).otherwise(F.transform(acc, lambda v: F.struct(v["node"].alias("node"), F.when(v["label"] == high, low).otherwise(v["label"]).alias("label"))))
+
+    return rows.select(*keys, F.explode(F.aggregate("_e", F.col("_n"), joined)).alias("x")).select(*keys, "x.node", "x.label")
 
 
 def largest_clusters(labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -1 +1,235 @@
-"""To come."""
+"""Sector network, forecasts and missing inputs. Symbols S00 to S10 of the dense tape are sectors, S11 is oil, S12 is rates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import sigmoid
+from ..operators import forecast as R
+from ..operators import impute as I
+from ..operators import network as N
+from . import fixtures as X
+from .q_bars import P
+from .registry import query, rounded, shown
+
+#: Random prices rarely correlate; the default of 0.6 is covered by unit fixtures.
+LEAST = 0.1
+SECTORS = "symbol <= 'S10'"
+
+STATES = X.bars_sql(X.DENSE) + f""", g as (select *, case when count(*) over w = minute - 569 and sum(volume) over w > 0 then sum((high + low + close) / 3 * volume) over w / sum(volume) over w end sv,
+    case when minute - lag(minute) over o = 1 then close / lag(close) over o - 1 end return_1, case when minute - lag(minute, 5) over o = 5 then close / lag(close, 5) over o - 1 end return_5 from bars window w as ({P} rows unbounded preceding), o as ({P})),
+    states as (select *, close / sv - 1 vwap_gap, case when return_5 > 0 and close / sv - 1 > 0 then 1 when return_5 < 0 and close / sv - 1 < 0 then -1 else 0 end sg from g)"""
+PAIRS = STATES + """, pj as (select a.session_date, a.minute, a.symbol a, b.symbol b, a.return_1 ra, b.return_1 rb, a.sg sa, b.sg sb from states a join states b on a.session_date = b.session_date and a.minute = b.minute and a.symbol < b.symbol where a.symbol <= 'S10' and b.symbol <= 'S10'),
+    pairs as (select *, case when count(ra + rb) over w = 60 then corr(ra, rb) over w end r from pj window w as (partition by session_date, a, b order by minute range between 59 preceding and current row))"""
+
+
+def states(spark, d) -> DataFrame:
+    return N.node_states(X.bars(spark, d, X.DENSE))
+
+
+def sector_pairs(spark, d) -> DataFrame:
+    return N.pair_correlations(states(spark, d).where(SECTORS))
+
+
+@query(shown(STATES, "states", "symbol session_date minute:l return_1:d return_5:d vwap_gap:d sg:l").replace("sg::bigint as sg", 'sg::bigint as "sign"'))
+def node_states(spark, d):
+    return rounded(states(spark, d).select("symbol", "session_date", "minute", "return_1", "return_5", "vwap_gap", "sign"))
+
+
+@query(shown(PAIRS, "pairs", "session_date minute:l a b r:d").replace("as r from", "as corr from"))
+def pair_correlation(spark, d):
+    return rounded(sector_pairs(spark, d).select("session_date", "minute", "a", "b", "corr"))
+
+
+LINKED = PAIRS + f""", nodes as (select session_date, minute, sg, symbol from states where sg <> 0 and symbol <= 'S10'), e as (select session_date, minute, sa sg, a, b from pairs where r >= {LEAST} and sa = sb and sa <> 0),
+    e2 as (select session_date, minute, sg, a, b from e union all select session_date, minute, sg, b, a from e)"""
+CLUSTERS = "with recursive " + LINKED + """, reach(session_date, minute, sg, a, b) as (select session_date, minute, sg, symbol, symbol from nodes union select r.session_date, r.minute, r.sg, r.a, e2.b from reach r join e2 on e2.session_date = r.session_date and e2.minute = r.minute and e2.sg = r.sg and e2.a = r.b),
+    lab as (select session_date, minute, sg, a node, min(b) label from reach group by all)"""
+
+
+def _labels(spark, d):
+    s = states(spark, d).where(SECTORS)
+    e = N.links(sector_pairs(spark, d), LEAST).where("sign <> 0").select("session_date", "minute", "sign", "a", "b")
+    nodes = s.where("sign <> 0").select("session_date", "minute", "sign", F.col("symbol").alias("node"))
+    return s, N.components(nodes, e, ["session_date", "minute", "sign"])
+
+
+@query(CLUSTERS + """ select session_date, minute::bigint as minute, sg::bigint as "sign", node, label from lab""")
+def same_sign_components(spark, d):
+    return rounded(_labels(spark, d)[1])
+
+
+@query(CLUSTERS + f""", sz as (select session_date, minute, sg, label, count(*) n from lab group by all), big as (select session_date, minute, sg, max(n) n from sz group by all),
+    s as (select session_date, minute, count(*) filter (sv is not null) eligible, sum(sg) ss, string_agg(case when sv is not null then symbol end, ',' order by symbol) st from states where symbol <= 'S10' group by all),
+    c as (select session_date, minute, avg(r) mc from pairs group by all), k as (select session_date, minute, coalesce(max(n) filter (sg = 1), 0) bu, coalesce(max(n) filter (sg = -1), 0) be from big group by all),
+    j as (select s.*, mc, coalesce(bu, 0) bu, coalesce(be, 0) be from s left join c using (session_date, minute) left join k using (session_date, minute)),
+    w as (select *, case when st = lag(st, 5) over o and minute - lag(minute, 5) over o = 5 then (bu - lag(bu, 5) over o) / 11 end g1, case when st = lag(st, 5) over o and minute - lag(minute, 5) over o = 5 then (be - lag(be, 5) over o) / 11 end g2 from j window o as (partition by session_date order by minute))
+    select session_date, minute::bigint as minute, eligible::bigint eligible, round(ss / 11 + 1e-9, 6) + 0.0 breadth, round(mc + 1e-9, 6) + 0.0 mean_correlation, bu::bigint bullish, be::bigint bearish, round(bu / 11 + 1e-9, 6) + 0.0 bullish_fraction, round(be / 11 + 1e-9, 6) + 0.0 bearish_fraction, round(g1 + 1e-9, 6) + 0.0 bullish_growth_5, round(g2 + 1e-9, 6) + 0.0 bearish_growth_5,
+    case when minute < 570 then 'premarket' when minute < 630 then 'warming' when eligible < 9 then 'unavailable' when bu >= 7 then 'bullish_coordinated' when be >= 7 then 'bearish_coordinated' when greatest(bu, be) <= 3 and abs(ss) <= 3 then 'dispersed' else 'unresolved' end status from w""")
+def network_summary(spark, d):
+    s, labels = _labels(spark, d)
+    return rounded(N.summary(s, sector_pairs(spark, d), N.largest_clusters(labels, ["session_date", "minute", "sign"])))
+
+
+GRAPH = "edges as (select 'S' || lpad(i::varchar, 2, '0') a, 'S' || lpad(j::varchar, 2, '0') b, 0.6::double + ((i * 7 + j * 3) % 10) / 25 weight from range(0, 11) x(i), range(0, 11) y(j) where i < j and (i + j) % 3 = 0)"
+
+
+def graph(spark) -> DataFrame:
+    name = lambda c: F.concat(F.lit("S"), F.lpad(F.col(c).cast("string"), 2, "0"))
+    i = spark.range(11).withColumnRenamed("id", "i")
+    rows = i.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long")))).where("i < j and (i + j) % 3 = 0")
+    return rows.select(F.lit("g").alias("graph_id"), name("i").alias("a"), name("j").alias("b"), (0.6 + ((F.col("i") * 7 + F.col("j") * 3) % 10) / 25).alias("weight"))
+
+
+@query(f"with {STATES}, {GRAPH} select x.session_date, x.minute::bigint as minute, round(coalesce(sum(weight) filter (x.sg = 1 and y.sg = 1), 0) / sum(weight) + 1e-9, 6) + 0.0 bullish_edge_fraction, round(coalesce(sum(weight) filter (x.sg = -1 and y.sg = -1), 0) / sum(weight) + 1e-9, 6) + 0.0 bearish_edge_fraction from edges join states x on x.symbol = a join states y on y.symbol = b and y.session_date = x.session_date and y.minute = x.minute group by 1, 2")
+def edge_weights(spark, d):
+    nodes = states(spark, d).where(SECTORS).select("session_date", "minute", F.lit("g").alias("graph_id"), F.col("symbol").alias("node"), "sign")
+    return rounded(N.edge_participation(graph(spark), nodes, ["session_date", "minute"]))
+
+
+@query(f"with {X.bars_sql(X.DENSE)}, req as (select distinct b.session_date, b.minute, 'S' || lpad(i::varchar, 2, '0') symbol from bars b, range(0, 14) t(i)) select r.session_date, r.minute::bigint as minute, r.symbol from req r anti join bars b using (session_date, minute, symbol)")
+def missing_inputs(spark, d):
+    b = X.bars(spark, d, X.DENSE)
+    req = b.select("session_date", "minute").distinct().withColumn("symbol", F.explode(F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.concat(F.lit("S"), F.lpad(i.cast("string"), 2, "0")))))
+    return rounded(N.missing_nodes(req, b, ["session_date", "minute", "symbol"]))
+
+
+@query(shown(X.bars_sql(X.DENSE) + """, f as (select a.symbol, a.session_date, a.minute, a.close / 10 yield_percent, (a.close - p.close) * 10 change_5_bps, (a.close - o.close) * 10 change_open_bps from bars a left join bars p on p.symbol = a.symbol and p.session_date = a.session_date and p.minute = a.minute - 5
+    left join bars o on o.symbol = a.symbol and o.session_date = a.session_date and o.minute = 570 where a.symbol = 'S12')""", "f", "symbol session_date minute:l yield_percent:d change_5_bps:d change_open_bps:d"))
+def rates_node(spark, d):
+    return rounded(N.rates_node(X.bars(spark, d, X.DENSE).where("symbol = 'S12'")))
+
+
+RHO = "rho as (select m macro, 'S' || lpad((k * 3 + i)::varchar, 2, '0') sector, 0.2::double + i / 10 - k / 2 rho from (values ('S11', 0), ('S12', 1)) t(m, k), range(0, 3) u(i))"
+
+
+def macro_links(spark) -> DataFrame:
+    rows = [("S11", f"S{i:02d}", 0.2 + i / 10) for i in range(3)] + [("S12", f"S{3 + i:02d}", 0.2 + i / 10 - 0.5) for i in range(3)]
+    return spark.createDataFrame(rows, "macro string, sector string, rho double")
+
+
+@query(f"with {STATES}, {RHO} select x.session_date, x.minute::bigint as minute, macro, round(sum(x.sg * y.sg * rho / 3) + 1e-9, 6) + 0.0 alignment, round(sum(x.sg * abs(y.sg) * rho / 3) + 1e-9, 6) + 0.0 pressure from rho join states x on x.symbol = macro join states y on y.symbol = sector and y.session_date = x.session_date and y.minute = x.minute group by 1, 2, 3 having count(*) = 3")
+def macro_interactions(spark, d):
+    nodes = states(spark, d).select("session_date", "minute", F.col("symbol").alias("node"), "sign")
+    return rounded(N.interactions(macro_links(spark), nodes, ["session_date", "minute"]).where("alignment is not null"))
+
+
+@query("""with t as (select p_brand macro, p_partkey nth, p_type sector, sin(p_partkey) rho from part), f as (select *, row_number() over (partition by macro order by round(abs(rho), 9) desc, nth) place from t) select macro, nth, sector, round(rho + 1e-9, 6) + 0.0 rho, place from f where place <= 3""")
+def strongest_links(spark, d):
+    t = X.table(spark, d, "part").select(F.col("p_brand").alias("macro"), F.col("p_partkey").alias("nth"), F.col("p_type").alias("sector"), F.sin("p_partkey").alias("rho"))
+    return rounded(N.top_neighbours(t).withColumn("place", F.col("place").cast("long")))
+
+
+@query(shown(X.bars_sql(X.GAPS) + f", f as (select symbol, session_date, minute, count(*) over ({P} rows unbounded preceding) = minute - 569 traded_prefix from bars where minute >= 570)", "f", "symbol session_date minute:l traded_prefix"))
+def traded_prefix(spark, d):
+    return rounded(N.volume_runs(X.bars(spark, d)))
+
+
+@query(f"""with {X.ticks_sql(X.GAPS)}, b as (select symbol, session_date, minute, case when l_suppkey % 97 = 0 then 'off' else 'on' end st, case when l_suppkey % 10 = 0 and symbol = 'S03' then 'B' else 'A' end pv from ticks),
+    q as (select * from b qualify max((st = 'off')::int) over (partition by symbol, session_date, minute) = 0), m as (select symbol, session_date from q group by all having count(distinct pv) > 1)
+    select symbol, session_date, minute::bigint as minute, count(*) n from q anti join m using (symbol, session_date) group by all""")
+def quarantined(spark, d):
+    """Minutes with an off-grid row go, then symbols of two providers."""
+    t = X.ticks(spark, d, X.GAPS).withColumns({"grid_status": F.when(F.col("l_suppkey") % 97 == 0, "off").otherwise("on"), "provider": F.when((F.col("l_suppkey") % 10 == 0) & (F.col("symbol") == "S03"), "B").otherwise("A")})
+    kept, _ = N.without_mixed_providers(N.quarantine_off_grid(t))
+    return rounded(kept.groupBy("symbol", "session_date", "minute").agg(F.count("*").alias("n")))
+
+
+# Scoring
+
+
+def registry(spark) -> DataFrame:
+    """Two models over three features, made from a rule: horizons 30 and 60."""
+    order = ["return_5", "vwap_gap", "return_1"]
+    rows = [(f"m{h}", "base", h, "2026-01-01", "2026-01-31", "2025-12-31", 400, 90, True, order, [0.0, 0.1, 0.0], [1.0, 2.0, 0.5], [-0.2, 0.4 * h / 30, -0.1, 0.05]) for h in (30, 60)]
+    df = spark.createDataFrame(rows, "model_id string, family string, horizon int, valid_from string, valid_to string, train_end string, training_rows int, training_days int, converged boolean, feature_order array<string>, mean array<double>, scale array<double>, beta array<double>")
+    return df.withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to", "train_end")})
+
+
+def _vectors(spark, d) -> DataFrame:
+    s = states(spark, d).where(SECTORS)
+    pieces = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in ("return_5", "vwap_gap", "return_1")]))
+    long = s.select("symbol", "session_date", "minute", pieces.alias("x")).select("symbol", "session_date", "minute", "x.*")
+    return R.feature_vector(long, ["symbol", "session_date", "minute"])
+
+
+SCORES = STATES + """, sc as (select symbol, session_date, minute, hz horizon, -0.2::double + 0.4::double * hz / 30 * return_5 + -0.1::double * (vwap_gap - 0.1::double) / 2 + 0.05::double * return_1 / 0.5::double lo from states, (values (30), (60)) t(hz) where symbol <= 'S10'),
+    sp as (select *, case when lo >= 0 then 1 / (1 + exp(-lo)) else exp(lo) / (1 + exp(lo)) end p from sc)"""
+
+
+@query(f"with {SCORES} select symbol, session_date, minute::bigint as minute, horizon::bigint horizon, round(lo + 1e-9, 6) + 0.0 log_odds, round(p + 1e-9, 6) + 0.0 p_up, case when p > 0.55 then 'bullish' when p < 0.45 then 'bearish' when p is not null then 'neutral' end direction, case when minute < 635 then 'warming' when minute + 1 + horizon > 700 then 'beyond the close' end reason from sp")
+def logistic_scores(spark, d):
+    rows = R.valid_on(_vectors(spark, d), R.usable_models(registry(spark)))
+    s = R.scored(rows)
+    return rounded(s.select("symbol", "session_date", "minute", "horizon", "log_odds", "p_up", "direction", R.horizon_gate(F.col("minute"), F.col("horizon"), F.lit(700)).alias("reason")))
+
+
+@query(f"""with {STATES}, c as (select symbol, session_date, minute, 0.4::double * return_5 a, -0.1::double * (vwap_gap - 0.1::double) / 2 b, 0.05::double * return_1 / 0.5::double c from states where symbol <= 'S10' and return_5 is not null and vwap_gap is not null and return_1 is not null)
+    select symbol, session_date, minute::bigint as minute, round(a + 1e-9, 6) + 0.0 return_5, round(b + 1e-9, 6) + 0.0 vwap_gap, round(c + 1e-9, 6) + 0.0 return_1, case when abs(a) >= abs(b) and abs(a) >= abs(c) then 'return_5' when abs(b) >= abs(c) then 'vwap_gap' else 'return_1' end strongest from c""")
+def score_contributions(spark, d):
+    rows = R.scored(R.valid_on(_vectors(spark, d), R.usable_models(registry(spark)).where("horizon = 30"))).where("log_odds is not null")
+    by = F.map_from_entries(F.transform("contributions", lambda x: F.struct(x["feature"], x["log_odds"])))
+    return rounded(rows.select("symbol", "session_date", "minute", *[by[f].alias(f) for f in ("return_5", "vwap_gap", "return_1")], F.col("contributions")[0]["feature"].alias("strongest")))
+
+
+@query(f"with {SCORES}, v as (select symbol, session_date, minute, max(p) filter (horizon = 30 and minute % 3 = 0) i, max(p) filter (horizon = 60 and minute % 3 <> 1) a, max(p) filter (horizon = 30) f from sp group by all) select symbol, session_date, minute::bigint as minute, case when i is not null then 'interaction' when a is not null then 'additive' when f is not null then 'missing-input' end model, round(coalesce(i, a, f) + 1e-9, 6) + 0.0 p_up from v")
+def forecast_choice(spark, d):
+    s = R.scored(R.valid_on(_vectors(spark, d), R.usable_models(registry(spark))))
+    h, m = F.col("horizon"), F.col("minute")
+    v = s.groupBy("symbol", "session_date", "minute").agg(F.max(F.when((h == 30) & (m % 3 == 0), F.col("p_up"))).alias("i"), F.max(F.when((h == 60) & (m % 3 != 1), F.col("p_up"))).alias("a"), F.max(F.when(h == 30, F.col("p_up"))).alias("f"))
+    pick = R.chosen_view(F.col("i"), F.col("a"), F.col("f"))
+    return rounded(v.select("symbol", "session_date", "minute", pick["model"].alias("model"), pick["p_up"].alias("p_up")))
+
+
+@query("""with r as (select s_suppkey::varchar model_id, 300 + s_suppkey % 100 n, s_nationkey dys, s_acctbal > 0 conv from supplier) select model_id, unnest(['prior training', 'enough rows', 'enough days', 'converged', 'sizes', 'positive scale', 'distinct features', 'month window']) as "rule", unnest([true, n >= 350, dys * 10 >= 80, conv, n % 2 = 0, n % 3 <> 0, n % 5 <> 0, true]) as holds from r""")
+def registry_checks(spark, d):
+    """Registry rules over a table of models made from suppliers."""
+    n = 300 + F.col("s_suppkey") % 100
+    s = X.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("model_id"), F.lit("2026-01-01").cast("date").alias("valid_from"), F.lit("2026-01-31").cast("date").alias("valid_to"), F.lit("2025-12-31").cast("date").alias("train_end"), n.alias("training_rows"), (F.col("s_nationkey") * 10).alias("training_days"), (F.col("s_acctbal") > 0).alias("converged"), F.when(n % 5 != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("a"))).alias("feature_order"), F.array(F.lit(0.0), F.lit(0.0)).alias("mean"), F.array(F.lit(1.0), F.when(n % 3 != 0, 1.0).otherwise(0.0)).alias("scale"), F.when(n % 2 == 0, F.array(F.lit(0.0), F.lit(1.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0))).alias("beta"))
+    return R.registry_report(s)
+
+
+@query("""with m as (select p_partkey::varchar version_id, p_size::double v, case when p_partkey % 3 = 0 then 1.0::double else 0.0::double end off from part) select version_id, true square, off = 0 as "symmetric", v > 3 positive_diagonal from m""")
+def matrix_checks(spark, d):
+    off = F.when(F.col("p_partkey") % 3 == 0, 1.0).otherwise(0.0)
+    v = F.col("p_size").cast("double")
+    m = X.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("version_id"), F.array(F.array(v, off), F.array(F.lit(0.0), v - 3)).alias("m"))
+    return R.matrix_report(m)
+
+
+def _observed(spark, d) -> DataFrame:
+    li = X.table(spark, d, "lineitem").where("l_linenumber = 1")
+    a, b = F.col("l_quantity") / 50, F.col("l_discount") * 10
+    return li.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").alias("row_id"), F.lit("v").alias("version_id"), F.array(a, F.when(F.col("l_partkey") % 3 == 0, F.lit(None)).otherwise(b), F.when(F.col("l_suppkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_tax") * 100 / 2)).alias("x"))
+
+
+def _version(spark) -> DataFrame:
+    return spark.createDataFrame([("v", [0.5, 0.5, 2.0], [0.25, 0.25, 1.0], [[1.0, 0.6, 0.2], [0.6, 1.0, 0.1], [0.2, 0.1, 1.0]])], "version_id string, mean array<double>, scale array<double>, cov array<array<double>>")
+
+
+@query("""with r as (select concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_extendedprice) row_id, (l_quantity / 50 - 0.5::double) / 0.25::double za, (l_discount * 10 - 0.5::double) / 0.25::double zb, l_tax * 100 / 2 - 2.0::double zc, l_partkey % 3 = 0 mb, l_suppkey % 4 = 0 mc from lineitem where l_linenumber = 1),
+    e as (select row_id, mb, mc, case when mb and mc then 0.6::double * za when mb then ((0.6::double - 0.02::double) * za + (0.1::double - 0.12::double) * zc) / 0.96::double when mc then ((0.2::double - 0.06::double) * za + (0.1::double - 0.12::double) * zb) / 0.64::double end e1, case when mb and mc then 0.2::double * za end e2, greatest(abs(za), case when mb then 0 else abs(zb) end, case when mc then 0 else abs(zc) end) > 6 far from r)
+    select row_id, case when not far then round(e1 + 1e-9, 5) + 0.0 end first_estimate, case when not far then round(e2 + 1e-9, 5) + 0.0 end second_estimate from e""")
+def conditional_estimates(spark, d):
+    """Missing values of three correlated measures from the others, checked against the closed form."""
+    got = I.conditioned(_observed(spark, d), _version(spark))
+    return rounded(got.select("row_id", F.try_element_at("estimates", F.lit(1)).alias("first_estimate"), F.try_element_at("estimates", F.lit(2)).alias("second_estimate")), 5)
+
+
+@query()
+def sensitivity_band(spark, d):
+    """64 saved draws for each estimate, scored, and their 10 % and 90 % quantiles."""
+    draws = spark.range(64).select(F.col("id").cast("int").alias("draw_id"), F.array(*[F.sin(F.col("id") * 12.9898 + k) * 1.5 for k in range(4)]).alias("z"))
+    got = I.drawn(I.conditioned(_observed(spark, d), _version(spark)), draws)
+    p = got.select("row_id", sigmoid(F.aggregate("values", F.lit(-0.2), lambda a, v: a + 0.4 * v)).alias("p"))
+    return rounded(I.band(p, "row_id"))
+
+
+@query("""with s as (select l_orderkey k, case when l_returnflag = 'R' and l_linenumber = 2 then 'fatal' when l_linestatus = 'O' and l_linenumber in (1, 3) then 'missing' else 'observed' end st, l_linenumber::varchar node, l_linenumber = 3 core from lineitem)
+    select k, case when count(*) filter (st = 'fatal') > 0 then 'fatal input' when count(*) filter (core and st <> 'observed') > 0 then 'core input' when count(distinct node) filter (st = 'missing') > 2 then 'too many nodes' when count(*) filter (st = 'missing') > 4 then 'too many features' when count(distinct node) filter (st = 'observed') < 9 then 'too few sectors' end reason from s group by k""")
+def input_availability(spark, d):
+    li = X.table(spark, d, "lineitem")
+    n = F.col("l_linenumber")
+    st = I.status(~((F.col("l_linestatus") == "O") & n.isin(1, 3)), F.lit(False), (F.col("l_returnflag") == "R") & (n == 2), F.lit(True))
+    return I.availability(li.select(F.col("l_orderkey").alias("k"), st.alias("status"), n.cast("string").alias("node"), (n == 3).alias("core"), F.lit("f").alias("feature")), "k")
