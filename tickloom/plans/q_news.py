@@ -1 +1,146 @@
-"""To come."""
+"""Headlines. Titles are made from orders: a wording by key, an issuer by customer."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import news as N
+from ..operators import news_rules as R
+from . import fixtures as X
+from .registry import query, rounded
+
+WORDINGS = (
+    "Oil prices rise after a quiet week",
+    "Brent crude fell while traders waited",
+    "Treasury yields climbed; stocks steady",
+    "Treasury yields may fall next month",
+    "CPI comes in hotter than expected",
+    "Consumer prices were lower than expected",
+    "Fed raises its benchmark interest rate",
+    "Fed cuts rates, but oil prices jumped",
+    "Government imposes new import tariffs",
+    "Parliament lifted existing tariffs",
+    "@ raises full-year revenue guidance",
+    "@ cuts its outlook",
+    "@ reports strong cloud demand",
+    "Regulator fines @",
+    "@ could raise its guidance",
+    "Is @ ready for winter?",
+    "Rain expected in the north",
+    "GPU demand surges",
+)
+NAMES = tuple(a[0] for _, _, a in R.ISSUERS)
+_list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+HEADLINES = f"""heads as (select o_orderkey::varchar article_id, replace({_list(WORDINGS)}[(o_orderkey % {len(WORDINGS)})::int + 1], '@', {_list(NAMES)}[(o_custkey % {len(NAMES)})::int + 1]) title, o_orderdate published_at, o_custkey, o_orderkey from orders)"""
+
+
+def heads(spark, d) -> DataFrame:
+    pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs)).cast("int") + 1)
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("article_id"), F.replace(pick(WORDINGS, "o_orderkey"), F.lit("@"), pick(NAMES, "o_custkey")).alias("title"), F.col("o_orderdate").cast("timestamp").alias("published_at"), "o_custkey", "o_orderkey")
+
+
+_rules = lambda rules: "(values " + ", ".join(f"({k}, '{r}', '{d}', '(?i){p.replace(chr(39), chr(39) * 2)}')" for k, (r, d, p) in enumerate(rules)) + ") t(nth, ruleid, direction, pattern)"
+MACRO = f"""cl as (select article_id, unnest(c) clause, unnest(range(1, len(c) + 1)) i from (select article_id, regexp_split_to_array(title, '{R.CLAUSES}') c from heads where length(title) <= 600 and not contains(title, '?'))),
+    ok as (select * from cl where not regexp_matches(clause, '(?i){R.HEDGED}')), macro as (select article_id, ruleid, direction, arg_min(regexp_extract(clause, pattern), i) cue from ok join {_rules(R.MACRO)} on regexp_matches(clause, pattern) group by article_id, ruleid, direction)"""
+
+
+@query(f'with {HEADLINES}, {MACRO} select article_id, ruleid as "rule", direction, cue from macro')
+def macro_headlines(spark, d):
+    return N.macro_cues(spark, heads(spark, d))
+
+
+_issuers = "(values " + ", ".join(f"('{t}', '{s}', '{a[0]}')" for t, s, a in R.ISSUERS) + ") t(ticker, sector, alias)"
+
+
+@query(f"with {HEADLINES} select article_id \"key\", ticker, sector, (strpos(title, alias) - 1)::bigint \"start\", (strpos(title, alias) - 1 + length(alias))::bigint \"end\", alias as name from heads join {_issuers} on regexp_matches(title, '(^|[^A-Za-z0-9])' || alias || '($|[^A-Za-z0-9])') where length(title) <= 600")
+def issuer_mentions(spark, d):
+    h = heads(spark, d).select(F.col("article_id").alias("key"), F.col("title").alias("text"))
+    return rounded(N.mentions(spark, h))
+
+
+COMPANY = f"""comp as (select article_id, o_orderkey % {len(WORDINGS)} k, {_list([t for t, _, _ in R.ISSUERS])}[(o_custkey % 12)::int + 1] ticker, {_list([s for _, s, _ in R.ISSUERS])}[(o_custkey % 12)::int + 1] sector from heads),
+    cues as (select article_id, case k when 10 then 'company-guidance-raised' when 11 then 'company-guidance-lowered' when 12 then 'company-demand-strength' when 13 then 'company-regulatory-action' when 17 then 'industry-ai-chip-demand-strength' end ruleid,
+        case when k in (10, 12, 17) then 'TAILWIND' else 'HEADWIND' end direction, case when k <> 17 then ticker end ticker, case when k = 17 then 'XLK' else sector end sector, case when k = 17 then 'industry' else 'company' end as "scope" from comp where k in (10, 11, 12, 13, 17))"""
+
+
+@query(f'with {HEADLINES}, {COMPANY} select article_id, ruleid as "rule", direction, ticker, sector, "scope" from cues')
+def company_headlines(spark, d):
+    """The SQL says what each wording must give."""
+    return N.company_cues(spark, heads(spark, d))
+
+
+_routes = "(values " + ", ".join(f"('{r}', '{t}', {s})" for r, ts, s in R.ROUTES for t in ts) + ") r(ruleid, target, expected)"
+_links = [("USO", "XLE", 0.7), ("USO", "XLI", -0.3), ("TNX", "XLF", 0.5), ("TNX", "XLU", -0.6)]
+ROUTED = f"""{HEADLINES}, {MACRO}, {COMPANY}, routed as (select distinct article_id, ruleid, target, expected from macro join {_routes} using (ruleid) union select article_id, ruleid, sector, case when direction = 'TAILWIND' then 1 else -1 end from cues)"""
+
+
+def _routed(spark, d) -> DataFrame:
+    h = heads(spark, d)
+    cues = N.macro_cues(spark, h).select("article_id", "rule", "direction", F.lit(None).cast("string").alias("sector"))
+    return N.route_signs(spark, cues.unionByName(N.company_cues(spark, h).select("article_id", "rule", "direction", "sector")))
+
+
+@query(f'with {ROUTED} select article_id, ruleid as "rule", target, expected::bigint expected from routed')
+def headline_routes(spark, d):
+    return rounded(_routed(spark, d))
+
+
+@query(f"""with {ROUTED}, o as (select {_list((*R.ALL, 'USO', 'TNX'))}[i + 1] target, (i % 3) - 1 seen from range(0, 12) t(i)) select article_id, ruleid as "rule", target, expected::bigint expected, case when seen is null then 'unavailable' when seen = 0 then 'mixed' when seen = expected then 'agrees' else 'conflicts' end reading from routed left join o using (target)""")
+def route_agreement(spark, d):
+    """Expected signs against node signs; one node is missing."""
+    nodes = spark.createDataFrame([(n, i % 3 - 1) for i, n in enumerate((*R.ALL, "USO", "TNX")) if i < 12], "node string, sign int")
+    return rounded(N.agreement(_routed(spark, d), nodes).drop("seen"))
+
+
+@query(f"""with {ROUTED}, l as (select * from (values {', '.join(f"('{a}', '{b}', {c})" for a, b, c in _links)}) t(via, sector, rho)) select article_id, ruleid as "rule", via, sector target, (expected * sign(rho))::bigint expected from routed join l on via = target""")
+def second_hop(spark, d):
+    return rounded(N.onward(_routed(spark, d), spark.createDataFrame(_links, "macro string, sector string, rho double")))
+
+
+ARTICLES = f"""{HEADLINES}, arts as (select article_id, title, 'u' || (o_orderkey % 500) url, 's' || (o_custkey % 5) source_id, published_at, published_at + to_minutes((o_custkey % 7)::int) received_at, published_at + to_minutes((o_custkey % 11)::int) first_observed_at, published_at + interval 12 minute assessed_at from heads)"""
+
+
+def articles(spark, d) -> DataFrame:
+    mins = lambda n: F.make_dt_interval(mins=n)
+    t = F.col("published_at")
+    return heads(spark, d).select("article_id", "title", F.concat(F.lit("u"), (F.col("o_orderkey") % 500).cast("string")).alias("url"), F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("source_id"), "published_at", (t + mins(F.col("o_custkey") % 7)).alias("received_at"), (t + mins(F.col("o_custkey") % 11)).alias("first_observed_at"), (t + mins(F.lit(12))).alias("assessed_at"))
+
+
+LATEST = f"""{ARTICLES}, cut as (select max(published_at) - interval 30 day c from arts), latest as (select arts.* from arts, cut where published_at <= received_at and received_at <= first_observed_at and first_observed_at <= assessed_at and assessed_at <= c and published_at <= c
+    qualify row_number() over (partition by url order by received_at desc, first_observed_at desc, published_at desc, article_id desc) = 1)"""
+
+
+def _cut(spark, d) -> F.Column:
+    """Thirty days before the last article: one number, the replay's clock."""
+    return F.lit(articles(spark, d).agg(F.max("published_at")).first()[0]) - F.expr("interval 30 days")
+
+
+@query(f"with {LATEST} select article_id, url, source_id from latest")
+def latest_corrections(spark, d):
+    return N.latest_corrections(articles(spark, d), _cut(spark, d)).select("article_id", "url", "source_id")
+
+
+@query(f"""with {LATEST}, near as (select latest.* from latest, cut where source_id <> 's3' and published_at >= c - interval 48000 hour), heads2 as (select article_id, title from near), {MACRO.replace('from heads where', 'from heads2 where')}, ev as (select distinct article_id, ruleid, direction from macro)
+    select case when count(distinct direction) > 1 then 'MIXED' when count(*) = 0 then 'NO EVIDENCE' else max(direction) end classification, (select count(*) from near) considered, (select count(*) from near) - count(distinct article_id) unclassified, count(*) evidence, 5::bigint sources, 4::bigint healthy, true partial from ev""")
+def news_context(spark, d):
+    """Context at one cutoff before the issuer registry's date, so that only macro rules speak; one of five sources is down."""
+    cut = _cut(spark, d)
+    h = spark.range(5).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("source_id"), F.when(F.col("id") == 3, "error").otherwise("ok").alias("status"), cut.alias("checked_at"), cut.alias("last_success_at"), F.lit(300000).alias("max_age_ms"))
+    return N.context(spark, articles(spark, d), h, cut, lookback_hours=48000)
+
+
+@query(r"""with p as (select page_id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) host from pages), c as (select *, regexp_replace(url, '#.*$', '') b from p),
+    q as (select *, case when contains(b, '?') then split_part(b, '?', 1) else b end base, case when contains(b, '?') then string_split(substr(b, strpos(b, '?') + 1), '&') else [] end prm from c), k as (select *, list_filter(prm, lambda x: x <> '' and not regexp_matches(x, '(?i)^(utm_[^=]*|fbclid|gclid)(=|$)')) keep from q)
+    select page_id, case when regexp_matches(url, '^https://[^/@:?#]+([/?#]|$)') and host like '%.example.com' then base || case when len(keep) > 0 then '?' || array_to_string(keep, '&') else '' end end canonical from k""")
+def canonical_urls(spark, d):
+    p = X.table(spark, d, "pages")
+    host = F.parse_url("url", F.lit("HOST"))
+    hosts = F.when(F.endswith(host, F.lit(".example.com")), F.array(host)).otherwise(F.array())
+    return p.select("page_id", N.safe_url(F.col("url"), hosts).alias("canonical"))
+
+
+@query(r"""select doc_id, case when not regexp_matches(doc_id::varchar, '^[A-Za-z0-9:_./-]{1,160}$') then 'id' when length(text) < 1 or length(text) > 600 then 'title' when regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') then 'control characters' end problem from documents""")
+def snapshot_checks(spark, d):
+    rows = X.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("title"), F.lit("2026-01-01").cast("timestamp").alias("published_at"), F.lit("2026-01-01").cast("timestamp").alias("received_at"))
+    return N.snapshot_problems(rows).select("doc_id", "problem")
