@@ -24,7 +24,7 @@ def copy_of(code: Column) -> Column:
 
 
 def _step(s: Column, x: Column) -> Column:
-    match = x["usable"] & x["code"].isin(*CODES)
+    match = F.coalesce(x["usable"] & x["code"].isin(*CODES), F.lit(False))
     acked = s["acknowledged"] | F.coalesce(x["acknowledged"], F.lit(False))
     new = match & (s["code"].isNull() | (s["code"] != x["code"]) | (acked & (s["clear"] >= REARM)))
     back = x["cutoff"] < s["cutoff"]
@@ -40,6 +40,5 @@ def warnings(samples: DataFrame) -> DataFrame:
     An acknowledgement on a sample counts before the sample. A cutoff before the last one starts anew. A scope is one session, so its array is short.
     """
     rows = samples.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("seq", "cutoff", "code", "usable", "acknowledged"))).alias("x"))
-    start = F.expr(f"cast(null as {STATE})")
     start = F.struct(F.lit(-1).alias("cutoff"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("int").alias("detected"), F.lit(False).alias("acknowledged"), F.lit(0).alias("clear"), F.lit(None).cast("int").alias("last_clear"), F.lit(0).alias("warnings")).cast(STATE)
     return rows.select("scope", F.aggregate("x", start, _step).alias("s")).select("scope", "s.*")

@@ -1 +1,106 @@
-"""To come."""
+"""Live semantics: each query streams the given tables to the end and returns what was written."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.shared import shared_dir
+from ..streaming import live as S
+from . import fixtures as X
+from .q_evaluate import reversal_samples
+from .registry import query, rounded
+
+
+def _events(spark, d) -> DataFrame:
+    schema = X.table(spark, d, "events").schema
+    # a pattern, as a stream reads folders and the table may be one file
+    return S.landed(spark, f"{d}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _ticks(spark, d) -> DataFrame:
+    return _events(spark, d).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1.0).alias("size"), F.col("event_id").alias("nth"))
+
+
+def _bars_sql(minutes: int) -> str:
+    return f"""with e as (select *, time_bucket(interval {minutes} minute, ts) w from events), m as (select date_trunc('milliseconds', max(ts)) - interval 2 minute t from events), g as (select event_type symbol, w, first(value order by ts, event_id) as open, max(value) high, min(value) low, last(value order by ts, event_id) as close, count(*)::double volume from e group by all)
+    select symbol, strftime(w, '%Y-%m-%d %H:%M:%S') seen_at, open, high, low, close, volume from g, m where w + interval {minutes} minute <= t"""
+
+
+def _bars(spark, d, minutes):
+    bars = S.completed_bars(_ticks(spark, d), minutes)
+    return S.finished(bars, shared_dir(spark)).withColumn("seen_at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts")
+
+
+@query(_bars_sql(1))
+def stream_minute_bars(spark, d):
+    return _bars(spark, d, 1)
+
+
+@query(_bars_sql(10))
+def stream_ten_minute_bars(spark, d):
+    return _bars(spark, d, 10)
+
+
+@query("select event_id from events where event_id % 200 <= 60")
+def stream_known_in_time(spark, d):
+    e = _events(spark, d).withColumn("first_seen_ts", F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 200))
+    return S.finished(S.known_in_time(e).select("event_id"), shared_dir(spark))
+
+
+@query("select distinct user_id from events")
+def stream_distinct(spark, d):
+    """Repeats within the watermark's span are dropped; all events are in one span here."""
+    e = _events(spark, d).select("user_id", "ts")
+    return S.finished(S.distinct_within(e, "user_id", "60 days").select("user_id"), shared_dir(spark))
+
+
+@query("select user_id, event_id, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
+def stream_latest(spark, d):
+    """Latest row of each key, merged batch by batch."""
+    path = shared_dir(spark)
+    e = _events(spark, d).select("user_id", "ts", "event_id", "value")
+    q = e.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(S.upsert_latest(spark, f"{path}/versions", ["user_id"], ["ts", "event_id"])).start()
+    q.awaitTermination()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return spark.read.parquet(f"{path}/versions/{last}").select("user_id", "event_id", "value")
+
+
+@query()
+def stream_reversal(spark, d):
+    """The stateful stream over the same samples as reversal_fold; tests compare the two."""
+    e = _events(spark, d)
+    samples = reversal_samples(spark, d)
+    v = F.floor("value").cast("long")
+    codes = F.array(*[F.lit(c) for c in ("EXT-UP-COOLING", "EXT-UP-REBOUND", "INSIDE-RISE", "EXT-UP-FAILURE")])
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scope"), F.col("event_id").cast("int").alias("seq"), ((F.col("event_id") % 400) + 570).cast("int").alias("cutoff"), F.when(v % 6 < 4, F.element_at(codes, (v % 6 % 4).cast("int") + 1)).alias("code"), (F.col("event_type") != "error").alias("usable"), (v % 11 == 0).alias("acknowledged"))
+    out = S.finished(S.reversal_warnings(rows.select(samples.columns)), shared_dir(spark), "update")
+    last = out.groupBy("scope").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("scope", "epoch")]), "epoch").alias("s"))
+    return rounded(last.select("scope", "s.*"))
+
+
+@query("""with p as (select user_id, (row_number() over (partition by user_id order by ts, event_id) * 1)::int as minute, value, event_type <> 'error' ok from events), g as (select *, sum((not ok)::int) over (partition by user_id order by minute rows unbounded preceding) run from p),
+    w as (select *, count(*) over b n, avg(value) over b a, stddev_pop(value) over b sd from g where ok window b as (partition by user_id, run order by minute rows 59 preceding)) select user_id::varchar symbol, minute::bigint as minute, n baseline_bars, case when n >= 5 and sd > 1e-8 then round((value - a) / sd + 1e-9, 6) + 0.0 end z from w""")
+def stream_baseline(spark, d):
+    """Rolling baseline of an unbroken run kept as state; minutes are made by numbering each user's events."""
+    from pyspark.sql import Window
+
+    path = shared_dir(spark)
+    e = X.table(spark, d, "events")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    points = e.select(F.col("user_id").cast("string").alias("symbol"), n.alias("minute"), F.col("value").alias("extrinsic"), (F.col("event_type") != "error").alias("valid"))
+    points.write.parquet(f"{path}/points")
+    stream = S.landed(spark, f"{path}/points", points.schema)
+    return rounded(S.finished(S.running_baseline(stream), f"{path}/run"))
+
+
+@query("select count(distinct strftime(ts, '%Y-%m-%d')) steps, count(*) as \"rows\" from events")
+def stream_replay(spark, d):
+    """An archive replayed file by file, one day at each step."""
+    path = shared_dir(spark)
+    e = X.table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    e.repartition("day").write.partitionBy("day").parquet(f"{path}/archive")
+    schema = spark.read.parquet(f"{path}/archive").schema
+    stream = S.landed(spark, f"{path}/archive", schema, 1).groupBy("day").count()
+    out = S.finished(stream, f"{path}/run", "update")
+    return out.agg(F.count_distinct("day").alias("steps"), F.sum("count").alias("rows"))
