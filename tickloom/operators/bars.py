@@ -5,13 +5,17 @@ All windows are partitioned by (symbol, session_date) and ordered by minute, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import CLOSE, OPEN, valid_bar
 
 P = ("symbol", "session_date")
-W = Window.partitionBy(*P).orderBy("minute")
+
+
+def by_minute() -> WindowSpec:
+    """Made when it is used, as a window needs a session."""
+    return Window.partitionBy(*P).orderBy("minute")
 
 
 def minute_bars(ticks: DataFrame, *order: str) -> DataFrame:
@@ -36,7 +40,7 @@ def single_minutes(bars: DataFrame) -> DataFrame:
 def vwap(bars: DataFrame) -> DataFrame:
     """Cumulative session VWAP of (high + low + close) / 3 from the open; bars without valid volume are skipped."""
     ok = valid_bar(True) & (F.col("volume") > 0)
-    w = W.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_minute().rowsBetween(Window.unboundedPreceding, 0)
     v = F.sum(F.when(ok, F.col("volume"))).over(w)
     pv = F.sum(F.when(ok, (F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume"))).over(w)
     return bars.where(F.col("minute") >= OPEN).withColumn("vwap", F.when(v > 0, pv / v))
@@ -44,7 +48,7 @@ def vwap(bars: DataFrame) -> DataFrame:
 
 def strict_vwap(bars: DataFrame) -> DataFrame:
     """VWAP that is null from the first minute since the open that is missing, duplicate or invalid, and while no volume has traded."""
-    w = W.rangeBetween(Window.unboundedPreceding, 0)
+    w = by_minute().rangeBetween(Window.unboundedPreceding, 0)
     rows = single_minutes(bars.where(F.col("minute") >= OPEN))
     good = valid_bar(True) & F.col("single")
     whole = F.sum(good.cast("int")).over(w) == F.col("minute") - OPEN + 1
@@ -55,8 +59,8 @@ def strict_vwap(bars: DataFrame) -> DataFrame:
 def with_run(bars: DataFrame, valid: Column) -> DataFrame:
     """Adds run: a number that changes wherever the minutes are not adjacent or a row is not valid."""
     ok = F.coalesce(valid, F.lit(False))
-    broken = F.coalesce(F.col("minute") - F.lag("minute").over(W) != 1, F.lit(True)) | ~ok | ~F.coalesce(F.lag(ok).over(W), F.lit(False))
-    return bars.withColumn("_break", broken.cast("int")).withColumn("run", F.sum("_break").over(W.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
+    broken = F.coalesce(F.col("minute") - F.lag("minute").over(by_minute()) != 1, F.lit(True)) | ~ok | ~F.coalesce(F.lag(ok).over(by_minute()), F.lit(False))
+    return bars.withColumn("_break", broken.cast("int")).withColumn("run", F.sum("_break").over(by_minute().rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
 
 
 def relative_volume(bars: DataFrame, most: int = 20, least: int = 4) -> DataFrame:
@@ -72,16 +76,16 @@ def confirmations(rows: DataFrame, k: int = 2, look: int = 15, choppy: int = 4)
     """rows with close and vwap: adds above and below (k adjacent closes on that side of VWAP), crosses (strict changes of side in the last look bars), choppy."""
     side = F.when(F.col("close") > F.col("vwap"), 1).when(F.col("close") < F.col("vwap"), -1).otherwise(0)
     rows = rows.withColumn("_side", side)
-    last = W.rowsBetween(-(k - 1), 0)
-    adjacent = F.col("minute") - F.lag("minute", k - 1).over(W) == k - 1 if k > 1 else F.lit(True)
+    last = by_minute().rowsBetween(-(k - 1), 0)
+    adjacent = F.col("minute") - F.lag("minute", k - 1).over(by_minute()) == k - 1 if k > 1 else F.lit(True)
     held = lambda s: F.coalesce(adjacent & (F.sum((F.col("_side") == s).cast("int")).over(last) == k), F.lit(False))
-    rows = rows.withColumns({"above": held(1), "below": held(-1), "_flip": (F.col("_side") * F.lag("_side").over(W) < 0).cast("int")})
-    return rows.withColumn("crosses", F.coalesce(F.sum("_flip").over(W.rowsBetween(-(look - 2), 0)), F.lit(0)).cast("long")).withColumn("choppy", F.col("crosses") >= choppy).drop("_side", "_flip")
+    rows = rows.withColumns({"above": held(1), "below": held(-1), "_flip": (F.col("_side") * F.lag("_side").over(by_minute()) < 0).cast("int")})
+    return rows.withColumn("crosses", F.coalesce(F.sum("_flip").over(by_minute().rowsBetween(-(look - 2), 0)), F.lit(0)).cast("long")).withColumn("choppy", F.col("crosses") >= choppy).drop("_side", "_flip")
 
 
 def at_offset(value: str, k: int) -> Column:
     """Value k minutes ago exactly; null if that minute is missing."""
-    return F.max(value).over(W.rangeBetween(-k, -k))
+    return F.max(value).over(by_minute().rangeBetween(-k, -k))
 
 
 def returns(bars: DataFrame, ks: tuple[int, ...] = (1, 5, 15)) -> DataFrame:
@@ -90,7 +94,7 @@ def returns(bars: DataFrame, ks: tuple[int, ...] = (1, 5, 15)) -> DataFrame:
 
 def volatility(bars: DataFrame, n: int = 30) -> DataFrame:
     """Adds volatility: population deviation of the last n one-minute returns, over n + 1 adjacent minutes."""
-    w = W.rangeBetween(-(n - 1), 0)
+    w = by_minute().rangeBetween(-(n - 1), 0)
     rows = bars.withColumn("_r", F.col("close") / at_offset("close", 1) - 1)
     return rows.withColumn("volatility", F.when(F.count("_r").over(w) == n, F.stddev_pop("_r").over(w))).drop("_r")
 

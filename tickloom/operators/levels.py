@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import OPEN
-from .bars import W, P
+from .bars import P, by_minute
 
 #: Opening-range regimes in the order that they are tested.
 REGIMES = ("GAP-UP", "GAP-DOWN", "TWO-SIDED", "EXT-UP", "EXT-DOWN", "INSIDE")
@@ -35,11 +35,11 @@ def day_types(bars: DataFrame, levels: DataFrame, k: int = 2) -> DataFrame:
     rows = bars.where(F.col("minute") >= OPEN).join(levels.select(*P, "prior_high", "prior_low", "pm_high", "pm_low"), list(P))
     span = F.col("pm_high") - F.col("pm_low")
     tol = span * 0.025
-    last, upto = W.rowsBetween(-(k - 1), 0), W.rowsBetween(Window.unboundedPreceding, 0)
+    last, upto = by_minute().rowsBetween(-(k - 1), 0), by_minute().rowsBetween(Window.unboundedPreceding, 0)
     up = F.sum((F.col("close") > F.col("pm_high")).cast("int")).over(last) == k
     down = F.sum((F.col("close") < F.col("pm_low")).cast("int")).over(last) == k
     rows = rows.withColumns({"_up": up, "_down": down, "_top": F.col("high") >= F.col("pm_high") - tol, "_low": F.col("low") <= F.col("pm_low") + tol})
-    edge = lambda c: (F.col(c) & ~F.coalesce(F.lag(c).over(W), F.lit(False))).cast("int")
+    edge = lambda c: (F.col(c) & ~F.coalesce(F.lag(c).over(by_minute()), F.lit(False))).cast("int")
     rows = rows.withColumns({"_te": edge("_top"), "_le": edge("_low")})
     at = F.min(F.when(F.col("_up") | F.col("_down"), F.struct("minute", F.when(F.col("_up"), "bull").otherwise("bear").alias("side")))).over(upto)
     rows = rows.withColumns({"_at": at, "tops": F.sum("_te").over(upto), "lows": F.sum("_le").over(upto), "pmr": span / (F.col("prior_high") - F.col("prior_low")) * 100})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import OPEN, valid_bar
-from .bars import W, P, at_offset, single_minutes, strict_vwap
+from .bars import P, by_minute, at_offset, single_minutes, strict_vwap
 
 #: The eleven sector nodes in their order.
 SECTORS = ("XLK", "XLF", "XLY", "XLP", "XLE", "XLU", "XLV", "XLI", "XLB", "XLRE", "XLC")
@@ -137,6 +137,6 @@ def top_neighbours(training: DataFrame, k: int = 3) -> DataFrame:
 
 def volume_runs(bars: DataFrame) -> DataFrame:
     """Minutes up to which every bar since the open is there and traded: (P, minute, traded_prefix)."""
-    w = W.rangeBetween(Window.unboundedPreceding, 0)
+    w = by_minute().rangeBetween(Window.unboundedPreceding, 0)
     ok = F.sum((valid_bar(True) & (F.col("volume") > 0)).cast("int")).over(w) == F.col("minute") - OPEN + 1
     return bars.where(F.col("minute") >= OPEN).select(*P, "minute", ok.alias("traded_prefix"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.options_math import intrinsic
-from .bars import W, P, with_run
+from .bars import P, by_minute, with_run
 
 
 def premium_series(quotes: DataFrame, lookback: int = 60, slope_bars: int = 3, max_spread: float = 0.25, least: int = 5) -> DataFrame:
@@ -90,10 +90,10 @@ def execution(rows: DataFrame, k: int = 2, look: int = 12) -> DataFrame:
     short = F.col("candidate_side").isin("short", "both")
     boundary = F.when(F.col("regime") == "EXT-DOWN", F.col("prior_low")).otherwise(F.col("prior_high"))
     rows = rows.withColumn("_b", boundary)
-    held_up = F.sum((F.col("close") > F.col("_b")).cast("int")).over(W.rowsBetween(-(k - 1), 0)) == k
-    held_down = F.sum((F.col("close") < F.col("_b")).cast("int")).over(W.rowsBetween(-(k - 1), 0)) == k
-    adjacent = F.coalesce(F.col("minute") - F.lag("minute", k - 1).over(W) == k - 1, F.lit(False))
-    before = W.rowsBetween(-(look - 1), -k)
+    held_up = F.sum((F.col("close") > F.col("_b")).cast("int")).over(by_minute().rowsBetween(-(k - 1), 0)) == k
+    held_down = F.sum((F.col("close") < F.col("_b")).cast("int")).over(by_minute().rowsBetween(-(k - 1), 0)) == k
+    adjacent = F.coalesce(F.col("minute") - F.lag("minute", k - 1).over(by_minute()) == k - 1, F.lit(False))
+    before = by_minute().rowsBetween(-(look - 1), -k)
     was_down, was_up = F.max((F.col("close") <= F.col("_b")).cast("int")).over(before) == 1, F.max((F.col("close") >= F.col("_b")).cast("int")).over(before) == 1
     anticipation = adjacent & F.when(short, held_down & was_up).otherwise(held_up & was_down)
     momentum = (F.col("direction") != "neutral") & ((F.col("candidate_side") == "both") | (F.col("candidate_side") == F.col("direction")))
@@ -108,8 +108,8 @@ def episodes(samples: DataFrame) -> DataFrame:
     """
     code = F.when(F.col("fresh"), F.col("code"))
     rows = samples.withColumn("_code", code)
-    change = ~F.col("_code").eqNullSafe(F.lag("_code").over(W))
-    rows = rows.withColumn("_run", F.sum(change.cast("int")).over(W.rowsBetween(Window.unboundedPreceding, 0))).where("_code is not null")
+    change = ~F.col("_code").eqNullSafe(F.lag("_code").over(by_minute()))
+    rows = rows.withColumn("_run", F.sum(change.cast("int")).over(by_minute().rowsBetween(Window.unboundedPreceding, 0))).where("_code is not null")
     runs = rows.groupBy(*P, "_run", F.col("_code").alias("code")).agg(F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"), F.count("*").alias("samples"))
     w = Window.partitionBy(*P).orderBy("first_minute")
     return runs.select(*P, F.row_number().over(w).cast("long").alias("episode"), "code", "first_minute", "last_minute", "samples", F.lag("code").over(w).alias("previous_code"))
@@ -128,8 +128,8 @@ def divergences(points: DataFrame, keep: int = 6, least: int = 5, most: int = 40
 
     (P, kind, first_minute, second_minute, trigger, confirmed_minute), the last keep by second_minute.
     """
-    w5 = W.rowsBetween(-2, 2)
-    rows = points.withColumns({"_lo": F.min("price").over(w5), "_hi": F.max("price").over(w5), "_n": F.count("*").over(w5), "_span": F.lead("minute", 2).over(W) - F.lag("minute", 2).over(W)})
+    w5 = by_minute().rowsBetween(-2, 2)
+    rows = points.withColumns({"_lo": F.min("price").over(w5), "_hi": F.max("price").over(w5), "_n": F.count("*").over(w5), "_span": F.lead("minute", 2).over(by_minute()) - F.lag("minute", 2).over(by_minute())})
     pivots = rows.where("_n = 5 and _span = 4").select(*P, "minute", "price", "extrinsic", F.explode(F.filter(F.array(F.when(F.col("price") <= F.col("_lo"), F.lit("bullish")), F.when(F.col("price") >= F.col("_hi"), F.lit("bearish"))), lambda x: x.isNotNull())).alias("kind"))
     w = Window.partitionBy(*P, "kind").orderBy("minute")
     prev = {f"a_{c}": F.lag(c).over(w) for c in ("minute", "price", "extrinsic")}

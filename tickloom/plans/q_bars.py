@@ -222,6 +222,6 @@ def sample_grid(spark, d):
 def minute_readout(spark, d):
     """One row a minute: premium reading, phase, label and staleness of the last valid premium."""
     p = M.postures(M.premium_series(X.quotes(spark, d)))
-    w = B.W.rowsBetween(B.Window.unboundedPreceding, 0)
+    w = B.by_minute().rowsBetween(B.Window.unboundedPreceding, 0)
     last = F.max(F.when(F.col("valid"), F.col("minute"))).over(w)
     return rounded(p.select("symbol", "session_date", "minute", "close", "z", "slope", "phase", direction_label(F.col("z")).alias("label"), F.coalesce(F.col("minute") - last > 2, F.lit(True)).alias("stale")))
