@@ -37,9 +37,11 @@ def chain_filter(quotes: DataFrame, root: str = "SPXW") -> DataFrame:
 
 
 def latest_per_contract(quotes: DataFrame, *scope: str) -> DataFrame:
-    """Last row of each exact contract."""
-    w = Window.partitionBy(*scope, *CONTRACT).orderBy(F.desc("ts"), F.desc("bid"), F.desc("ask"))
-    return quotes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Last row of each exact contract, ties by the higher bid and ask. An aggregate, so that each task sends one row for each contract."""
+    keys = [*scope, *[c for c in CONTRACT if c not in scope]]
+    rest = [c for c in quotes.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct("ts", "bid", "ask"))
+    return quotes.groupBy(*keys).agg(last.alias("_r")).select(*keys, "_r.*").select(quotes.columns)
 
 
 def bounded_snapshot(latest: DataFrame, *scope: str, seconds: int = 60) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid, sign_label
@@ -36,11 +36,16 @@ def usable_models(registry: DataFrame, least_rows: int = 350, least_days: int =
 
 
 def valid_on(rows: DataFrame, models: DataFrame, date: str = "session_date") -> DataFrame:
-    """rows x the model of each horizon that is valid on the date; a date with two of a horizon gets none. Models are few: an interval join on months."""
+    """rows x the model of each horizon that is valid on the date; a date with two of a horizon gets none.
+
+    The interval join is made on the distinct dates, by month; the rows then meet one small row for each date and horizon.
+    """
     m = models.withColumn("_month", F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc("valid_to", "month"), F.expr("interval 1 month"))))
-    j = rows.withColumn("_month", F.trunc(date, "month")).join(m, "_month").where(F.col(date).between(F.col("valid_from"), F.col("valid_to"))).drop("_month")
-    w = Window.partitionBy(*rows.columns[:0], *[c for c in rows.columns if rows.schema[c].dataType.simpleString() in ("date", "int", "bigint", "string")], "horizon")
-    return j.withColumn("_n", F.count("*").over(w)).where("_n = 1").drop("_n")
+    days = rows.select(date).distinct().withColumn("_month", F.trunc(date, "month"))
+    valid = days.join(m, "_month").where(F.col(date).between(F.col("valid_from"), F.col("valid_to")))
+    values = [c for c in models.columns if c != "horizon"]
+    single = valid.groupBy(date, "horizon").agg(F.count("*").alias("_n"), F.first(F.struct(*values)).alias("_m")).where("_n = 1")
+    return rows.join(single.select(date, "horizon", "_m.*"), date)
 
 
 def scored(rows: DataFrame) -> DataFrame:

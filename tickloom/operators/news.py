@@ -75,8 +75,8 @@ def company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
 def latest_corrections(articles: DataFrame, cutoff: Column) -> DataFrame:
     """Of articles with one canonical url, known in order by the cutoff, the latest by received, first observed, published and id. Look-back comes after."""
     known = articles.where((F.col("published_at") <= F.col("received_at")) & (F.col("received_at") <= F.col("first_observed_at")) & (F.col("first_observed_at") <= F.col("assessed_at")) & (F.col("assessed_at") <= cutoff) & (F.col("published_at") <= cutoff))
-    w = Window.partitionBy("url").orderBy(F.desc("received_at"), F.desc("first_observed_at"), F.desc("published_at"), F.desc("article_id"))
-    return known.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rank = F.struct("received_at", "first_observed_at", "published_at", "article_id")
+    return known.groupBy("url").agg(F.max_by(F.struct(*known.columns), rank).alias("_r")).select("_r.*")
 
 
 def safe_url(url: Column, hosts: Column) -> Column:
