@@ -159,3 +159,19 @@ def test_empty_tables(spark):
     for f in CASES.values():
         assert f(spark, b).count() == 0
     assert E.ema_episodes(E.fold(B.ten_minute(b))).count() == 0
+
+
+def test_streamed_ema_is_the_batch_ema(spark):
+    t = {r.symbol: r.ema for r in catalogue.QUERIES["ema_seeded"](spark, SF).where("bucket = 12").collect()}
+    got = {r.symbol: r.ema for r in catalogue.QUERIES["stream_ema"](spark, SF).collect()}
+    assert all(v == pytest.approx(got[k]) for k, v in t.items() if v is not None)
+
+
+def test_streamed_retests_are_the_machines():
+    random.seed(6)
+    for _ in range(30):
+        seq = [(True, b, *(lambda c: (c + random.random() * 2, c - random.random() * 2, c))(100 + random.uniform(-3, 3)), random.random() > 0.03) for b in range(60)]
+        state = None
+        for x in seq:
+            state = live.ema_step(state, x[1:])
+        assert state[8] == sum(e[3] is not None for e in machine(seq))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import CLOSE, OPEN, valid_bar
+from ..functions.columns import CLOSE, OPEN, grid_status, to_eastern, valid_bar
 
 P = ("symbol", "session_date")
 
@@ -118,3 +118,23 @@ def latest_as_of(grid: DataFrame, facts: DataFrame, keys: list[str], at: str, va
     fact = F.struct(*values, "as_of")
     last = F.last(F.when(F.col("_probe") == 0, fact), ignorenulls=True).over(w)
     return facts.unionByName(both).withColumn("_last", last).where("_probe = 1").select(*keys, at, *[F.col(f"_last.{v}").alias(v) for v in [*values, "as_of"]])
+
+
+def admitted(rows: DataFrame, cutoff: Column) -> DataFrame:
+    """Minute bars only: one-minute interval, bar-open time on the grid, of the session's date, not after the cutoff minute, valid in price. rows: (ts, interval, ts_kind, session_date, prices)."""
+    date, minute = to_eastern(F.col("ts"))
+    ok = (F.col("interval") == "1m") & (F.col("ts_kind") == "bar-open") & (grid_status(F.col("ts")) == "on") & (date == F.col("session_date")) & (minute <= cutoff) & valid_bar()
+    return rows.withColumn("minute", minute).where(F.coalesce(ok, F.lit(False)))
+
+
+def between_dates(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Rows of a span of days; the session date counts where there is one, else the date of the time."""
+    return rows.where(F.coalesce("session_date", F.to_date("ts")).between(start, end))
+
+
+def united(*tables: DataFrame) -> DataFrame:
+    """One row set of several kinds; columns that one lacks are null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out

@@ -31,6 +31,11 @@ def with_open_interest(quotes: DataFrame, interest: DataFrame) -> DataFrame:
     return rows.withColumns({"open_interest": F.when(known, F.col("_oi")), "oi_ts": F.when(known, F.col("_t"))}).drop("_t", "_oi")
 
 
+def assembled(quotes: DataFrame, interest: DataFrame) -> DataFrame:
+    """A snapshot from its parts: greeks in step with their quotes, open interest known at the quote's time."""
+    return with_open_interest(coherent_greeks(quotes), interest)
+
+
 def chain_filter(quotes: DataFrame, root: str = "SPXW") -> DataFrame:
     """Two-sided quotes of the root that expire on their session's day."""
     return quotes.where((F.col("root") == root) & (F.col("expiration") == F.col("session_date")) & F.col("right").isin("CALL", "PUT") & (F.col("bid") > 0) & (F.col("ask") >= F.col("bid")))
@@ -57,6 +62,12 @@ def coverage(chain: DataFrame, spot: DataFrame, *scope: str, seconds: int = 120)
     return rows.groupBy(*scope).agg(F.count("*").alias("observed"), F.count_if(near).alias("coherent"), (F.count("*") - F.count_if(near)).alias("excluded"))
 
 
+def near_spot(chain: DataFrame, spot: DataFrame, *scope: str, seconds: int = 120) -> DataFrame:
+    """Contracts quoted within seconds of the scope's spot time."""
+    rows = chain.join(spot.select(*scope, "spot_ts"), list(scope))
+    return rows.where(F.abs(F.col("ts").cast("double") - F.col("spot_ts").cast("double")) <= seconds).drop("spot_ts")
+
+
 def gamma_exposure(chain: DataFrame, *scope: str) -> DataFrame:
     """By strike: dollar gamma for a 1 % move (gamma * OI * 100 * spot^2 * 0.01), calls positive, puts negative. chain has spot and cutoff."""
     ok = F.coalesce((F.col("gamma") >= 0) & (F.col("open_interest") >= 0) & (F.col("spot") > 0) & (F.col("ts") <= F.col("cutoff")) & (F.col("oi_ts") <= F.col("cutoff")), F.lit(False))

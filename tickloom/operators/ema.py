@@ -79,3 +79,16 @@ def ema_episodes(folded: DataFrame, last_bucket: int | None = None) -> DataFrame
         over = (F.col("status") == "watching") & (F.col("_n") > last_bucket)
         e = e.withColumn("status", F.when(over, "expired").otherwise(F.col("status")))
     return e.drop("_n")
+
+
+def touched_levels(episodes: DataFrame, levels: DataFrame, near: float = 2.0) -> DataFrame:
+    """Confirmed episodes with the session's levels at the confirming close, frozen there: how many lie within near, and the next one in the episode's direction as target.
+
+    levels: (symbol, session_date, name, price); a session has few, so they travel as an array.
+    """
+    sets = levels.groupBy("symbol", "session_date").agg(F.array_sort(F.collect_list(F.struct("price", "name"))).alias("_l"))
+    rows = episodes.where("confirm_price is not null").join(sets, ["symbol", "session_date"], "left")
+    at = F.col("confirm_price")
+    up, down = F.try_element_at(F.filter("_l", lambda x: x["price"] > at), F.lit(1)), F.try_element_at(F.filter("_l", lambda x: x["price"] < at), F.lit(-1))
+    target = F.when(F.col("side") == "bullish", up["name"]).otherwise(down["name"])
+    return rows.withColumns({"confluence": F.size(F.filter("_l", lambda x: F.abs(x["price"] - at) <= near)).cast("long"), "target": target}).drop("_l")

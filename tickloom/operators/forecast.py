@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid, sign_label
-from .network import SECTORS
+from .bars import returns, strict_vwap, volatility
+from .network import NODES, SECTORS
 
 #: Feature orders.
 FEATURES_10 = ("spx_return_5", "spx_return_15", "spx_return_volatility_30", "spy_vwap_gap", "sector_signed_breadth", "bullish_cluster_fraction", "bearish_cluster_fraction", "bullish_growth_5", "bearish_growth_5", "mean_correlation")
@@ -99,3 +100,47 @@ def matrix_report(matrices: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     mirror = rows.select("version_id", F.col("i").alias("j"), F.col("j").alias("i"), F.col("x").alias("y"))
     j = rows.join(mirror, ["version_id", "i", "j"], "left")
     return j.groupBy("version_id").agg(F.bool_and(F.col("width") == F.col("n")).alias("square"), F.bool_and(F.coalesce(F.abs(F.col("x") - F.col("y")) <= tolerance, F.lit(False))).alias("symmetric"), F.bool_and((F.col("i") != F.col("j")) | (F.col("x") > 0)).alias("positive_diagonal"))
+
+
+# Feature vectors: long tables (keys, feature, value)
+
+
+def core_features(spx: DataFrame, spy: DataFrame) -> DataFrame:
+    """(session_date, minute, spx_return_5, spx_return_15, spx_return_volatility_30, spy_vwap_gap) from bars of the two symbols; null where an exact minute is missing."""
+    a = volatility(returns(spx, (5, 15))).select("session_date", "minute", F.col("return_5").alias("spx_return_5"), F.col("return_15").alias("spx_return_15"), F.col("volatility").alias("spx_return_volatility_30"))
+    b = strict_vwap(spy).select("session_date", "minute", (F.col("close") / F.col("strict_vwap") - 1).alias("spy_vwap_gap"))
+    return a.join(b, ["session_date", "minute"])
+
+
+def long_form(wide: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    pieces = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]))
+    return wide.select(*keys, pieces.alias("x")).select(*keys, "x.feature", "x.value")
+
+
+def features_10(core: DataFrame, network: DataFrame) -> DataFrame:
+    """The ten network features by minute, from core_features and the network's summary."""
+    keys = ["session_date", "minute"]
+    net = network.select(*keys, F.col("breadth").alias("sector_signed_breadth"), F.col("bullish_fraction").alias("bullish_cluster_fraction"), F.col("bearish_fraction").alias("bearish_cluster_fraction"), "bullish_growth_5", "bearish_growth_5", "mean_correlation")
+    return long_form(core.join(net, keys), keys, list(FEATURES_10))
+
+
+def features_35(core: DataFrame, sectors: DataFrame, clusters: DataFrame, edges: DataFrame, oil: DataFrame, rates: DataFrame) -> DataFrame:
+    """The sector and macro features by minute. sectors: (keys, symbol, return_5, vwap_gap, sign); clusters: (keys, sign, size); edges: (keys, bullish_edge_fraction, bearish_edge_fraction);
+    oil: (keys, return_5, vwap_gap); rates: (keys, change_5_bps, change_open_bps). Only fractions over eleven nodes are used."""
+    keys = ["session_date", "minute"]
+    size = lambda s: F.coalesce(F.max(F.when(F.col("sign") == s, F.col("size"))), F.lit(0)) / NODES
+    one = sectors.groupBy(*keys).agg((F.sum("sign") / NODES).alias("sector_signed_breadth"))
+    k = clusters.groupBy(*keys).agg(size(1).alias("bullish_cluster_fraction"), size(-1).alias("bearish_cluster_fraction"))
+    wide = core.join(one, keys).join(k, keys, "left").na.fill({"bullish_cluster_fraction": 0.0, "bearish_cluster_fraction": 0.0})
+    wide = wide.join(edges.withColumnsRenamed({"bullish_edge_fraction": "bullish_edge_weight_fraction", "bearish_edge_fraction": "bearish_edge_weight_fraction"}), keys)
+    wide = wide.join(oil.select(*keys, F.col("return_5").alias("USO_return_5"), F.col("vwap_gap").alias("USO_vwap_gap")), keys).join(rates.select(*keys, F.col("change_5_bps").alias("TNX_change_5_bps"), F.col("change_open_bps").alias("TNX_change_from_open_bps")), keys)
+    names = [c for c in FEATURES_35 if not c.startswith(SECTORS)]
+    each = long_form(sectors, [*keys, "symbol"], ["return_5", "vwap_gap"]).select(*keys, F.concat_ws("_", "symbol", "feature").alias("feature"), "value")
+    return long_form(wide, keys, names).unionByName(each)
+
+
+def features_39(base: DataFrame, pressures: DataFrame) -> DataFrame:
+    """Adds the interaction features; pressures: (keys, macro, alignment, pressure), macro named USO or TNX."""
+    keys = ["session_date", "minute"]
+    more = long_form(pressures.withColumnsRenamed({"alignment": "sector_alignment", "pressure": "sector_propagated_pressure"}), [*keys, "macro"], ["sector_alignment", "sector_propagated_pressure"])
+    return base.unionByName(more.select(*keys, F.concat_ws("_", "macro", "feature").alias("feature"), "value"))

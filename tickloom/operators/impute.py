@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .network import NODES, components, edge_participation, largest_clusters, macro_sign
+
 RIDGE = 1e-8
 GUARD = 6.0
 MOST_FEATURES, MOST_NODES, LEAST_SECTORS = 4, 2, 9
@@ -79,3 +81,21 @@ def availability(statuses: DataFrame, *keys: str) -> DataFrame:
     nodes = F.count_distinct(F.when(F.col("status") == "missing", F.col("node")))
     whole = F.count_distinct(F.when(F.col("status") == "observed", F.col("node")))
     return statuses.groupBy(*keys).agg(F.coalesce(F.when(bad(F.col("status") == "fatal"), "fatal input"), F.when(bad(F.col("core") & (F.col("status") != "observed")), "core input"), F.when(nodes > MOST_NODES, "too many nodes"), F.when(F.count_if(F.col("status") == "missing") > MOST_FEATURES, "too many features"), F.when(whole < LEAST_SECTORS, "too few sectors")).alias("reason"))
+
+
+def rebuilt(rows: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """Graph features of drawn or imputed values: rows (keys, symbol, return_5, vwap_gap), links (graph_id, a, b, weight) of one graph.
+
+    (keys, sector_signed_breadth, bullish/bearish cluster and edge-weight fractions): the same steps as for live nodes, keyed by row and draw.
+    """
+    s = rows.withColumn("sign", macro_sign(F.col("return_5"), F.col("vwap_gap"))).withColumnRenamed("symbol", "node")
+    graph = s.join(links.select("graph_id").distinct().limit(1), F.lit(True))  # one row
+    edges = edge_participation(links, graph.select(*keys, "graph_id", "node", "sign"), keys)
+    live = s.where("sign <> 0")
+    a, b = live.select(*keys, "sign", F.col("node").alias("a")), live.select(*keys, "sign", F.col("node").alias("b"))
+    same = a.join(links.select("a", "b"), "a").join(b, [*keys, "sign", "b"])
+    sizes = largest_clusters(components(live.select(*keys, "sign", "node"), same, [*keys, "sign"]), [*keys, "sign"])
+    most = lambda v: F.coalesce(F.max(F.when(F.col("sign") == v, F.col("size"))), F.lit(0)) / NODES
+    k = sizes.groupBy(*keys).agg(most(1).alias("bullish_cluster_fraction"), most(-1).alias("bearish_cluster_fraction"))
+    out = s.groupBy(*keys).agg((F.sum("sign") / NODES).alias("sector_signed_breadth")).join(k, keys, "left").join(edges, keys, "left")
+    return out.na.fill(0.0, ["bullish_cluster_fraction", "bearish_cluster_fraction", "bullish_edge_fraction", "bearish_edge_fraction"])

@@ -72,6 +72,12 @@ def company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
     return every.select(F.col("key.article_id").alias("article_id"), "rule", "direction", "ticker", "sector", "scope").distinct()
 
 
+def available(articles: DataFrame, cutoff: Column) -> DataFrame:
+    """Articles published, retrieved and first seen by the cutoff; a time that is missing doesn't count against it, but publication must be there."""
+    known = lambda c: F.coalesce(F.col(c) <= cutoff, F.lit(True))
+    return articles.where((F.col("published_at") <= cutoff) & known("received_at") & known("first_observed_at"))
+
+
 def latest_corrections(articles: DataFrame, cutoff: Column) -> DataFrame:
     """Of articles with one canonical url, known in order by the cutoff, the latest by received, first observed, published and id. Look-back comes after."""
     known = articles.where((F.col("published_at") <= F.col("received_at")) & (F.col("received_at") <= F.col("first_observed_at")) & (F.col("first_observed_at") <= F.col("assessed_at")) & (F.col("assessed_at") <= cutoff) & (F.col("published_at") <= cutoff))

@@ -225,3 +225,12 @@ def minute_readout(spark, d):
     w = B.by_minute().rowsBetween(B.Window.unboundedPreceding, 0)
     last = F.max(F.when(F.col("valid"), F.col("minute"))).over(w)
     return rounded(p.select("symbol", "session_date", "minute", "close", "z", "slope", "phase", direction_label(F.col("z")).alias("label"), F.coalesce(F.col("minute") - last > 2, F.lit(True)).alias("stale")))
+
+
+@query()
+def ema_level_targets(spark, d):
+    """Levels frozen at each confirmed retest."""
+    b = X.bars(spark, d, X.PRE)
+    lv = L.mapped_levels(L.with_previous(L.session_ranges(b)), F.lit(2), expected_move(F.col("prior_close"), F.lit(0.2), F.lit(390)))
+    e = E.ema_episodes(E.fold(B.ten_minute(B.regular_hours(b)).withColumn("complete", F.lit(True))))
+    return rounded(E.touched_levels(e, lv, near=500.0).select("symbol", "session_date", "nth", "side", "status", "confirm_price", "confluence", "target"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.shared import shared_dir
+from ..operators import bars as B
 from ..sources import archive as A
+from ..sources import calendar as K
 from ..sources import ingest as I
 from . import fixtures as X
 from .registry import query, rounded, shown
@@ -191,3 +193,34 @@ def request_keys(spark, d):
 def bar_validity(spark, d):
     b = _bars(spark, d).withColumn("ok", C.valid_bar(True))
     return b.groupBy("symbol", "session_date").agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"))
+
+
+@query(shown(X.bars_sql() + ", f as (select * from bars where minute % 17 <> 0 and minute <= 700 and minute % 13 <> 0 and minute % 11 <> 0)", "f", "symbol session_date minute:l close:d"))
+def minute_admission(spark, d):
+    """Rows of another interval, or off the grid, or without a price, or after the cutoff are not admitted."""
+    m = F.col("minute")
+    rows = _bars(spark, d).withColumns({"interval": F.when(m % 13 == 0, "5m").otherwise("1m"), "ts_kind": F.lit("bar-open"), "ts": F.when(m % 11 == 0, F.col("ts") + F.make_dt_interval(secs=F.lit(7))).otherwise(F.col("ts"))}).drop("minute")
+    return rounded(B.admitted(rows, F.lit(700)).select("symbol", "session_date", "minute", "close"))
+
+
+@query("""select event_id from events where coalesce(case when event_id % 4 = 0 then date '2024-01-15' end, ts::date) between date '2024-01-10' and date '2024-01-15'""")
+def date_override(spark, d):
+    """A session date counts before the date of the time."""
+    e = X.table(spark, d, "events").withColumn("session_date", F.when(F.col("event_id") % 4 == 0, F.lit("2024-01-15").cast("date")))
+    return B.between_dates(e, F.lit("2024-01-10").cast("date"), F.lit("2024-01-15").cast("date")).select("event_id")
+
+
+@query("""with c as (select distinct o_orderdate::date session_date from orders) select o_orderkey, case when dayofweek(o_orderdate) not in (0, 6) and o_orderdate::date between date '1995-06-01' and date '1999-06-01' then o_totalprice end price from orders""")
+def calendar_gate(spark, d):
+    """On closed or unverified days there is no reading."""
+    o = X.table(spark, d, "orders").withColumn("session_date", F.to_date("o_orderdate"))
+    a, b = o.agg(F.min("session_date"), F.max("session_date")).first()
+    none = spark.createDataFrame([], "date date, close_minute int")
+    cal = K.calendar(spark, str(a), str(b), none.select("date"), none, "1995-06-01", "1999-06-01")
+    return K.gated(o.withColumn("price", F.col("o_totalprice")), cal, ["price"]).select("o_orderkey", "price")
+
+
+@query("""select event_id, user_id, value, null::double price from events where event_type = 'click' union all select event_id, user_id, null, value from events where event_type = 'view'""")
+def kinds_united(spark, d):
+    e = X.table(spark, d, "events")
+    return B.united(e.where("event_type = 'click'").select("event_id", "user_id", "value"), e.where("event_type = 'view'").select("event_id", "user_id", F.col("value").alias("price")))

@@ -233,3 +233,68 @@ def input_availability(spark, d):
     n = F.col("l_linenumber")
     st = I.status(~((F.col("l_linestatus") == "O") & n.isin(1, 3)), F.lit(False), (F.col("l_returnflag") == "R") & (n == 2), F.lit(True))
     return I.availability(li.select(F.col("l_orderkey").alias("k"), st.alias("status"), n.cast("string").alias("node"), (n == 3).alias("core"), F.lit("f").alias("feature")), "k")
+
+
+# Feature vectors on the dense tape: S01 stands for the index, S02 for its fund
+
+
+def _core(spark, d) -> DataFrame:
+    b = X.bars(spark, d, X.DENSE)
+    return R.core_features(b.where("symbol = 'S01'"), b.where("symbol = 'S02'"))
+
+
+CORE = """r1 as (select session_date, minute, close / nullif(lag(close, 5) over o, 0) - 1 a5, minute - lag(minute, 5) over o d5, close / nullif(lag(close, 15) over o, 0) - 1 a15, minute - lag(minute, 15) over o d15, return_1 from states where symbol = 'S01' window o as (partition by session_date order by minute)),
+    core as (select r1.session_date, r1.minute, case when d5 = 5 then a5 end spx_return_5, case when d15 = 15 then a15 end spx_return_15, case when count(r1.return_1) over v = 30 then stddev_pop(r1.return_1) over v end spx_return_volatility_30, f.vwap_gap spy_vwap_gap from r1 join states f on f.symbol = 'S02' and f.session_date = r1.session_date and f.minute = r1.minute
+        window v as (partition by r1.session_date order by r1.minute range between 29 preceding and current row))"""
+BIG = """sz as (select session_date, minute, sg, label, count(*) n from lab group by all), big as (select session_date, minute, coalesce(max(n) filter (sg = 1), 0) / 11 bu, coalesce(max(n) filter (sg = -1), 0) / 11 be from sz group by all)"""
+
+
+def _unpivot(names, keys="session_date, minute::bigint as minute"):
+    return f"select {keys}, unnest([{', '.join(chr(39) + n + chr(39) for n, _ in names)}]) feature, round(unnest([{', '.join(f'({e})::double' for _, e in names)}]) + 1e-9, 6) + 0.0 as value"
+
+
+@query(CLUSTERS + f", {CORE}, {BIG}, br as (select session_date, minute, sum(sg) / 11 breadth from states where symbol <= 'S10' group by all), mc as (select session_date, minute, avg(r) m from pairs group by all), w as (select core.*, breadth, m, coalesce(bu, 0) bu, coalesce(be, 0) be from core join br using (session_date, minute) left join mc using (session_date, minute) left join big using (session_date, minute)) " + _unpivot([("spx_return_5", "spx_return_5"), ("spx_return_15", "spx_return_15"), ("spx_return_volatility_30", "spx_return_volatility_30"), ("spy_vwap_gap", "spy_vwap_gap"), ("sector_signed_breadth", "breadth"), ("bullish_cluster_fraction", "bu"), ("bearish_cluster_fraction", "be"), ("mean_correlation", "m")]) + " from w")
+def features_network(spark, d):
+    """The ten network features, without growth, which network_summary has."""
+    s, labels = _labels(spark, d)
+    net = N.summary(s, sector_pairs(spark, d), N.largest_clusters(labels, ["session_date", "minute", "sign"]))
+    return rounded(R.features_10(_core(spark, d), net).where("feature not like '%growth%'"))
+
+
+STATIC = "with recursive " + STATES + ", " + GRAPH + """, nodes as (select session_date, minute, sg, symbol from states where sg <> 0 and symbol <= 'S10'), ge as (select a, b from edges union all select b, a from edges),
+    reach(session_date, minute, sg, a, b) as (select session_date, minute, sg, symbol, symbol from nodes union select r.session_date, r.minute, r.sg, r.a, n.symbol from reach r join ge on ge.a = r.b join nodes n on n.session_date = r.session_date and n.minute = r.minute and n.sg = r.sg and n.symbol = ge.b),
+    lab as (select session_date, minute, sg, a node, min(b) label from reach group by all), """ + BIG + """, ew as (select x.session_date, x.minute, coalesce(sum(weight) filter (x.sg = 1 and y.sg = 1), 0) / sum(weight) eb, coalesce(sum(weight) filter (x.sg = -1 and y.sg = -1), 0) / sum(weight) er from edges join states x on x.symbol = a join states y on y.symbol = b and y.session_date = x.session_date and y.minute = x.minute group by 1, 2),
+    br as (select session_date, minute, sum(sg) / 11 breadth from states where symbol <= 'S10' group by all)"""
+
+
+@query(STATIC + ", w as (select br.*, coalesce(bu, 0) bu, coalesce(be, 0) be, eb, er from br left join big using (session_date, minute) left join ew using (session_date, minute)) select session_date, minute::bigint as minute, round(breadth + 1e-9, 6) + 0.0 sector_signed_breadth, round(bu + 1e-9, 6) + 0.0 bullish_cluster_fraction, round(be + 1e-9, 6) + 0.0 bearish_cluster_fraction, round(eb + 1e-9, 6) + 0.0 bullish_edge_fraction, round(er + 1e-9, 6) + 0.0 bearish_edge_fraction from w")
+def graph_features(spark, d):
+    """Breadth, clusters and edge weights on a fixed graph with live signs: what imputed draws are put through."""
+    rows = states(spark, d).where(SECTORS).select("session_date", "minute", "symbol", "return_5", "vwap_gap")
+    return rounded(I.rebuilt(rows, graph(spark), ["session_date", "minute"]))
+
+
+MACRO_ROWS = f""", {CORE}, {RHO}, it as (select x.session_date, x.minute, macro, sum(x.sg * y.sg * rho / 3) al, sum(x.sg * abs(y.sg) * rho / 3) pr from rho join states x on x.symbol = macro join states y on y.symbol = sector and y.session_date = x.session_date and y.minute = x.minute group by 1, 2, 3 having count(*) = 3),
+    tn as (select a.session_date, a.minute, (a.close - p.close) * 10 c5, (a.close - o.close) * 10 c0 from bars a left join bars p on p.symbol = a.symbol and p.session_date = a.session_date and p.minute = a.minute - 5 left join bars o on o.symbol = a.symbol and o.session_date = a.session_date and o.minute = 570 where a.symbol = 'S12'),
+    w as (select core.*, breadth, coalesce(bu, 0) bu, coalesce(be, 0) be, eb, er, u.return_5 u5, u.vwap_gap ug, c5, c0 from core join br using (session_date, minute) left join big using (session_date, minute) join ew using (session_date, minute) join states u on u.symbol = 'S11' and u.session_date = core.session_date and u.minute = core.minute join tn on tn.session_date = core.session_date and tn.minute = core.minute),
+    a0 as ({_unpivot([("spx_return_5", "spx_return_5"), ("spx_return_15", "spx_return_15"), ("spx_return_volatility_30", "spx_return_volatility_30"), ("spy_vwap_gap", "spy_vwap_gap"), ("sector_signed_breadth", "breadth"), ("bullish_cluster_fraction", "bu"), ("bearish_cluster_fraction", "be"), ("bullish_edge_weight_fraction", "eb"), ("bearish_edge_weight_fraction", "er"), ("USO_return_5", "u5"), ("USO_vwap_gap", "ug"), ("TNX_change_5_bps", "c5"), ("TNX_change_from_open_bps", "c0")])} from w),
+    a1 as (select session_date, minute::bigint as minute, ['XLK', 'XLF', 'XLY', 'XLP', 'XLE', 'XLU', 'XLV', 'XLI', 'XLB', 'XLRE', 'XLC'][substr(symbol, 2)::int + 1] || '_' || unnest(['return_5', 'vwap_gap']) feature, round(unnest([return_5, vwap_gap]) + 1e-9, 6) + 0.0 as value from states where symbol <= 'S10'),
+    a2 as (select session_date, minute::bigint as minute, case macro when 'S11' then 'USO' else 'TNX' end || '_' || unnest(['sector_alignment', 'sector_propagated_pressure']) feature, round(unnest([al, pr]) + 1e-9, 6) + 0.0 as value from it)
+    select * from a0 union all select * from a1 union all select * from a2"""
+
+
+@query(STATIC + MACRO_ROWS)
+def features_interaction(spark, d):
+    """All 39 features in long form; the tape's symbols take the sectors' names."""
+    keys = ["session_date", "minute"]
+    s = states(spark, d)
+    sectors = s.where(SECTORS)
+    name = F.element_at(F.array(*map(F.lit, N.SECTORS)), F.substring("symbol", 2, 2).cast("int") + 1)
+    nodes = sectors.where("sign <> 0").select(*keys, "sign", F.col("symbol").alias("node"))
+    ends = [nodes.withColumnRenamed("node", c) for c in "ab"]
+    same = ends[0].join(graph(spark).select("a", "b"), "a").join(ends[1], [*keys, "sign", "b"])
+    clusters = N.largest_clusters(N.components(nodes, same, [*keys, "sign"]), [*keys, "sign"])
+    weights = N.edge_participation(graph(spark), sectors.select(*keys, F.lit("g").alias("graph_id"), F.col("symbol").alias("node"), "sign"), keys)
+    base = R.features_35(_core(spark, d), sectors.withColumn("symbol", name), clusters, weights, s.where("symbol = 'S11'"), N.rates_node(X.bars(spark, d, X.DENSE).where("symbol = 'S12'")))
+    p = N.interactions(macro_links(spark), s.select(*keys, F.col("symbol").alias("node"), "sign"), keys).where("alignment is not null")
+    return rounded(R.features_39(base, p.withColumn("macro", F.when(F.col("macro") == "S11", "USO").otherwise("TNX"))))

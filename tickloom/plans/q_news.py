@@ -144,3 +144,8 @@ def canonical_urls(spark, d):
 def snapshot_checks(spark, d):
     rows = X.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("title"), F.lit("2026-01-01").cast("timestamp").alias("published_at"), F.lit("2026-01-01").cast("timestamp").alias("received_at"))
     return N.snapshot_problems(rows).select("doc_id", "problem")
+
+
+@query(f"with {ARTICLES}, cut as (select max(published_at) - interval 30 day c from arts) select article_id from arts, cut where published_at <= c and coalesce(received_at <= c, true) and coalesce(first_observed_at <= c, true)")
+def news_availability(spark, d):
+    return N.available(articles(spark, d), _cut(spark, d)).select("article_id")

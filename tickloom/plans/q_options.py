@@ -191,3 +191,14 @@ def premium_money(spark, d):
 def option_validity(spark, d):
     q = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 4 == 0, "X").otherwise("CALL").alias("right"), (F.col("l_quantity") - 3).alias("strike"), F.lit("2026-01-05").cast("date").alias("expiration"), (F.col("l_extendedprice") / 1000 - 5).alias("bid"), (F.col("l_extendedprice") / 1000 - 5 + F.col("l_discount") - 0.02).alias("ask"))
     return q.select("l_orderkey", "l_linenumber", "l_partkey", C.valid_option().alias("valid"))
+
+
+@query(LATEST + """, n as (select session_date, max(ts) spot_ts from latest group by all), oi as (select session_date, root, expiration, strike, "right", max(oi_ts) t, max(open_interest) o from chain where l_linenumber = 1 group by all)
+    select l.session_date, l.strike, l."right", case when abs(date_diff('second', greeks_ts, ts)) <= 60 and abs(date_diff('second', underlying_ts, ts)) <= 60 then gamma end gamma, case when oi.t <= l.ts then oi.o end open_interest from latest l join n using (session_date) left join oi on oi.expiration = l.expiration and oi.strike = l.strike and oi."right" = l."right" where date_diff('second', ts, spot_ts) <= 1200""")
+def snapshot(spark, d):
+    """Latest contracts near the spot's time, with coherent greeks and known interest."""
+    c = chain(spark, d)
+    oi = c.where("l_linenumber = 1").groupBy(*H.CONTRACT).agg(F.max("oi_ts").alias("oi_ts"), F.max("open_interest").alias("open_interest"))
+    q = H.latest_per_contract(c, "session_date").drop("open_interest", "oi_ts")
+    near = H.near_spot(q, q.groupBy("session_date").agg(F.max("ts").alias("spot_ts")), "session_date", seconds=1200)
+    return H.assembled(near, oi).select("session_date", "strike", "right", "gamma", "open_interest")

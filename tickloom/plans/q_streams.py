@@ -104,3 +104,15 @@ def stream_replay(spark, d):
     stream = S.landed(spark, f"{path}/archive", schema, 1).groupBy("day").count()
     out = S.finished(stream, f"{path}/run", "update")
     return out.agg(F.count_distinct("day").alias("steps"), F.sum("count").alias("rows"))
+
+
+@query()
+def stream_ema(spark, d):
+    """EMA and confirmed retests kept as state over batches; tests compare the EMA with the batch fold."""
+    from ..operators import bars as B
+
+    path = shared_dir(spark)
+    t = B.ten_minute(X.bars(spark, d, X.DENSE))
+    t.where("complete").select("symbol", F.col("bucket").alias("seq"), "bucket", "high", "low", "close", "complete").write.parquet(f"{path}/buckets")
+    stream = S.landed(spark, f"{path}/buckets", spark.read.parquet(f"{path}/buckets").schema)
+    return rounded(S.finished(S.ema_states(stream), f"{path}/run", "update").drop("epoch"))

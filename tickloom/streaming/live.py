@@ -80,6 +80,57 @@ def reversal_warnings(samples: DataFrame) -> DataFrame:
     return samples.groupBy("scope").applyInPandasWithState(f, f"scope string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def ema_step(state: tuple | None, b: tuple) -> tuple:
+    """One ten-minute bucket (bucket, high, low, close, complete) for the EMA and its open episode on either side, in plain Python.
+
+    state: (ema, seeds, prev_close, prev_ema, watching_bull, watching_bear, confirmed_bull, confirmed_bear, confirmations), the bucket in which each began or -1.
+    """
+    ema, seeds, pc, pe, wu, wd, cu, cd, n = state or (None, [], None, None, -1, -1, -1, -1, 0)
+    bucket, high, low, close, complete = b
+    if not complete:
+        return (None, [], None, None, -1, -1, -1, -1, n)
+    if ema is not None:
+        new = ema + 2 / 9 * (close - ema)
+    else:
+        seeds = [*seeds, close]
+        new = sum(seeds) / 8 if len(seeds) == 8 else None
+        seeds = [] if new is not None else seeds
+    if new is not None and pe is not None:
+        bull, bear = pc <= pe and close > new, pc >= pe and close < new
+        cu, cd = (-1 if cu >= 0 and close < new else cu), (-1 if cd >= 0 and close > new else cd)
+        for up in (True, False):
+            began = wu if up else wd
+            if began < 0:
+                continue
+            k, right = bucket - began, close > new if up else close < new
+            done = bear if up else bull
+            hit = not done and 1 <= k <= 3 and low <= pe <= high and right
+            if hit:
+                n += 1
+                cu, cd = (bucket, cd) if up else (cu, bucket)
+            if done or hit or k >= 3:
+                wu, wd = (-1, wd) if up else (wu, -1)
+        if bull and wu < 0 and cu < 0:
+            wu = bucket
+        if bear and wd < 0 and cd < 0:
+            wd = bucket
+    return (new, seeds, close, new, wu, wd, cu, cd, n)
+
+
+def ema_states(buckets: DataFrame) -> DataFrame:
+    """buckets (symbol, seq, bucket, high, low, close, complete): each symbol's EMA and count of confirmed retests after every batch, the state kept over batches."""
+    shape = "ema double, seeds array<double>, prev_close double, prev_ema double, watching_bull int, watching_bear int, confirmed_bull int, confirmed_bear int, confirmations int"
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = tuple(state.get) if state.exists else None
+        for row in pd.concat(list(parts)).sort_values("seq")[["bucket", "high", "low", "close", "complete"]].itertuples(index=False):
+            now = ema_step(now, (int(row.bucket), float(row.high), float(row.low), float(row.close), bool(row.complete)))
+        state.update(now)
+        yield pd.DataFrame([(k[0], now[0], now[8])], columns=["symbol", "ema", "confirmations"])
+
+    return buckets.groupBy("symbol").applyInPandasWithState(run, "symbol string, ema double, confirmations int", shape, "update", GroupStateTimeout.NoTimeout)
+
+
 def running_baseline(points: DataFrame, lookback: int = 60, least: int = 5) -> DataFrame:
     """points (symbol, minute, extrinsic, valid): z of each valid point in its unbroken run, over batches; state is the run's last values."""
 
