@@ -66,7 +66,7 @@ def test_mixing_meets_its_rates(spark):
     got = {r.source: r["count"] for r in mixing.mix(spark, df, w).groupBy("source").count().collect()}
     assert abs(got["big"] - 5000) < 300 and abs(got["mid"] - 10000) < 400 and abs(got["tiny"] - 5000) < 300 and None not in got
     again = mixing.mix(spark, df.repartition(7), w)
-    assert again.columns == [*df.columns, "_copies", "_copy", "_order"] and again.count() == sum(got.values())
+    assert again.columns == [*df.columns, "_mix_copies", "_mix_copy", "_mix_order"] and again.count() == sum(got.values())
     assert mixing.mix(spark, df.where("false"), w).count() == 0
     one = mixing.mix(spark, spark.createDataFrame([(1, None, None), (None, None, "y")], "doc_id long, source string, text string"), total=300.0)
     assert {r.doc_id for r in one.collect()} == {1, None} and abs(one.count() - 600) < 120

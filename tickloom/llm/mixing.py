@@ -49,18 +49,18 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None, total: float = 1.0) -> DataFrame:
-    """All columns of docs, and _copy (from 1), _copies and _order (the shuffle key) for each copy of each document; dealt and sorted by _order.
+    """All columns of docs, and _mix_copy (from 1), _mix_copies and _mix_order (the shuffle key) for each copy of each document; dealt and sorted by _mix_order.
 
     A document of rate r occurs a Poisson-distributed number of times with mean r, always the same for its doc_id and the seed. Rows
     with the same doc_id occur equally often; a null doc_id counts as the text "null". Extra columns pass through unchanged. An empty
     table gives an empty result. A hot source is no hot task: its rows are only counted, after combining in each task.
     """
-    rate = rates(docs.select("source"), weights, total).withColumnsRenamed({"source": "_source", "rate": "_rate"})
+    rate = rates(docs.select("source"), weights, total).withColumnsRenamed({"source": "_mix_source", "rate": "_mix_rate"})
     if rate.count() <= BROADCAST_SOURCES:
         rate = F.broadcast(rate)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.join(rate, docs["source"].eqNullSafe(rate["_source"])) if not docs.isEmpty() else docs.withColumns({"_source": F.lit(None), "_rate": F.lit(0.0)})
-    rows = rows.withColumn("_copies", copies(F.col("_rate"), key)).where("_copies > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    rows = rows.withColumn("_order", F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(SEED)), key, F.col("_copy").cast("string"))))
-    return rows.drop("_source", "_rate").repartition("_order").sortWithinPartitions("_order")
+    rows = docs.join(rate, docs["source"].eqNullSafe(rate["_mix_source"])) if not docs.isEmpty() else docs.withColumns({"_mix_source": F.lit(None), "_mix_rate": F.lit(0.0)})
+    rows = rows.withColumn("_mix_copies", copies(F.col("_mix_rate"), key)).where("_mix_copies > 0")
+    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    rows = rows.withColumn("_mix_order", F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(SEED)), key, F.col("_mix_copy").cast("string"))))
+    return rows.drop("_mix_source", "_mix_rate").repartition("_mix_order").sortWithinPartitions("_mix_order")

@@ -37,7 +37,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.col("_copy").cast("long").alias("copy_no"), F.col("_copies").cast("long").alias("n_copies"), F.col("_order").alias("mix_order"), "text")
+    return mixed.select("doc_id", "source", F.col("_mix_copy").cast("long").alias("copy_no"), F.col("_mix_copies").cast("long").alias("n_copies"), F.col("_mix_order").alias("mix_order"), "text")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
