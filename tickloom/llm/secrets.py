@@ -17,6 +17,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "entropy")
+#: Windows of a string that slide as one piece.
+STRETCH = 1024
 
 
 @dataclass(frozen=True)
@@ -35,36 +37,37 @@ ALLOWED = (r"(.)\1*", r"(..)\1+", r"[0-9]+", r"(?i:.*(example|sample|placeholder
 
 
 def window_entropies(strings: list[str], window: int) -> list[np.ndarray]:
-    """Bits of each window of each string. All strings slide together: counts change by the character that leaves and the one that enters."""
-    order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
-    out: list[np.ndarray] = [np.zeros(0)] * len(strings)
-    for k in range(0, len(order), 512):
-        part = order[k : k + 512]
-        n = np.array([len(strings[i]) for i in part])
-        codes = [np.frombuffer(strings[i].encode("latin-1"), np.uint8) for i in part]
+    """Bits of each window of each string. All slide together, long ones in overlapping pieces: counts change by the character that leaves and the one that enters."""
+    pieces = [(i, s[k : k + STRETCH + window - 1]) for i, s in enumerate(strings) for k in range(0, max(1, len(s) - window + 1), STRETCH)]
+    out: list[list[np.ndarray]] = [[] for _ in strings]
+    for k in range(0, len(pieces), 512):
+        part = pieces[k : k + 512]
+        n = np.array([len(s) for _, s in part])
+        codes = np.zeros((len(part), int(n.max())), np.uint8)
+        for row, (_, s) in enumerate(part):
+            codes[row, : len(s)] = np.frombuffer(s.encode("latin-1"), np.uint8)
+        order = np.argsort(-n, kind="stable")
+        codes, longest = codes[order], n[order]
+        rows = np.arange(len(part))
         counts = np.zeros((len(part), 256), np.int32)
-        for row, c in enumerate(codes):
-            counts[row] = np.bincount(c[:window], minlength=256)
+        for at in range(window):
+            counts[rows, codes[:, at]] += 1
         term = np.zeros(window + 1)
         term[1:] = np.arange(1, window + 1) * np.log2(np.arange(1, window + 1))
-        total = term[counts].sum(1)
-        kept = [[t] for t in total]
-        for at in range(window, int(n[0])):
-            live = int(np.searchsorted(-n, -at, side="left"))  # the longest come first
-            rows = np.arange(live)
-            gone = np.fromiter((codes[r][at - window] for r in range(live)), np.intp, live)
-            new = np.fromiter((codes[r][at] for r in range(live)), np.intp, live)
-            before = counts[rows, gone]
-            total[:live] += term[before - 1] - term[before]
-            counts[rows, gone] -= 1
-            before = counts[rows, new]
-            total[:live] += term[before + 1] - term[before]
-            counts[rows, new] += 1
-            for r in range(live):
-                kept[r].append(total[r])
-        for r, i in enumerate(part):
-            out[i] = np.log2(window) - np.array(kept[r]) / window
-    return out
+        totals = np.zeros((len(part), codes.shape[1] - window + 1))
+        totals[:, 0] = total = term[counts].sum(1)
+        for at in range(window, codes.shape[1]):
+            live = rows[: int(np.searchsorted(-longest, -at, side="left"))]  # the longest come first
+            for column, change in ((codes[live, at - window], -1), (codes[live, at], 1)):
+                before = counts[live, column]
+                total[live] += term[before + change] - term[before]
+                counts[live, column] += change
+            totals[live, at - window + 1] = total[live]
+        bits = np.log2(window) - totals / window
+        for place in np.argsort(order, kind="stable"):
+            i, s = part[order[place]]
+            out[i].append(bits[place, : len(s) - window + 1])
+    return [np.concatenate(x) for x in out]
 
 
 def candidates(text: str, cls: CharClass) -> Iterator[tuple[int, int]]:
