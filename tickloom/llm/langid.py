@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Bound of the training sample: rows of each language, and bytes of its dictionary.
 SAMPLE_ROWS = 400
 DICTIONARY_BYTES = 64 << 10
+#: Languages that are learned at most, the most frequent first.
+LANGUAGES = 200
 #: Texts are compressed in pieces of this many bytes, each beginning at the dictionary anew, so that long texts don't become their own dictionary.
 PIECE = 4 << 10
 #: Search effort: short matches of at least four bytes, as words of one language share few long ones.
@@ -31,18 +33,24 @@ def plain(text: str) -> bytes:
 
 
 def dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Language to dictionary, from the bounded sample of rows that come first by a hash of their text. Rows without text or lang don't count.
+    """Language to dictionary, from a bounded sample: the rows whose text has the smallest hashes, equal texts once. Rows without text or lang don't count.
 
-    Sample rows are cut to size bytes of text each, so the driver gets at most rows * size for each language.
+    Only rows whose hash is under about twice the sample's share are moved, so no task gets a language as a whole, and the driver gets
+    about 2 * rows texts of size / 16 characters for each of at most LANGUAGES languages.
     """
-    from pyspark.sql import Window
-
     some = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, size // 16).alias("text"), F.xxhash64("text").alias("h"))
-    first = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("at") <= rows)
+    counts = some.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("texts"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * rows / max(1, r["texts"])))])
+    near = some.where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.try_element_at(share, F.col("lang")))
+    found = near.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     out: dict[str, bytes] = {}
-    for r in first.orderBy("lang", "at").select("lang", "text").toLocalIterator():
-        if len(out.setdefault(r.lang, b"")) < size:
-            out[r.lang] += plain(r.text)
+    taken: dict[str, int] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["h"])):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= rows and len(out.setdefault(r["lang"], b"")) < size:
+            out[r["lang"]] += plain(r["text"])
     return {k: v[:size] for k, v in out.items() if v}
 
 
