@@ -1,6 +1,6 @@
-"""Headlines: macro rules, issuer mentions, company cues, routes, corrections, freshness and context. Rules are tables, matched by broadcast.
+"""Headlines: macro rules, issuer mentions, company cues, routes, corrections, freshness and context. Rules are tables, whose rows become literal patterns.
 
-The rule tables hold a few dozen rows, so every broadcast here has a fixed bound.
+The rule and route tables hold a few dozen rows, so every broadcast here has a fixed bound.
 """
 
 from __future__ import annotations
@@ -18,21 +18,39 @@ def _plain(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(title, DASHES, "-"), "’", "'")
 
 
+#: Rows of a rule or issuer table that are turned into expressions.
+MOST_RULES = 1000
+
+
+def _rows(table: DataFrame) -> list:
+    """A rule table as literals, so that each pattern is compiled once for a task and not for each row."""
+    rows = table.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a rule table may have {MOST_RULES} rows")
+    return rows
+
+
+def _hits(rows: DataFrame, text: str, rules: DataFrame) -> DataFrame:
+    """rows for each rule whose pattern is in the text: adds nth, rule, direction and cue."""
+    found = [F.when(F.col(text).rlike(r["pattern"]), F.struct(F.lit(r["nth"]).alias("nth"), F.lit(r["rule"]).alias("rule"), F.lit(r["direction"]).alias("direction"), F.regexp_extract(text, r["pattern"], 0).alias("cue"))) for r in _rows(rules)]
+    out = rows.withColumn("_m", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return out.select(*rows.columns, "_m.nth", "_m.rule", "_m.direction", "_m.cue")
+
+
 def macro_cues(spark: SparkSession, headlines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(article_id, rule, direction, cue): for each rule the first clause that matches it. Long titles and questions have none, nor do hedged clauses."""
-    rules = F.broadcast(rules if rules is not None else R.rule_table(spark))
+    rules = rules if rules is not None else R.rule_table(spark)
     ok = headlines.where((F.length("title") <= LONGEST) & ~F.contains(F.col("title"), F.lit("?")))
     clauses = ok.select("article_id", F.posexplode(F.split(F.regexp_replace("title", DASHES, "-"), R.CLAUSES)).alias("at", "clause")).where(~F.col("clause").rlike("(?i)" + R.HEDGED))
-    hits = clauses.join(rules, F.expr("clause rlike pattern"))
-    return hits.groupBy("article_id", "rule", "direction", "nth").agg(F.min_by(F.expr("regexp_extract(clause, pattern, 0)"), "at").alias("cue")).drop("nth")
+    return _hits(clauses, "clause", rules).groupBy("article_id", "rule", "direction", "nth").agg(F.min_by("cue", "at").alias("cue")).drop("nth")
 
 
 def mentions(spark: SparkSession, texts: DataFrame, issuers: DataFrame | None = None) -> DataFrame:
     """texts (key, text): every issuer mention (key, ticker, sector, start, end, name), those inside a longer one of the same issuer left out."""
-    issuers = F.broadcast(issuers if issuers is not None else R.issuer_table(spark))
-    hits = texts.where(F.length("text") <= LONGEST).join(issuers, F.expr("text rlike pattern"))
+    issuers = issuers if issuers is not None else R.issuer_table(spark)
     # occurrence by occurrence: what precedes the n-th match is where the text splits
-    parts = hits.withColumn("found", F.expr("regexp_extract_all(text, pattern, 0)")).withColumn("between", F.expr("split(text, pattern, -1)"))
+    found = [F.when(F.col("text").rlike(r["pattern"]), F.struct(F.lit(r["ticker"]).alias("ticker"), F.lit(r["sector"]).alias("sector"), F.regexp_extract_all("text", F.lit(r["pattern"]), 0).alias("found"), F.split("text", r["pattern"], -1).alias("between"))) for r in _rows(issuers)]
+    parts = texts.where(F.length("text") <= LONGEST).select("key", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_m")).select("key", "_m.*")
     lengths = F.transform("found", lambda x: F.length(x))
     gaps = F.transform("between", lambda x: F.length(x))
     rows = parts.select("key", "ticker", "sector", F.posexplode("found").alias("n", "name"), lengths.alias("l"), gaps.alias("g"))
@@ -60,14 +78,14 @@ def company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
     about = F.col("next").isNotNull() & F.col("tail").rlike(r"(?i)\b(?:forecast|outlook|estimate|rating|price target)s?\b") & F.col("tail").rlike(r"(?i)\b(?:for|on|about|at)\s*$")
     rows = rows.where(~hedged & ~about)
     out = ["key", "rule", "direction", "ticker", "sector"]
-    by_tail = rows.join(F.broadcast(R.rule_table(spark, R.COMPANY)), F.expr("tail rlike pattern")).select(*out)
-    by_prefix = rows.join(F.broadcast(R.rule_table(spark, R.PREFIX)), F.expr("prefix rlike pattern")).where("rule <> 'company-export-restriction' or next is null").select(*out)
+    by_tail = _hits(rows, "tail", R.rule_table(spark, R.COMPANY)).select(*out)
+    by_prefix = _hits(rows, "prefix", R.rule_table(spark, R.PREFIX)).where("rule <> 'company-export-restriction' or next is null").select(*out)
     # clauses that name nobody
     bare = clauses.join(found.select("key").distinct(), "key", "left_anti").where(~F.col("text").rlike("(?i)" + R.COMPANY_HEDGED))
     single = mentions(spark, ok.select(F.struct("article_id", F.lit(-1).alias("at")).alias("key"), F.col("title").alias("text"))).groupBy(F.col("key.article_id").alias("article_id")).agg(F.count_distinct("ticker").alias("n"), F.first("ticker").alias("ticker"), F.first("sector").alias("sector")).where("n = 1")
     own = bare.where(F.col("text").rlike("(?i)" + R.OWN_CLAUSE)).withColumn("article_id", F.col("key.article_id")).join(single, "article_id").withColumn("tail", F.regexp_replace("text", r"(?i)^its\s+", ""))
-    by_own = own.join(F.broadcast(R.rule_table(spark, R.COMPANY)), F.expr("tail rlike pattern")).select(*out)
-    industry = bare.join(F.broadcast(R.rule_table(spark, R.INDUSTRY)), F.expr("text rlike pattern")).select("key", "rule", "direction", F.lit(None).cast("string").alias("ticker"), F.lit("XLK").alias("sector"))
+    by_own = _hits(own, "tail", R.rule_table(spark, R.COMPANY)).select(*out)
+    industry = _hits(bare, "text", R.rule_table(spark, R.INDUSTRY)).select("key", "rule", "direction", F.lit(None).cast("string").alias("ticker"), F.lit("XLK").alias("sector"))
     every = by_tail.unionByName(by_prefix).unionByName(by_own).withColumn("scope", F.lit("company")).unionByName(industry.withColumn("scope", F.lit("industry")))
     return every.select(F.col("key.article_id").alias("article_id"), "rule", "direction", "ticker", "sector", "scope").distinct()
 
