@@ -30,6 +30,8 @@ BUCKET, RECALL = 64, 0.96
 CHUNK = 4096
 #: Rows of small buckets that are compared in one go.
 TOGETHER = 1024
+#: Large buckets whose sizes are broadcast; beyond, the join is left to Spark.
+BROADCAST_BUCKETS = 100_000
 
 
 _made: dict[tuple[int, int], np.ndarray] = {}
@@ -139,11 +141,17 @@ def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOL
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(keys_of(unit, t, width) * 4096 + n % 4096), pa.array(np.full(len(rows), t, np.int32)), part.column(0), part.column(1), data, code, pa.array(factors)], ["key", "tab", "rep", "members", "data", "code", "factor"])
 
-    keyed = classes.select("rep", "members", "embedding").mapInArrow(dealt, "key long, tab int, rep long, members long, data binary, code binary, factor double")
-    keyed = keyed.withColumn("key", F.xxhash64("key", "tab"))
-    keyed = stored(spark, keyed, f"{folder}/keyed")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in dealt(batches):
+            yield batch.select(["key", "tab"])
+
+    vecs = classes.select("rep", "members", "embedding")
+    keyed = vecs.mapInArrow(dealt, "key long, tab int, rep long, members long, data binary, code binary, factor double").withColumn("key", F.xxhash64("key", "tab"))
+    # sizes come from the keys alone, so that vectors are shuffled once; only buckets over a chunk are looked up
+    large = vecs.mapInArrow(buckets, "key long, tab int").groupBy(F.xxhash64("key", "tab").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    large = stored(spark, large, f"{folder}/large")
+    keyed = keyed.join(F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large, "key", "left")
+    keyed = keyed.withColumn("chunks", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
     keyed = keyed.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
     keyed = keyed.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)).withColumn("key", F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", lo, hi)))
