@@ -45,12 +45,18 @@ def macro_cues(spark: SparkSession, headlines: DataFrame, rules: DataFrame | Non
     return _hits(clauses, "clause", rules).groupBy("article_id", "rule", "direction", "nth").agg(F.min_by("cue", "at").alias("cue")).drop("nth")
 
 
+def _hinted(row) -> Column:
+    """An issuer row's hint: lower-case letters that any match must hold. Looking for them is much cheaper than the pattern."""
+    return F.contains(F.col("_low"), F.lit(row["hint"])) if "hint" in row.asDict() else F.lit(True)
+
+
 def mentions(spark: SparkSession, texts: DataFrame, issuers: DataFrame | None = None) -> DataFrame:
     """texts (key, text): every issuer mention (key, ticker, sector, start, end, name), those inside a longer one of the same issuer left out."""
     issuers = issuers if issuers is not None else R.issuer_table(spark)
     # occurrence by occurrence: what precedes the n-th match is where the text splits
-    found = [F.when(F.col("text").rlike(r["pattern"]), F.struct(F.lit(r["ticker"]).alias("ticker"), F.lit(r["sector"]).alias("sector"), F.regexp_extract_all("text", F.lit(r["pattern"]), 0).alias("found"), F.split("text", r["pattern"], -1).alias("between"))) for r in _rows(issuers)]
-    parts = texts.where(F.length("text") <= LONGEST).select("key", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_m")).select("key", "_m.*")
+    found = [F.when(_hinted(r) & F.col("text").rlike(r["pattern"]), F.struct(F.lit(r["ticker"]).alias("ticker"), F.lit(r["sector"]).alias("sector"), F.regexp_extract_all("text", F.lit(r["pattern"]), 0).alias("found"), F.split("text", r["pattern"], -1).alias("between"))) for r in _rows(issuers)]
+    low = texts.where(F.length("text") <= LONGEST).withColumn("_low", F.lower("text"))
+    parts = low.select("key", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_m")).select("key", "_m.*")
     lengths = F.transform("found", lambda x: F.length(x))
     gaps = F.transform("between", lambda x: F.length(x))
     rows = parts.select("key", "ticker", "sector", F.posexplode("found").alias("n", "name"), lengths.alias("l"), gaps.alias("g"))

@@ -114,10 +114,10 @@ def rule_table(spark: SparkSession, rules=MACRO) -> DataFrame:
 def issuer_table(spark: SparkSession) -> DataFrame:
     rows = []
     for ticker, sector, aliases in ISSUERS:
-        names = [rf"\Q{a}\E" for a in aliases] + [rf"(?:\$|(?:NASDAQ|NYSE|AMEX)\s*:\s*)\Q{ticker}\E"]
+        names = [(rf"\Q{a}\E", a.lower()) for a in aliases] + [(rf"(?:\$|(?:NASDAQ|NYSE|AMEX)\s*:\s*)\Q{ticker}\E", ticker.lower())]
         stop = f"(?!{FALSE_FRIENDS[ticker]})" if ticker in FALSE_FRIENDS else ""
-        rows += [(ticker, sector, rf"(?i)(?<![A-Za-z0-9])(?:{n})(?![A-Za-z0-9]){stop}") for n in names]
-    return spark.createDataFrame(rows, "ticker string, sector string, pattern string")
+        rows += [(ticker, sector, rf"(?i)(?<![A-Za-z0-9])(?:{n})(?![A-Za-z0-9]){stop}", hint) for n, hint in names]
+    return spark.createDataFrame(rows, "ticker string, sector string, pattern string, hint string")
 
 
 def route_table(spark: SparkSession) -> DataFrame:
