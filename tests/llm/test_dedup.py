@@ -84,8 +84,10 @@ def test_carry_save_counts_any_radius():
     planes = simhash.planes_of(fps)
     for radius in (0, 1, 2, 3, 5, 7, 12):
         for q in (0, 7, 150):
-            mask = simhash.within(((p ^ (~np.uint64(0) if int(fps[q]) >> b & 1 else np.uint64(0))) for b, p in enumerate(planes)), radius)
+            mask = simhash.near(planes, int(fps[q]), radius)
             assert (simhash._lanes(mask, 300) == (np.bitwise_count(fps ^ fps[q]) <= radius)).all()
+        for by in (1, 5, 63):
+            assert (simhash._lanes(simhash.near_shifted(planes, by, radius), 300 - by) == (np.bitwise_count(fps[:-by] ^ fps[by:]) <= radius)).all()
 
 
 @pytest.mark.parametrize("chunk", [8192, 7])

@@ -8,7 +8,7 @@ carry-save counters add up the differing planes, and a block ends early once all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -80,37 +80,49 @@ def planes_of(fps: np.ndarray, bits: int = 64) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(rows.T), axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def within(differing: Iterator[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes in which at most radius of the given planes are set; carry-save counters, ended early once no lane is left."""
-    counters: list[np.ndarray] = []
-    over: np.ndarray | None = None
-    for k, carry in enumerate(differing):
-        if over is None:
-            counters, over = [np.zeros_like(carry) for _ in range(radius.bit_length())], np.zeros_like(carry)
+def within(fetch: Callable[[int, np.ndarray], np.ndarray], words: int, radius: int, bits: int = 64) -> np.ndarray:
+    """Lanes in which at most radius of the planes are set. fetch(b, at): plane b, of the words whose places are in at.
+
+    Carry-save counters add the planes up; a word, a block of 64 lanes, is abandoned once all its lanes are over the radius.
+    """
+    at = np.arange(words)
+    counters, over = [np.zeros(words, np.uint64) for _ in range(radius.bit_length())], np.zeros(words, np.uint64)
+    for b in range(bits):
+        carry = fetch(b, at)
         for i, c in enumerate(counters):
             counters[i], carry = c ^ carry, c & carry
         over |= carry
-        if k % 8 == 7:
-            if (over == ~np.uint64(0)).all():
-                return np.zeros_like(over)
-    more, equal = over.copy(), ~over
+        if b % 8 == 7:
+            alive = over != ~np.uint64(0)
+            if not alive.all():
+                at, over, counters = at[alive], over[alive], [c[alive] for c in counters]
+                if not len(at):
+                    break
+    more, equal = over, ~over
     for i in reversed(range(len(counters))):  # the counters against the radius, from the top bit
         if radius >> i & 1:
             equal &= counters[i]
         else:
             more |= equal & counters[i]
             equal &= ~counters[i]
-    return ~more
+    out = np.zeros(words, np.uint64)
+    out[at] = ~more
+    return out
 
 
-def _lanes(mask: np.ndarray, n: int) -> np.ndarray:
-    return np.unpackbits(mask.astype("<u8").view(np.uint8), bitorder="little")[:n].astype(bool)
+def near(planes: np.ndarray, fp: int, radius: int) -> np.ndarray:
+    """Lanes within radius of one fingerprint."""
+    return within(lambda b, at: planes[b, at] ^ (~np.uint64(0) if fp >> b & 1 else np.uint64(0)), planes.shape[1], radius)
 
 
-def _shifted(plane: np.ndarray, by: int) -> np.ndarray:
-    """Lane i gets lane i + by, for by under 64."""
-    nxt = np.append(plane[1:], np.uint64(0))
-    return (plane >> np.uint64(by)) | (nxt << np.uint64(64 - by))
+def near_shifted(planes: np.ndarray, by: int, radius: int) -> np.ndarray:
+    """Lanes i within radius of lane i + by, for by under 64."""
+    padded = np.concatenate([planes, np.zeros((len(planes), 1), np.uint64)], axis=1)
+    return within(lambda b, at: padded[b, at] ^ ((padded[b, at] >> np.uint64(by)) | (padded[b, at + 1] << np.uint64(64 - by))), planes.shape[1], radius)
+
+
+def _lanes(mask: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(mask.astype("<u8").view(np.uint8), bitorder="little")[:n].astype(bool)
 
 
 def _small_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +130,10 @@ def _small_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
     left, right, k = [], [], 1
     places = np.arange(len(fps))
     while len(places) > k:
-        near = keys[places[:-k]] == keys[places[k:]]
-        if not near.any():
+        same = keys[places[:-k]] == keys[places[k:]]
+        if not same.any():
             break
-        planes = planes_of(fps[places])
-        close = _lanes(within((p ^ _shifted(p, k) for p in planes), radius), len(places))[: len(near)] & near
+        close = _lanes(near_shifted(planes_of(fps[places]), k, radius), len(places))[: len(same)] & same
         left.append(places[:-k][close])
         right.append(places[k:][close])
         k += 1
@@ -138,7 +149,7 @@ def _large_links(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
         alive = np.ones(len(rest), bool)
         while queue and len(rest):
             at = queue.pop()
-            close = alive & _lanes(within(((p ^ (~np.uint64(0) if int(fps[at]) >> b & 1 else np.uint64(0))) for b, p in enumerate(planes)), radius), len(rest))
+            close = alive & _lanes(near(planes, int(fps[at]), radius), len(rest))
             for x in rest[close].tolist():
                 yield at, x
                 queue.append(x)
