@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import sha256_hex
 
 #: Words that a task remembers; it starts anew beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: New words that one index holds; lists of this size stay in the processor's cache.
 BLOCK = 2_000
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
@@ -139,16 +139,16 @@ def words_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Remembers the words of one partition: the bytes of their ids, and their decoded text."""
+    """Remembers the ids of the words of one partition, as bytes."""
 
     def __init__(self, v: Vocabulary):
         self.v, self.special = v, re.compile("(" + "|".join(re.escape(s) for s in sorted(v.special, key=len, reverse=True)) + ")") if v.special else None
+        self.token = [v.tokens.get(i, "") for i in range(max(v.tokens) + 1)]
         self.forget()
 
     def forget(self) -> None:
         """Special tokens stay known; a word can't be equal to one, as the pattern cuts those."""
         self.ids = {s: i.to_bytes(4, "little") for s, i in self.v.special.items()}
-        self.decoded = {s: s for s in self.v.special}
 
     def split(self, text: str) -> list[str]:
         if self.special is None or not any(s in text for s in self.v.special):
@@ -166,9 +166,12 @@ class Encoder:
             block = new[k : k + BLOCK]
             for w, ids in zip(block, encode_words(block, self.v), strict=True):
                 self.ids[w] = np.array(ids, "<u4").tobytes()
-                self.decoded[w] = " ".join(map(self.v.tokens.__getitem__, ids))
         for words in split:
-            yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))
+            ids = b"".join(map(self.ids.__getitem__, words))
+            yield ids, self.decode(ids)
+
+    def decode(self, ids: bytes) -> str:
+        return " ".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
