@@ -18,7 +18,7 @@ LEAST = 0.1
 SECTORS = "symbol <= 'S10'"
 
 STATES = X.bars_sql(X.DENSE) + f""", g as (select *, case when count(*) over w = minute - 569 and sum(volume) over w > 0 then sum((high + low + close) / 3 * volume) over w / sum(volume) over w end sv,
-    case when minute - lag(minute) over o = 1 then close / lag(close) over o - 1 end return_1, case when minute - lag(minute, 5) over o = 5 then close / lag(close, 5) over o - 1 end return_5 from bars window w as ({P} rows unbounded preceding), o as ({P})),
+    case when minute - lag(minute) over o = 1 then close / lag(close) over o - 1 end return_1, close / max(close) over r5 - 1 return_5 from bars window w as ({P} rows unbounded preceding), o as ({P}), r5 as ({P} range between 5 preceding and 5 preceding)),
     states as (select *, close / sv - 1 vwap_gap, case when return_5 > 0 and close / sv - 1 > 0 then 1 when return_5 < 0 and close / sv - 1 < 0 then -1 else 0 end sg from g)"""
 PAIRS = STATES + """, pj as (select a.session_date, a.minute, a.symbol a, b.symbol b, a.return_1 ra, b.return_1 rb, a.sg sa, b.sg sb from states a join states b on a.session_date = b.session_date and a.minute = b.minute and a.symbol < b.symbol where a.symbol <= 'S10' and b.symbol <= 'S10'),
     pairs as (select *, case when count(ra + rb) over w = 60 then corr(ra, rb) over w end r from pj window w as (partition by session_date, a, b order by minute range between 59 preceding and current row))"""
@@ -61,10 +61,10 @@ def same_sign_components(spark, d):
 
 
 @query(CLUSTERS + f""", sz as (select session_date, minute, sg, label, count(*) n from lab group by all), big as (select session_date, minute, sg, max(n) n from sz group by all),
-    s as (select session_date, minute, count(*) filter (sv is not null) eligible, sum(sg) ss, string_agg(case when sv is not null then symbol end, ',' order by symbol) st from states where symbol <= 'S10' group by all),
+    s as (select session_date, minute, count(*) filter (sv is not null) eligible, sum(sg) ss, coalesce(string_agg(case when sv is not null then symbol end, ',' order by symbol), '') st from states where symbol <= 'S10' group by all),
     c as (select session_date, minute, avg(r) mc from pairs group by all), k as (select session_date, minute, coalesce(max(n) filter (sg = 1), 0) bu, coalesce(max(n) filter (sg = -1), 0) be from big group by all),
     j as (select s.*, mc, coalesce(bu, 0) bu, coalesce(be, 0) be from s left join c using (session_date, minute) left join k using (session_date, minute)),
-    w as (select *, case when st = lag(st, 5) over o and minute - lag(minute, 5) over o = 5 then (bu - lag(bu, 5) over o) / 11 end g1, case when st = lag(st, 5) over o and minute - lag(minute, 5) over o = 5 then (be - lag(be, 5) over o) / 11 end g2 from j window o as (partition by session_date order by minute))
+    w as (select *, case when st = max(st) over o then (bu - max(bu) over o) / 11 end g1, case when st = max(st) over o then (be - max(be) over o) / 11 end g2 from j window o as (partition by session_date order by minute range between 5 preceding and 5 preceding))
     select session_date, minute::bigint as minute, eligible::bigint eligible, round(ss / 11 + 1e-9, 6) + 0.0 breadth, round(mc + 1e-9, 6) + 0.0 mean_correlation, bu::bigint bullish, be::bigint bearish, round(bu / 11 + 1e-9, 6) + 0.0 bullish_fraction, round(be / 11 + 1e-9, 6) + 0.0 bearish_fraction, round(g1 + 1e-9, 6) + 0.0 bullish_growth_5, round(g2 + 1e-9, 6) + 0.0 bearish_growth_5,
     case when minute < 570 then 'premarket' when minute < 630 then 'warming' when eligible < 9 then 'unavailable' when bu >= 7 then 'bullish_coordinated' when be >= 7 then 'bearish_coordinated' when greatest(bu, be) <= 3 and abs(ss) <= 3 then 'dispersed' else 'unresolved' end status from w""")
 def network_summary(spark, d):
@@ -243,9 +243,8 @@ def _core(spark, d) -> DataFrame:
     return R.core_features(b.where("symbol = 'S01'"), b.where("symbol = 'S02'"))
 
 
-CORE = """r1 as (select session_date, minute, close / nullif(lag(close, 5) over o, 0) - 1 a5, minute - lag(minute, 5) over o d5, close / nullif(lag(close, 15) over o, 0) - 1 a15, minute - lag(minute, 15) over o d15, return_1 from states where symbol = 'S01' window o as (partition by session_date order by minute)),
-    core as (select r1.session_date, r1.minute, case when d5 = 5 then a5 end spx_return_5, case when d15 = 15 then a15 end spx_return_15, case when count(r1.return_1) over v = 30 then stddev_pop(r1.return_1) over v end spx_return_volatility_30, f.vwap_gap spy_vwap_gap from r1 join states f on f.symbol = 'S02' and f.session_date = r1.session_date and f.minute = r1.minute
-        window v as (partition by r1.session_date order by r1.minute range between 29 preceding and current row))"""
+CORE = """r1 as (select session_date, minute, close / max(close) over o5 - 1 a5, close / max(close) over o15 - 1 a15, case when count(return_1) over v = 30 then stddev_pop(return_1) over v end vol from states where symbol = 'S01' window o5 as (partition by session_date order by minute range between 5 preceding and 5 preceding), o15 as (partition by session_date order by minute range between 15 preceding and 15 preceding), v as (partition by session_date order by minute range between 29 preceding and current row)),
+    core as (select r1.session_date, r1.minute, a5 spx_return_5, a15 spx_return_15, vol spx_return_volatility_30, f.vwap_gap spy_vwap_gap from r1 join states f on f.symbol = 'S02' and f.session_date = r1.session_date and f.minute = r1.minute)"""
 BIG = """sz as (select session_date, minute, sg, label, count(*) n from lab group by all), big as (select session_date, minute, coalesce(max(n) filter (sg = 1), 0) / 11 bu, coalesce(max(n) filter (sg = -1), 0) / 11 be from sz group by all)"""
 
 
