@@ -61,7 +61,7 @@ def read_rss(spark, d):
     p = X.table(spark, d, "pages").where("page_id % 3 <> 0")
     t = F.timestamp_seconds(F.lit(1767225600) + F.col("page_id") * 37 % 86400)
     p.select(F.concat(F.lit("page "), F.col("page_id")).alias("title"), F.col("url").alias("link"), F.concat(F.date_format(t, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")).alias("pubDate")).write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
-    hosts = [r[0] for r in p.select(F.parse_url("url", F.lit("HOST")).alias("h")).where("h like '%.net'").distinct().limit(10_000).collect()]  # an allow-list is configuration, bounded here
+    hosts = p.select(F.parse_url("url", F.lit("HOST")).alias("host")).where("host like '%.net'").distinct()
     return I.rss(spark, path, hosts, 100).select("title", "link", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 

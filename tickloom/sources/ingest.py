@@ -41,13 +41,15 @@ def rate_csv(spark: SparkSession, path: str, series: str) -> DataFrame:
     return raw.select(F.lit(series).alias("series"), "date", number(F.when(F.col("value") != ".", F.col("value"))).alias("value")).where("date is not null and value is not null")
 
 
-def rss(spark: SparkSession, path: str, hosts: list[str], limit: int = 100) -> DataFrame:
-    """Items of feeds with an allowed https host and a time, newest first."""
+def rss(spark: SparkSession, path: str, hosts: DataFrame, limit: int = 100) -> DataFrame:
+    """Items of feeds with an allowed https host and a time, newest first. hosts (host) is a table of any size and joined; repeated and null hosts change nothing."""
     raw = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string").load(path)
     at = F.try_to_timestamp(F.regexp_replace(F.regexp_replace("pubDate", r"^\w+,\s*", ""), "GMT$", "+0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
     rows = raw.select(F.trim("title").alias("title"), "link", at.alias("published_at"))
-    ok = F.col("link").startswith("https://") & F.parse_url("link", F.lit("HOST")).isin(hosts) & F.col("published_at").isNotNull()
-    return rows.where(ok).orderBy(F.desc("published_at"), "link").limit(max(1, min(limit, 100)))
+    ok = F.col("link").startswith("https://") & F.col("published_at").isNotNull()
+    allowed = hosts.select(F.col("host").alias("_host"))
+    rows = rows.where(ok).join(allowed, F.parse_url("link", F.lit("HOST")) == F.col("_host"), "left_semi")
+    return rows.orderBy(F.desc("published_at"), "link").limit(max(1, min(limit, 100)))
 
 
 def option_json(spark: SparkSession, path: str) -> DataFrame:
