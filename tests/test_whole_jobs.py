@@ -2,6 +2,8 @@
 
 from tickloom.plans import catalogue
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_read_rss_allows_any_number_of_hosts(spark, tmp_path):
     pages = spark.sql("select id * 3 + 1 page_id, concat('https://h', id, '.net/x') url from range(12000) union all select id * 3 + 2, concat('https://h', id, '.org/x') from range(200)")
@@ -9,3 +11,12 @@ def test_read_rss_allows_any_number_of_hosts(spark, tmp_path):
     newest = sorted((-((3 * i + 1) * 37 % 86400), f"https://h{i}.net/x", f"page {3 * i + 1}") for i in range(12000))[:100]
     got = [(r.link, r.title) for r in catalogue.QUERIES["read_rss"](spark, str(tmp_path)).collect()]
     assert got == [(u, t) for _, u, t in newest]
+
+
+def test_sensitivity_band_has_every_line_with_a_gap(spark, tmp_path):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").limit(500)
+    lines.unionAll(lines.limit(7)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalogue.QUERIES["sensitivity_band"](spark, str(tmp_path)).collect()
+    want = [r for r in lines.collect() if r.l_partkey % 3 == 0 or r.l_suppkey % 4 == 0]
+    assert len(got) == len({r.row_id for r in got}) == len(want) and all(r.low <= r.high for r in got)
+    assert {int(r.row_id.split("-")[4]) for r in got} == {r.l_linenumber for r in want}

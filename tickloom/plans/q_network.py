@@ -198,10 +198,10 @@ def matrix_checks(spark, d):
     return R.matrix_report(m)
 
 
-def _observed(spark, d) -> DataFrame:
-    li = X.table(spark, d, "lineitem").where("l_linenumber = 1")
+def _observed(lines: DataFrame, *also: str) -> DataFrame:
+    """Lines as rows with missing values; also: further columns of row_id."""
     a, b = F.col("l_quantity") / 50, F.col("l_discount") * 10
-    return li.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").alias("row_id"), F.lit("v").alias("version_id"), F.array(a, F.when(F.col("l_partkey") % 3 == 0, F.lit(None)).otherwise(b), F.when(F.col("l_suppkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_tax") * 100 / 2)).alias("x"))
+    return lines.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", *also).alias("row_id"), F.lit("v").alias("version_id"), F.array(a, F.when(F.col("l_partkey") % 3 == 0, F.lit(None)).otherwise(b), F.when(F.col("l_suppkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_tax") * 100 / 2)).alias("x"))
 
 
 def _version(spark) -> DataFrame:
@@ -213,15 +213,16 @@ def _version(spark) -> DataFrame:
     select row_id, case when not far then round(e1 + 1e-9, 5) + 0.0 end first_estimate, case when not far then round(e2 + 1e-9, 5) + 0.0 end second_estimate from e""")
 def conditional_estimates(spark, d):
     """Missing values of three correlated measures from the others, checked against the closed form."""
-    got = I.conditioned(_observed(spark, d), _version(spark))
+    got = I.conditioned(_observed(X.table(spark, d, "lineitem").where("l_linenumber = 1")), _version(spark))  # as the SQL
     return rounded(got.select("row_id", F.try_element_at("estimates", F.lit(1)).alias("first_estimate"), F.try_element_at("estimates", F.lit(2)).alias("second_estimate")), 5)
 
 
 @query()
 def sensitivity_band(spark, d):
-    """64 saved draws for each estimate, scored, and their 10 % and 90 % quantiles."""
+    """64 saved draws for each estimate of every line, scored, and their 10 % and 90 % quantiles. Lines that are equal in key and values are one row."""
     draws = spark.range(64).select(F.col("id").cast("int").alias("draw_id"), F.array(*[F.sin(F.col("id") * 12.9898 + k) * 1.5 for k in range(4)]).alias("z"))
-    got = I.drawn(I.conditioned(_observed(spark, d), _version(spark)), draws)
+    rows = _observed(X.table(spark, d, "lineitem"), "l_linenumber", "l_quantity", "l_discount", "l_tax").distinct()
+    got = I.drawn(I.conditioned(rows, _version(spark)), draws)
     p = got.select("row_id", sigmoid(F.aggregate("values", F.lit(-0.2), lambda a, v: a + 0.4 * v)).alias("p"))
     return rounded(I.band(p, "row_id"))
 
