@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, langid, lsm, mixing, simhash
-from tickloom.llm.common import shared_dir, stored, table
+from tickloom.llm.common import not_null, shared_dir, stored, table
 from tickloom.llm.queries import held_out, vocabulary_path
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids, with their own columns in order."""
-    ids = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi").select(docs.columns)
+def _kept(spark: SparkSession, docs: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
+    """One row of docs, with its own columns in order, for each of keys (doc_id, digest, n). Where n says that several have a key, it is the one with the longest text, then the greatest."""
+    keys = stored(spark, keys.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "n"), f"{shared_dir(spark)}/kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), digest.alias("_text"))
+
+    def with_key(k: DataFrame, how: str) -> DataFrame:
+        return rows.join(k.drop("n"), rows["_row"]["doc_id"].eqNullSafe(k["_id"]) & (rows["_text"] == k["_digest"]), how)
+
+    out = with_key(keys.where("n = 1"), "left_semi").select("_row")
+    several = keys.where("n > 1")
+    if not several.isEmpty():
+        best = F.max(F.struct(F.length("_row.text").alias("n_points"), "_row"))
+        out = out.unionByName(with_key(several, "inner").groupBy("_id", "_digest").agg(best.alias("_best")).select(F.col("_best._row").alias("_row")))
+    return out.select("_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +34,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space one document stays."""
-    return _kept(docs, lsm.exact_groups(spark, docs).where("kept"))
+    groups = lsm.exact_groups(spark, docs).where("kept")
+    return _kept(spark, docs, lsm.digest(lsm.without_spaces(not_null())), groups.groupBy("doc_id", "digest").agg(F.count("*").alias("n")))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return _kept(docs, simhash.simhash_components(spark, docs).where("doc_id <=> component_id"))
+    """Of each group of near-duplicates one row stays, that with the smallest doc_id."""
+    digest = F.sha2(not_null(), 256)
+    return _kept(spark, docs, digest, simhash.one_of_each(spark, docs, digest))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

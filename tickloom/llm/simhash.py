@@ -57,15 +57,17 @@ def _majority(hashes: np.ndarray) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row of docs; a null text counts as no words."""
+def fingerprints(docs: DataFrame, digest: Column | None = None) -> DataFrame:
+    """(doc_id, fp long) for every row of docs, and its digest where one is asked for; a null text counts as no words."""
+    more = [] if digest is None else [digest.alias("digest")]
+    names = ["doc_id", "fp", "digest"][: 2 + len(more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, "doc_id long, fp long" + ", digest string" * len(more))
 
 
 # Bit-sliced kernel
@@ -226,3 +228,18 @@ def simhash_components(spark: SparkSession, docs: DataFrame, radius: int = RADIU
     linked = connected_components(spark, hamming_links(spark, distinct.where("rep is not null"), radius))
     named = distinct.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, digest: Column, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, digest, n) of the row that stays of each component: smallest doc_id, nulls last, then smallest digest; n rows have both.
+
+    Components hang on fingerprints alone, so rows that share a doc_id or have none are told apart by their text.
+    """
+    folder = shared_dir(spark)
+    fps = stored(spark, fingerprints(docs, digest), f"{folder}/fingerprints")
+    distinct = stored(spark, fps.select("fp", F.col("fp").alias("rep")).distinct(), f"{folder}/distinct")
+    linked = connected_components(spark, hamming_links(spark, distinct, radius))
+    least = lambda *n: F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", *n))
+    rows = fps.groupBy("fp", "doc_id", "digest").agg(F.count("*").alias("n")).groupBy("fp").agg(least("n").alias("first"))
+    named = rows.join(linked.withColumnRenamed("id", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("first").alias("first"))
+    return named.select("first.doc_id", "first.digest", "first.n")
