@@ -1,7 +1,7 @@
 """Exact deduplication by a log-structured merge index, in DataFrame operations only.
 
 Each input partition is a memtable: its (digest, doc_id) entries are flushed as one sorted run with a Bloom filter
-on the digest. Compaction merges all runs, digest by digest, and keeps the row that stays. Digests with more than
+on the digest, which no later step here consults. Compaction merges all runs, digest by digest, and keeps the row that stays. Digests with more than
 one entry are hits: a bitmap of fixed size lets only rows of hits through a second scan of the texts, and those are
 verified by bytes before they count as copies.
 """
