@@ -31,9 +31,13 @@ class CharClass:
     bits: float
 
 
-CLASSES = (CharClass("hex", "0-9a-fA-F", 20, 3.0), CharClass("base64", r"A-Za-z0-9+/=_-", 20, 4.0))
-#: Candidates that these match are known not to be secrets: all one or two characters, counting, placeholders, identifiers in a fixed form.
-ALLOWED = (r"(.)\1*", r"(..)\1+", r"[0-9]+", r"(?i:.*(example|sample|placeholder|changeme|xxxx|0123456789|abcdefgh).*)", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}")
+#: Of 20 random hex digits 4 % are under 3.0 bits, of 20 random letters and digits 1 % under 3.7.
+CLASSES = (CharClass("hex", "0-9a-fA-F", 20, 3.0), CharClass("base64", r"A-Za-z0-9+/=_-", 20, 3.7))
+#: A window inside a match of these forms, or that touches a match of these words, is known not to be of a secret.
+ALLOWED_FORMS = (r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])",)
+ALLOWED_WORDS = (r"(?i:example|sample|placeholder|changeme|xxxx)", "0123456789", r"(?i:abcdefgh)")
+#: Pieces between the marks of a string; a window of nothing but plain ones, words of one case with up to four digits or whole numbers, is an identifier.
+_PIECE, _PLAIN = re.compile(r"[^-_/+=]+"), re.compile(r"(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})?[0-9]{0,4}|[0-9]+")
 
 
 def window_entropies(strings: list[str], window: int) -> list[np.ndarray]:
@@ -93,35 +97,63 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def entropy_spans(texts: list[str], taken: list[list[tuple[str, int, int]]], classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> list[list[tuple[str, int, int]]]:
-    """For each text the joined windows over their class's threshold, in candidates that touch no span already taken and are not allowed."""
-    calm = re.compile("|".join(f"(?:{p})" for p in _numbered(allowed)))
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+def suppressed(run: str, window: int, forms: tuple[re.Pattern, ...], words: tuple[re.Pattern, ...]) -> np.ndarray:
+    """Whether each window of a run is on the allow-list. Every pass is linear in the run."""
+    n = len(run) - window + 1
+    odd = np.zeros(len(run) + 1, np.int64)
+    for m in _PIECE.finditer(run):
+        if not _PLAIN.fullmatch(run, *m.span()):
+            odd[m.start() + 1 : m.end() + 1] = 1
+    odd = odd.cumsum()
+    out = odd[window:] == odd[:n]
+    steps = np.zeros(n + 1, np.int64)
+    for p in forms:
+        for m in p.finditer(run):
+            if m.end() - m.start() >= window:  # first and last window inside
+                steps[m.start()] += 1
+                steps[m.end() - window + 1] -= 1
+    for p in words:
+        for m in p.finditer(run):
+            first, last = max(0, m.start() - window + 1), min(m.end(), n) - 1
+            if first <= last:
+                steps[first] += 1
+                steps[last + 1] -= 1
+    return out | (steps[:n].cumsum() > 0)
+
+
+def entropy_spans(texts: list[str], classes: tuple[CharClass, ...] = CLASSES, forms: tuple[str, ...] = ALLOWED_FORMS, words: tuple[str, ...] = ALLOWED_WORDS) -> list[list[tuple[str, int, int]]]:
+    """For each text the windows over their class's threshold that are not allowed, those of all classes that overlap or touch joined."""
+    calm, known = tuple(map(re.compile, forms)), tuple(map(re.compile, words))
+    hot: list[list[tuple[int, int]]] = [[] for _ in texts]
     for cls in classes:
         where = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, cls)]
-        where = [(i, a, b) for i, a, b in where if not any(a < y and x < b for _, x, y in [*taken[i], *out[i]]) and not calm.fullmatch(texts[i], a, b)]
-        for (i, a, _), bits in zip(where, window_entropies([texts[i][a:b] for i, a, b in where], cls.window), strict=True):
-            hot = np.flatnonzero(bits >= cls.bits)
-            for group in np.split(hot, np.flatnonzero(np.diff(hot) > cls.window) + 1):
-                if len(group):
-                    out[i].append(("entropy", a + int(group[0]), a + int(group[-1]) + cls.window))
-    return out
-
-
-def _numbered(patterns: tuple[str, ...]) -> list[str]:
-    """Back-references counted on over the joined alternatives."""
-    done, out = 0, []
-    for p in patterns:
-        out.append(re.sub(r"\\([1-9])", lambda m, n=done: f"\\{int(m[1]) + n}", p))
-        done += re.compile(p).groups
-    return out
-
-
-def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+        for (i, a, b), bits in zip(where, window_entropies([texts[i][a:b] for i, a, b in where], cls.window), strict=True):
+            at = np.flatnonzero((bits >= cls.bits) & ~suppressed(texts[i][a:b], cls.window, calm, known))
+            if len(at):
+                cuts = np.flatnonzero(np.diff(at) > cls.window) + 1
+                hot[i] += [(a + int(g[0]), a + int(g[-1]) + cls.window) for g in np.split(at, cuts)]
+    return [[("entropy", a, b) for a, b in joined(spans)] for spans in hot]
+
+
+def joined(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Unions of spans that overlap or touch, in order."""
+    start = end = -1
+    for a, b in sorted(spans):
+        if a > end:
+            if end >= 0:
+                yield start, end
+            start, end = a, b
+        end = max(end, b)
+    if end >= 0:
+        yield start, end
+
+
+def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, forms: tuple[str, ...] = ALLOWED_FORMS, words: tuple[str, ...] = ALLOWED_WORDS) -> DataFrame:
     """One row for every row of docs: doc_id, the counts of the three patterns, base_sha256 over their spans, and all spans as text.
 
     Offsets are code points, ends exclusive. A null text counts as empty: no spans, the digest of nothing. Repeated rows and null
-    ids stay; extra columns are ignored; an empty table gives an empty result. Long runs are scanned whole, in linear time.
+    ids stay; extra columns are ignored; an empty table gives an empty result. Every candidate is scored, also inside spans of the
+    patterns; entropy spans have their own offsets and never change those. Texts are scanned whole, in linear time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +162,7 @@ def secret_scan(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow
                 part = batch.slice(k, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 base = [ordered(base_spans(t)) for t in texts]
-                more = entropy_spans(texts, base, classes, allowed)
+                more = entropy_spans(texts, classes, forms, words)
                 count = lambda kind: pa.array([sum(s[0] == kind for s in b) for b in base], pa.int64())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), count("assign"), count("access"), count("hex"), pa.array([sha256_hex(span_text(b).encode()) for b in base], pa.string()), pa.array([span_text(ordered(b + m)) for b, m in zip(base, more, strict=True)], pa.string())],
