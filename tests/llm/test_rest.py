@@ -85,6 +85,59 @@ def test_language_held_out_accuracy(spark):
     assert r[0] > 0.95 and r[1] < 0.03 and 0 <= r[2] and r[3] <= 1
 
 
+def plain_language(text, learned):
+    """Every language's size of every piece, compressed anew; the smallest total."""
+    import unicodedata
+
+    import zstandard
+
+    kinds = [unicodedata.category(c)[0] for c in text or ""]
+    if "L" not in kinds:
+        return "und", 0.0, True
+    low = text.lower()
+    words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in low).split(" ")
+    data = f" {' '.join(w for w in words if w)} ".encode()
+    sizes = []
+    for name in sorted(learned):
+        params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, **langid.EFFORT)
+        total = 0
+        for k in range(0, len(data), 4096):
+            total += len(zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(data[k : k + 4096]))
+        sizes.append((total, name))
+    (best, name), (second, _) = sorted(sizes)[:2]
+    return name, 0.5 + 0.5 * min(1.0, (1 - best / second) / 0.25), 1 - best / second < langid.MARGIN
+
+
+def test_language_query_is_plain_recompression(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    import zlib
+
+    learned = langid.dictionaries(docs.where(~queries.held_out()))
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r.doc_id]
+        assert (g.lang_pred, g.score, g.rejected) == plain_language(r.text, learned) and g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_letters_are_letters():
+    """Numbers that are no decimals are no letters; marks don't cut words."""
+    for t in ("½ ²", "Ⅷ ① 12 _", "\u0301\u0308", "!? \n", ""):
+        assert langid.plain(t) == b"", t
+    assert langid.plain("Ne\u0301e A_b ªx²y") == " ne\u0301e a b ªx y ".encode() and langid.plain("हिन्दी") == " हिन्दी ".encode()
+    assert langid.judge_by({"aa": b" alpha ", "bb": b" beta "}, 0.0)("½ ²") == ("und", 0.0, True)
+
+
+def test_dictionaries_reach_the_ends_of_texts_and_all_languages(spark):
+    from pyspark.sql import types as T
+
+    tail = spark.createDataFrame([("xx", "start " * 3000 + "finish " * 3000)], "lang string, text string")
+    many = spark.range(450).select(F.concat(F.lit("l"), "id").alias("lang"), F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    d = langid.dictionaries(tail.unionByName(many))
+    assert isinstance(tail.schema["lang"].dataType, T.StringType) and len(d) == 451 and b"finish" in d["xx"] and b"start" in d["xx"]
+
+
 def test_language_edges(spark, docs):
     learned = {"aa": b" alpha beta gamma delta " * 200, "bb": b" uno dos tres quatro " * 200}
     rows = [(1, None), (2, ""), (3, "123 !!"), (4, "ALPHA beta! gamma"), (5, "uno dos " * 60_000), (None, "tres quatro dos")]
@@ -93,8 +146,11 @@ def test_language_edges(spark, docs):
     assert got[1].rejected and got[1].score == 0 and not got[4].rejected
     assert all(r.lang_pred == "und" for r in langid.classify(docs(*rows), {}).collect())
     assert langid.dictionaries(docs((1, None))) == {} and langid.classify(docs(*rows).where("false"), learned).count() == 0
-    kept = langid.classify_rows(docs(*rows).withColumn("_x", F.lit(1)), learned)
-    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == ["4", "5", "None"] and kept.columns[-1] == "_x"
+    clash = docs(*rows).withColumns({"_language": F.lit("MINE"), "found": F.lit(1), "row": F.lit(2), "a.b": F.lit(3)})
+    kept = langid.classify_rows(clash, learned)
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == ["4", "5", "None"] and kept.columns == clash.columns
+    assert {(r._language, r.found, r.row, r["a.b"], r.lang) for r in kept.collect()} == {("MINE", 1, 2, 3, "en")}
+    assert {r.lang for r in langid.classify_rows(clash.withColumn("lang", F.lit(None).cast("string")), learned).collect()} == {"aa", "bb"}
 
 
 def test_sample_is_bounded_and_takes_copies_once(spark, docs):

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: rows of each language, and bytes of its dictionary.
+from .common import shared_dir, stored
+
+#: Bound of the training sample: labelled rows of each language, drawn by hash from all of them, and bytes of its dictionary.
 SAMPLE_ROWS = 400
 DICTIONARY_BYTES = 64 << 10
-#: Languages that are learned at most, the most frequent first.
-LANGUAGES = 200
+#: Characters of the pieces that sampled texts are cut into; a dictionary is made of pieces from anywhere in them, drawn by hash.
+DRAWN = 512
 #: Texts are compressed in pieces of this many bytes, each beginning at the dictionary anew, so that long texts don't become their own dictionary.
 PIECE = 4 << 10
 #: Search effort: short matches of at least four bytes, as words of one language share few long ones.
@@ -23,34 +25,45 @@ EFFORT = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "window_log": 1
 #: Smallest lead of the best language over the next, as a share of the next one's size. A narrower lead rejects the text.
 MARGIN = 0.001
 
-_LETTERS = re.compile(r"[\W\d_]+")
+#: Words are letters and the marks on them.
+_BETWEEN, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def plain(text: str) -> bytes:
-    """Lower-case letters with single spaces between the words, one at either end; without letters: nothing."""
-    words = _LETTERS.sub(" ", text.lower()).strip()
-    return f" {words} ".encode() if words else b""
+    """Lower-case words with single spaces between them, one at either end; without a letter: nothing."""
+    if not _LETTER.search(text):
+        return b""
+    return f" {_BETWEEN.sub(' ', text.lower()).strip()} ".encode()
 
 
 def dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Language to dictionary, from a bounded sample: the rows whose text has the smallest hashes, equal texts once. Rows without text or lang don't count.
+    """Language to dictionary, from a bounded sample of labelled rows: those whose text has the smallest hashes, equal texts once.
 
-    Only rows whose hash is under about twice the sample's share are moved, so no task gets a language as a whole, and the driver gets
-    about 2 * rows texts of size / 16 characters for each of at most LANGUAGES languages.
+    Their whole texts are cut into pieces, and the pieces with the smallest hashes fill the dictionary. Rows without text or lang
+    don't count, nor do languages without a letter in any sampled text; no language is left out for its rank. Only rows and pieces
+    whose hash is under about twice the share that is wanted are moved, so no task gets a language as a whole, and the driver gets
+    about four dictionaries' bytes of pieces for each language. An empty table gives no dictionary.
     """
-    some = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, size // 16).alias("text"), F.xxhash64("text").alias("h"))
-    counts = some.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("texts"), "lang").limit(LANGUAGES).collect()
+    spark, unit = docs.sparkSession, lambda h: F.col(h) / F.lit(2.0**64) + 0.5
+    some = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * rows / max(1, r["texts"])))])
-    near = some.where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.try_element_at(share, F.col("lang")))
-    found = near.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+
+    def share(wanted: dict[str, float]) -> F.Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * wanted[k] / max(1, n)))]), F.col("lang"))
+
+    near = some.where(unit("h") <= share(dict.fromkeys(counts, rows))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    near = stored(spark, near, f"{shared_dir(spark)}/sample")
+    bounds = near.groupBy("lang").agg(F.get(F.sort_array(F.collect_list("h")), F.lit(rows - 1)).alias("bound"))  # about twice the rows wanted, and as many numbers
+    near = near.join(F.broadcast(bounds), "lang").where("bound is null or h <= bound")
+    pieces = near.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DRAWN}}}"), F.lit(0))).alias("piece")).withColumn("h", F.xxhash64("piece"))
+    counts = {k: 0 for k in counts} | {r["lang"]: r["n"] for r in pieces.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    found = pieces.where(unit("h") <= share(dict.fromkeys(counts, 2 * size / DRAWN))).groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect()
     out: dict[str, bytes] = {}
-    taken: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["h"])):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= rows and len(out.setdefault(r["lang"], b"")) < size:
-            out[r["lang"]] += plain(r["text"])
+        if len(out.setdefault(r["lang"], b"")) < size:
+            out[r["lang"]] += plain(r["piece"])
     return {k: v[:size] for k, v in out.items() if v}
 
 
@@ -97,12 +110,16 @@ def classify(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN)
 
 
 def classify_rows(docs: DataFrame, learned: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """Rows of docs that are not rejected, with all their columns; a null lang is filled by the language found."""
+    """Rows of docs that are not rejected, with all their columns; a null lang is filled by the language found.
+
+    Null texts, texts without a letter and ties go; repeated rows and null ids stay as they are; no column name can clash; an empty
+    table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def language(texts: pd.Series) -> pd.Series:
         judge = judge_by(learned, margin)
         return pd.Series([None if r else name for name, _, r in map(judge, texts)], dtype=object)
 
-    found = docs.withColumn("_language", language(F.col("text").cast("string"))).where("_language is not null")
-    return found.withColumn("lang", F.coalesce("lang", "_language")).select(docs.columns)
+    found = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), language(docs["text"].cast("string")).alias("found")).where("found is not null")
+    return found.select(*[(F.coalesce(F.col("row.lang"), F.col("found")) if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
