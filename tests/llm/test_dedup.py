@@ -62,6 +62,19 @@ def test_exact_groups(spark, docs, key):
     assert lsm.exact_groups(spark, docs(*rows).where("false"), key).count() == 0
 
 
+def test_filters_keep_entries_from_being_merged(spark, tmp_path):
+    """All digests that two runs hold are merged, and few others; a filter has room for what it holds."""
+    rows = [(k % 4, f"one {k}") for k in range(4000)] + [(r, f"two {k}") for k in range(200) for r in (k % 4, (k + 1) % 4)]
+    log = spark.createDataFrame([(i, d, 5, r) for i, (r, d) in enumerate(rows)], "doc_id long, digest string, n_points int, run int")
+    runs = lsm.beyond_own(spark, lsm.flush(spark, log, f"{tmp_path}/runs"), f"{tmp_path}/filters").collect()
+    assert len(runs) == len(rows)
+    assert all(r.maybe for r in runs if r.digest.startswith("two")) and sum(r.maybe for r in runs if r.digest.startswith("one")) < 800
+    level = {r.digest: (r.keep_id, r.group_size) for r in lsm.compact(spark, spark.read.parquet(f"{tmp_path}/runs"), f"{tmp_path}/level").collect()}
+    assert len(level) == 4200 and all(n == (2 if d.startswith("two") else 1) for d, (_, n) in level.items())
+    assert all(level[d][0] == min(i for i, (_, x) in enumerate(rows) if x == d) for d in ("two 0", "two 199", "one 7"))
+    assert [lsm.bits_for(n, 16, lsm.LARGEST) for n in (0, 10**5, 10**7, 10**12)] == [15, 21, 28, 30]
+
+
 def plain_fingerprint(t):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     if not words:

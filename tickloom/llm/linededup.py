@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import not_null, shared_dir, stored
-from .lsm import filter_of, maybe_in
+from .lsm import maybe_in
 
 #: A line of more words than this is a chunk by itself, and one that may go.
 LONG_WORDS = 50
@@ -57,7 +57,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, key=F.md5) -> DataFrame:
     parts = with_chunks(base).select("doc_id", "_version", F.explode(F.filter("_chunks", lambda c: c["eligible"])).alias("c")).select("doc_id", "_version", "c.no", key(F.col("c.text")).alias("digest"), F.col("c.text").alias("bytes"))
     index = stored(spark, parts.select("doc_id", "_version", "no", "digest"), f"{folder}/index")
     often = stored(spark, index.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/often")
-    texts = maybe_in(parts, filter_of(often)).groupBy("digest", "bytes").agg(_first().alias("first"), F.count("*").alias("n"))
+    texts = maybe_in(parts, often).groupBy("digest", "bytes").agg(_first().alias("first"), F.count("*").alias("n"))
     per_digest = texts.groupBy("digest").agg(F.count("*").alias("n_texts"), F.first("first").alias("first"), F.sum("n").alias("n"))
     per_digest = stored(spark, per_digest.where("n > 1"), f"{folder}/verified")
     later = (F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "no") > F.col("first"))
