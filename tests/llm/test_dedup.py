@@ -1,5 +1,6 @@
 """Exact and near duplicates, vectors, lines: brute force on small tables."""
 
+import hashlib
 import random
 import re
 
@@ -176,37 +177,68 @@ def test_recall_exactly_at_the_threshold():
         assert np.mean(np.any([rabitq.keys_of(a, k, width) == rabitq.keys_of(b, k, width) for k in range(t)], axis=0)) >= 0.9
 
 
-def plain_chunks(text):
-    import hashlib
-
-    md = lambda s: hashlib.md5(s.encode()).hexdigest()
-    lines, out, cur = text.split("\n"), [], []
-    long = [x.count(" ") >= 50 for x in lines]
+def plain_units(text):
+    """Lines of a text, and (kind, first line, text) of its chunks, neighbours and long lines."""
+    h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16)
+    lines, units, start = text.split("\n"), [], 0
+    words = [len(re.findall("[^\x20\x09-\x0d]+", x)) for x in lines]
     for i, x in enumerate(lines):
-        cur.append(x)
-        roll = md((md(lines[i - 1]) if i else "") + md(x))[0] < "8"
-        if i + 1 == len(lines) or long[i] or long[i + 1] or roll:
-            out.append(("\n".join(cur), len(cur) > 1 or long[i]))
-            cur = []
-    return out
+        roll = 31 * (h(lines[i - 1]) if i else 0) + h(x)
+        if i + 1 == len(lines) or roll % 1000003 % 3 == 0:
+            if i > start and any(words[start : i + 1]):
+                units.append(("c", start, "\n".join(lines[start : i + 1])))
+            start = i + 1
+        if i + 1 < len(lines):
+            units.append(("p", i, x + "\n" + lines[i + 1]))
+        if words[i] > 50:
+            units.append(("l", i, x))
+    return lines, words, units
+
+
+def plain_line_dedup(rows):
+    first = {}
+    for i, t in rows:
+        for kind, at, x in plain_units(t or "")[2]:
+            first[kind, x] = min(first.get((kind, x), (True,)), (i is None, i or 0, at))
+    want = {}
+    for i, t in rows:
+        lines, words, units = plain_units(t or "")
+        gone, marked = {(k, at) for k, at, x in units if i is not None and first[k, x] < (False, i, at)}, set()
+        k = 0
+        while k < len(lines):
+            e = k
+            while ("p", e) in gone:
+                e += 1
+            if e > k and (any(("c", x) in gone for x in range(k, e)) or sum(words[k : e + 1]) > 50):
+                marked |= set(range(k, e + 1))
+            k = e + 1
+        marked |= {at for kind, at in gone if kind == "l"}
+        want[i] = (len(lines), len(marked), "\n".join(x for k, x in enumerate(lines) if k not in marked))
+    return want
 
 
 @pytest.mark.parametrize("key", [F.md5, lambda c: F.substring(F.md5(c), 1, 1)])
 def test_line_dedup(spark, docs, key):
     random.seed(9)
-    pool = [" ".join(random.choice(["a", "b", "é"]) for _ in range(random.choice([1, 3, 60]))) for _ in range(12)]
-    rows = [(i, "\n".join(random.choice(pool) for _ in range(random.randint(0, 9)))) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, "\n\n"), (503, rows[3][1]), (None, rows[3][1]), (504, "line\n" * 2000)]
-    seen, want = set(), {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept, gone, parts = [], 0, plain_chunks(t or "")
-        for c, ok in parts:
-            if ok and c in seen and i is not None:
-                gone += 1
-            else:
-                kept.append(c)
-                seen |= {c} if ok else set()
-        want[i] = (len(parts), gone, "\n".join(kept))
-    got = {r.doc_id: (r.n_chunks, r.n_removed, r.text) for r in linededup.line_dedup(spark, docs(*rows), key).collect()}
-    assert got == want
+    pool = [" ".join(random.choice(["a", "b", "é"]) for _ in range(random.choice([0, 1, 3, 30, 60]))) for _ in range(40)]
+    rows = [(i, "\n".join(random.choice(pool) for _ in range(random.randint(0, 12)))) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "\n\n"), (503, rows[3][1]), (None, rows[3][1]), (504, "line\n" * 2000), (505, "x\n\n\n\ny"), (506, "z\n\n\n\nw")]
+    want = plain_line_dedup(rows)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.line_dedup(spark, docs(*rows), key).collect()}
+    assert got == want and sum(n for _, n, _ in want.values()) > 200 and got[506][1] == 0
     assert linededup.line_dedup(spark, docs(*rows).where("false"), key).count() == 0
+
+
+def test_every_copied_passage_of_over_50_words_goes(spark, docs):
+    """Passages of a few long or many short lines in otherwise unrelated documents, at any place in them: removed whole, all else kept."""
+    random.seed(10)
+    line = lambda n: " ".join(f"w{random.randrange(10**8)}" for _ in range(n))
+    rows, kept = [], {}
+    for k in range(240):
+        n, size = [(1, 51), (2, 30), (3, 20), (4, 15), (6, 10), (17, 3), (26, 2)][k % 7]
+        passage = [line(size) for _ in range(n)]
+        for j in range(3):
+            before, after = [line(9) for _ in range(random.randint(1, 6))], [line(9) for _ in range(random.randint(1, 6))]
+            rows.append((3 * k + j, "\n".join(before + passage + after)))
+            kept[3 * k + j] = rows[-1][1] if j == 0 else "\n".join(before + after)
+    assert {r.doc_id: r.text for r in linededup.line_dedup(spark, docs(*rows)).collect()} == kept

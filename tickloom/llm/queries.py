@@ -61,7 +61,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.line_dedup(spark, table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_chunks", "n_removed", F.length("text").cast("long").alias("n_points"), F.sha2("text", 256).alias("text_sha256"))
+    return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_points"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,15 +105,19 @@ ORACLES = {
         with n as (select doc_id, length(coalesce(text, '')) p, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) h from documents),
         g as (select doc_id, first_value(doc_id) over (partition by h order by p desc, doc_id) keep_id, count(*) over (partition by h) group_size, h from n)
         select doc_id, keep_id, group_size, doc_id = keep_id kept, h text_sha256 from g""",
-    "op9_line_dedup": """
+    "op9_line_dedup": r"""
         with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) a from documents),
         l as (select doc_id, unnest(a) x, unnest(range(1, len(a) + 1)) i, len(a) n from d),
-        m as (select *, md5(x) h, length(x) - length(replace(x, ' ', '')) >= 50 long from l),
-        w as (select *, coalesce(lag(h) over o, '') ph, lead(long) over o nl from m window o as (partition by doc_id order by i)),
-        c as (select *, i = n or long or coalesce(nl, false) or substr(md5(ph || h), 1, 1) < '8' cut from w),
-        k as (select *, coalesce(sum(cut::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) no from c),
-        q as (select doc_id, no, string_agg(x, chr(10) order by i) t, count(*) > 1 or bool_or(long) ok from k group by doc_id, no),
-        f as (select *, ok and row_number() over (partition by ok, t order by doc_id, no) > 1 gone from q)
-        select doc_id, count(*)::bigint n_chunks, sum(gone::int)::bigint n_removed, length(coalesce(string_agg(case when not gone then t end, chr(10) order by no), ''))::bigint n_points,
-            sha256(coalesce(string_agg(case when not gone then t end, chr(10) order by no), '')) text_sha256 from f group by doc_id""",
+        m as (select *, ('0x' || substr(md5(x), 1, 7))::bigint h, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) words from l),
+        w as (select *, coalesce(lag(h) over o, 0) ph, lead(x) over o nx, lead(words) over o nw from m window o as (partition by doc_id order by i)),
+        k as (select *, coalesce(sum((i = n or (31 * ph + h) % 1000003 % 3 = 0)::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) no from w),
+        c as (select doc_id, min(i) i, string_agg(x, chr(10) order by i) t from k group by doc_id, no having count(*) > 1 and sum(words) > 0),
+        u as (select 'c' kind, doc_id, i, t from c union all select 'p', doc_id, i, x || chr(10) || nx from w where i < n union all select 'l', doc_id, i, x from w where words > 50),
+        g as (select kind, doc_id, i from u qualify row_number() over (partition by kind, t order by doc_id, i) > 1),
+        p as (select g.doc_id, g.i, w.words, w.nw, g.i - row_number() over (partition by g.doc_id order by g.i) run, c.i is not null chunk from g join w on w.doc_id = g.doc_id and w.i = g.i left join g c on c.kind = 'c' and c.doc_id = g.doc_id and c.i = g.i where g.kind = 'p'),
+        r as (select doc_id, min(i) a, max(i) + 1 b from p group by doc_id, run having bool_or(chunk) or sum(words) + arg_max(nw, i) > 50 union all select doc_id, i, i from g where kind = 'l'),
+        gone as (select distinct doc_id, unnest(range(a, b + 1)) i from r),
+        f as (select l.*, gone.i is not null gone from l left join gone using (doc_id, i))
+        select doc_id, count(*)::bigint n_lines, sum(gone::int)::bigint n_removed, length(coalesce(string_agg(case when not gone then x end, chr(10) order by i), ''))::bigint n_points,
+            sha256(coalesce(string_agg(case when not gone then x end, chr(10) order by i), '')) text_sha256 from f group by doc_id""",
 }
