@@ -163,11 +163,35 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(7)
     x, q = rabitq.unit_rows(rng.standard_normal((3000, 64))), rabitq.unit_rows(rng.standard_normal((20, 64)))
     codes, factors = rabitq.codes_of(x)
-    about, error = rabitq.estimates(q @ rabitq.rotation(64, 0).T, codes, factors)
-    gap = about - q @ x.T
+    a, b = np.repeat(np.arange(20), 3000), np.tile(np.arange(3000), 20)
+    about, error = rabitq.estimates(rabitq.query_planes(q @ rabitq.rotation(64, 0).T), codes, factors, 64, a, b)
+    gap = about - (q @ x.T).ravel()
     assert abs(gap.mean()) < 0.003 and (np.abs(gap) <= error).mean() > 0.999
 
 
+def test_close_pairs_are_all_pairs_of_a_bucket():
+    """Small and large buckets, and two sides of a large one."""
+    rng = np.random.default_rng(11)
+    sizes = [1, 2, 3, 64, 65, 200, 1, 40, 30, 90]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    sides = np.where(keys < 8, 2, rng.integers(0, 2, len(keys)))
+    codes = rng.integers(0, 1 << 63, (len(keys), 2), dtype=np.uint64)
+    apart = np.bitwise_count(codes[:, None] ^ codes[None]).sum(2)
+    i, j = np.nonzero((keys[:, None] == keys[None]) & (apart <= 60))
+    want = {(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x < y and (sides[x] == 2 or sides[x] != sides[y])}
+    got = [tuple(sorted(p)) for a, b in rabitq.close_pairs(keys, sides, codes, 60) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_trees_are_joined():
+    rng = np.random.default_rng(12)
+    parent = np.arange(500)
+    a, b = rng.integers(0, 500, 300), rng.integers(0, 500, 300)
+    for k in range(0, 300, 37):
+        rabitq.joined(parent, a[k : k + 37], b[k : k + 37])
+    assert parent.tolist() == classes(500, zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_recall_exactly_at_the_threshold():
     rng = np.random.default_rng(8)
     a, n = rabitq.unit_rows(rng.standard_normal((4000, 64))), rng.standard_normal((4000, 64))

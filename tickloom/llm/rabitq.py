@@ -1,10 +1,11 @@
 """Similar vectors by randomised-rotation binary codes: all pairs of a cosine threshold, links counted, components found.
 
 Every vector is rotated by a random orthogonal matrix and stored as the signs of its coordinates with a correction
-factor, its inner product with its own code. For a full vector and a code these give an unbiased estimate of the inner
-product and a bound that holds with high confidence; only pairs whose upper bound reaches the threshold are computed
-exactly, in double precision. Candidates meet where they share the largest coordinates (place and sign) of several
-further rotations.
+factor, its inner product with its own code. For a vector in few bits and the code of another these give an unbiased estimate of
+the inner product, by counting bits, and a bound that holds with high confidence; only pairs whose upper bound reaches the
+threshold are computed exactly, in double precision. Candidates meet where they share the largest coordinates (place and sign)
+of several further rotations. Only codes are dealt to all these buckets; vectors follow to those buckets where their code has a
+partner that the distance of the codes doesn't rule out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ CONFIDENCE = 4.0
 BUCKET, RECALL = 64, 0.96
 #: Vectors that a comparison task holds of one bucket on either side; larger buckets are compared chunk by chunk.
 CHUNK = 4096
-#: Rows of small buckets that are compared in one go.
-TOGETHER = 1024
+#: Rows that are held for small buckets, largest bucket that is compared by shifting, and pairs in one step of a larger one.
+TOGETHER, SHIFTED, STEP = 8192, 64, 1 << 20
+#: Bits of a coordinate on the side of an estimate that is not the code.
+QUERY_BITS = 4
 #: Large buckets whose sizes are broadcast; beyond, the join is left to Spark.
 BROADCAST_BUCKETS = 100_000
 
@@ -81,28 +84,81 @@ def tables_for(dim: int, threshold: float, width: int, recall: float = RECALL, p
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
-def estimates(query: np.ndarray, codes: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of <query, vector> for full rotated queries and coded vectors, and the half-width of their bounds."""
-    dim = query.shape[1]
-    signs = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")[:, :dim].astype(np.float32) * 2 - 1
-    about = query.astype(np.float32) @ signs.T / (math.sqrt(dim) * factors.astype(np.float32))
+def query_planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated vectors in QUERY_BITS bits a coordinate, rounded at random so that they are right on average: bit planes (bit, row, word), lowest values, steps, and exact sums."""
+    dim = turned.shape[1]
+    low = turned.min(1)
+    step = np.maximum((turned.max(1) - low) / ((1 << QUERY_BITS) - 1), 1e-300)
+    level = np.floor((turned - low[:, None]) / step[:, None] + np.random.default_rng([SEED, dim]).random(turned.shape)).astype(np.uint8)
+    np.minimum(level, (1 << QUERY_BITS) - 1, out=level)
+    bits = np.zeros((QUERY_BITS, len(turned), -(-dim // 64) * 64), bool)
+    for k in range(QUERY_BITS):
+        bits[k, :, :dim] = level >> k & 1
+    return np.packbits(bits, axis=2, bitorder="little").view("<u8"), low, step, turned.sum(1)
+
+
+def estimates(query: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], codes: np.ndarray, factors: np.ndarray, dim: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of <query a, vector b> for pairs of rows, from the planes of a and the code of b, and the half-width of their bounds."""
+    planes, low, step, total = query
+    code = codes[b]
+    dot = sum(np.bitwise_count(planes[k, a] & code).sum(1, dtype=np.int64) << k for k in range(len(planes)))
+    scale = math.sqrt(dim) * factors[b]
+    about = (2 * (low[a] * np.bitwise_count(codes).sum(1, dtype=np.int64)[b] + step[a] * dot) - total[a]) / scale
     error = np.sqrt(np.maximum(0, 1 - factors**2)) / factors / math.sqrt(max(1, dim - 1))
-    return about, CONFIDENCE * error + 1e-5
-
-
-def links_between(left: np.ndarray, right: np.ndarray, codes: np.ndarray, factors: np.ndarray, threshold: float, step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of left the rows of right at or over the threshold, itself included if it is among them."""
-    turned = left @ rotation(left.shape[1], 0).T
-    for k in range(0, len(left), step):
-        about, error = estimates(turned[k : k + step], codes, factors)
-        rows, columns = np.nonzero(about + error >= threshold)
-        exact = np.concatenate([np.einsum("ij,ij->i", left[k + rows[s : s + 65536]], right[columns[s : s + 65536]]) for s in range(0, len(rows), 65536)]) if len(rows) else np.zeros(0)
-        close = exact >= threshold
-        rows, columns = rows[close], columns[close]
-        for r in range(min(step, len(left) - k)):
-            a, b = np.searchsorted(rows, [r, r + 1])
-            if a < b:
-                yield k + r, columns[a:b]
+    rounding = step[a] / 2 / factors[b]  # at most half a step for each coordinate, by the root of the mean square
+    return about, CONFIDENCE * np.hypot(error[b], rounding) + 1e-9
+
+
+def most_apart(dim: int, threshold: float) -> int:
+    """Codes of two vectors at the threshold differ in no more bits, with the same confidence: each bit differs with the angle's share of a half turn."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(dim * p + CONFIDENCE * math.sqrt(dim * p * (1 - p)))
+
+
+def close_pairs(keys: np.ndarray, sides: np.ndarray, codes: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in one bucket, each once, whose codes differ in at most limit bits. keys: equal ones adjacent; side 2 meets its whole bucket, 0 only 1."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+    sizes = np.diff(np.append(starts, len(keys)))
+    small = np.flatnonzero(np.repeat((sizes <= SHIFTED) & (sizes > 1), sizes) & (sides == 2))
+    k = 1
+    while len(small) > k and (same := keys[small[:-k]] == keys[small[k:]]).any():
+        a, b = small[:-k][same], small[k:][same]
+        near = np.bitwise_count(codes[a] ^ codes[b]).sum(1, dtype=np.int64) <= limit
+        yield a[near], b[near]
+        k += 1
+    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        across = sides[s] != 2
+        if n > SHIFTED or (n > 1 and across):
+            at = np.arange(s, s + n)
+            left, right = (at[sides[at] == 0], at[sides[at] == 1]) if across else (at, at)
+            step = max(1, STEP // max(1, len(right)))
+            for x in range(0, len(left), step):
+                part = left[x : x + step]
+                near = sum(np.bitwise_count(codes[part, w][:, None] ^ codes[right, w][None]).astype(np.int32) for w in range(codes.shape[1])) <= limit
+                i, j = np.nonzero(near)
+                a, b = part[i], right[j]
+                yield (a, b) if across else (a[a < b], b[a < b])
+
+
+def first_meeting(marks: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows meet in no table before theirs. marks: 16 bits of each row's key in each table; another key has the same ones once in 65,536."""
+    met = np.zeros(len(a), bool)
+    for t in range(int(table.max(initial=0))):
+        met |= (marks[a, t] == marks[b, t]) & (t < table[a])
+    return ~met
+
+
+def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of rows a and b; the least row is a tree's root, and all rows point to it."""
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent[:] = up
 
 
 def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:
@@ -124,9 +180,6 @@ def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOL
     dim = max(2, longest[1] or 2)
     width = max(1, math.ceil(math.log(max(1, longest[0] / BUCKET)) / math.log(2 * dim)))
     tables = tables_for(dim, threshold, width, recall)
-    single = dict(classes.dtypes)["embedding"] == "array<float>"
-    kind = np.float32 if single else np.float64
-
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each table: bucket, table, vector as bytes, code and correction factor."""
         for batch in batches:
@@ -145,47 +198,75 @@ def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOL
         for batch in dealt(batches):
             yield batch.select(["key", "tab"])
 
-    vecs = classes.select("rep", "members", "embedding")
-    keyed = vecs.mapInArrow(dealt, "key long, tab int, rep long, members long, data binary, code binary, factor double").withColumn("key", F.xxhash64("key", "tab"))
-    # sizes come from the keys alone, so that vectors are shuffled once; only buckets over a chunk are looked up
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each table: bucket, vector's name, and a note of its length, table, marks of all tables' keys and code."""
+        for batch in batches:
+            sizes = np.array([len(x) for x in batch.column(1)])
+            for n in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == n)
+                part = batch.take(pa.array(rows))
+                unit = unit_rows(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n))
+                keys = np.array([keys_of(unit, t, width) * 4096 + n % 4096 for t in range(tables)])
+                marks = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype("<u2").T
+                code = codes_of(unit)[0].view("<u2")
+                for t in range(tables):
+                    notes = np.ascontiguousarray(np.concatenate([np.full((len(rows), 1), x, "<u2") for x in (n & 65535, n >> 16, t)] + [marks, code], axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[t]), pa.array(np.full(len(rows), t, np.int32)), part.column(0), pa.array([x.tobytes() for x in notes], pa.binary())], ["key", "tab", "rep", "note"])
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in dealt(batches):
+            yield batch.select(["key", "tab"])
+
+    vecs = classes.select("rep", "embedding")
+    keyed = vecs.mapInArrow(dealt, "key long, tab int, rep long, note binary").select(F.xxhash64("key", "tab").alias("key"), "rep", "note")
+    # sizes come from the keys alone; only buckets over a chunk are looked up
     large = vecs.mapInArrow(buckets, "key long, tab int").groupBy(F.xxhash64("key", "tab").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     large = stored(spark, large, f"{folder}/large")
     keyed = keyed.join(F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large, "key", "left")
     keyed = keyed.withColumn("chunks", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
     keyed = keyed.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    keyed = keyed.withColumn("side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)).withColumn("key", F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", lo, hi)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)  # 2: each row with all of its bucket or chunk
+    keyed = keyed.select(F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", lo, hi)).alias("key"), "rep", "note", side.alias("side"))
+
+    def with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key to those whose code has a partner in the bucket that it meets first there."""
+        for n, t in _whole_buckets(batches):
+            keys, sides, table, marks, codes = _noted(t, tables)
+            alive = np.zeros(len(keys), bool)
+            for a, b in close_pairs(keys, sides, codes, most_apart(n, threshold)):
+                first = first_meeting(marks, table, a, b)
+                alive[a[first]] = alive[b[first]] = True
+            yield from t.take(pa.array(np.flatnonzero(alive))).to_batches()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key. (a, b, n): a has n further links of its own found here; b joins a to what it hangs together with."""
-        for key, tab, reps, members, unit, codes, factors, side in _buckets(batches, kind):
-            keys = np.array([keys_of(unit, t, width) for t in range(int(tab.max()))]).reshape(int(tab.max()), len(reps))
-            across = side[0] != 2  # two chunks of a large bucket; 2: each row with all of its bucket or chunk
-            inside, outside = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            counts, edges, parent = np.zeros(len(reps), np.int64), [], list(range(len(reps)))
-
-            def root(x: int, parent: list[int] = parent) -> int:
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            for a, found in links_between(unit[inside], unit[outside], codes[outside], factors[outside], threshold):
-                a, found = inside[a], outside[found]
-                found = found[(key[found] == key[a]) & ((found > a) | across)]
-                found = found[(keys[: tab[a], found] != keys[: tab[a], [a]]).all(0)]  # a pair counts in the first table that both meet in
-                if len(found):
-                    counts[a] += members[found].sum()
-                    counts[found] += members[a]
-                    for b in found.tolist():
-                        if (x := root(int(a))) != (y := root(b)):
-                            parent[max(x, y)] = min(x, y)
-                            edges.append((int(a), b))
-            some = np.flatnonzero(counts)
+        """Rows with their vectors, sorted by key. (a, b, n): a has n further links of its own found here; b joins a to what it hangs together with."""
+        for n, t in _whole_buckets(batches):
+            keys, sides, table, marks, codes = _noted(t, tables)
+            reps, members = t["rep"].to_numpy(), t["members"].to_numpy()
+            vectors = t["embedding"].combine_chunks()
+            unit = unit_rows(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), n))
+            turned = unit @ rotation(n, 0).T
+            query, factors = query_planes(turned), np.abs(turned).sum(1) / math.sqrt(n)
+            counts, parent = np.zeros(len(keys), np.int64), np.arange(len(keys))
+            for a, b in close_pairs(keys, sides, codes, most_apart(n, threshold)):
+                first = first_meeting(marks, table, a, b)
+                a, b = a[first], b[first]
+                about, error = estimates(query, codes, factors, n, a, b)
+                likely = about + error >= threshold
+                a, b = a[likely], b[likely]
+                exact = np.concatenate([np.einsum("ij,ij->i", unit[a[k : k + 65536]], unit[b[k : k + 65536]]) for k in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
+                a, b = a[exact >= threshold], b[exact >= threshold]
+                np.add.at(counts, a, members[b])
+                np.add.at(counts, b, members[a])
+                joined(parent, a, b)
+            some, led = np.flatnonzero(counts), np.flatnonzero(parent != np.arange(len(parent)))
             if len(some):
-                a, b = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([reps[some], reps[a]])), pa.array(np.concatenate([reps[some], reps[b]])), pa.array(np.concatenate([counts[some], np.zeros(len(a), np.int64)]))], ["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([reps[some], reps[led]])), pa.array(np.concatenate([reps[some], reps[parent[led]]])), pa.array(np.concatenate([counts[some], np.zeros(len(led), np.int64)]))], ["a", "b", "n"])
 
-    rows = keyed.select("key", "tab", "rep", "members", "data", "code", "factor", "side").repartition("key").sortWithinPartitions("key")
+    by_key = lambda df: df.repartition("key").sortWithinPartitions("key")
+    partners = by_key(keyed).mapInArrow(with_partners, "key long, rep long, note binary, side int")
+    rows = by_key(partners.join(classes.select("rep", "members", "embedding"), "rep").select("key", "rep", "note", "side", "members", "embedding"))
     found = stored(spark, rows.mapInArrow(compared, "a long, b long, n long"), f"{folder}/found")
     counted = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     linked = connected_components(spark, found.where("a <> b").select("a", "b")).withColumnRenamed("id", "rep")
@@ -195,32 +276,29 @@ def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOL
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple]:
-    """Whole buckets, small ones of one length several at a time; those with two sides, which are chunks of a large one, alone."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows sorted by key as whole buckets, small ones many at a time, for each length of vectors."""
     held: list[pa.RecordBatch] = []
-    count, alone = 0, False
 
-    def given(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
-        whole = pa.Table.from_batches(parts)
-        lengths = np.array([len(x.as_py()) for x in whole["data"]])
+    def given(t: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+        lengths = np.array([int.from_bytes(x[:4], "little") for x in t["note"].to_pylist()])
         for n in np.unique(lengths).tolist():
-            t = whole.take(pa.array(np.flatnonzero(lengths == n)))
-            values = np.frombuffer(b"".join(t["data"].to_pylist()), kind).reshape(t.num_rows, -1)
-            codes = np.frombuffer(b"".join(t["code"].to_pylist()), "<u8").reshape(t.num_rows, -1)
-            yield t["key"].to_numpy(), t["tab"].to_numpy(), t["rep"].to_numpy(), t["members"].to_numpy(), unit_rows(values), codes, t["factor"].to_numpy(), t["side"].to_numpy()
+            yield n, t.take(pa.array(np.flatnonzero(lengths == n)))
 
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-        sides = batch.column(7).to_numpy()
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if e > s:
-                goes_on = held and held[-1].column(0)[0].as_py() == int(keys[s])
-                across = int(sides[s]) != 2
-                if held and not goes_on and (count + e - s > TOGETHER or across or alone):
-                    yield from given(held)
-                    held, count = [], 0
-                held.append(batch.slice(s, e - s))
-                count, alone = count + e - s, across
+        held.append(batch)
+        if sum(map(len, held)) >= TOGETHER:
+            t = pa.Table.from_batches(held)
+            keys = t["key"].to_numpy()
+            cuts = np.flatnonzero(keys != keys[-1])
+            if len(cuts):  # the last bucket may go on in the next batch
+                yield from given(t.slice(0, int(cuts[-1]) + 1))
+                held = t.slice(int(cuts[-1]) + 1).to_batches()
     if held:
-        yield from given(held)
+        yield from given(pa.Table.from_batches(held))
+
+
+def _noted(t: pa.Table, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sides, tables, marks and codes of rows."""
+    notes = np.frombuffer(b"".join(t["note"].to_pylist()), "<u2").reshape(t.num_rows, -1)
+    return t["key"].to_numpy(), t["side"].to_numpy(), notes[:, 2], notes[:, 3 : tables + 3], np.ascontiguousarray(notes[:, tables + 3 :]).view("<u8")
