@@ -1,5 +1,8 @@
 """Queries over all rows that they are for, with no cap on the way."""
 
+import pytest
+
+from tickloom.functions.shared import shared_dir
 from tickloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +23,16 @@ def test_sensitivity_band_has_every_line_with_a_gap(spark, tmp_path):
     want = [r for r in lines.collect() if r.l_partkey % 3 == 0 or r.l_suppkey % 4 == 0]
     assert len(got) == len({r.row_id for r in got}) == len(want) and all(r.low <= r.high for r in got)
     assert {int(r.row_id.split("-")[4]) for r in got} == {r.l_linenumber for r in want}
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
