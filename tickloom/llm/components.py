@@ -28,9 +28,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, max_rounds: int
         large = large.where("u <> v").distinct()
         small = _linked_to_least(large)
         small = small.select("u", F.col("m").alias("v")).unionAll(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        stars = stored(spark, small.where("u <> v").distinct(), f"{folder}/{k}")
+        before, stars = stars, stored(spark, small.where("u <> v").distinct(), f"{folder}/{k}")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if now == last:
+        if now == last and stars.join(before, ["u", "v"], "left_anti").isEmpty():  # as many links, and the same ones
             return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         last = now
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -48,19 +48,24 @@ def copies(rate: Column, key: Column) -> Column:
     return F.when(parts > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0), lambda a, j: a + one(j))).otherwise(F.lit(0))
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None, total: float = 1.0) -> DataFrame:
-    """All columns of docs, and _mix_copy (from 1), _mix_copies and _mix_order (the shuffle key) for each copy of each document; dealt and sorted by _mix_order.
+def mixed(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None, total: float = 1.0) -> DataFrame:
+    """A row for each copy of each document: row (all columns of docs as a struct, so that no name can clash), n_copies, copy_no (from 1) and mix_order, the shuffle key; dealt and sorted by that.
 
     A document of rate r occurs a Poisson-distributed number of times with mean r, always the same for its doc_id and the seed. Rows
     with the same doc_id occur equally often; a null doc_id counts as the text "null". Extra columns pass through unchanged. An empty
     table gives an empty result. A hot source is no hot task: its rows are only counted, after combining in each task.
     """
-    rate = rates(docs.select("source"), weights, total).withColumnsRenamed({"source": "_mix_source", "rate": "_mix_rate"})
+    rate = rates(docs.select("source"), weights, total).withColumnRenamed("source", "name")
     if rate.count() <= BROADCAST_SOURCES:
         rate = F.broadcast(rate)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = docs.join(rate, docs["source"].eqNullSafe(rate["_mix_source"])) if not docs.isEmpty() else docs.withColumns({"_mix_source": F.lit(None), "_mix_rate": F.lit(0.0)})
-    rows = rows.withColumn("_mix_copies", copies(F.col("_mix_rate"), key)).where("_mix_copies > 0")
-    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    rows = rows.withColumn("_mix_order", F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(SEED)), key, F.col("_mix_copy").cast("string"))))
-    return rows.drop("_mix_source", "_mix_rate").repartition("_mix_order").sortWithinPartitions("_mix_order")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
+    rows = rows.join(rate, F.col("row.source").eqNullSafe(F.col("name"))).select("row", copies(F.col("rate"), key).alias("n_copies")).where("n_copies > 0")
+    rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    rows = rows.withColumn("mix_order", F.md5(F.concat_ws("|", F.lit("order"), F.lit(str(SEED)), key, F.col("copy_no").cast("string"))))
+    return rows.repartition("mix_order").sortWithinPartitions("mix_order")
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None, total: float = 1.0) -> DataFrame:
+    """Each document as often as its source's weight says, in shuffled order, with its own columns; see mixed()."""
+    return mixed(spark, docs, weights, total).select("row.*")

@@ -36,8 +36,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.col("_mix_copy").cast("long").alias("copy_no"), F.col("_mix_copies").cast("long").alias("n_copies"), F.col("_mix_order").alias("mix_order"), "text")
+    mixed = mixing.mixed(spark, table(spark, sf_dir, "documents"))
+    return mixed.select("row.doc_id", "row.source", F.col("copy_no").cast("long").alias("copy_no"), F.col("n_copies").cast("long").alias("n_copies"), "mix_order", "row.text")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
