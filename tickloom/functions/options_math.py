@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Coefficients of the five-term approximation of the normal distribution.
@@ -51,3 +51,10 @@ def discount(rate_percent: Column, minutes_left: Column) -> Column:
 
 def premium_dollars(points: Column, contracts: Column) -> Column:
     return points * 100 * contracts
+
+
+def taylor(priced: DataFrame, grid: Column) -> DataFrame:
+    """priced rows with delta and gamma for each move of the underlying in grid, an array: moved, and the price's move to first and second order."""
+    rows = priced.withColumn("moved", F.explode(grid))
+    first = F.col("moved") * F.col("delta")
+    return rows.withColumns({"by_delta": first, "by_gamma": first + F.col("moved") * F.col("moved") / 2 * F.col("gamma")})

@@ -13,9 +13,13 @@ WINDOW = 3
 def ordered_buckets(buckets: DataFrame) -> DataFrame:
     """One row for each symbol and session: its buckets after those of the symbol's previous session, in order. Each: (today, bucket, start, high, low, close, complete)."""
     b = buckets.groupBy("symbol", "session_date").agg(F.array_sort(F.collect_list(F.struct("bucket", "start", "high", "low", "close", "complete"))).alias("b"))
+    # the previous session is found among dates alone; its buckets come by a join, so no task holds all sessions of a symbol
     w = Window.partitionBy("symbol").orderBy("session_date")
+    before = buckets.select("symbol", "session_date").distinct().withColumn("_before", F.lag("session_date").over(w))
+    earlier = b.select("symbol", F.col("session_date").alias("_before"), F.col("b").alias("_b"))
+    b = b.join(before, ["symbol", "session_date"]).join(earlier, ["symbol", "_before"], "left")
     marked = lambda c, today: F.transform(c, lambda x: F.struct(F.lit(today).alias("today"), *[x[k].alias(k) for k in ("bucket", "start", "high", "low", "close", "complete")]))
-    return b.select("symbol", "session_date", F.concat(F.coalesce(marked(F.lag("b").over(w), False), F.array()), marked(F.col("b"), True)).alias("buckets"))
+    return b.select("symbol", "session_date", F.concat(F.coalesce(marked(F.col("_b"), False), F.array()), marked(F.col("b"), True)).alias("buckets"))
 
 
 _STATE = "struct<ema:double,seeds:array<double>,prev:struct<bucket:int,close:double,ema:double>,points:array<struct<bucket:int,ema:double>>,episodes:array<struct<side:string,status:string,crossed:int,retested:int,ended:int,cross_price:double,confirm_price:double>>>"

@@ -15,6 +15,8 @@ from .network import NODES, components, edge_participation, largest_clusters, ma
 RIDGE = 1e-8
 GUARD = 6.0
 MOST_FEATURES, MOST_NODES, LEAST_SECTORS = 4, 2, 9
+#: Saved draws are broadcast.
+MOST_DRAWS = 1024
 
 
 def status(present: Column, off_grid: Column, duplicate: Column, valid: Column) -> Column:
@@ -64,8 +66,10 @@ def conditioned(rows: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def drawn(estimates: DataFrame, draws: DataFrame) -> DataFrame:
-    """Every estimate under every saved normal draw (draw_id, z array): (row_id, version_id, draw_id, missing, values). draws is a fixed small table."""
-    rows = estimates.where("estimates is not null and factor is not null").join(F.broadcast(draws.limit(1024)), F.lit(True))
+    """Every estimate under every saved normal draw (draw_id, z array): (row_id, version_id, draw_id, missing, values). Over MOST_DRAWS draws are an error."""
+    if draws.count() > MOST_DRAWS:
+        raise ValueError(f"at most {MOST_DRAWS} draws")
+    rows = estimates.where("estimates is not null and factor is not null").join(F.broadcast(draws), F.lit(True))
     moved = F.zip_with("estimates", F.transform("factor", lambda r: F.aggregate(F.zip_with(r, F.slice("z", 1, F.size(r)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)), lambda a, b: a + b)
     return rows.select("row_id", "version_id", "draw_id", "missing", moved.alias("values"))
 
@@ -89,7 +93,10 @@ def rebuilt(rows: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     (keys, sector_signed_breadth, bullish/bearish cluster and edge-weight fractions): the same steps as for live nodes, keyed by row and draw.
     """
     s = rows.withColumn("sign", macro_sign(F.col("return_5"), F.col("vwap_gap"))).withColumnRenamed("symbol", "node")
-    graph = s.join(links.select("graph_id").distinct().limit(1), F.lit(True))  # one row
+    graphs = links.select("graph_id").distinct()
+    if graphs.count() > 1:
+        raise ValueError("links of one graph are wanted")
+    graph = s.join(graphs, F.lit(True))  # one row
     edges = edge_participation(links, graph.select(*keys, "graph_id", "node", "sign"), keys)
     live = s.where("sign <> 0")
     a, b = live.select(*keys, "sign", F.col("node").alias("a")), live.select(*keys, "sign", F.col("node").alias("b"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
 
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-#: (sessions, symbols, minutes, first minute): with gaps; without gaps; with a premarket.
+#: Orders that fill the sessions of a shape once; the next ones fill new sessions, so these grow with the table at one density.
+FILL = 15_000
+#: (sessions of a fill, symbols, minutes, first minute): with gaps; without gaps; with a premarket.
 GAPS, DENSE, PRE = (3, 13, 390, 570), (1, 13, 130, 570), (3, 13, 420, 540)
 
 
@@ -16,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def day_number(k: int) -> Column:
+    return (F.floor(F.col("l_orderkey") / FILL) * k + F.col("l_orderkey") % k).cast("int")
+
+
 def ticks(spark: SparkSession, sf_dir: str, shape: tuple[int, int, int, int]) -> DataFrame:
     k, s, m, first = shape
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.concat(F.lit("S"), F.lpad((F.col("l_partkey") % s).cast("string"), 2, "0")).alias("symbol"), F.date_add(F.lit("2026-01-05").cast("date"), (F.col("l_orderkey") % k).cast("int")).alias("session_date"), (first + (F.col("l_partkey") * 31 + F.col("l_orderkey") * 7 + F.col("l_linenumber")) % m).cast("int").alias("minute"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"), *ORDER)
+    return li.select(F.concat(F.lit("S"), F.lpad((F.col("l_partkey") % s).cast("string"), 2, "0")).alias("symbol"), F.date_add(F.lit("2026-01-05").cast("date"), day_number(k)).alias("session_date"), (first + (F.col("l_partkey") * 31 + F.col("l_orderkey") * 7 + F.col("l_linenumber")) % m).cast("int").alias("minute"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"), *ORDER)
 
 
 def bars(spark: SparkSession, sf_dir: str, shape: tuple[int, int, int, int] = GAPS) -> DataFrame:
@@ -28,7 +34,7 @@ def bars(spark: SparkSession, sf_dir: str, shape: tuple[int, int, int, int] = GA
 
 def ticks_sql(shape: tuple[int, int, int, int]) -> str:
     k, s, m, first = shape
-    return f"""ticks as (select 'S' || lpad((l_partkey % {s})::varchar, 2, '0') symbol, date '2026-01-05' + (l_orderkey % {k})::int session_date,
+    return f"""ticks as (select 'S' || lpad((l_partkey % {s})::varchar, 2, '0') symbol, date '2026-01-05' + (l_orderkey // {FILL} * {k} + l_orderkey % {k})::int session_date,
         ({first} + (l_partkey * 31 + l_orderkey * 7 + l_linenumber) % {m})::int as minute, l_extendedprice / l_quantity price, l_quantity size, {', '.join(ORDER)} from lineitem)"""
 
 

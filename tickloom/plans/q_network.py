@@ -139,12 +139,14 @@ def quarantined(spark, d):
 # Scoring
 
 
-def registry(spark) -> DataFrame:
-    """Two models over three features, made from a rule: horizons 30 and 60."""
-    order = ["return_5", "vwap_gap", "return_1"]
-    rows = [(f"m{h}", "base", h, "2026-01-01", "2026-01-31", "2025-12-31", 400, 90, True, order, [0.0, 0.1, 0.0], [1.0, 2.0, 0.5], [-0.2, 0.4 * h / 30, -0.1, 0.05]) for h in (30, 60)]
-    df = spark.createDataFrame(rows, "model_id string, family string, horizon int, valid_from string, valid_to string, train_end string, training_rows int, training_days int, converged boolean, feature_order array<string>, mean array<double>, scale array<double>, beta array<double>")
-    return df.withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to", "train_end")})
+def registry(spark, d) -> DataFrame:
+    """Two models over three features for each month of the tape, made from a rule: horizons 30 and 60."""
+    months = X.table(spark, d, "lineitem").select(F.trunc(F.date_add(F.lit("2026-01-05").cast("date"), X.day_number(X.DENSE[0])), "month").alias("valid_from")).distinct()
+    h = F.explode(F.array(F.lit(30), F.lit(60)))
+    numbers = lambda *xs: F.array(*map(F.lit, xs))
+    return months.select("valid_from", F.last_day("valid_from").alias("valid_to"), F.date_sub("valid_from", 1).alias("train_end"), h.alias("horizon")).select(
+        F.concat(F.lit("m"), "horizon").alias("model_id"), F.lit("base").alias("family"), "horizon", "valid_from", "valid_to", "train_end", F.lit(400).alias("training_rows"), F.lit(90).alias("training_days"), F.lit(True).alias("converged"),
+        numbers("return_5", "vwap_gap", "return_1").alias("feature_order"), numbers(0.0, 0.1, 0.0).alias("mean"), numbers(1.0, 2.0, 0.5).alias("scale"), F.array(F.lit(-0.2), F.lit(0.4) * F.col("horizon") / 30, F.lit(-0.1), F.lit(0.05)).alias("beta"))
 
 
 def _vectors(spark, d) -> DataFrame:
@@ -160,7 +162,7 @@ SCORES = STATES + """, sc as (select symbol, session_date, minute, hz horizon, -
 
 @query(f"with {SCORES} select symbol, session_date, minute::bigint as minute, horizon::bigint horizon, round(lo + 1e-9, 6) + 0.0 log_odds, round(p + 1e-9, 6) + 0.0 p_up, case when p > 0.55 then 'bullish' when p < 0.45 then 'bearish' when p is not null then 'neutral' end direction, case when minute < 635 then 'warming' when minute + 1 + horizon > 700 then 'beyond the close' end reason from sp")
 def logistic_scores(spark, d):
-    rows = R.valid_on(_vectors(spark, d), R.usable_models(registry(spark)))
+    rows = R.valid_on(_vectors(spark, d), R.usable_models(registry(spark, d)))
     s = R.scored(rows)
     return rounded(s.select("symbol", "session_date", "minute", "horizon", "log_odds", "p_up", "direction", R.horizon_gate(F.col("minute"), F.col("horizon"), F.lit(700)).alias("reason")))
 
@@ -168,14 +170,14 @@ def logistic_scores(spark, d):
 @query(f"""with {STATES}, c as (select symbol, session_date, minute, 0.4::double * return_5 a, -0.1::double * (vwap_gap - 0.1::double) / 2 b, 0.05::double * return_1 / 0.5::double c from states where symbol <= 'S10' and return_5 is not null and vwap_gap is not null and return_1 is not null)
     select symbol, session_date, minute::bigint as minute, round(a + 1e-9, 6) + 0.0 return_5, round(b + 1e-9, 6) + 0.0 vwap_gap, round(c + 1e-9, 6) + 0.0 return_1, case when abs(a) >= abs(b) and abs(a) >= abs(c) then 'return_5' when abs(b) >= abs(c) then 'vwap_gap' else 'return_1' end strongest from c""")
 def score_contributions(spark, d):
-    rows = R.scored(R.valid_on(_vectors(spark, d), R.usable_models(registry(spark)).where("horizon = 30"))).where("log_odds is not null")
+    rows = R.scored(R.valid_on(_vectors(spark, d), R.usable_models(registry(spark, d)).where("horizon = 30"))).where("log_odds is not null")
     by = F.map_from_entries(F.transform("contributions", lambda x: F.struct(x["feature"], x["log_odds"])))
     return rounded(rows.select("symbol", "session_date", "minute", *[by[f].alias(f) for f in ("return_5", "vwap_gap", "return_1")], F.col("contributions")[0]["feature"].alias("strongest")))
 
 
 @query(f"with {SCORES}, v as (select symbol, session_date, minute, max(p) filter (horizon = 30 and minute % 3 = 0) i, max(p) filter (horizon = 60 and minute % 3 <> 1) a, max(p) filter (horizon = 30) f from sp group by all) select symbol, session_date, minute::bigint as minute, case when i is not null then 'interaction' when a is not null then 'additive' when f is not null then 'missing-input' end model, round(coalesce(i, a, f) + 1e-9, 6) + 0.0 p_up from v")
 def forecast_choice(spark, d):
-    s = R.scored(R.valid_on(_vectors(spark, d), R.usable_models(registry(spark))))
+    s = R.scored(R.valid_on(_vectors(spark, d), R.usable_models(registry(spark, d))))
     h, m = F.col("horizon"), F.col("minute")
     v = s.groupBy("symbol", "session_date", "minute").agg(F.max(F.when((h == 30) & (m % 3 == 0), F.col("p_up"))).alias("i"), F.max(F.when((h == 60) & (m % 3 != 1), F.col("p_up"))).alias("a"), F.max(F.when(h == 30, F.col("p_up"))).alias("f"))
     pick = R.chosen_view(F.col("i"), F.col("a"), F.col("f"))
@@ -198,31 +200,39 @@ def matrix_checks(spark, d):
     return R.matrix_report(m)
 
 
-def _observed(lines: DataFrame, *also: str) -> DataFrame:
-    """Lines as rows with missing values; also: further columns of row_id."""
+def _lines(spark, d) -> DataFrame:
+    """Every line as a row of three measures, some of them missing."""
     a, b = F.col("l_quantity") / 50, F.col("l_discount") * 10
-    return lines.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", *also).alias("row_id"), F.lit("v").alias("version_id"), F.array(a, F.when(F.col("l_partkey") % 3 == 0, F.lit(None)).otherwise(b), F.when(F.col("l_suppkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_tax") * 100 / 2)).alias("x"))
+    key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return X.table(spark, d, "lineitem").select(key.alias("row_id"), F.lit("v").alias("version_id"), F.array(a, F.when(F.col("l_partkey") % 3 == 0, F.lit(None)).otherwise(b), F.when(F.col("l_suppkey") % 4 == 0, F.lit(None)).otherwise(F.col("l_tax") * 100 / 2)).alias("x")).distinct()
 
 
 def _version(spark) -> DataFrame:
     return spark.createDataFrame([("v", [0.5, 0.5, 2.0], [0.25, 0.25, 1.0], [[1.0, 0.6, 0.2], [0.6, 1.0, 0.1], [0.2, 0.1, 1.0]])], "version_id string, mean array<double>, scale array<double>, cov array<array<double>>")
 
 
-@query("""with r as (select concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_extendedprice) row_id, (l_quantity / 50 - 0.5::double) / 0.25::double za, (l_discount * 10 - 0.5::double) / 0.25::double zb, l_tax * 100 / 2 - 2.0::double zc, l_partkey % 3 = 0 mb, l_suppkey % 4 = 0 mc from lineitem where l_linenumber = 1),
-    e as (select row_id, mb, mc, case when mb and mc then 0.6::double * za when mb then ((0.6::double - 0.02::double) * za + (0.1::double - 0.12::double) * zc) / 0.96::double when mc then ((0.2::double - 0.06::double) * za + (0.1::double - 0.12::double) * zb) / 0.64::double end e1, case when mb and mc then 0.2::double * za end e2, greatest(abs(za), case when mb then 0 else abs(zb) end, case when mc then 0 else abs(zc) end) > 6 far from r)
-    select row_id, case when not far then round(e1 + 1e-9, 5) + 0.0 end first_estimate, case when not far then round(e2 + 1e-9, 5) + 0.0 end second_estimate from e""")
+#: Lines with their standardised values; w: weights, v: variances and the 2 x 2 factor, with the ridge, in closed form.
+OBSERVED = """r as (select distinct concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_linenumber, l_quantity, l_discount, l_tax) row_id, (l_quantity / 50 - 0.5::double) / 0.25::double za, (l_discount * 10 - 0.5::double) / 0.25::double zb, l_tax * 100 / 2 - 2.0::double zc, l_partkey % 3 = 0 mb, l_suppkey % 4 = 0 mc from lineitem),
+    w as (select 1.00000001::double d, 1.00000001::double * 1.00000001::double - 0.04::double dac, 1.00000001::double * 1.00000001::double - 0.36::double dab),
+    k as (select 0.6::double / d wb, 0.2::double / d wc, (0.6::double * d - 0.02::double) / dac wba, (0.1::double * d - 0.12::double) / dac wbc, (0.2::double * d - 0.06::double) / dab wca, (0.1::double * d - 0.12::double) / dab wcb from w),
+    e as (select row_id, mb, mc, k.*, case when mb and mc then wb * za when mb then wba * za + wbc * zc when mc then wca * za + wcb * zb end e1, case when mb and mc then wc * za end e2, greatest(abs(za), case when mb then 0 else abs(zb) end, case when mc then 0 else abs(zc) end) > 6 far from r, k)"""
+
+
+@query(f"""with {OBSERVED} select row_id, case when not far then round(e1 + 1e-9, 5) + 0.0 end first_estimate, case when not far then round(e2 + 1e-9, 5) + 0.0 end second_estimate from e""")
 def conditional_estimates(spark, d):
-    """Missing values of three correlated measures from the others, checked against the closed form."""
-    got = I.conditioned(_observed(X.table(spark, d, "lineitem").where("l_linenumber = 1")), _version(spark))  # as the SQL
+    """Missing values of three correlated measures from the others, for every line, checked against the closed form. Lines that are equal in key and values are one row."""
+    got = I.conditioned(_lines(spark, d), _version(spark))
     return rounded(got.select("row_id", F.try_element_at("estimates", F.lit(1)).alias("first_estimate"), F.try_element_at("estimates", F.lit(2)).alias("second_estimate")), 5)
 
 
-@query()
+@query(f"""with {OBSERVED}, f as (select *, case when mb and mc then sqrt(1.00000001::double - 0.6::double * wb) when mb then sqrt(1.00000001::double - 0.6::double * wba - 0.1::double * wbc) else sqrt(1.00000001::double - 0.2::double * wca - 0.1::double * wcb) end l1, (0.1::double - (0.6::double * wc + 0.2::double * wb) / 2) l21 from e where (mb or mc) and not far),
+    g as (select *, sin(id * 12.9898::double) * 1.5::double z1, sin(id * 12.9898::double + 1) * 1.5::double z2 from f, range(0, 64) t(id)),
+    p as (select row_id, -0.2::double + 0.4::double * (e1 + l1 * z1) + case when mb and mc then 0.4::double * (e2 + l21 / l1 * z1 + sqrt(1.00000001::double - 0.2::double * wc - l21 / l1 * l21 / l1) * z2) else 0 end lo from g),
+    q as (select row_id, quantile_cont(1 / (1 + exp(-lo)), [0.1, 0.9]) q from p group by row_id) select row_id, round(q[1] + 1e-9, 6) + 0.0 low, round(q[2] + 1e-9, 6) + 0.0 high from q""")
 def sensitivity_band(spark, d):
-    """64 saved draws for each estimate of every line, scored, and their 10 % and 90 % quantiles. Lines that are equal in key and values are one row."""
+    """64 saved draws for each estimate of every line, scored, and their 10 % and 90 % quantiles."""
     draws = spark.range(64).select(F.col("id").cast("int").alias("draw_id"), F.array(*[F.sin(F.col("id") * 12.9898 + k) * 1.5 for k in range(4)]).alias("z"))
-    rows = _observed(X.table(spark, d, "lineitem"), "l_linenumber", "l_quantity", "l_discount", "l_tax").distinct()
-    got = I.drawn(I.conditioned(rows, _version(spark)), draws)
+    got = I.drawn(I.conditioned(_lines(spark, d), _version(spark)), draws)
     p = got.select("row_id", sigmoid(F.aggregate("values", F.lit(-0.2), lambda a, v: a + 0.4 * v)).alias("p"))
     return rounded(I.band(p, "row_id"))
 

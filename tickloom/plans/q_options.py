@@ -71,13 +71,12 @@ def greek_audit(spark, d):
     return rounded(gaps, 4)
 
 
-@query(_bs_sql("""select p_partkey, moved::bigint moved, round(moved * (case when "right" = 'CALL' then n1 else n1 - 1 end) + 1e-9, 6) + 0.0 by_delta, round(moved * (case when "right" = 'CALL' then n1 else n1 - 1 end) + moved * moved / 2 * (pdf / (spot * iv * root)) + 1e-9, 6) + 0.0 by_gamma from b3, range(-40, 41) t(moved) where p_partkey % 20 = 0"""))
+@query(_bs_sql("""select p_partkey, moved::bigint moved, round(moved * (case when "right" = 'CALL' then n1 else n1 - 1 end) + 1e-9, 6) + 0.0 by_delta, round(moved * (case when "right" = 'CALL' then n1 else n1 - 1 end) + moved * moved / 2 * (pdf / (spot * iv * root)) + 1e-9, 6) + 0.0 by_gamma from b3, range(-40, 41) t(moved)"""))
 def taylor_moves(spark, d):
-    """First and second-order moves of the price over an 81-point grid, for every twentieth contract of the study."""
-    c = _contracts(spark, d).where("p_partkey % 20 = 0")
-    rows = c.withColumn("g", _priced(c)).withColumn("moved", F.explode(F.sequence(F.lit(-40), F.lit(40))))
-    first = F.col("moved") * F.col("g.delta")
-    return rounded(rows.select("p_partkey", "moved", first.alias("by_delta"), (first + F.col("moved") * F.col("moved") / 2 * F.col("g.gamma")).alias("by_gamma")))
+    """First and second-order moves of the price over an 81-point grid, for every contract."""
+    c = _contracts(spark, d)
+    priced = c.withColumn("g", _priced(c)).select("p_partkey", "g.delta", "g.gamma")
+    return rounded(O.taylor(priced, F.sequence(F.lit(-40), F.lit(40))).select("p_partkey", "moved", "by_delta", "by_gamma"))
 
 
 @query(f"""with {CHAIN}, g as (select *, gamma >= 0 and open_interest >= 0 and spot > 0 and ts <= cutoff and oi_ts <= cutoff ok, gamma * open_interest * 100 * spot * spot * 0.01::double v from (select *, timestamp '2026-01-05 19:00:00' + to_days((l_orderkey % 3)::int) cutoff from chain))
@@ -136,11 +135,11 @@ def side_coherence(spark, d):
     return H.side_coherent(c).select("l_orderkey", "l_linenumber", "l_partkey", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen_at"))
 
 
-@query(LATEST + """, oi as (select session_date, root, expiration, strike, "right", max(oi_ts) t, max(open_interest) o from chain where l_linenumber = 1 group by all)
+@query(LATEST + """, oi as (select session_date, root, expiration, strike, "right", max(oi_ts) t, max(open_interest) o from chain group by all)
     select l.session_date, l.strike, l."right", case when oi.t <= l.ts then oi.o end open_interest from latest l left join oi on oi.expiration = l.expiration and oi.strike = l.strike and oi."right" = l."right" """)
 def interest_join(spark, d):
     c = chain(spark, d)
-    oi = c.where("l_linenumber = 1").groupBy(*H.CONTRACT).agg(F.max("oi_ts").alias("oi_ts"), F.max("open_interest").alias("open_interest"))
+    oi = c.groupBy(*H.CONTRACT).agg(F.max("oi_ts").alias("oi_ts"), F.max("open_interest").alias("open_interest"))
     q = H.latest_per_contract(c, "session_date").drop("open_interest", "oi_ts")
     return H.with_open_interest(q, oi).select("session_date", "strike", "right", "open_interest")
 
@@ -193,12 +192,12 @@ def option_validity(spark, d):
     return q.select("l_orderkey", "l_linenumber", "l_partkey", C.valid_option().alias("valid"))
 
 
-@query(LATEST + """, n as (select session_date, max(ts) spot_ts from latest group by all), oi as (select session_date, root, expiration, strike, "right", max(oi_ts) t, max(open_interest) o from chain where l_linenumber = 1 group by all)
+@query(LATEST + """, n as (select session_date, max(ts) spot_ts from latest group by all), oi as (select session_date, root, expiration, strike, "right", max(oi_ts) t, max(open_interest) o from chain group by all)
     select l.session_date, l.strike, l."right", case when abs(date_diff('second', greeks_ts, ts)) <= 60 and abs(date_diff('second', underlying_ts, ts)) <= 60 then gamma end gamma, case when oi.t <= l.ts then oi.o end open_interest from latest l join n using (session_date) left join oi on oi.expiration = l.expiration and oi.strike = l.strike and oi."right" = l."right" where date_diff('second', ts, spot_ts) <= 1200""")
 def snapshot(spark, d):
     """Latest contracts near the spot's time, with coherent greeks and known interest."""
     c = chain(spark, d)
-    oi = c.where("l_linenumber = 1").groupBy(*H.CONTRACT).agg(F.max("oi_ts").alias("oi_ts"), F.max("open_interest").alias("open_interest"))
+    oi = c.groupBy(*H.CONTRACT).agg(F.max("oi_ts").alias("oi_ts"), F.max("open_interest").alias("open_interest"))
     q = H.latest_per_contract(c, "session_date").drop("open_interest", "oi_ts")
     near = H.near_spot(q, q.groupBy("session_date").agg(F.max("ts").alias("spot_ts")), "session_date", seconds=1200)
     return H.assembled(near, oi).select("session_date", "strike", "right", "gamma", "open_interest")
