@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from . import news_rules as R
 
+#: Age beyond which a snapshot or its provider is stale.
+MOST_AGE = "5 minutes"
 DASHES = "[‐-―]"
 LONGEST = 600
 
@@ -22,37 +25,58 @@ def _plain(title: Column) -> Column:
 MOST_RULES = 1000
 
 
-def _rows(table: DataFrame) -> list:
+def _rows(table: DataFrame | list[dict]) -> list[dict]:
     """A rule table as literals, so that each pattern is compiled once for a task and not for each row."""
-    rows = table.limit(MOST_RULES + 1).collect()
+    if isinstance(table, list):
+        return table
+    rows = [r.asDict() for r in table.limit(MOST_RULES + 1).collect()]
     if len(rows) > MOST_RULES:
         raise ValueError(f"a rule table may have {MOST_RULES} rows")
     return rows
 
 
-def _hits(rows: DataFrame, text: str, rules: DataFrame) -> DataFrame:
+def _hits(rows: DataFrame, text: str, rules: DataFrame | list[dict]) -> DataFrame:
     """rows for each rule whose pattern is in the text: adds nth, rule, direction and cue."""
     found = [F.when(F.col(text).rlike(r["pattern"]), F.struct(F.lit(r["nth"]).alias("nth"), F.lit(r["rule"]).alias("rule"), F.lit(r["direction"]).alias("direction"), F.regexp_extract(text, r["pattern"], 0).alias("cue"))) for r in _rows(rules)]
     out = rows.withColumn("_m", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
     return out.select(*rows.columns, "_m.nth", "_m.rule", "_m.direction", "_m.cue")
 
 
-def macro_cues(spark: SparkSession, headlines: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def _once(headlines: DataFrame, cues) -> DataFrame:
+    """cues(titles) joined back to the articles: a title that several articles have, as corrections and copies do, is read once. titles: (article_id, title), the title as its own key."""
+    rows = headlines.where("title is not null").select("article_id", "title")
+    titles = _kept(rows.select("title").distinct())  # else filters on titles would be made before they are distinct
+    found = cues(titles.select(F.col("title").alias("article_id"), "title")).withColumnRenamed("article_id", "_title")
+    return rows.join(found, F.col("title") == F.col("_title")).drop("title", "_title")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again, as several branches use it."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def macro_cues(spark: SparkSession, headlines: DataFrame, rules: DataFrame | list[dict] | None = None) -> DataFrame:
     """(article_id, rule, direction, cue): for each rule the first clause that matches it. Long titles and questions have none, nor do hedged clauses."""
-    rules = rules if rules is not None else R.rule_table(spark)
-    ok = headlines.where((F.length("title") <= LONGEST) & ~F.contains(F.col("title"), F.lit("?")))
-    clauses = ok.select("article_id", F.posexplode(F.split(F.regexp_replace("title", DASHES, "-"), R.CLAUSES)).alias("at", "clause")).where(~F.col("clause").rlike("(?i)" + R.HEDGED))
-    return _hits(clauses, "clause", rules).groupBy("article_id", "rule", "direction", "nth").agg(F.min_by("cue", "at").alias("cue")).drop("nth")
+    rules = rules if rules is not None else R.rule_rows()
+
+    def cues(titles: DataFrame) -> DataFrame:
+        ok = titles.where((F.length("title") <= LONGEST) & ~F.contains(F.col("title"), F.lit("?")))
+        clauses = ok.select("article_id", F.posexplode(F.split(F.regexp_replace("title", DASHES, "-"), R.CLAUSES)).alias("at", "clause")).where(~F.col("clause").rlike("(?i)" + R.HEDGED))
+        return _hits(clauses, "clause", rules).groupBy("article_id", "rule", "direction", "nth").agg(F.min_by("cue", "at").alias("cue")).drop("nth")
+
+    return _once(headlines, cues)
 
 
 def _hinted(row) -> Column:
     """An issuer row's hint: lower-case letters that any match must hold. Looking for them is much cheaper than the pattern."""
-    return F.contains(F.col("_low"), F.lit(row["hint"])) if "hint" in row.asDict() else F.lit(True)
+    return F.contains(F.col("_low"), F.lit(row["hint"])) if "hint" in row else F.lit(True)
 
 
-def mentions(spark: SparkSession, texts: DataFrame, issuers: DataFrame | None = None) -> DataFrame:
+def mentions(spark: SparkSession, texts: DataFrame, issuers: DataFrame | list[dict] | None = None) -> DataFrame:
     """texts (key, text): every issuer mention (key, ticker, sector, start, end, name), those inside a longer one of the same issuer left out."""
-    issuers = issuers if issuers is not None else R.issuer_table(spark)
+    issuers = issuers if issuers is not None else R.issuer_rows()
     # occurrence by occurrence: what precedes the n-th match is where the text splits
     found = [F.when(_hinted(r) & F.col("text").rlike(r["pattern"]), F.struct(F.lit(r["ticker"]).alias("ticker"), F.lit(r["sector"]).alias("sector"), F.regexp_extract_all("text", F.lit(r["pattern"]), 0).alias("found"), F.split("text", r["pattern"], -1).alias("between"))) for r in _rows(issuers)]
     low = texts.where(F.length("text") <= LONGEST).withColumn("_low", F.lower("text"))
@@ -67,15 +91,19 @@ def mentions(spark: SparkSession, texts: DataFrame, issuers: DataFrame | None =
 
 
 def company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
-    """(article_id, rule, direction, ticker, sector, scope): cues about a named issuer, or the chip industry when a clause names none."""
+    """(article_id, rule, direction, ticker, sector, scope, cue): cues about a named issuer, or the chip industry when a clause names none, each with the words of its first place."""
+    return _once(headlines, lambda titles: _company_cues(spark, titles))
+
+
+def _company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
     plain = _plain(F.col("title"))
     ok = headlines.select("article_id", plain.alias("title")).where((F.length("title") <= LONGEST) & ~F.contains(F.col("title"), F.lit("?")) & ~F.col("title").rlike("(?i)" + R.RETROSPECTIVE))
     clauses = ok.select("article_id", F.posexplode(F.split("title", R.COMPANY_CLAUSES)).alias("at", "clause")).select(F.struct("article_id", "at").alias("key"), F.trim("clause").alias("text"))
-    found = mentions(spark, clauses)
+    clauses = _kept(clauses)
     w = Window.partitionBy("key").orderBy("start", F.desc("end"), "ticker")
     # next mention of a different issuer: the next start whose ticker is another
     later = F.collect_list(F.struct("start", "ticker")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    found = found.withColumn("next", F.try_element_at(F.filter(later, lambda x: x["ticker"] != F.col("ticker")), F.lit(1))["start"])
+    found = _kept(mentions(spark, clauses).withColumn("next", F.try_element_at(F.filter(later, lambda x: x["ticker"] != F.col("ticker")), F.lit(1))["start"]))
     rows = found.join(clauses, "key")
     tail = F.substring(F.col("text"), F.col("end") + 1, F.coalesce("next", F.length("text")) - F.col("end"))
     tail = F.trim(F.regexp_replace(tail, r"^\s*(?:'s\s+)?(?:\([^)]*\)\s*)?", ""))
@@ -83,17 +111,55 @@ def company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
     hedged = F.col("tail").rlike("(?i)" + R.COMPANY_HEDGED) | F.col("prefix").rlike("(?i)" + R.COMPANY_HEDGED)
     about = F.col("next").isNotNull() & F.col("tail").rlike(r"(?i)\b(?:forecast|outlook|estimate|rating|price target)s?\b") & F.col("tail").rlike(r"(?i)\b(?:for|on|about|at)\s*$")
     rows = rows.where(~hedged & ~about)
-    out = ["key", "rule", "direction", "ticker", "sector"]
-    by_tail = _hits(rows, "tail", R.rule_table(spark, R.COMPANY)).select(*out)
-    by_prefix = _hits(rows, "prefix", R.rule_table(spark, R.PREFIX)).where("rule <> 'company-export-restriction' or next is null").select(*out)
+    out = lambda cue, start: ["key", "rule", "direction", "ticker", "sector", cue.alias("cue"), start.alias("start")]
+    by_tail = _hits(rows, "tail", R.rule_rows(R.COMPANY)).select(*out(F.concat_ws(" ", "name", "cue"), F.col("start")))
+    by_prefix = _hits(rows, "prefix", R.rule_rows(R.PREFIX)).where("rule <> 'company-export-restriction' or next is null").select(*out(F.col("text"), F.col("start")))
     # clauses that name nobody
     bare = clauses.join(found.select("key").distinct(), "key", "left_anti").where(~F.col("text").rlike("(?i)" + R.COMPANY_HEDGED))
-    single = mentions(spark, ok.select(F.struct("article_id", F.lit(-1).alias("at")).alias("key"), F.col("title").alias("text"))).groupBy(F.col("key.article_id").alias("article_id")).agg(F.count_distinct("ticker").alias("n"), F.first("ticker").alias("ticker"), F.first("sector").alias("sector")).where("n = 1")
+    single = named(spark, ok).where("size(tickers) = 1").select("article_id", F.col("tickers")[0].alias("ticker"), F.col("sectors")[0].alias("sector"))
     own = bare.where(F.col("text").rlike("(?i)" + R.OWN_CLAUSE)).withColumn("article_id", F.col("key.article_id")).join(single, "article_id").withColumn("tail", F.regexp_replace("text", r"(?i)^its\s+", ""))
-    by_own = _hits(own, "tail", R.rule_table(spark, R.COMPANY)).select(*out)
-    industry = _hits(bare, "text", R.rule_table(spark, R.INDUSTRY)).select("key", "rule", "direction", F.lit(None).cast("string").alias("ticker"), F.lit("XLK").alias("sector"))
+    by_own = _hits(own, "tail", R.rule_rows(R.COMPANY)).select(*out(F.col("cue"), F.lit(0)))
+    industry = _hits(bare, "text", R.rule_rows(R.INDUSTRY)).select("key", "rule", "direction", F.lit(None).cast("string").alias("ticker"), F.lit("XLK").alias("sector"), "cue", F.lit(0).alias("start"))
     every = by_tail.unionByName(by_prefix).unionByName(by_own).withColumn("scope", F.lit("company")).unionByName(industry.withColumn("scope", F.lit("industry")))
-    return every.select(F.col("key.article_id").alias("article_id"), "rule", "direction", "ticker", "sector", "scope").distinct()
+    return every.groupBy(F.col("key.article_id").alias("article_id"), "rule", "direction", "ticker", "sector", "scope").agg(F.min_by("cue", F.struct("key.at", "start")).alias("cue"))
+
+
+def named(spark: SparkSession, headlines: DataFrame) -> DataFrame:
+    """(article_id, tickers, sectors): the issuers that a whole title names, sorted; articles that name none are left out."""
+    found = mentions(spark, headlines.select(F.col("article_id").alias("key"), _plain(F.col("title")).alias("text")))
+    return found.groupBy(F.col("key").alias("article_id")).agg(F.array_sort(F.collect_set("ticker")).alias("tickers"), F.array_sort(F.collect_set("sector")).alias("sectors"))
+
+
+def _sorted_union(*arrays: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]))))
+
+
+def relevant_headlines(spark: SparkSession, headlines: DataFrame, cues: DataFrame | None = None) -> DataFrame:
+    """Headlines that name an issuer or the technology sector: (article_id, topics, tickers, sectors, classification, evidence).
+
+    classification is UNCERTAIN where no cue says a direction; missing direction is not neutral. cues: as company_cues gives them, where they are there already.
+    """
+    cues = cues if cues is not None else company_cues(spark, headlines)
+    said = cues.groupBy("article_id").agg(F.array_sort(F.collect_set("direction")).alias("directions"), F.collect_set("ticker").alias("_t"), F.collect_set("sector").alias("_s"), F.count("*").alias("evidence"))
+    title = _plain(F.col("title"))
+    topics = F.filter(F.array(*[F.when(title.rlike("(?i)" + p), n) for n, p in R.TOPICS]), lambda x: x.isNotNull())
+    rows = headlines.where(F.length("title") <= LONGEST).select("article_id", topics.alias("topics"), title.rlike("(?i)" + R.ECOSYSTEM).alias("_technology"))
+    rows = rows.join(_once(headlines, lambda titles: named(spark, titles)), "article_id", "left").join(said, "article_id", "left").where("_technology or tickers is not null")
+    other = F.array(F.when(F.col("tickers").isNotNull(), R.OTHER_COMPANY).otherwise(R.OTHER_TECHNOLOGY))
+    directions = F.coalesce("directions", F.array().cast("array<string>"))
+    return rows.select("article_id", F.when(F.size("topics") > 0, F.col("topics")).otherwise(other).alias("topics"), _sorted_union(F.col("tickers"), F.col("_t")).alias("tickers"), _sorted_union(F.col("sectors"), F.col("_s")).alias("sectors"), classification(directions).alias("classification"), F.coalesce("evidence", F.lit(0)).alias("evidence"))
+
+
+def relevance_routes(spark: SparkSession, headlines: DataFrame) -> DataFrame:
+    """(article_id, rule, target, tickers, topics): which sector a headline mentions, by its issuers, or by the computing topic where it names none. No direction."""
+    title = _plain(F.col("title"))
+    rows = headlines.select("article_id", title.rlike("(?i)" + R.COMPUTING).alias("computing"))
+    by_title = lambda titles: mentions(spark, titles.select(F.col("article_id").alias("key"), _plain(F.col("title")).alias("text"))).groupBy(F.col("key").alias("article_id"), F.col("sector").alias("target")).agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
+    issuers = _once(headlines, by_title).where(F.col("target").isin(*R.ALL))
+    words = F.when(F.col("computing"), F.array(F.lit("Company reference"), F.lit("AI / computing"))).otherwise(F.array(F.lit("Company reference")))
+    company = rows.join(issuers, "article_id").select("article_id", F.lit("company-mentioned-sector").alias("rule"), "target", "tickers", words.alias("topics"))
+    topic = rows.where("computing").join(issuers.select("article_id").distinct(), "article_id", "left_anti")
+    return company.unionByName(topic.select("article_id", F.lit("explicit-computing-topic").alias("rule"), F.lit("XLK").alias("target"), F.array().cast("array<string>").alias("tickers"), F.array(F.lit("AI / computing")).alias("topics")))
 
 
 def available(articles: DataFrame, cutoff: Column) -> DataFrame:
@@ -149,18 +215,41 @@ def onward(routes: DataFrame, links: DataFrame) -> DataFrame:
     return routes.join(links.withColumnRenamed("macro", "target"), "target").select("article_id", "rule", F.col("target").alias("via"), F.col("sector").alias("target"), (F.col("expected") * F.signum("rho")).cast("int").alias("expected"))
 
 
-def context(spark: SparkSession, articles: DataFrame, health: DataFrame, cutoff: Column, lookback_hours: int = 24) -> DataFrame:
-    """One row: classification, coverage and counts at the cutoff, from corrected articles of healthy sources inside the look-back."""
-    good = healthy_sources(health, cutoff, cutoff)
-    rows = latest_corrections(articles, cutoff).join(good.select("source_id"), "source_id", "left_semi").where(F.col("published_at") >= cutoff - F.make_interval(hours=F.lit(lookback_hours)))
+def scheduled_events(events: DataFrame, health: DataFrame, cutoff: Column, observed: Column, ahead_hours: int = 24) -> DataFrame:
+    """Events (source_id, known_as_of, scheduled_at) of healthy sources that were known by the snapshot and come within the next hours."""
+    soon = F.col("scheduled_at").between(cutoff, cutoff + F.make_interval(hours=F.lit(ahead_hours)))
+    return events.where((F.col("known_as_of") <= F.least(cutoff, observed)) & soon).join(healthy_sources(health, cutoff, observed).select("source_id"), "source_id", "left_semi")
+
+
+def context(spark: SparkSession, articles: DataFrame, health: DataFrame, cutoff: Column, lookback_hours: int = 24, observed: Column | None = None, provider_as_of: Column | None = None, provider_status: Column | None = None) -> DataFrame:
+    """One row: status, classification, coverage and counts at the cutoff, from corrected articles of healthy sources inside the look-back.
+
+    observed is the time of the snapshot, provider_as_of that of its recorder; both are the cutoff where not given. In order: a snapshot after the
+    cutoff or a recorder that isn't ok make the row unavailable or stale, so does age over MOST_AGE, then sources that are all down, then a lack of evidence,
+    which is UNCERTAIN while relevant headlines are there.
+    """
+    observed = cutoff if observed is None else observed
+    provider_as_of = observed if provider_as_of is None else provider_as_of
+    provider_status = F.lit("ok") if provider_status is None else provider_status
+    good = healthy_sources(health, cutoff, observed)
+    rows = latest_corrections(articles, F.least(cutoff, observed)).join(good.select("source_id"), "source_id", "left_semi").where(F.col("published_at") >= cutoff - F.make_interval(hours=F.lit(lookback_hours)))
+    rows = _kept(rows.select("article_id", "title", "published_at", "assessed_at"))
     macro = macro_cues(spark, rows).select("article_id", "rule", "direction")
     known = rows.where((cutoff >= F.lit(R.REGISTRY_FROM).cast("timestamp")) & (F.col("assessed_at") >= F.lit(R.REGISTRY_FROM).cast("timestamp")))
-    cues = macro.unionByName(company_cues(spark, known).select("article_id", "rule", "direction"))
+    company = _kept(company_cues(spark, known))
+    cues = macro.unionByName(company.select("article_id", "rule", "direction"))
     said = cues.agg(F.array_sort(F.collect_set("direction")).alias("directions"), F.count_distinct("article_id").alias("classified"), F.count("*").alias("evidence"))
+    relevant = relevant_headlines(spark, known, company).agg(F.count("*").alias("relevant"), F.count_if(F.col("classification") == "UNCERTAIN").alias("uncertain"))
     counted = rows.agg(F.count("*").alias("considered"))
     covered = health.agg(F.count("*").alias("sources")).crossJoin(good.agg(F.count("*").alias("healthy")))
-    out = said.crossJoin(counted).crossJoin(covered)  # one row each
-    return out.select(F.when(F.col("healthy") == 0, "UNAVAILABLE").when(F.col("evidence") == 0, "NO EVIDENCE").otherwise(classification(F.col("directions"))).alias("classification"), "considered", (F.col("considered") - F.col("classified")).alias("unclassified"), "evidence", "sources", "healthy", (F.col("healthy") < F.col("sources")).alias("partial"))
+    out = said.crossJoin(counted).crossJoin(covered).crossJoin(relevant)  # one row each
+    old = lambda t: t < cutoff - F.expr(f"interval {MOST_AGE}")
+    stale = F.coalesce(old(observed) | (provider_as_of > observed) | old(provider_as_of), F.lit(True))
+    status = F.when(observed > cutoff, "unavailable").when(provider_status != "ok", F.when(provider_status == "stale", "stale").otherwise("unavailable")).when(stale, "stale").when(F.col("healthy") == 0, "unavailable").when(F.col("evidence") > 0, "available").when(F.col("relevant") > 0, "available").otherwise("no_evidence")
+    out = out.withColumn("status", status)
+    live = lambda c: F.when(F.col("status").isin("available", "no_evidence"), F.col(c)).otherwise(0).alias(c)
+    reading = F.when(F.col("status") != "available", "UNAVAILABLE").otherwise(classification(F.col("directions")))
+    return out.withColumn("unclassified", F.col("considered") - F.col("classified")).select("status", reading.alias("classification"), *map(live, ("considered", "unclassified", "evidence", "relevant", "uncertain")), "sources", "healthy", (F.col("healthy") < F.col("sources")).alias("partial"))
 
 
 def snapshot_problems(articles: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Rule tables of the headline operators. Word lists, patterns, issuers and routes must be what users know.
 
-Users extend behaviour by adding rows to the DataFrames made from these.
+Users extend behaviour by adding rows to these, or by giving DataFrames of such rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ CLAUSES = r"(?i);|\b(?:but|while|however|although)\b"
 COMPANY_HEDGED = r"\b(?:not|never|no longer|denies?|denied|unlikely|without|may|might|could|would|will|should|if|rumou?rs?|reportedly|considers?|considering|plans? to|seeks? to|aims? to|expected to|expects? to|set to|poised to)\b"
 RETROSPECTIVE = r"^(?:why|how|explainer|lessons? from|looking back)\b|\b(?:last year|last month|years? ago|historical|in retrospect|back in|in 20\d{2}|during 20\d{2})\b"
 COMPANY_CLAUSES = r"(?i);|\b(?:but|while|however|although|whereas|despite|as)\b"
-MEASURES = "(?:revenue|profit|earnings|sales|EPS)"
 GUIDANCE = r"\s+(?:(?:its|full-year|quarterly|annual|revenue|profit|earnings|sales|EPS)\s+){0,5}(?:guidance|outlook|forecast)\b"
 REPORTS = r"^(?:(?:reports?|reported|posts?|posted)\s+)?(?:(?:quarterly|annual|first-quarter|second-quarter|third-quarter|fourth-quarter|Q[1-4])\s+)?(?:earnings|revenue|profit|sales|EPS|results)\s+"
 AGAINST = r"\s+(?:(?:analyst|analysts'|Wall Street)\s+)?(?:estimates|expectations|forecasts)\b"
@@ -44,7 +43,7 @@ DEMAND = r"(?:(?:AI|cloud|chip|data.center|customer)\s+){0,3}demand"
 COMPANY = (
     ("company-guidance-raised", "TAILWIND", "^(?:raises?|raised|lifts?|lifted|increases?|increased|boosts?|boosted)" + GUIDANCE),
     ("company-guidance-lowered", "HEADWIND", "^(?:cuts?|cut|lowers?|lowered|reduces?|reduced|slashes?|slashed|withdraws?|withdrew)" + GUIDANCE),
-    ("company-outlook-disappoints", "HEADWIND", "^(?:" + MEASURES + r"\s+)?(?:guidance|outlook|forecast)\s+(?:falls? short|disappoints?|misses? (?:estimates|expectations)|below (?:estimates|expectations))\b"),
+    ("company-outlook-disappoints", "HEADWIND", r"^(?:(?:revenue|profit|earnings|sales|EPS)\s+)?(?:guidance|outlook|forecast)\s+(?:falls? short|disappoints?|misses? (?:estimates|expectations)|below (?:estimates|expectations))\b"),
     ("company-earnings-beat", "TAILWIND", REPORTS + "(?:beat|beats|exceed|exceeds|exceeded|above|ahead of)" + AGAINST + r"|^(?:beats?|beat)\s+(?:(?:earnings|revenue|profit|sales|EPS)\s+)?(?:estimates|expectations|forecasts)\b"),
     ("company-earnings-miss", "HEADWIND", REPORTS + "(?:miss|misses|missed|below|fall short of)" + AGAINST + r"|^(?:misses?|missed)\s+(?:(?:earnings|revenue|profit|sales|EPS)\s+)?(?:estimates|expectations|forecasts)\b"),
     ("company-demand-strength", "TAILWIND", r"^(?:reports?|reported|sees?|saw)\s+(?:stronger|strong|record|surging|growing|accelerating)\s+" + DEMAND + r"\b|^" + DEMAND + r"\s+(?:grows?|grew|surges?|surged|accelerates?|accelerated|strengthens?|strengthened)\b"),
@@ -65,7 +64,19 @@ INDUSTRY = (
     ("industry-chip-export-relief", "TAILWIND", r"\b(?:eases?|eased|lifts?|lifted|removes?|removed)\s+(?:(?:AI|chip|semiconductor)\s+){1,3}export (?:controls?|restrictions?|ban)\b"),
 )
 OWN_CLAUSE = r"^(?:its\s+)?(?:earnings|revenue|profit|sales|EPS|results|guidance|outlook|AI demand|cloud demand)\b"
-COMPUTING = r"\b(?:artificial intelligence|OpenAI|AI)\b"
+# Topics of company headlines (name, pattern) in order, and what makes a headline relevant or a computing topic without an issuer.
+TOPICS = (
+    ("Earnings / guidance", r"\b(?:earnings|revenue|profit|sales|EPS|guidance|outlook|results|forecast)\b"),
+    ("AI / computing", r"\b(?:AI|artificial intelligence|generative AI|data centers?|datacenters?|GPU|GPUs|accelerators?|chatgpt|openai)\b"),
+    ("Semiconductors", r"\b(?:chips?|semiconductors?|GPU|GPUs|accelerators?|chipmaking|foundry)\b"),
+    ("Investment / spending", r"\b(?:capex|capital expenditure|spending|investment|invests?|investing|funding)\b"),
+    ("Cyber / outages", r"\b(?:cyberattack|ransomware|data breach|security breach|outage|offline|service disruption)\b"),
+    ("Regulation / trade", r"\b(?:regulator|regulatory|antitrust|lawsuit|fines?|FDA|approval|export (?:ban|controls?|restrictions?|licenses?)|tariffs?)\b"),
+    ("Company developments", r"\b(?:acquisition|acquires?|merger|deal|contract|orders?|shipments?|demand|launch(?:es)?|unveils?|recall|bankruptcy|dividend|buyback|repurchase|CEO|resigns?|layoffs?)\b"),
+)
+OTHER_COMPANY, OTHER_TECHNOLOGY = "Company developments", "AI / technology"
+ECOSYSTEM = r"\b(?:AI|artificial intelligence|OpenAI|ChatGPT|Anthropic|semiconductors?|chipmakers?|technology sector|tech sector|cloud computing)\b"
+COMPUTING = r"\b(?:AI|artificial intelligence|OpenAI|ChatGPT|Anthropic|machine learning|semiconductors?|chipmakers?|GPUs?|cloud computing|technology sector|tech sector)\b"
 
 # Issuers (ticker, sector, aliases), and what must not follow a mention of one.
 ISSUERS = (
@@ -107,17 +118,18 @@ ROUTES = (
 )
 
 
-def rule_table(spark: SparkSession, rules=MACRO) -> DataFrame:
-    return spark.createDataFrame([(k, r, d, f"(?i){p}") for k, (r, d, p) in enumerate(rules)], "nth int, rule string, direction string, pattern string")
+def rule_rows(rules=MACRO) -> list[dict]:
+    """Rules as rows; a DataFrame with these columns serves as well wherever rows are taken."""
+    return [{"nth": k, "rule": r, "direction": d, "pattern": f"(?i){p}"} for k, (r, d, p) in enumerate(rules)]
 
 
-def issuer_table(spark: SparkSession) -> DataFrame:
+def issuer_rows() -> list[dict]:
     rows = []
     for ticker, sector, aliases in ISSUERS:
         names = [(rf"\Q{a}\E", a.lower()) for a in aliases] + [(rf"(?:\$|(?:NASDAQ|NYSE|AMEX)\s*:\s*)\Q{ticker}\E", ticker.lower())]
         stop = f"(?!{FALSE_FRIENDS[ticker]})" if ticker in FALSE_FRIENDS else ""
-        rows += [(ticker, sector, rf"(?i)(?<![A-Za-z0-9])(?:{n})(?![A-Za-z0-9]){stop}", hint) for n, hint in names]
-    return spark.createDataFrame(rows, "ticker string, sector string, pattern string, hint string")
+        rows += [{"ticker": ticker, "sector": sector, "pattern": rf"(?i)(?<![A-Za-z0-9])(?:{n})(?![A-Za-z0-9]){stop}", "hint": hint} for n, hint in names]
+    return rows
 
 
 def route_table(spark: SparkSession) -> DataFrame:

@@ -10,26 +10,43 @@ from ..operators import news_rules as R
 from . import fixtures as X
 from .registry import query, rounded
 
-WORDINGS = (
-    "Oil prices rise after a quiet week",
-    "Brent crude fell while traders waited",
-    "Treasury yields climbed; stocks steady",
-    "Treasury yields may fall next month",
-    "CPI comes in hotter than expected",
-    "Consumer prices were lower than expected",
-    "Fed raises its benchmark interest rate",
-    "Fed cuts rates, but oil prices jumped",
-    "Government imposes new import tariffs",
-    "Parliament lifted existing tariffs",
-    "@ raises full-year revenue guidance",
-    "@ cuts its outlook",
-    "@ reports strong cloud demand",
-    "Regulator fines @",
-    "@ could raise its guidance",
-    "Is @ ready for winter?",
-    "Rain expected in the north",
-    "GPU demand surges",
+#: Wordings; those that must give a company or industry cue with its rule, direction, scope and words. @ is an issuer.
+SAYINGS = (
+    ("Oil prices rise after a quiet week",),
+    ("Brent crude fell while traders waited",),
+    ("Treasury yields climbed; stocks steady",),
+    ("Treasury yields may fall next month",),
+    ("CPI comes in hotter than expected",),
+    ("Consumer prices were lower than expected",),
+    ("Fed raises its benchmark interest rate",),
+    ("Fed cuts rates, but oil prices jumped",),
+    ("Government imposes new import tariffs",),
+    ("Parliament lifted existing tariffs",),
+    ("@ raises full-year revenue guidance", "company-guidance-raised", "TAILWIND", "company", "@ raises full-year revenue guidance"),
+    ("@ cuts its outlook", "company-guidance-lowered", "HEADWIND", "company", "@ cuts its outlook"),
+    ("@ reports strong cloud demand", "company-demand-strength", "TAILWIND", "company", "@ reports strong cloud demand"),
+    ("Regulator fines @", "company-regulatory-action", "HEADWIND", "company", "Regulator fines @"),
+    ("@ could raise its guidance",),
+    ("Is @ ready for winter?",),
+    ("Rain expected in the north",),
+    ("GPU demand surges", "industry-ai-chip-demand-strength", "TAILWIND", "industry", "GPU demand surges"),
+    ("Analysts say @ outlook disappoints", "company-outlook-disappoints", "HEADWIND", "company", "@ outlook disappoints"),
+    ("@ quarterly earnings beat estimates in Europe", "company-earnings-beat", "TAILWIND", "company", "@ quarterly earnings beat estimates"),
+    ("@ revenue misses analyst expectations", "company-earnings-miss", "HEADWIND", "company", "@ revenue misses analyst expectations"),
+    ("Rivals wait while @ sees slowing AI demand", "company-demand-weakness", "HEADWIND", "company", "@ sees slowing AI demand"),
+    ("@ suffers major outage", "company-operational-disruption", "HEADWIND", "company", "@ suffers major outage"),
+    ("@ faces an antitrust probe", "company-regulatory-pressure", "HEADWIND", "company", "@ faces an antitrust probe"),
+    ("@ restores cloud services after outage", "company-operational-recovery", "TAILWIND", "company", "@ restores cloud services after outage"),
+    ("Government bans chip exports by @", "company-export-restriction", "HEADWIND", "company", "Government bans chip exports by @"),
+    ("FDA approves @", "company-regulatory-approval", "TAILWIND", "company", "FDA approves @"),
+    ("@ holds its meeting; its revenue beat forecasts", "company-earnings-beat", "TAILWIND", "company", "revenue beat forecasts"),
+    ("Semiconductor demand slows", "industry-ai-chip-demand-weakness", "HEADWIND", "industry", "Semiconductor demand slows"),
+    ("Washington tightens AI chip export controls", "industry-chip-export-restriction", "HEADWIND", "industry", "tightens AI chip export controls"),
+    ("Ministry eases semiconductor export restrictions", "industry-chip-export-relief", "TAILWIND", "industry", "eases semiconductor export restrictions"),
+    ("ChatGPT maker plans more data centers",),
+    ("How @ lost its way last year",),
 )
+WORDINGS = tuple(x[0] for x in SAYINGS)
 NAMES = tuple(a[0] for _, _, a in R.ISSUERS)
 _list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 HEADLINES = f"""heads as (select o_orderkey::varchar article_id, replace({_list(WORDINGS)}[(o_orderkey % {len(WORDINGS)})::int + 1], '@', {_list(NAMES)}[(o_custkey % {len(NAMES)})::int + 1]) title, o_orderdate published_at, o_custkey, o_orderkey from orders)"""
@@ -59,17 +76,35 @@ def issuer_mentions(spark, d):
     return rounded(N.mentions(spark, h))
 
 
-COMPANY = f"""comp as (select article_id, o_orderkey % {len(WORDINGS)} k, {_list([t for t, _, _ in R.ISSUERS])}[(o_custkey % 12)::int + 1] ticker, {_list([s for _, s, _ in R.ISSUERS])}[(o_custkey % 12)::int + 1] sector from heads),
-    cues as (select article_id, case k when 10 then 'company-guidance-raised' when 11 then 'company-guidance-lowered' when 12 then 'company-demand-strength' when 13 then 'company-regulatory-action' when 17 then 'industry-ai-chip-demand-strength' end ruleid,
-        case when k in (10, 12, 17) then 'TAILWIND' else 'HEADWIND' end direction, case when k <> 17 then ticker end ticker, case when k = 17 then 'XLK' else sector end sector, case when k = 17 then 'industry' else 'company' end as "scope" from comp where k in (10, 11, 12, 13, 17))"""
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+COMPANY = f"""comp as (select article_id, o_orderkey % {len(WORDINGS)} k, {_list([t for t, _, _ in R.ISSUERS])}[(o_custkey % 12)::int + 1] ticker, {_list([s for _, s, _ in R.ISSUERS])}[(o_custkey % 12)::int + 1] sector, {_list(NAMES)}[(o_custkey % 12)::int + 1] alias, title from heads),
+    must(k, ruleid, direction, "scope", words) as (values {", ".join(f"({k}, {', '.join(map(_q, x[1:]))})" for k, x in enumerate(SAYINGS) if len(x) > 1)}),
+    cues as (select article_id, ruleid, direction, case when "scope" = 'company' then ticker end ticker, case when "scope" = 'company' then sector else 'XLK' end sector, "scope", replace(words, '@', alias) cue from comp join must using (k))"""
 
 
-@query(f'with {HEADLINES}, {COMPANY} select article_id, ruleid as "rule", direction, ticker, sector, "scope" from cues')
+@query(f'with {HEADLINES}, {COMPANY} select article_id, ruleid as "rule", direction, ticker, sector, "scope", cue from cues')
 def company_headlines(spark, d):
-    """The SQL says what each wording must give."""
+    """The SQL says what each wording must give; all seventeen company and industry rules speak."""
     return N.company_cues(spark, heads(spark, d))
 
 
+RELEVANT = f"""rel as (select comp.article_id, list_filter([{", ".join(f"case when regexp_matches(title, '(?i){p}') then {_q(n)} end" for n, p in R.TOPICS)}], lambda x: x is not null) topics, contains({_list(WORDINGS)}[k::int + 1], '@') named, regexp_matches(title, '(?i){R.ECOSYSTEM}') technology,
+    regexp_matches(title, '(?i){R.COMPUTING}') computing, comp.ticker, comp.sector, cues.sector cue_sector, coalesce(direction, 'UNCERTAIN') classification, (direction is not null)::bigint evidence from comp left join cues using (article_id))"""
+
+
+@query(f"""with {HEADLINES}, {COMPANY}, {RELEVANT} select article_id, array_to_string(case when len(topics) > 0 then topics when named then ['Company developments'] else ['AI / technology'] end, ', ') topics, case when named then ticker else '' end tickers, case when named then sector else coalesce(cue_sector, '') end sectors, classification, evidence from rel where named or technology""")
+def relevant_headlines(spark, d):
+    """Topics, issuers and reading of each relevant headline; without a cue it is UNCERTAIN."""
+    r = N.relevant_headlines(spark, heads(spark, d))
+    return rounded(r.withColumns({c: F.array_join(c, ", ") for c in ("topics", "tickers", "sectors")}))
+
+
+@query(f"""with {HEADLINES}, {COMPANY}, {RELEVANT} select article_id, case when named then 'company-mentioned-sector' else 'explicit-computing-topic' end as "rule", case when named then sector else 'XLK' end target, case when named then ticker else '' end tickers, case when named and computing then 'Company reference, AI / computing' when named then 'Company reference' else 'AI / computing' end topics from rel where named or computing""")
+def relevance_routes(spark, d):
+    r = N.relevance_routes(spark, heads(spark, d))
+    return r.withColumns({c: F.array_join(c, ", ") for c in ("topics", "tickers")})
+
+
 _routes = "(values " + ", ".join(f"('{r}', '{t}', {s})" for r, ts, s in R.ROUTES for t in ts) + ") r(ruleid, target, expected)"
 _links = [("USO", "XLE", 0.7), ("USO", "XLI", -0.3), ("TNX", "XLF", 0.5), ("TNX", "XLU", -0.6)]
 ROUTED = f"""{HEADLINES}, {MACRO}, {COMPANY}, routed as (select distinct article_id, ruleid, target, expected from macro join {_routes} using (ruleid) union select article_id, ruleid, sector, case when direction = 'TAILWIND' then 1 else -1 end from cues)"""
@@ -121,13 +156,52 @@ def latest_corrections(spark, d):
     return N.latest_corrections(articles(spark, d), _cut(spark, d)).select("article_id", "url", "source_id")
 
 
-@query(f"""with {LATEST}, near as (select latest.* from latest, cut where source_id <> 's3' and published_at >= c - interval 48000 hour), heads2 as (select article_id, title from near), {MACRO.replace('from heads where', 'from heads2 where')}, ev as (select distinct article_id, ruleid, direction from macro)
-    select case when count(distinct direction) > 1 then 'MIXED' when count(*) = 0 then 'NO EVIDENCE' else max(direction) end classification, (select count(*) from near) considered, (select count(*) from near) - count(distinct article_id) unclassified, count(*) evidence, 5::bigint sources, 4::bigint healthy, true partial from ev""")
+def _context_sql(years: int, company: bool, late: str = "available") -> str:
+    """Context of the articles moved by years; with company also issuer cues and relevant headlines."""
+    moved = LATEST.replace("o_orderdate published_at", f"o_orderdate + interval {years} year published_at")
+    heads2 = MACRO.replace("from heads where", "from heads2 where")
+    near = "near as (select latest.*, o_custkey, o_orderkey from latest join heads using (article_id), cut where source_id <> 's3' and latest.published_at >= c - interval 48000 hour), heads2 as (select article_id, title from near)"
+    more = f", {COMPANY.replace('from heads)', 'from near)')}, {RELEVANT}, ev as (select distinct article_id, ruleid, direction from macro union all select article_id, ruleid, direction from cues), rh as (select * from rel where named or technology)" if company else ", ev as (select distinct article_id, ruleid, direction from macro), rh as (select 'UNCERTAIN' classification from near where false)"
+    return f"""with {moved}, {near}, {heads2}{more} select 'available' status, case when count(distinct direction) > 1 then 'MIXED' else max(direction) end classification, (select count(*) from near) considered, (select count(*) from near) - count(distinct article_id) unclassified, count(*) evidence,
+        (select count(*) from rh) relevant, (select count(*) from rh where classification = 'UNCERTAIN') uncertain, 5::bigint sources, 4::bigint healthy, true partial from ev"""
+
+
+def _context(spark, d, years: int, **kwargs):
+    moved = lambda t: t + F.make_ym_interval(years=F.lit(years))
+    a = articles(spark, d)
+    a = a.withColumns({c: moved(F.col(c)) for c in ("published_at", "received_at", "first_observed_at", "assessed_at")})
+    cut = F.lit(a.agg(F.max("published_at")).first()[0]) - F.expr("interval 30 days")
+    h = spark.range(5).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("source_id"), F.when(F.col("id") == 3, "error").otherwise("ok").alias("status"), cut.alias("checked_at"), cut.alias("last_success_at"), F.lit(300000).alias("max_age_ms"))
+    return N.context(spark, a, h, cut, lookback_hours=48000, **{k: f(cut) for k, f in kwargs.items()})
+
+
+@query(_context_sql(0, False))
 def news_context(spark, d):
     """Context at one cutoff before the issuer registry's date, so that only macro rules speak; one of five sources is down."""
-    cut = _cut(spark, d)
+    return _context(spark, d, 0)
+
+
+@query(_context_sql(32, True))
+def news_context_companies(spark, d):
+    """Context after the registry's date: issuers' cues, relevant and uncertain headlines too."""
+    return _context(spark, d, 32)
+
+
+@query("select 'stale' status, 'UNAVAILABLE' classification, 0::bigint considered, 0::bigint unclassified, 0::bigint evidence, 0::bigint relevant, 0::bigint uncertain, 5::bigint sources, 0::bigint healthy, true partial")
+def news_context_stale(spark, d):
+    """A snapshot ten minutes before the cutoff is not carried forward; sources that were checked later don't count."""
+    return _context(spark, d, 0, observed=lambda c: c - F.expr("interval 10 minutes"))
+
+
+@query("""with c as (select max(o_orderdate) - interval 30 day c from orders) select o_orderkey from orders, c where o_custkey % 5 <> 3 and o_orderdate - to_minutes((o_custkey % 7)::int * 600) <= c and o_orderdate between c and c + interval 24 hour""")
+def scheduled_events(spark, d):
+    """Orders as events: those known by the cutoff and due within a day, of sources that are up."""
+    o = X.table(spark, d, "orders")
+    t = F.col("o_orderdate").cast("timestamp")
+    cut = F.lit(o.agg(F.max(t)).first()[0]) - F.expr("interval 30 days")
+    e = o.select("o_orderkey", F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("source_id"), (t - F.make_dt_interval(mins=(F.col("o_custkey") % 7 * 600).cast("int"))).alias("known_as_of"), t.alias("scheduled_at"))
     h = spark.range(5).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("source_id"), F.when(F.col("id") == 3, "error").otherwise("ok").alias("status"), cut.alias("checked_at"), cut.alias("last_success_at"), F.lit(300000).alias("max_age_ms"))
-    return N.context(spark, articles(spark, d), h, cut, lookback_hours=48000)
+    return N.scheduled_events(e, h, cut, cut).select("o_orderkey")
 
 
 @query(r"""with p as (select page_id, url, regexp_extract(url, '^https?://([^/:?#]+)', 1) host from pages), c as (select *, regexp_replace(url, '#.*$', '') b from p),
