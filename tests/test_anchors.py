@@ -206,3 +206,53 @@ def test_black_scholes_rejects_bad_input(spark):
 def test_ten_minute_bucket_needs_all_minutes(spark):
     got = B.ten_minute(bars(spark, [1.0] * 10 + [1.0] * 9)).orderBy("bucket").collect()
     assert [r.complete for r in got] == [True, False]
+
+
+def test_band_is_the_interpolated_quantiles(spark):
+    from tickloom.operators import impute
+
+    rows = [("a", 0.1 * k) for k in range(11)] + [("b", 0.5)]
+    got = {r.k: (r.low, r.high) for r in impute.band(spark.createDataFrame(rows, "k string, p double"), "k").collect()}
+    assert got["a"] == pytest.approx((0.1, 0.9)) and got["b"] == (0.5, 0.5)
+    draws = spark.range(1025).selectExpr("id draw_id", "array(0d) z")
+    with pytest.raises(ValueError):
+        impute.drawn(spark.createDataFrame([], "row_id string, version_id string, missing array<int>, estimates array<double>, factor array<array<double>>"), draws)
+
+
+def test_levels_at_a_confirmed_retest(spark):
+    from tickloom.operators import ema
+
+    day = dt.date(2026, 9, 30)
+    levels = spark.createDataFrame([("A", day, n, p) for n, p in (("low", 90.0), ("near", 101.0), ("high", 110.0))], "symbol string, session_date date, name string, price double")
+    e = spark.createDataFrame([("A", day, 0, "bullish", 100.0), ("A", day, 1, "bearish", 100.0), ("A", day, 2, "bullish", 120.0), ("A", day, 3, "bullish", None), ("B", day, 0, "bullish", 100.0)], "symbol string, session_date date, nth int, side string, confirm_price double")
+    got = {(r.symbol, r.nth): (r.confluence, r.target) for r in ema.touched_levels(e, levels).collect()}
+    assert got[("A", 0)] == (1, "near") and got[("A", 1)] == (1, "low") and got[("A", 2)] == (0, None) and ("A", 3) not in got and got[("B", 0)][1] is None
+
+
+def test_greeks_are_the_slopes_of_the_price(spark):
+    from tickloom.plans import catalogue
+
+    rows = catalogue.QUERIES["greek_audit"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 100 and all(abs(r.delta_gap) < 0.01 and abs(r.gamma_gap) < 0.01 and abs(r.vega_gap) < 0.05 for r in rows)
+
+
+def test_context_states_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import news
+
+    t = dt.datetime(2026, 11, 2, 15, 0)
+    ago = lambda m: t - dt.timedelta(minutes=m)
+    schema = "article_id string, title string, url string, source_id string, published_at timestamp, received_at timestamp, first_observed_at timestamp, assessed_at timestamp"
+    arts = lambda *titles: spark.createDataFrame([(f"a{k}", x, f"u{k}", "s", ago(60), ago(50), ago(40), ago(30)) for k, x in enumerate(titles)], schema)
+    health = lambda status="ok": spark.createDataFrame([("s", status, ago(1), ago(1), 300000)], "source_id string, status string, checked_at timestamp, last_success_at timestamp, max_age_ms int")
+    lit = F.lit(t).cast("timestamp")
+    run = lambda a, h=None, **k: (lambda r: (r.status, r.classification, r.relevant))(news.context(spark, a, h or health(), lit, **k).first())
+    minutes = lambda m: lit - F.make_dt_interval(mins=F.lit(m))
+    both = arts("Nvidia raises full-year revenue guidance", "Oil prices rise")
+    assert run(both, observed=minutes(1)) == ("available", "MIXED", 1)
+    assert run(arts("Apple unveils a chip", "Rain in the north"), observed=minutes(1)) == ("available", "UNCERTAIN", 1)
+    assert run(arts("Rain in the north"), observed=minutes(1))[:2] == ("no_evidence", "UNAVAILABLE")
+    assert run(both, observed=minutes(6))[0] == "stale" and run(both, observed=minutes(1), provider_as_of=minutes(9))[0] == "stale"
+    assert run(both, observed=minutes(-1))[0] == "unavailable" and run(both, health("error"), observed=minutes(1))[:2] == ("unavailable", "UNAVAILABLE")
+    assert run(both, observed=minutes(1), provider_status=F.lit("stale"))[0] == "stale" and run(both, observed=minutes(1), provider_status=F.lit("down"))[0] == "unavailable"

@@ -49,6 +49,17 @@ def latest_per_contract(quotes: DataFrame, *scope: str) -> DataFrame:
     return quotes.groupBy(*keys).agg(last.alias("_r")).select(*keys, "_r.*").select(quotes.columns)
 
 
+def sampled_history(quotes: DataFrame, minutes: int, *scope: str) -> DataFrame:
+    """History of each exact contract: its last quote in every so many minutes, at sample, the start of these; an aggregate, as above."""
+    rows = quotes.withColumn("sample", F.window("ts", f"{minutes} minutes")["start"])
+    return latest_per_contract(rows, *scope, "sample")
+
+
+def in_chain_order(chain: DataFrame, *scope: str) -> DataFrame:
+    """Adds place: by strike, then right, within a scope, whose chain is short."""
+    return chain.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy("strike", "right")))
+
+
 def bounded_snapshot(latest: DataFrame, *scope: str, seconds: int = 60) -> DataFrame:
     """Contracts whose row is within seconds of the scope's newest. The newest is one number for each scope, combined before its shuffle."""
     newest = latest.groupBy(*scope).agg(F.max("ts").alias("_newest"))

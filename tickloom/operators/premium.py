@@ -142,3 +142,20 @@ def divergences(points: DataFrame, keep: int = 6, least: int = 5, most: int = 40
     later = inside.join(p, list(P)).groupBy(*P, "kind", "a_minute", "b_minute", "trigger").agg(F.min(F.when((F.col("m") > F.col("b_minute") + 2) & beyond, F.col("m"))).alias("confirmed_minute"))
     last = Window.partitionBy(*P).orderBy(F.desc("b_minute"), F.desc("a_minute"), "kind")
     return later.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= keep).select(*P, "kind", F.col("a_minute").alias("first_minute"), F.col("b_minute").alias("second_minute"), "trigger", "confirmed_minute")
+
+
+def stale_inputs(grid: DataFrame, inputs: dict[str, DataFrame], most: int = 2) -> DataFrame:
+    """grid (symbol, session_date, minute) and inputs by name, each of the same columns: adds for each the last minute that it had by then, <name>_as_of, and stale, whether any is missing or over most minutes old.
+
+    One union and one window over the minutes of a session.
+    """
+    keys = ["symbol", "session_date", "minute"]
+    marks = grid.select(*keys, F.lit(None).cast("string").alias("_input"))
+    for name, rows in inputs.items():
+        marks = marks.unionByName(rows.select(*keys, F.lit(name).alias("_input")))
+    at = marks.groupBy(*keys).agg(F.max(F.col("_input").isNull()).alias("_asked"), F.collect_set("_input").alias("_seen"))
+    w = Window.partitionBy("symbol", "session_date").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    as_of = {n: F.max(F.when(F.array_contains("_seen", n), F.col("minute"))).over(w) for n in inputs}
+    rows = at.withColumns({f"{n}_as_of": c for n, c in as_of.items()}).where("_asked")
+    old = [F.coalesce(F.col("minute") - F.col(f"{n}_as_of") > most, F.lit(True)) for n in inputs]
+    return rows.withColumn("stale", F.greatest(*old) if len(old) > 1 else old[0]).drop("_asked", "_seen")

@@ -227,6 +227,19 @@ def minute_readout(spark, d):
     return rounded(p.select("symbol", "session_date", "minute", "close", "z", "slope", "phase", direction_label(F.col("z")).alias("label"), F.coalesce(F.col("minute") - last > 2, F.lit(True)).alias("stale")))
 
 
+@query(shown(X.premium_sql(X.GAPS) + """, gr as (select session_date, unnest(range(570, 960))::int as minute from (select distinct session_date from bars)),
+    i as (select session_date, minute, 'p' n from premium where symbol = 'S00' and valid union all select session_date, minute, 'f' from bars where symbol = 'S02' union all select session_date, minute, 'x' from bars where symbol = 'S01'),
+    f as (select gr.session_date, gr.minute, max(i.minute) filter (n = 'p') premium_as_of, max(i.minute) filter (n = 'f') fund_as_of, max(i.minute) filter (n = 'x') index_as_of from gr left join i on i.session_date = gr.session_date and i.minute <= gr.minute group by 1, 2),
+    g as (select 'S00' symbol, *, coalesce(minute - premium_as_of > 2, true) or coalesce(minute - fund_as_of > 2, true) or coalesce(minute - index_as_of > 2, true) stale from f)""", "g", f"{BARS} premium_as_of:l fund_as_of:l index_as_of:l stale"))
+def input_staleness(spark, d):
+    """Each minute of each session: how old premium, fund and index are, and whether any is over two minutes old."""
+    b = X.bars(spark, d)
+    one = lambda s, rows: rows.where(F.col("symbol") == s).withColumn("symbol", F.lit("S00"))
+    grid = b.select(F.lit("S00").alias("symbol"), "session_date").distinct().withColumn("minute", F.explode(F.sequence(F.lit(570), F.lit(959))))
+    premium = M.premium_series(X.quotes(spark, d, X.GAPS)).where("valid")
+    return rounded(M.stale_inputs(grid, {"premium": one("S00", premium), "fund": one("S02", b), "index": one("S01", b)}))
+
+
 @query()
 def ema_level_targets(spark, d):
     """Levels frozen at each confirmed retest."""

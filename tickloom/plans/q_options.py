@@ -12,7 +12,9 @@ from . import fixtures as X
 from .registry import query, rounded
 
 #: Contracts of the chain: strikes of 5 points around 6000, both rights, one expiry for each session.
-CHAIN = """chain0 as (select date '2026-01-05' + (l_orderkey % 3)::int session_date, 5900.0::double + 5 * (l_partkey % 41) strike, case when l_suppkey % 2 = 0 then 'CALL' else 'PUT' end as "right", timestamp '2026-01-05 14:30:00' + to_days((l_orderkey % 3)::int) + to_seconds(((l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 23400)::int) ts,
+#: A fill of the tape has three sessions.
+DAY = f"(l_orderkey // {X.FILL} * 3 + l_orderkey % 3)::int"
+CHAIN = f"""chain0 as (select date '2026-01-05' + {DAY} session_date, 5900.0::double + 5 * (l_partkey % 41) strike, case when l_suppkey % 2 = 0 then 'CALL' else 'PUT' end as "right", timestamp '2026-01-05 14:30:00' + to_days({DAY}) + to_seconds(((l_orderkey * 7 + l_linenumber * 13 + l_partkey) % 23400)::int) ts,
     l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity from lineitem),
     chain as (select 'SPXW' root, session_date expiration, *, 10 + (l_quantity::bigint % 20) / 4 - 0.25 bid, 10 + (l_quantity::bigint % 20) / 4 + 0.25 ask, (l_partkey % 17) / 10000 gamma, l_quantity * 10 open_interest, ts - to_seconds((l_orderkey % 90)::int) greeks_ts, ts - to_seconds((l_linenumber * 11)::int) underlying_ts,
     ts + to_seconds((l_partkey % 7 - 5)::int) oi_ts, 5950 + (l_orderkey % 100) spot from chain0)"""
@@ -20,8 +22,8 @@ CHAIN = """chain0 as (select date '2026-01-05' + (l_orderkey % 3)::int session_d
 
 def chain(spark, d) -> DataFrame:
     li = X.table(spark, d, "lineitem")
-    day = (F.col("l_orderkey") % 3).cast("int")
-    ts = F.timestamp_seconds(F.lit(1767623400) + day * 86400 + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_partkey")) % 23400)
+    day = X.day_number(3)
+    ts = F.timestamp_seconds(F.lit(1767623400) + day.cast("long") * 86400 + (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_partkey")) % 23400)
     base = li.select(F.lit("SPXW").alias("root"), F.date_add(F.lit("2026-01-05").cast("date"), day).alias("session_date"), (5900.0 + 5 * (F.col("l_partkey") % 41)).alias("strike"), F.when(F.col("l_suppkey") % 2 == 0, "CALL").otherwise("PUT").alias("right"), ts.alias("ts"), *X.ORDER, "l_quantity")
     sec = lambda n: F.make_dt_interval(secs=n)
     mid = 10 + (F.col("l_quantity").cast("long") % 20) / 4
@@ -79,7 +81,7 @@ def taylor_moves(spark, d):
     return rounded(O.taylor(priced, F.sequence(F.lit(-40), F.lit(40))).select("p_partkey", "moved", "by_delta", "by_gamma"))
 
 
-@query(f"""with {CHAIN}, g as (select *, gamma >= 0 and open_interest >= 0 and spot > 0 and ts <= cutoff and oi_ts <= cutoff ok, gamma * open_interest * 100 * spot * spot * 0.01::double v from (select *, timestamp '2026-01-05 19:00:00' + to_days((l_orderkey % 3)::int) cutoff from chain))
+@query(f"""with {CHAIN}, g as (select *, gamma >= 0 and open_interest >= 0 and spot > 0 and ts <= cutoff and oi_ts <= cutoff ok, gamma * open_interest * 100 * spot * spot * 0.01::double v from (select *, timestamp '2026-01-05 19:00:00' + to_days({DAY}) cutoff from chain))
     select session_date, strike, round(coalesce(sum(v) filter (ok and "right" = 'CALL'), 0) / 1e6 + 1e-9, 4) + 0.0 call_gamma, round(-coalesce(sum(v) filter (ok and "right" = 'PUT'), 0) / 1e6 + 1e-9, 4) + 0.0 put_gamma, round((coalesce(sum(v) filter (ok and "right" = 'CALL'), 0) - coalesce(sum(v) filter (ok and "right" = 'PUT'), 0)) / 1e6 + 1e-9, 4) + 0.0 net_gamma,
     coalesce(sum(open_interest) filter (ok and "right" = 'CALL'), 0) call_oi, coalesce(sum(open_interest) filter (ok and "right" = 'PUT'), 0) put_oi, count(*) filter (not ok) rejected, count(*) filter (ok) used from g group by all""")
 def gamma_by_strike(spark, d):
@@ -98,6 +100,19 @@ def contract_book(spark, d):
     return rows.select("session_date", "strike", "right", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen_at"), "bid", "ask")
 
 
+@query(f"""with {CHAIN}, h as (select * from chain qualify row_number() over (partition by session_date, root, expiration, strike, "right", date_trunc('minute', ts) order by ts desc, bid desc, ask desc) = 1) select session_date, strike, "right", strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') seen_at, bid, ask from h""")
+def contract_history(spark, d):
+    """Every contract's quotes, the last of each minute, in order."""
+    rows = H.sampled_history(chain(spark, d), 1, "session_date")
+    return rows.select("session_date", "strike", "right", F.date_format("sample", "yyyy-MM-dd HH:mm").alias("seen_at"), "bid", "ask")
+
+
+@query(LATEST + """ select session_date, row_number() over (partition by session_date order by strike, "right") as place, strike, "right" from latest""")
+def chain_order(spark, d):
+    """A session's chain by strike, then right."""
+    return H.in_chain_order(H.latest_per_contract(chain(spark, d), "session_date"), "session_date").select("session_date", F.col("place").cast("long").alias("place"), "strike", "right")
+
+
 @query(LATEST + """ select session_date, strike, "right", strftime(ts, '%Y-%m-%d %H:%M:%S') seen_at from latest qualify date_diff('second', ts, max(ts) over (partition by session_date)) <= 600""")
 def bounded_chain(spark, d):
     rows = H.bounded_snapshot(H.latest_per_contract(chain(spark, d), "session_date"), "session_date", seconds=600)

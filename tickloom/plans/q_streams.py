@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_dir
+from ..operators import chain as H
 from ..streaming import live as S
 from . import fixtures as X
 from .q_evaluate import reversal_samples
@@ -66,6 +67,24 @@ def stream_latest(spark, d):
     return spark.read.parquet(f"{path}/versions/{last}").select("user_id", "event_id", "value")
 
 
+@query("select user_id, event_id, value from (select * from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) qualify date_trunc('milliseconds', ts) >= max(date_trunc('milliseconds', ts)) over () - interval 6 hour")
+def stream_latest_bounded(spark, d):
+    """Latest row of each key, and of these only those within six hours of the newest, as a chain keeps quotes within a minute of it."""
+    path = shared_dir(spark)
+    e = _events(spark, d).select("user_id", F.date_trunc("millisecond", "ts").alias("ts"), "event_id", "value")
+    e.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(S.upsert_latest(spark, f"{path}/versions", ["user_id"], ["ts", "event_id"])).start().awaitTermination()
+    latest = spark.read.parquet(f"{path}/versions/0")
+    return H.bounded_snapshot(latest.withColumn("all", F.lit(0)), "all", seconds=6 * 3600).select("user_id", "event_id", "value")
+
+
+@query("select user_id::varchar symbol, date_trunc('milliseconds', max(ts)) + interval 120 second < (select date_trunc('milliseconds', max(ts)) from events) as late from events group by user_id")
+def stream_freshness(spark, d):
+    """Users as inputs: late is what was last said of each when all events had come."""
+    e = _events(spark, d).select(F.col("user_id").cast("string").alias("symbol"), "ts")
+    out = S.finished(S.freshness_alerts(e), shared_dir(spark), "update")
+    return out.groupBy("symbol").agg(F.max_by("late", "epoch").alias("late"))
+
+
 @query()
 def stream_reversal(spark, d):
     """The stateful stream over the same samples as reversal_fold; tests compare the two."""

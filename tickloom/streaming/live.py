@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -141,10 +142,10 @@ def running_baseline(points: DataFrame, lookback: int = 60, least: int = 5) -> D
             if not p.valid or p.minute - last != 1:
                 values = []
             if p.valid:
-                values = (values + [float(p.extrinsic)])[-lookback:]
-                s = pd.Series(values)
-                sd = s.std(ddof=0)
-                out.append((k[0], int(p.minute), len(values), (values[-1] - s.mean()) / sd if len(values) >= least and sd > 1e-8 else None))
+                values.append(float(p.extrinsic))
+                del values[:-lookback]
+                sd = statistics.pstdev(values)
+                out.append((k[0], int(p.minute), len(values), (values[-1] - statistics.fmean(values)) / sd if len(values) >= least and sd > 1e-8 else None))
             last = int(p.minute)
         state.update((last, values))
         yield pd.DataFrame(out, columns=["symbol", "minute", "baseline_bars", "z"])
@@ -152,30 +153,33 @@ def running_baseline(points: DataFrame, lookback: int = 60, least: int = 5) -> D
     return points.groupBy("symbol").applyInPandasWithState(run, "symbol string, minute int, baseline_bars int, z double", "last int, values array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def freshness_alerts(bars: DataFrame, most_ms: int = 120_000) -> DataFrame:
-    """(symbol, late): one row when a symbol is heard of, and one when nothing came for so long, by processing time."""
+def freshness_alerts(rows: DataFrame, most: str = "120 seconds", late: str = "0 seconds") -> DataFrame:
+    """rows (symbol, ts) to (symbol, late): false in each batch that brings something of a symbol, true once when event time has gone on for so long without it."""
+    ms = int(pd.Timedelta(most).total_seconds() * 1000)
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(k[0], True)], columns=["symbol", "late"])
         else:
-            for _ in parts:
-                pass
-            state.update((1,))
-            state.setTimeoutDuration(most_ms)
-            yield pd.DataFrame([(k[0], False)], columns=["symbol", "late"])
+            last = max(int(p["ts"].max().timestamp() * 1000) for p in parts)
+            last = max(last, state.get[0]) if state.exists else last
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last + ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(k[0], not state.exists)], columns=["symbol", "late"])
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, "symbol string, late boolean", "seen int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(run, "symbol string, late boolean", "last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_latest(spark: SparkSession, path: str, keys: list[str], order: list[str]):
-    """For foreachBatch: keeps one row for each key, the last in order, in numbered versions under path. A batch that is run again gives the same version."""
+    """For foreachBatch: keeps one row for each key, the last in order, in numbered versions under path. A batch that is run again gives the same version; the one before is kept for that, older ones go."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         best = F.max_by(F.struct(*batch.columns), F.struct(*order))
         rows = batch if epoch == 0 else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}"))
         rows.groupBy(*keys).agg(best.alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/{epoch}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{epoch - 2}")
+        if epoch >= 2:
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return merge
 
