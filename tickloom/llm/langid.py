@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -116,10 +115,10 @@ def classify_rows(docs: DataFrame, learned: dict[str, bytes], margin: float = MA
     table gives an empty result.
     """
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def language(texts: pa.Array) -> pa.Array:
         judge = judge_by(learned, margin)
-        return pd.Series([None if r else name for name, _, r in map(judge, texts)], dtype=object)
+        return pa.array([None if r else name for name, _, r in (judge(t.as_py()) for t in texts)], pa.string())
 
     found = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), language(docs["text"].cast("string")).alias("found")).where("found is not null")
     return found.select(*[(F.coalesce(F.col("row.lang"), F.col("found")) if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
