@@ -85,20 +85,27 @@ def direction_gate(rows: DataFrame, threshold: float = 1.0, choppy: int = 4) ->
     return rows.withColumn("direction", d)
 
 
-def execution(rows: DataFrame, k: int = 2, look: int = 12) -> DataFrame:
-    """Adds passed: momentum needs the direction to agree; anticipation a boundary tested from beyond and then k adjacent closes held beyond it."""
-    short = F.col("candidate_side").isin("short", "both")
-    boundary = F.when(F.col("regime") == "EXT-DOWN", F.col("prior_low")).otherwise(F.col("prior_high"))
-    rows = rows.withColumn("_b", boundary)
+def boundary_tests(rows: DataFrame, k: int = 2, look: int = 12) -> DataFrame:
+    """Adds broke_down and broke_up: k adjacent closes below (above) the regime's boundary, after one at or beyond it on the other side within look bars."""
+    rows = rows.withColumn("_b", F.when(F.col("regime") == "EXT-DOWN", F.col("prior_low")).otherwise(F.col("prior_high")))
     held_up = F.sum((F.col("close") > F.col("_b")).cast("int")).over(by_minute().rowsBetween(-(k - 1), 0)) == k
     held_down = F.sum((F.col("close") < F.col("_b")).cast("int")).over(by_minute().rowsBetween(-(k - 1), 0)) == k
     adjacent = F.coalesce(F.col("minute") - F.lag("minute", k - 1).over(by_minute()) == k - 1, F.lit(False))
     before = by_minute().rowsBetween(-(look - 1), -k)
     was_down, was_up = F.max((F.col("close") <= F.col("_b")).cast("int")).over(before) == 1, F.max((F.col("close") >= F.col("_b")).cast("int")).over(before) == 1
-    anticipation = adjacent & F.when(short, held_down & was_up).otherwise(held_up & was_down)
+    return rows.withColumns({"broke_down": adjacent & held_down & was_up, "broke_up": adjacent & held_up & was_down}).drop("_b")
+
+
+def passes(rows: DataFrame) -> DataFrame:
+    """Adds passed: momentum needs the direction to agree; anticipation the boundary tested and broken the candidate's way."""
     momentum = (F.col("direction") != "neutral") & ((F.col("candidate_side") == "both") | (F.col("candidate_side") == F.col("direction")))
-    rows = rows.withColumn("passed", F.coalesce(F.when(F.col("candidate_kind") == "momentum", momentum).when(F.col("candidate_kind") == "anticipation", anticipation), F.lit(False)))
-    return rows.drop("_b")
+    anticipation = F.when(F.col("candidate_side").isin("short", "both"), F.col("broke_down")).otherwise(F.col("broke_up"))
+    return rows.withColumn("passed", F.coalesce(F.when(F.col("candidate_kind") == "momentum", momentum).when(F.col("candidate_kind") == "anticipation", anticipation), F.lit(False)))
+
+
+def execution(rows: DataFrame, k: int = 2, look: int = 12) -> DataFrame:
+    """Adds passed, for rows that have candidate and close of the same minute."""
+    return passes(boundary_tests(rows, k, look)).drop("broke_down", "broke_up")
 
 
 def episodes(samples: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import bars as B
 from ..operators import ema as E
 from ..operators import levels as L
 from ..operators import premium as M
+from ..operators import readout as R
 from . import fixtures as X
 from .registry import query, rounded, shown
 
@@ -240,6 +241,40 @@ def input_staleness(spark, d):
     return rounded(M.stale_inputs(grid, {"premium": one("S00", premium), "fund": one("S02", b), "index": one("S01", b)}))
 
 
+READOUT = X.premium_sql(X.PRE) + POSTURE + X.levels_sql(X.PRE)[len(X.bars_sql(X.PRE)) :] + f""", lv as (select *, {REGIME} regime from levels where symbol = 'S02'),
+    v0 as (select bars.*, regime, prior_high, prior_low, pm_high, pm_low, case regime when 'EXT-DOWN' then prior_low else prior_high end bd, sum((high + low + bars.close) / 3 * volume) over w / sum(volume) over w vwap, first_value(bars.open) over w first_open from bars join lv using (symbol, session_date) where minute >= 570 window w as ({P} rows unbounded preceding)),
+    v1 as (select *, sign(close - vwap) s, minute - lag(minute) over w = 1 adj from v0 window w as ({P})),
+    v2 as (select *, lag(s) over w ps, coalesce(adj, false) and sum((close < bd)::int) over w2 = 2 and max((close >= bd)::int) over wb = 1 broke_down, coalesce(adj, false) and sum((close > bd)::int) over w2 = 2 and max((close <= bd)::int) over wb = 1 broke_up from v1
+        window w as ({P}), w2 as ({P} rows 1 preceding), wb as ({P} rows between 11 preceding and 2 preceding)),
+    v3 as (select *, coalesce(s = 1 and ps = 1 and adj, false) above, coalesce(s = -1 and ps = -1 and adj, false) below, coalesce(sum((s * ps < 0)::int) over ({P} rows 13 preceding), 0) crosses from v2),
+    d0 as (select v3.*, (pm_high - pm_low) * 0.025 tol, (pm_high - pm_low) / (prior_high - prior_low) * 100 pmr, sum((close > pm_high)::int) over k = 2 up, sum((close < pm_low)::int) over k = 2 down from v3 window k as ({P} rows 1 preceding)),
+    d1 as (select *, (high >= pm_high - tol and not coalesce(lag(high) over w >= pm_high - tol, false))::int te, (low <= pm_low + tol and not coalesce(lag(low) over w <= pm_low + tol, false))::int le from d0 window w as ({P})),
+    d2 as (select *, sum(te) over u tops, sum(le) over u lows, min(case when up or down then minute end) over u bm, first_value(case when up or down then case when up then 'bull' else 'bear' end end ignore nulls) over u bs from d1 window u as ({P} rows unbounded preceding)),
+    d3 as (select *, case when pm_high is null or pm_low is null then 'developing' when pmr <= 30 and bm < 600 then 'double distribution' when pmr > 30 and pmr < 70 and bm >= 600 then 'expanded typical' when bm is null and tops >= 2 and lows >= 2 then 'trading range' when bm is null and pmr >= 70 then 'contained' else 'indecisive' end day_type from d2),
+    fd as (select *, case when day_type in ('double distribution', 'expanded typical') then bs else 'neutral' end day_side from d3),
+    xd as (select session_date, minute, close, first_value(open) over (partition by session_date order by minute) anchor from bars where symbol = 'S01' and minute >= 570),
+    pd as (select *, first_value(iv ignore nulls) over ({P} rows unbounded preceding) oiv from posture where symbol = 'S00'),
+    gr as (select session_date, unnest(range(570, 960))::int as minute from (select distinct session_date from bars where symbol in ('S00', 'S01', 'S02'))),
+    r0 as (select gr.*, xd.minute xm, xd.close price, anchor from gr asof left join xd on xd.session_date = gr.session_date and xd.minute <= gr.minute),
+    r1 as (select r0.*, fd.minute fm, fd.close, first_open, vwap, regime, prior_high, prior_low, pm_high, pm_low, above, below, crosses, broke_down, broke_up, day_type, day_side from r0 asof left join fd on fd.session_date = r0.session_date and fd.minute <= r0.minute),
+    r2 as (select r1.*, pd.minute pm, z, slope, phase, recent_low, oiv from r1 asof left join pd on pd.session_date = r1.session_date and pd.minute <= r1.minute),
+    r3 as (select 'S00' symbol, *, close fund_price, anchor / first_open ratio, case when anchor > 0 and oiv > 0 then anchor * oiv * sqrt(390 / 525600) end expected_move, case when z > 0 then 'above baseline' when z < 0 then 'below baseline' when z = 0 then 'at baseline' else 'no baseline' end label,
+        coalesce(minute - xm > 2, true) or coalesce(minute - fm > 2, true) or coalesce(minute - pm > 2, true) stale, crosses < 4 and phase not in ('positive-decay', 'negative-recovery') calm,
+        case when z is null then null when regime = 'INSIDE' then case when close > pm_high and z > 0 and slope > 0 then 'INSIDE-RISE' when close < pm_low and z < 0 and slope < 0 then 'INSIDE-FALL' when close < pm_low and phase = 'negative-recovery' then 'INSIDE-SELLING' end
+        when regime = 'EXT-UP' then case when phase = 'positive-decay' then 'EXT-UP-COOLING' when recent_low < -1 and z > 0 and above then 'EXT-UP-REBOUND' when z < -1 and slope < 0 and close < prior_high then 'EXT-UP-FAILURE' end
+        when regime = 'EXT-DOWN' then case when z < -2 and close < prior_low then 'EXT-DOWN-SELLING' when phase = 'negative-recovery' and close > prior_low then 'EXT-DOWN-REBOUND' when z >= -2 and z < 0 and slope >= 0 and above then 'EXT-DOWN-RECOVERY' end end code from r2),
+    r4 as (select *, anchor + expected_move sigma_up, anchor - expected_move sigma_down, ratio * pm_high premarket_high, ratio * pm_low premarket_low, case when calm and above and z >= 1 then 'long' when calm and below and z <= -1 then 'short' else 'neutral' end direction from r3),
+    r5 as (select *, coalesce(case when code in ('EXT-UP-REBOUND', 'EXT-DOWN-REBOUND') then broke_up when code = 'EXT-UP-COOLING' then broke_down when code in ('INSIDE-RISE', 'EXT-DOWN-RECOVERY') then direction = 'long' when code is not null then direction = 'short' end, false) passed from r4)"""
+
+
+@query(shown(READOUT, "r5", f"{BARS} price:d fund_price:d vwap:d anchor:d ratio:d expected_move:d sigma_up:d sigma_down:d premarket_high:d premarket_low:d regime day_type day_side z:d slope:d phase label above below crosses:l direction code passed stale"))
+def session_readout(spark, d):
+    """One row a minute of everything: S01 is the index, S02 its fund, S00 the option whose premium is read."""
+    b = X.bars(spark, d, X.PRE)
+    one = lambda s, rows: rows.where(F.col("symbol") == s).withColumn("symbol", F.lit("S00"))
+    return rounded(R.minute_readout(one("S01", b), one("S02", b), one("S00", X.quotes(spark, d, X.PRE))))
+
+
 @query()
 def ema_level_targets(spark, d):
     """Levels frozen at each confirmed retest."""
