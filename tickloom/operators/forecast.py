@@ -36,13 +36,14 @@ def usable_models(registry: DataFrame, least_rows: int = 350, least_days: int =
     return registry.where(F.coalesce(ok, F.lit(False)))
 
 
-def valid_on(rows: DataFrame, models: DataFrame, date: str = "session_date") -> DataFrame:
+def valid_on(rows: DataFrame, models: DataFrame, date: str = "session_date", days: DataFrame | None = None) -> DataFrame:
     """rows x the model of each horizon that is valid on the date; a date with two of a horizon gets none.
 
     The interval join is made on the distinct dates, by month; the rows then meet one small row for each date and horizon.
+    days, with all dates of rows or more, spares their computation from the rows, which would then be made twice.
     """
     m = models.withColumn("_month", F.explode(F.sequence(F.trunc("valid_from", "month"), F.trunc("valid_to", "month"), F.expr("interval 1 month"))))
-    days = rows.select(date).distinct().withColumn("_month", F.trunc(date, "month"))
+    days = (rows if days is None else days).select(date).distinct().withColumn("_month", F.trunc(date, "month"))
     valid = days.join(m, "_month").where(F.col(date).between(F.col("valid_from"), F.col("valid_to")))
     values = [c for c in models.columns if c != "horizon"]
     single = valid.groupBy(date, "horizon").agg(F.count("*").alias("_n"), F.first(F.struct(*values)).alias("_m")).where("_n = 1")
@@ -61,11 +62,36 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def node_contributions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Log-odds by node: the two features of each sector or macro symbol added up."""
-    e = rows.select(*keys, F.explode("contributions").alias("c")).select(*keys, F.regexp_extract("c.feature", r"^([A-Z]{3,4})_", 1).alias("node"), "c.log_odds")
+    """Log-odds by node: the two features of each sector or macro symbol added up; interaction features belong to no node."""
+    e = rows.select(*keys, F.explode("contributions").alias("c")).select(*keys, F.regexp_extract("c.feature", r"^([A-Z]{3,4})_(?:return_5|vwap_gap|change_5_bps|change_from_open_bps)$", 1).alias("node"), "c.log_odds")
     return e.where("node <> ''").groupBy(*keys, "node").agg(F.sum("log_odds").alias("log_odds"))
 
 
+def interaction_scores(vectors: DataFrame, models: DataFrame, fresh: Column, close: Column, date: str = "session_date", days: DataFrame | None = None) -> DataFrame:
+    """vectors (keys, date, minute, features) with the interaction model of each horizon that is valid on the date, and the additive one to compare with.
+
+    Adds horizon, log_odds, p_up, direction, contributions, interaction_log_odds (what the interaction features add), additive_p_up, and reason: why there is no
+    forecast (then all of these are null), in the order stale, incomplete, beyond the close, no additive model. A date without an interaction model has no row.
+    """
+    of = lambda family: models.where(F.col("family") == family).drop("family", "model_id")
+    fit = ["feature_order", "mean", "scale", "beta", "valid_from", "valid_to", "train_end", "training_rows", "training_days", "converged"]
+    rows = scored(valid_on(vectors.withColumn("_fresh", fresh), of("interaction"), date, days)).drop(*fit)
+    pairs = F.filter("contributions", lambda x: x["feature"].isin(*FEATURES_39[35:]))
+    rows = rows.withColumn("interaction_log_odds", F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["log_odds"]))
+    kept = F.struct("log_odds", "p_up", "direction", "contributions", "interaction_log_odds")
+    rows = rows.withColumns({"_full": kept, "_horizon": F.col("horizon")}).drop("log_odds", "p_up", "p_down", "direction", "contributions", "interaction_log_odds", "horizon")
+    # the additive fits are few rows for each date: one map by horizon, so that a row without any stays
+    few = [c for c in fit if c in ("feature_order", "mean", "scale", "beta")]
+    dates = (vectors if days is None else days).select(date).distinct()
+    additive = valid_on(dates, of("additive"), date).groupBy(date).agg(F.map_from_entries(F.collect_list(F.struct("horizon", F.struct(*few)))).alias("_fits"))
+    rows = rows.join(additive, date, "left").withColumn("_fit", F.try_element_at("_fits", F.col("_horizon"))).select("*", *[F.col(f"_fit.{c}").alias(c) for c in few])
+    rows = scored(rows).withColumnsRenamed({"p_up": "additive_p_up"})
+    reason = F.coalesce(F.when(~F.coalesce(F.col("_fresh"), F.lit(False)), "stale"), F.when(F.col("_full.log_odds").isNull(), "incomplete"), F.when(F.col("minute") + 1 + F.col("_horizon") > close, "beyond the close"), F.when(F.col("additive_p_up").isNull(), "no additive model"))
+    rows = rows.withColumn("reason", reason)
+    live = lambda c, name: F.when(F.col("reason").isNull(), F.col(c)).alias(name)
+    return rows.select(*vectors.columns, F.col("_horizon").alias("horizon"), "reason", *[live(f"_full.{c}", c) for c in ("log_odds", "p_up", "direction", "contributions", "interaction_log_odds")], live("additive_p_up", "additive_p_up"))
+
+
 def horizon_gate(minute: Column, horizon: Column, close: Column) -> Column:
     """First reason against a forecast, in the fixed order; null if there is none."""
     return F.coalesce(F.when(minute < WARM, "warming"), F.when(minute + 1 + horizon > close, "beyond the close"))

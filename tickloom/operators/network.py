@@ -129,6 +129,20 @@ def interactions(edges: DataFrame, nodes: DataFrame, keys: list[str], expected:
     return rows.groupBy(*keys, "macro").agg(F.when(whole, F.sum(F.col("sm") * F.col("ss") * F.col("rho") / expected)).alias("alignment"), F.when(whole, F.sum(F.col("sm") * F.abs("ss") * F.col("rho") / expected)).alias("pressure"))
 
 
+def edge_states(links: DataFrame, nodes: DataFrame, keys: list[str], fresh: Column, spread: int = 3) -> DataFrame:
+    """Each edge at each minute: links (source, target, kind, rho, strength), nodes (keys, node, sign), fresh over the keys.
+
+    active where both ends have a direction and the edge a strength; alignment of the two signs along rho, and what a macro node passes on, both divided
+    by spread for macro-sector edges. An end that is missing, or inputs that are not fresh, leave the edge inactive and the rest null.
+    """
+    known = nodes.where("sign is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("node", "sign"))).alias("_signs"))  # thirteen nodes
+    rows = known.crossJoin(F.broadcast(links))  # the edges of one frozen graph of thirteen nodes, 78 at most
+    a, b = F.try_element_at("_signs", F.col("source")), F.try_element_at("_signs", F.col("target"))
+    there = F.coalesce(fresh, F.lit(False)) & a.isNotNull() & b.isNotNull()
+    macro = F.col("kind") == "macro-sector"
+    return rows.select(*keys, "source", "target", "kind", F.coalesce(there & (a != 0) & (b != 0) & (F.col("strength") > 0), F.lit(False)).alias("active"), F.when(there, a * b * F.col("rho") / F.when(macro, spread).otherwise(1)).alias("alignment"), F.when(there & macro, a * F.abs(b) * F.col("rho") / spread).alias("pressure"))
+
+
 def top_neighbours(training: DataFrame, k: int = 3) -> DataFrame:
     """training (macro, sector, nth, rho): the k strongest by absolute correlation, ties by the fixed order nth."""
     w = Window.partitionBy("macro").orderBy(F.desc(F.abs("rho")), "nth")

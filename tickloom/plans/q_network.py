@@ -289,11 +289,11 @@ MACRO_ROWS = f""", {CORE}, {RHO}, it as (select x.session_date, x.minute, macro,
     w as (select core.*, breadth, coalesce(bu, 0) bu, coalesce(be, 0) be, eb, er, u.return_5 u5, u.vwap_gap ug, c5, c0 from core join br using (session_date, minute) left join big using (session_date, minute) join ew using (session_date, minute) join states u on u.symbol = 'S11' and u.session_date = core.session_date and u.minute = core.minute join tn on tn.session_date = core.session_date and tn.minute = core.minute),
     a0 as ({_unpivot([("spx_return_5", "spx_return_5"), ("spx_return_15", "spx_return_15"), ("spx_return_volatility_30", "spx_return_volatility_30"), ("spy_vwap_gap", "spy_vwap_gap"), ("sector_signed_breadth", "breadth"), ("bullish_cluster_fraction", "bu"), ("bearish_cluster_fraction", "be"), ("bullish_edge_weight_fraction", "eb"), ("bearish_edge_weight_fraction", "er"), ("USO_return_5", "u5"), ("USO_vwap_gap", "ug"), ("TNX_change_5_bps", "c5"), ("TNX_change_from_open_bps", "c0")])} from w),
     a1 as (select session_date, minute::bigint as minute, ['XLK', 'XLF', 'XLY', 'XLP', 'XLE', 'XLU', 'XLV', 'XLI', 'XLB', 'XLRE', 'XLC'][substr(symbol, 2)::int + 1] || '_' || unnest(['return_5', 'vwap_gap']) feature, round(unnest([return_5, vwap_gap]) + 1e-9, 6) + 0.0 as value from states where symbol <= 'S10'),
-    a2 as (select session_date, minute::bigint as minute, case macro when 'S11' then 'USO' else 'TNX' end || '_' || unnest(['sector_alignment', 'sector_propagated_pressure']) feature, round(unnest([al, pr]) + 1e-9, 6) + 0.0 as value from it)
-    select * from a0 union all select * from a1 union all select * from a2"""
+    a2 as (select session_date, minute::bigint as minute, case macro when 'S11' then 'USO' else 'TNX' end || '_' || unnest(['sector_alignment', 'sector_propagated_pressure']) feature, round(unnest([al, pr]) + 1e-9, 6) + 0.0 as value from it),
+    ft as materialized (select * from a0 union all select * from a1 union all select * from a2)"""
 
 
-@query(STATIC + MACRO_ROWS)
+@query(STATIC + MACRO_ROWS + " select * from ft")
 def features_interaction(spark, d):
     """All 39 features in long form; the tape's symbols take the sectors' names."""
     keys = ["session_date", "minute"]
@@ -308,3 +308,51 @@ def features_interaction(spark, d):
     base = R.features_35(_core(spark, d), sectors.withColumn("symbol", name), clusters, weights, s.where("symbol = 'S11'"), N.rates_node(X.bars(spark, d, X.DENSE).where("symbol = 'S12'")))
     p = N.interactions(macro_links(spark), s.select(*keys, F.col("symbol").alias("node"), "sign"), keys).where("alignment is not null")
     return rounded(R.features_39(base, p.withColumn("macro", F.when(F.col("macro") == "S11", "USO").otherwise("TNX"))))
+
+
+def _fits(spark, d) -> DataFrame:
+    """The months' models again as two families: 39 features with interactions, 35 without, with coefficients made from a rule."""
+    numbers = lambda xs: F.array(*map(F.lit, xs))
+    beta = lambda n, m, k: F.array(F.lit(-0.2), *[F.lit(0.01 * (i % m - k)) * F.col("horizon") / 30 for i in range(n)])
+    rows = registry(spark, d).drop("family", "feature_order", "mean", "scale", "beta")
+    full = rows.select("*", F.lit("interaction").alias("family"), numbers(R.FEATURES_39).alias("feature_order"), numbers([0.0] * 39).alias("mean"), numbers([1.0] * 39).alias("scale"), beta(39, 5, 2).alias("beta"))
+    return full.unionByName(rows.select("*", F.lit("additive").alias("family"), numbers(R.FEATURES_35).alias("feature_order"), numbers([0.0] * 35).alias("mean"), numbers([1.0] * 35).alias("scale"), beta(35, 3, 1).alias("beta")))
+
+
+def _interaction(spark, d) -> DataFrame:
+    vectors = R.feature_vector(features_interaction(spark, d), ["session_date", "minute"])
+    days = X.ticks(spark, d, X.DENSE).select("session_date").distinct()
+    return R.interaction_scores(vectors, R.usable_models(_fits(spark, d)), F.col("minute") % 7 != 0, F.lit(700), days=days)
+
+
+INTERACTION = STATIC + MACRO_ROWS + f""", od(feature, i) as (values {', '.join(f"('{n}', {i})" for i, n in enumerate(R.FEATURES_39))}),
+    pt as (select session_date, minute, hz horizon, feature, i, value * 0.01::double * (i % 5 - 2) * hz / 30 lo, case when i < 35 then value * 0.01::double * (i % 3 - 1) * hz / 30 end ad from ft join od using (feature), (values (30), (60)) t(hz)),
+    sm as (select session_date, minute, horizon, case when count(lo) = 39 then sum(lo) - 0.2::double end lo, sum(lo) filter (i >= 35) xlo, sum(ad) - 0.2::double ad from pt group by all),
+    sc as (select *, case when minute % 7 = 0 then 'stale' when lo is null then 'incomplete' when minute + 1 + horizon > 700 then 'beyond the close' end reason from sm),
+    vw as (select session_date, minute, horizon, reason, case when reason is null then lo end log_odds, case when reason is null then 1 / (1 + exp(-lo)) end p_up, case when reason is null then xlo end interaction_log_odds, case when reason is null then 1 / (1 + exp(-ad)) end additive_p_up from sc),
+    vs as (select *, case when p_up > 0.55 then 'bullish' when p_up < 0.45 then 'bearish' when p_up is not null then 'neutral' end direction from vw)"""
+
+
+@query(f"{INTERACTION} select session_date, minute::bigint as minute, horizon::bigint horizon, reason, direction, round(log_odds + 1e-9, 6) + 0.0 log_odds, round(p_up + 1e-9, 6) + 0.0 p_up, round(interaction_log_odds + 1e-9, 6) + 0.0 interaction_log_odds, round(additive_p_up + 1e-9, 6) + 0.0 additive_p_up from vs")
+def interaction_scores(spark, d):
+    """The forecast with interactions beside the additive one, at each minute and horizon."""
+    return rounded(_interaction(spark, d).select("session_date", "minute", "horizon", "reason", "direction", "log_odds", "p_up", "interaction_log_odds", "additive_p_up"))
+
+
+@query(f"{INTERACTION} select session_date, minute::bigint as minute, horizon::bigint horizon, split_part(feature, '_', 1) node, round(sum(pt.lo) + 1e-9, 6) + 0.0 log_odds from pt join (select session_date, minute, horizon from vw where reason is null) using (session_date, minute, horizon) where i < 35 and regexp_matches(feature, '^[A-Z]') group by all")
+def node_log_odds(spark, d):
+    """What each sector and macro node adds to the interaction forecast."""
+    keys = ["session_date", "minute", "horizon"]
+    return rounded(R.node_contributions(_interaction(spark, d), keys))
+
+
+@query(f"""with {STATES}, {GRAPH}, {RHO}, lk as (select macro source, sector target, 'macro-sector' kind, rho, abs(rho) strength from rho union all select a, b, 'sector-sector', weight / 2, weight from edges),
+    f as (select x.session_date, x.minute, source, target, kind, case when x.minute % 7 <> 0 then x.sg * y.sg * rho / case kind when 'macro-sector' then 3 else 1 end end alignment, case when x.minute % 7 <> 0 and kind = 'macro-sector' then x.sg * abs(y.sg) * rho / 3 end pressure,
+    coalesce(x.minute % 7 <> 0 and x.sg <> 0 and y.sg <> 0 and strength > 0, false) active, g.session_date sd, g.minute mi from lk cross join (select distinct session_date, minute from states) g left join states x on x.symbol = source and x.session_date = g.session_date and x.minute = g.minute left join states y on y.symbol = target and y.session_date = x.session_date and y.minute = x.minute)
+    select sd session_date, mi::bigint as minute, source, target, kind, active, round(alignment + 1e-9, 6) + 0.0 alignment, round(pressure + 1e-9, 6) + 0.0 pressure from f""")
+def edge_activation(spark, d):
+    """State of every edge of the saved graph at each minute; every seventh minute counts as stale."""
+    macro = macro_links(spark).select(F.col("macro").alias("source"), F.col("sector").alias("target"), F.lit("macro-sector").alias("kind"), "rho", F.abs("rho").alias("strength"))
+    links = macro.unionByName(graph(spark).select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("sector-sector").alias("kind"), (F.col("weight") / 2).alias("rho"), F.col("weight").alias("strength")))
+    nodes = states(spark, d).select("session_date", "minute", F.col("symbol").alias("node"), "sign")
+    return rounded(N.edge_states(links, nodes, ["session_date", "minute"], F.col("minute") % 7 != 0))
