@@ -252,8 +252,31 @@ def context(spark: SparkSession, articles: DataFrame, health: DataFrame, cutoff:
     return out.withColumn("unclassified", F.col("considered") - F.col("classified")).select("status", reading.alias("classification"), *map(live, ("considered", "unclassified", "evidence", "relevant", "uncertain")), "sources", "healthy", (F.col("healthy") < F.col("sources")).alias("partial"))
 
 
-def snapshot_problems(articles: DataFrame) -> DataFrame:
-    """Adds problem: the first structural fault of an article row, or null."""
-    control = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-    tests = (("id", ~F.col("article_id").rlike(r"^[A-Za-z0-9:_./-]{1,160}$")), ("title", (F.length("title") < 1) | (F.length("title") > LONGEST)), ("control characters", F.col("title").rlike(control)), ("published", F.col("published_at").isNull()), ("received", F.col("received_at").isNull()))
-    return articles.withColumn("problem", F.coalesce(*[F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests]))
+#: What snapshot rows may hold.
+MARKUP = r"[<>\x00-\x08\x0B\x0C\x0E-\x1F]"
+SCHEDULED = "scheduled; outcome not inferred"
+LONGEST_SUMMARY, LONGEST_FIGURE = 1600, 100
+
+
+def _first_problem(rows: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
+    """Adds problem: the name of the first test that holds or can't be answered."""
+    return rows.withColumn("problem", F.coalesce(*[F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests]))
+
+
+def _common_problems(kind: str, key: str, hosts: Column, known: Column, times: tuple[str, ...]) -> list[tuple[str, Column]]:
+    title = F.col("title")
+    return [("id", ~F.col(key).rlike(f"^{kind}-[a-f0-9]{{64}}$")), ("title", (F.length(title) < 1) | (F.length(title) > LONGEST)), ("title markup", title.rlike(MARKUP)), ("url", safe_url(F.col("url"), hosts).isNull()), ("source", ~known), *[(t, F.col(t).isNull()) for t in times]]
+
+
+def snapshot_problems(articles: DataFrame, hosts: Column, known: Column) -> DataFrame:
+    """Adds problem: the first structural fault of an article row, or null. hosts are those that its source may link to, known whether the source is one of the snapshot's."""
+    summary = F.col("summary")
+    tests = _common_problems("news", "article_id", hosts, known, ("published_at", "received_at", "first_observed_at", "assessed_at"))
+    return _first_problem(articles, [*tests, ("summary", F.length(summary) > LONGEST_SUMMARY), ("summary markup", summary.rlike(MARKUP))])
+
+
+def event_problems(events: DataFrame, hosts: Column, known: Column) -> DataFrame:
+    """Adds problem: the first structural fault of a scheduled event, or null. Forecast and previous figure may be missing."""
+    figure = lambda c: F.coalesce(F.length(c) > LONGEST_FIGURE, F.lit(False))
+    tests = _common_problems("event", "event_id", hosts, known, ("scheduled_at", "known_as_of"))
+    return _first_problem(events, [*tests, ("status", F.col("status") != SCHEDULED), ("forecast", figure("forecast")), ("previous", figure("previous"))])

@@ -214,10 +214,26 @@ def canonical_urls(spark, d):
     return p.select("page_id", N.safe_url(F.col("url"), hosts).alias("canonical"))
 
 
-@query(r"""select doc_id, case when not regexp_matches(doc_id::varchar, '^[A-Za-z0-9:_./-]{1,160}$') then 'id' when length(text) < 1 or length(text) > 600 then 'title' when regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') then 'control characters' end problem from documents""")
+@query(r"""with p as (select page_id, url, case when page_id % 11 = 0 then page_id::varchar else 'news-' || sha256(page_id::varchar) end id, regexp_extract(html, '<title>(.*?)</title>', 1) title, regexp_extract(html, '(?s)<p[^>]*>(.*?)</p>', 1) summary from pages)
+    select page_id, case when coalesce(not regexp_matches(id, '^news-[a-f0-9]{64}$'), true) then 'id' when coalesce(length(title) < 1 or length(title) > 600, true) then 'title' when regexp_matches(title, '[<>\x00-\x08\x0B\x0C\x0E-\x1F]') then 'title markup'
+    when not coalesce(length(url) <= 2048 and regexp_matches(url, '^https://[^/@:?#]*\.example\.(com|net)(?:[/?#]|$)'), false) then 'url' when page_id % 13 = 0 then 'source' when page_id % 17 = 0 then 'assessed_at' when coalesce(length(summary) > 1600, true) then 'summary' when regexp_matches(summary, '[<>\x00-\x08\x0B\x0C\x0E-\x1F]') then 'summary markup' end problem from p""")
 def snapshot_checks(spark, d):
-    rows = X.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("title"), F.lit("2026-01-01").cast("timestamp").alias("published_at"), F.lit("2026-01-01").cast("timestamp").alias("received_at"))
-    return N.snapshot_problems(rows).select("doc_id", "problem")
+    """Structural faults of articles that are made of pages: their titles, first paragraphs and urls."""
+    p, at = X.table(spark, d, "pages"), F.lit("2026-01-01").cast("timestamp")
+    part = lambda pattern: F.coalesce(F.regexp_extract("html", pattern, 1), F.lit("")).alias
+    n = F.col("page_id")
+    rows = p.select("page_id", "url", F.when(n % 11 == 0, n.cast("string")).otherwise(F.concat(F.lit("news-"), F.sha2(n.cast("string"), 256))).alias("article_id"), part("<title>(.*?)</title>")("title"), part("(?s)<p[^>]*>(.*?)</p>")("summary"), *[at.alias(c) for c in ("published_at", "received_at", "first_observed_at")], F.when(n % 17 != 0, at).alias("assessed_at"))
+    host = F.parse_url("url", F.lit("HOST"))
+    hosts = F.when(host.rlike(r"\.example\.(com|net)$"), F.array(host)).otherwise(F.array())
+    return N.snapshot_problems(rows, hosts, n % 13 != 0).select("page_id", "problem")
+
+
+@query("""select o_orderkey, case when o_orderkey % 19 = 0 then 'id' when o_orderkey % 5 = 0 then 'url' when o_orderkey % 7 = 0 then 'source' when o_orderstatus <> 'F' then 'status' when o_orderkey % 120 > 100 then 'forecast' end problem from orders""")
+def event_checks(spark, d):
+    """Structural faults of scheduled events that are made of orders."""
+    o, k = X.table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select("o_orderkey", F.concat(F.when(k % 19 == 0, "x-").otherwise("event-"), F.sha2(k.cast("string"), 256)).alias("event_id"), F.concat_ws(" ", "o_orderpriority", k).alias("title"), F.concat(F.when(k % 5 == 0, "http").otherwise("https"), F.lit("://calendar.example.com/"), k).alias("url"), F.to_timestamp("o_orderdate").alias("scheduled_at"), F.to_timestamp("o_orderdate").alias("known_as_of"), F.when(F.col("o_orderstatus") == "F", N.SCHEDULED).otherwise("released").alias("status"), F.repeat(F.lit("9"), (k % 120).cast("int")).alias("forecast"), F.lit(None).cast("string").alias("previous"))
+    return N.event_problems(rows, F.array(F.lit("calendar.example.com")), k % 7 != 0).select("o_orderkey", "problem")
 
 
 @query(f"with {ARTICLES}, cut as (select max(published_at) - interval 30 day c from arts) select article_id from arts, cut where published_at <= c and coalesce(received_at <= c, true) and coalesce(first_observed_at <= c, true)")
