@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import options_math as O
 from ..operators import chain as H
+from ..operators import session as S
 from . import fixtures as X
 from .registry import query, rounded
 
@@ -216,3 +217,23 @@ def snapshot(spark, d):
     q = H.latest_per_contract(c, "session_date").drop("open_interest", "oi_ts")
     near = H.near_spot(q, q.groupBy("session_date").agg(F.max("ts").alias("spot_ts")), "session_date", seconds=1200)
     return H.assembled(near, oi).select("session_date", "strike", "right", "gamma", "open_interest")
+
+
+@query(f"""with {CHAIN}, {X.bars_sql(X.GAPS)}, pv as (select *, case when minute % 100 = 0 and (symbol = 'S05' or symbol = 'S02' and day(session_date) % 2 = 0) then 'B' else 'A' end provider from bars),
+    mx as (select symbol, session_date from pv group by all having count(distinct provider) > 1), tp as (select * from pv anti join mx using (symbol, session_date)),
+    ob as (select *, timestamp '2026-01-05 19:00:00' + to_days((session_date - date '2026-01-05')::int) cutoff from chain where ts <= timestamp '2026-01-05 19:00:00' + to_days((session_date - date '2026-01-05')::int)),
+    st as (select session_date, arg_min(strike, row(abs(strike - spot), strike)) strike from ob join (select session_date, min(ts) m from ob where "right" = 'CALL' group by all) using (session_date) where ts = m and "right" = 'CALL' group by all),
+    qt as (select session_date, count(*) quotes from ob join st using (session_date, strike) where "right" = 'CALL' group by all),
+    la as (select * from ob qualify row_number() over (partition by session_date, root, expiration, strike, "right" order by ts desc, bid desc, ask desc) = 1),
+    ch as (select session_date, count(*) observed, count(*) filter (near) coherent, count(*) filter (near and oi_ts <= cutoff) interest_known from (select *, date_diff('second', ts, max(ts) over (partition by session_date)) <= 600 near from la) group by all),
+    ix as (select session_date, count(*) index_bars, arg_max(close, minute) spot, lag(session_date) over (order by session_date) previous_date from tp where symbol = 'S01' group by session_date),
+    ct as (select session_date, count(*) filter (symbol = 'S02') fund_bars, count(*) filter (symbol not in ('S01', 'S02')) context_bars from tp group by all), mc as (select session_date, count(*) mixed_symbols from mx group by all)
+    select session_date, previous_date, coalesce(index_bars, 0) index_bars, coalesce(fund_bars, 0) fund_bars, coalesce(context_bars, 0) context_bars, coalesce(mixed_symbols, 0) mixed_symbols, round(spot + 1e-9, 6) + 0.0 spot, round(strike + 1e-9, 6) + 0.0 strike, coalesce(quotes, 0) quotes, coalesce(observed, 0) observed, coalesce(coherent, 0) coherent, coalesce(interest_known, 0) interest_known,
+    coalesce(observed, 0) - coalesce(coherent, 0) excluded, coalesce(index_bars, 0) > 0 and coalesce(fund_bars, 0) > 0 intraday from ix full join ct using (session_date) full join mc using (session_date) full join qt using (session_date) full join st using (session_date) full join ch using (session_date)""")
+def session_assembly(spark, d):
+    """What each session is made of, from bars of all providers and all options known at 14:00 Eastern."""
+    b, m = X.bars(spark, d), F.col("minute") % 100 == 0
+    other = m & ((F.col("symbol") == "S05") | (F.col("symbol") == "S02") & (F.dayofmonth("session_date") % 2 == 0))
+    cutoff = F.timestamp_seconds(F.unix_date("session_date").cast("long") * 86400 + 19 * 3600)
+    p = S.parts(b.withColumn("provider", F.when(other, "B").otherwise("A")), chain(spark, d), cutoff, "S01", "S02", seconds=600)
+    return rounded(S.summary(p))
