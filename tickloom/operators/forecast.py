@@ -103,6 +103,24 @@ def chosen_view(interaction: Column, additive: Column, fallback: Column) -> Colu
     return F.coalesce(pick(interaction, "interaction"), pick(additive, "additive"), pick(fallback, "missing-input"))
 
 
+def chosen_bundle(verified: Column, fresh: Column, missing: Column, interactions: Column, base: Column) -> Column:
+    """Which installed bundle scores, and why none does: the one for missing inputs, else the one with interactions, else the base; held while the calendar is not verified or inputs are not fresh. All inputs are conditions; null is false."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    pick = lambda bundle, reason: F.struct(F.lit(bundle).cast("string").alias("bundle"), F.lit(reason).cast("string").alias("reason"))
+    some = yes(missing) | yes(interactions) | yes(base)
+    return F.when(~yes(verified), pick(None, "calendar")).when(~yes(fresh) & some, pick(None, "inputs not fresh")).when(yes(missing), pick("missing", None)).when(yes(interactions), pick("interactions", None)).when(yes(base), pick("base", None)).otherwise(pick(None, "no bundle"))
+
+
+def view_source(show_interaction: Column, additive_status: Column) -> Column:
+    """Model that is shown: interaction if asked for, the additive one while it is available or warming, else the one for missing inputs."""
+    return F.when(show_interaction, "interaction").when(additive_status.isin("available", "warming"), "additive").otherwise("missing-input")
+
+
+def view_reason(hold: Column, minute: Column, horizon: Column, close: Column, fallback_error: Column, own: Column) -> Column:
+    """Reason that is shown for a horizon: a hold, then a horizon beyond the close, then an error of the fallback, then the model's own; null if there is none."""
+    return F.coalesce(hold, F.when(minute + 1 + horizon > close, "beyond the close"), fallback_error, own)
+
+
 def registry_report(registry: DataFrame) -> DataFrame:
     """One row for each model and rule: whether it holds."""
     c = F.col

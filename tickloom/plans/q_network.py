@@ -184,6 +184,21 @@ def forecast_choice(spark, d):
     return rounded(v.select("symbol", "session_date", "minute", pick["model"].alias("model"), pick["p_up"].alias("p_up")))
 
 
+@query("""with f as (select o_orderkey, o_orderkey % 11 <> 0 verified, o_orderkey % 7 <> 0 fresh, o_orderpriority = '1-URGENT' missing, o_orderstatus = 'F' inter, o_orderkey % 2 = 0 base, 570 + o_orderkey % 390 mi, case o_orderkey % 4 when 0 then 'available' when 1 then 'warming' else 'unavailable' end st from orders)
+    select o_orderkey, case when not verified or not fresh then null when missing then 'missing' when inter then 'interactions' when base then 'base' end bundle, case when not verified then 'calendar' when not fresh and (missing or inter or base) then 'inputs not fresh' when not (missing or inter or base) then 'no bundle' end bundle_reason,
+    case when inter then 'interaction' when st <> 'unavailable' then 'additive' else 'missing-input' end source, case when not fresh then 'held' when mi + 31 > 960 then 'beyond the close' when not inter and st = 'unavailable' and o_orderkey % 3 = 0 then 'loading' when st <> 'available' then st end reason from f""")
+def bundle_choice(spark, d):
+    """Which bundle scores and which model is shown, with the reasons in their order; flags are made from orders."""
+    o, k = X.table(spark, d, "orders"), F.col("o_orderkey")
+    urgent, inter = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderstatus") == "F"
+    status = F.when(k % 4 == 0, "available").when(k % 4 == 1, "warming").otherwise("unavailable")
+    b = R.chosen_bundle(k % 11 != 0, k % 7 != 0, urgent, inter, k % 2 == 0)
+    source = R.view_source(inter, status)
+    error = F.when((source == "missing-input") & (k % 3 == 0), "loading")
+    reason = R.view_reason(F.when(k % 7 == 0, "held"), 570 + k % 390, F.lit(30), F.lit(960), error, F.when(status != "available", status))
+    return o.select("o_orderkey", b["bundle"].alias("bundle"), b["reason"].alias("bundle_reason"), source.alias("source"), reason.alias("reason"))
+
+
 @query("""with r as (select s_suppkey::varchar model_id, 300 + s_suppkey % 100 n, s_nationkey dys, s_acctbal > 0 conv from supplier) select model_id, unnest(['prior training', 'enough rows', 'enough days', 'converged', 'sizes', 'positive scale', 'distinct features', 'month window']) as "rule", unnest([true, n >= 350, dys * 10 >= 80, conv, n % 2 = 0, n % 3 <> 0, n % 5 <> 0, true]) as holds from r""")
 def registry_checks(spark, d):
     """Registry rules over a table of models made from suppliers."""
@@ -263,12 +278,15 @@ def _unpivot(names, keys="session_date, minute::bigint as minute"):
     return f"select {keys}, unnest([{', '.join(chr(39) + n + chr(39) for n, _ in names)}]) feature, round(unnest([{', '.join(f'({e})::double' for _, e in names)}]) + 1e-9, 6) + 0.0 as value"
 
 
-@query(CLUSTERS + f", {CORE}, {BIG}, br as (select session_date, minute, sum(sg) / 11 breadth from states where symbol <= 'S10' group by all), mc as (select session_date, minute, avg(r) m from pairs group by all), w as (select core.*, breadth, m, coalesce(bu, 0) bu, coalesce(be, 0) be from core join br using (session_date, minute) left join mc using (session_date, minute) left join big using (session_date, minute)) " + _unpivot([("spx_return_5", "spx_return_5"), ("spx_return_15", "spx_return_15"), ("spx_return_volatility_30", "spx_return_volatility_30"), ("spy_vwap_gap", "spy_vwap_gap"), ("sector_signed_breadth", "breadth"), ("bullish_cluster_fraction", "bu"), ("bearish_cluster_fraction", "be"), ("mean_correlation", "m")]) + " from w")
+@query(CLUSTERS + f""", {CORE}, {BIG}, s as (select session_date, minute, sum(sg) / 11 breadth, coalesce(string_agg(case when sv is not null then symbol end, ',' order by symbol), '') st from states where symbol <= 'S10' group by all), mc as (select session_date, minute, avg(r) m from pairs group by all),
+    j as (select s.*, m, coalesce(bu, 0) bu, coalesce(be, 0) be from s left join mc using (session_date, minute) left join big using (session_date, minute)),
+    gw as (select *, case when st = max(st) over o then bu - max(bu) over o end g1, case when st = max(st) over o then be - max(be) over o end g2 from j window o as (partition by session_date order by minute range between 5 preceding and 5 preceding)),
+    w as (select core.*, breadth, m, bu, be, g1, g2 from core join gw using (session_date, minute)) """ + _unpivot([("spx_return_5", "spx_return_5"), ("spx_return_15", "spx_return_15"), ("spx_return_volatility_30", "spx_return_volatility_30"), ("spy_vwap_gap", "spy_vwap_gap"), ("sector_signed_breadth", "breadth"), ("bullish_cluster_fraction", "bu"), ("bearish_cluster_fraction", "be"), ("bullish_growth_5", "g1"), ("bearish_growth_5", "g2"), ("mean_correlation", "m")]) + " from w")
 def features_network(spark, d):
-    """The ten network features, without growth, which network_summary has."""
+    """The ten network features."""
     s, labels = _labels(spark, d)
     net = N.summary(s, sector_pairs(spark, d), N.largest_clusters(labels, ["session_date", "minute", "sign"]))
-    return rounded(R.features_10(_core(spark, d), net).where("feature not like '%growth%'"))
+    return rounded(R.features_10(_core(spark, d), net))
 
 
 STATIC = "with recursive " + STATES + ", " + GRAPH + """, nodes as (select session_date, minute, sg, symbol from states where sg <> 0 and symbol <= 'S10'), ge as (select a, b from edges union all select b, a from edges),
