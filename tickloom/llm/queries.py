@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, linededup, lsm, mixing, pii, rabitq, secrets, simhash
+from . import bpe, chat, fim, langid, linededup, lsm, merkle, mixing, pii, rabitq, secrets, simhash
 from .common import table
 
 #: Place of the vocabulary; a parameter of the operator.
@@ -68,13 +68,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_embedding_near_dedup, op3_bpe, op4_chat_format, op5_source_mix, op6_exact_dedup, op7_language_id, op8_simhash_near_dedup, op9_line_dedup, op10_personal_data, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_embedding_near_dedup, op3_bpe, op4_chat_format, op5_source_mix, op6_exact_dedup, op7_language_id, op8_simhash_near_dedup, op9_line_dedup, op10_personal_data, op12_fill_in_middle, op13_merkle_manifest, pipeline)}
 
 ORACLES = {
     "op2_embedding_near_dedup": """
@@ -120,4 +128,38 @@ ORACLES = {
         f as (select l.*, gone.i is not null gone from l left join gone using (doc_id, i))
         select doc_id, count(*)::bigint n_lines, sum(gone::int)::bigint n_removed, length(coalesce(string_agg(case when not gone then x end, chr(10) order by i), ''))::bigint n_points,
             sha256(coalesce(string_agg(case when not gone then x end, chr(10) order by i), '')) text_sha256 from f group by doc_id""",
+    "op12_fill_in_middle": r"""
+        with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u, sha256('7:' || coalesce(doc_id::varchar, 'null')) h from documents),
+        x as (select *, len(u) n, ('0x' || h[1:8])::bigint % (len(u) + 1) p, ('0x' || h[9:16])::bigint % (len(u) + 1) q, ('0x' || h[25:32])::bigint % 100 < 50 spm from d),
+        y as (select doc_id, t, n, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when spm then 'spm' else 'psm' end form,
+            array_to_string(u[1:least(p, q)], '') a, array_to_string(u[least(p, q) + 1:greatest(p, q)], '') b, array_to_string(u[greatest(p, q) + 1:n], '') c from x)
+        select doc_id, n::bigint n, form, case when form <> 'plain' then length(a)::bigint end prefix_chars, case when form <> 'plain' then length(b)::bigint end middle_chars,
+            sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || c || '<M>' || b else '<S>' || c || '<P>' || a || '<M>' || b end) output_sha256, sha256(t) restored_sha256 from y""",
+    "op13_merkle_manifest": r"""
+        with recursive d as (select row_number() over (order by source nulls first, doc_id nulls first) row_no, doc_id, source, text, case when doc_id is null then '-' else octet_length(encode(doc_id::varchar)) || ':' || doc_id end || case when source is null then '-' else octet_length(encode(source)) || ':' || source end
+                || case when lang is null then '-' else octet_length(encode(lang)) || ':' || lang end || case when n_chars is null then '-' else octet_length(encode(n_chars::varchar)) || ':' || n_chars end head from documents),
+        e as (select row_no, doc_id, source, sha256(head || case when text is null then '-' else octet_length(encode(text)) || ':' || text end) leaf,
+            sha256(head || case when text is null then '-' else octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), '') end) cut, text from d),
+        k as (select source, dense_rank() over (order by source nulls first) - 1 tree, row_number() over (partition by source order by row_no) - 1 pos, row_no, doc_id, leaf, cut from e),
+        own(tree, lvl, pos, h, n) as (select tree, 0, pos, leaf, count(*) over (partition by tree) from k
+            union all select tree, lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)), any_value((n + 2) // 3) from own where n > 1 group by tree, lvl, pos // 3),
+        sub as (select tree, h from own where n = 1),
+        top(lvl, pos, h, n) as (select 0, tree, h, count(*) over () from sub
+            union all select lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)), any_value((n + 2) // 3) from top where n > 1 group by lvl, pos // 3),
+        root as (select h from top where n = 1),
+        odd(b) as (select 0 union all select b + 1 from odd where b < 255),
+        crc(b, r, c) as (select b, 0, b::bigint from odd union all select b, r + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where r < 8),
+        tab as materialized (select b, c from crc where r = 8),
+        sums(row_no, i, c) as (select row_no, 1, 4294967295::bigint from k where doc_id is not null
+            union all select s.row_no, i + 1, xor(s.c >> 8, t.c) from sums s join k on k.row_no = s.row_no join tab t on t.b = xor(s.c, ascii(substr(k.doc_id::varchar, i, 1))) & 255 where i <= length(k.doc_id::varchar)),
+        summed as (select row_no, arg_max(c, i) c from sums group by row_no),
+        s as (select k.*, case when xor(c, 4294967295) % 2 = 0 then cut else leaf end given from k left join summed on summed.row_no = k.row_no),
+        runs as (select tree, lvl, pos // 3 run, list(h order by pos) hs from own where n > 1 group by all union all select -1, lvl, pos // 3, list(h order by pos) from top where n > 1 group by all),
+        climb(row_no, tree, src, lvl, pos, h, proof) as (select row_no, tree, tree, 0, pos, given, '' from s
+            union all select c.row_no, case when r.run is null then -1 else c.tree end, src, case when r.run is null then 0 else c.lvl + 1 end, case when r.run is null then src else c.pos // 3 end,
+                case when r.run is null then c.h else sha256(array_to_string(r.hs[1:c.pos % 3], '') || c.h || array_to_string(r.hs[c.pos % 3 + 2:], '')) end,
+                case when r.run is null then c.proof else c.proof || array_to_string(r.hs[1:c.pos % 3], '') || array_to_string(r.hs[c.pos % 3 + 2:], '') end
+            from climb c left join runs r on r.tree = c.tree and r.lvl = c.lvl and r.run = c.pos // 3 where r.run is not null or c.tree >= 0),
+        done as (select row_no, arg_max(h, (tree = -1, lvl)) h, arg_max(proof, (tree = -1, lvl)) proof from climb where tree = -1 group by row_no)
+        select s.doc_id, s.leaf, sub.h subroot, root.h root, sha256(done.proof) proof_sha256, done.h folded_root, done.h = root.h verified from s join sub on sub.tree = s.tree join done on done.row_no = s.row_no cross join root""",
 }
