@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, langid, linededup, lsm, merkle, mixing, pii, rabitq, secrets, simhash
+from . import ann, bpe, chat, fim, langid, linededup, lsm, merkle, mixing, pii, rabitq, secrets, simhash
 from .common import table
 
 #: Place of the vocabulary; a parameter of the operator.
@@ -68,6 +68,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_embedding_near_dedup, op3_bpe, op4_chat_format, op5_source_mix, op6_exact_dedup, op7_language_id, op8_simhash_near_dedup, op9_line_dedup, op10_personal_data, op12_fill_in_middle, op13_merkle_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_embedding_near_dedup, op3_bpe, op4_chat_format, op5_source_mix, op6_exact_dedup, op7_language_id, op8_simhash_near_dedup, op9_line_dedup, op10_personal_data, op11_nearest_neighbours, op12_fill_in_middle, op13_merkle_manifest, pipeline)}
 
 ORACLES = {
     "op2_embedding_near_dedup": """
