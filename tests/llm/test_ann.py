@@ -59,7 +59,7 @@ def test_scores_ties_and_rows_that_take_no_part(spark, monkeypatch):
     assert ann.nearest(spark, df.where("false"), asks()).count() == 0 and ann.nearest(spark, df.where("vec_id = 3"), asks()).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [ann.CHUNK, 16])
+@pytest.mark.parametrize("chunk", [None, 16])
 def test_buckets_in_chunks_and_queries_that_found_too_few(spark, monkeypatch, chunk):
     """Groups of near copies among vectors of very different lengths; also with buckets dealt in a grid, and with one visit, so that most must look again."""
     rng = np.random.default_rng(4)
@@ -67,7 +67,8 @@ def test_buckets_in_chunks_and_queries_that_found_too_few(spark, monkeypatch, ch
     x = np.concatenate([centres[rng.integers(0, 12, 500)] + 0.05 * rng.standard_normal((500, 16)), rng.standard_normal((100, 16)) * rng.lognormal(0, 1, (100, 1))])
     rows = [(i, e.tolist()) for i, e in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(ann, "CHUNK", chunk)
+    for name in ("MEMBERS", "VISITORS") if chunk else ():
+        monkeypatch.setattr(ann, name, chunk)
     want = brute(rows)
     got = answers(ann.nearest(spark, df, asks()))
     assert np.mean([len({i for _, _, i in got[q]} & {i for _, i in near}) / 20 for q, (near,) in want.items()]) >= 0.93

@@ -31,8 +31,8 @@ DIRECTIONS, WIDTHS, TABLES, VISITS = (2, 3, 4, 6, 8, 10, 12, 16, 20, 24), (0.7,
 REACH = 2.2
 #: A row that is dealt costs as much as so many inner products.
 DEALT = 100
-#: Vectors of one bucket, and visitors of it, that meet in one task, rows that are held together, inner products in one step.
-CHUNK, TOGETHER, STEP = 8192, 8192, 1 << 22
+#: Vectors of one bucket, and visitors of it, that meet in one task; rows that are held together; inner products in one step.
+MEMBERS, VISITORS, TOGETHER, STEP = 2048, 4096, 8192, 1 << 22
 #: Buckets over a chunk that are broadcast; beyond, the join is left to Spark.
 BROADCAST_BUCKETS = 100_000
 
@@ -200,11 +200,11 @@ def _by_length(t: pa.Table, column: str) -> Iterator[pa.Table]:
         yield t.take(pa.array(np.flatnonzero(sizes == n)))
 
 
-def usable(embedding: Column) -> Column:
-    """As doubles; null where null, empty, zero or holding null or non-finite numbers."""
+def usable(embedding: Column, kind: str = "double") -> Column:
+    """As numbers of a kind; null where null, empty, zero or holding null or non-finite numbers."""
     numbers = embedding.cast("array<double>")
     real = (F.size(numbers) > 0) & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(numbers, lambda x: x != 0)
-    return F.when(real, F.transform(numbers, lambda x: x + 0.0))
+    return F.when(real, F.transform(numbers, lambda x: x + 0.0).cast(f"array<{kind}>"))
 
 
 def _exact(classes: DataFrame, queries: list[tuple[bytes, np.ndarray]], k: int) -> list[tuple[bytes, np.ndarray]]:
@@ -220,7 +220,7 @@ def _exact(classes: DataFrame, queries: list[tuple[bytes, np.ndarray]], k: int)
                         _, j, s = matched(q[None], m[other], other, k)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(j), pa.binary()), pa.array(s), t["embedding"].take(pa.array(other[j])).combine_chunks()], ["q", "score", "embedding"])
 
-    found = classes.select("class", "embedding").mapInArrow(run, "q binary, score double, embedding array<double>")
+    found = classes.select("class", "embedding").mapInArrow(run, f"q binary, score double, embedding {classes.schema['embedding'].dataType.simpleString()}")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "embedding")
     best = found.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)  # few queries, k rows of each from a task
     return [(bytes(r.q), np.array(r.embedding)) for r in best.select("q", "embedding").collect()]
@@ -228,11 +228,11 @@ def _exact(classes: DataFrame, queries: list[tuple[bytes, np.ndarray]], k: int)
 
 def fitted(classes: DataFrame, k: int = NEAREST) -> Index | None:
     """Index for classes (class, embedding, ids, queries); None if there are none. To the driver go FIT_QUERIES queries, k neighbours of each and FIT_ROWS rows."""
-    totals = classes.agg(F.count("*"), F.count(F.when(F.col("queries") > 0, 1)), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))), F.max(F.size("embedding"))).first()
+    totals = classes.agg(F.count("*"), F.count(F.when(F.col("queries") > 0, 1)), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x).cast("double")))), F.max(F.size("embedding"))).first()
     if not totals[1]:
         return None
     top = totals[2]
-    longest = classes.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x / top * (x / top))))).first()[0] * top
+    longest = classes.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") / top * (x.cast("double") / top))))).first()[0] * top
     mixed = F.xxhash64("class", F.lit(SEED))
     some = [np.array(r[0]) for r in classes.orderBy(mixed, "class").limit(FIT_ROWS).select("embedding").collect()]
     asking = [(bytes(r[0]), np.array(r[1])) for r in classes.where("queries > 0").orderBy(mixed, "class").limit(FIT_QUERIES).select("class", "embedding").collect()]
@@ -310,11 +310,11 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _visits(spark: SparkSession, members: DataFrame, visitors: DataFrame, k: int, path: str) -> DataFrame:
     """(q, x, score, ids) of members and visitors (tab, dim, bucket, class, embedding, ids) that meet.
 
-    A bucket with over CHUNK of either is a grid of chunks: members go to a row of its tasks, visitors to a column, so that all still meet.
+    A bucket with over MEMBERS or VISITORS of them is a grid of chunks: members go to a row of its tasks, visitors to a column, so that all still meet.
     """
     at = ["tab", "dim", "bucket"]
     counted = members.select(*at, F.lit(1).alias("m"), F.lit(0).alias("v")).unionAll(visitors.select(*at, F.lit(0).alias("m"), F.lit(1).alias("v"))).groupBy(*at).agg(F.sum("m").alias("m"), F.sum("v").alias("v"))
-    large = stored(spark, counted.where((F.col("m") > CHUNK) | (F.col("v") > CHUNK)).select(*at, F.ceil(F.col("m") / CHUNK).alias("m"), F.ceil(F.col("v") / CHUNK).alias("v")), f"{path}-large")
+    large = stored(spark, counted.where((F.col("m") > MEMBERS) | (F.col("v") > VISITORS)).select(*at, F.ceil(F.col("m") / MEMBERS).alias("m"), F.ceil(F.col("v") / VISITORS).alias("v")), f"{path}-large")
     large = F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large
 
     def grid(rows: DataFrame, asks: bool) -> DataFrame:
@@ -339,7 +339,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = N
     """
     folder = shared_dir(spark)
     shape = "query_id long, rank int, vec_id long, score double"
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), usable(F.col("embedding")).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks")).where("embedding is not null")
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # single precision is sent as it is, and computed in double
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), usable(F.col("embedding"), kind).alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks")).where("embedding is not null")
     v = v.withColumn("class", F.unhex(F.md5(F.to_json(F.struct("embedding")))))
     # an answer has at most k of a class and the query itself, so no class is held whole: the least of each are chosen before the shuffle
     first = v.withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy(F.asc_nulls_last("vec_id")))).where(F.col("nth") <= k + 1)
@@ -351,7 +352,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = N
     index = fitted(classes, k)
     if index is None:
         return spark.createDataFrame([], shape)
-    dealt = "tab int, dim int, bucket long, class binary, embedding array<double>, ids array<long>"
+    dealt = f"tab int, dim int, bucket long, class binary, embedding array<{kind}>, ids array<long>"
     rows = classes.select("class", "embedding", "ids")
     members = rows.mapInArrow(_dealt(index, None), dealt)
     visitors = classes.where("queries > 0").select("class", "embedding", "ids").mapInArrow(_dealt(index, index.visits), dealt)
@@ -375,7 +376,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = N
 
 def _merged(met: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(class, best): the k + 1 best ids of each query, its own class always among what is found. The lists of a query are as many as its visits, each of k + 1."""
-    own = classes.where("queries > 0").select(F.col("class").alias("q"), F.col("class").alias("x"), F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y * y).alias("score"), "ids")
+    own = classes.where("queries > 0").select(F.col("class").alias("q"), F.col("class").alias("x"), F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")).alias("score"), "ids")
     pairs = met.unionByName(own).groupBy("q", "x").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
     one = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.isNull().alias("none"), i.alias("vec_id")))
     lists = pairs.groupBy("q").agg(F.collect_list(one).alias("lists"))

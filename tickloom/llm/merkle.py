@@ -2,8 +2,9 @@
 
 Nodes are stored by block: four levels of runs of three under one node, which a row holds as arrays of digests, with a link to the
 row (and the place in it) where that node is a child; the last block of a source links into the tree of sources. A recursive query
-climbs from every document by these links at once, one block a step: it appends the siblings of the path and folds the digest of
-what is to be checked. A climb over a billion documents is five steps and two for the sources.
+climbs from every document by these links at once, one block a step, and folds the digest of what is to be checked. It appends the
+siblings of the path where it is told to: for one document of each block, as what lies over a block is the same for all that are in it.
+A climb over a billion documents is five steps and two for the sources.
 """
 
 from __future__ import annotations
@@ -88,10 +89,10 @@ def build(spark: SparkSession, leaves: DataFrame, path: str) -> tuple[DataFrame,
         rows = rows.withColumn("levels", _levels(F.transform("c", lambda x: x["digest"]), _height(F.col("n")))).drop("c")
         rows = stored(spark, rows, f"{path}/blocks{tier}")
         link = lambda c: F.when(F.col("n") > LEAVES, c)
-        blocks.append(rows.select("tree", F.lit(tier).alias("tier"), "block", "under", F.expr("slice(levels, 1, size(levels) - 1)").alias("levels"), link(F.lit(tier + 1)).alias("parent_tier"), link(F.floor(F.col("block") / LEAVES)).alias("parent_block"), link((F.col("block") % LEAVES).cast("int")).alias("parent_slot")))
+        blocks.append(rows.select("tree", F.lit(tier).alias("tier"), "block", "under", F.expr("transform(slice(levels, 1, size(levels) - 1), l -> transform(l, d -> unhex(d)))").alias("levels"), link(F.lit(tier + 1)).alias("parent_tier"), link(F.floor(F.col("block") / LEAVES)).alias("parent_block"), link((F.col("block") % LEAVES).cast("int")).alias("parent_slot")))
         nodes = rows.select("tree", F.col("block").alias("pos"), F.element_at(F.element_at("levels", -1), 1).alias("digest"), F.ceil(F.col("n") / LEAVES).alias("n"), "under")
         tier += 1
-    none = spark.createDataFrame([], "tree long, tier int, block long, under long, levels array<array<string>>, parent_tier int, parent_block long, parent_slot int")
+    none = spark.createDataFrame([], "tree long, tier int, block long, under long, levels array<array<binary>>, parent_tier int, parent_block long, parent_slot int")
     for b in blocks:
         none = none.unionByName(b)
     whole = roots[0]
@@ -112,19 +113,31 @@ def _unlimited(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-#: One step: the path from slot up to the block's node. Of each level, the run's other digests go to the proof, and the run with the folded digest in its place is folded.
+def _step(levels: str, slot: str, folded: str) -> str:
+    """The path from a slot up to the block's node, in SQL: of each level, the run's other digests are appended to the proof, and the run with the folded digest in its place is folded."""
+    run = [f"get(level, s.slot - s.slot % {FAN} + {k})" for k in range(FAN)]
+    hexed = lambda c: f"coalesce(lower(hex({c})), '')"
+    return f"""aggregate({levels}, named_struct('slot', {slot}, 'folded', {folded}, 'proof', unhex('')), (s, level) -> named_struct('slot', cast(floor(s.slot / {FAN}) as int),
+        'folded', unhex(sha2(concat({", ".join(hexed(f"if(s.slot % {FAN} = {k}, s.folded, {r})") for k, r in enumerate(run))}), 256)),
+        'proof', concat(s.proof, {", ".join(f"coalesce(if(s.slot % {FAN} = {k}, null, {r}), unhex(''))" for k, r in enumerate(run))})))"""
+
+
+#: Rows of start go up block by block until there is no parent. Siblings are appended where kept says so.
 CLIMB = f"""
-    with recursive climb(row_no, tree, tier, block, copy, slot, folded, proof) as (
-        select row_no, tree, 0, block, 0L, slot, folded, unhex('') from {{start}}
+    with recursive climb(a, b, tree, tier, block, copy, slot, folded, kept, proof) as (
+        select a, b, tree, 0, block, 0L, slot, folded, kept, unhex('') from {{start}} where tree is not null
         union all
-        select row_no, parent_tree, parent_tier, parent_block, pmod(xxhash64(row_no), parent_copies), parent_slot, path.folded, concat(proof, unhex(path.proof)) from (
-            select c.row_no, n.parent_tree, n.parent_tier, n.parent_block, n.parent_slot, n.parent_copies, c.proof,
-                aggregate(n.levels, named_struct('slot', c.slot, 'folded', c.folded, 'proof', ''),
-                    (s, level) -> named_struct('slot', cast(floor(s.slot / {FAN}) as int),
-                        'folded', sha2(concat(array_join(slice(level, s.slot - s.slot % {FAN} + 1, s.slot % {FAN}), ''), s.folded, array_join(slice(level, s.slot + 2, {FAN} - 1 - s.slot % {FAN}), '')), 256),
-                        'proof', concat(s.proof, array_join(slice(level, s.slot - s.slot % {FAN} + 1, s.slot % {FAN}), ''), array_join(slice(level, s.slot + 2, {FAN} - 1 - s.slot % {FAN}), '')))) path
+        select a, b, parent_tree, parent_tier, parent_block, pmod(xxhash64(a, b), parent_copies), parent_slot, path.folded, kept, if(kept, concat(proof, path.proof), proof) from (
+            select c.a, c.b, n.parent_tree, n.parent_tier, n.parent_block, n.parent_slot, n.parent_copies, c.kept, c.proof, {_step("n.levels", "c.slot", "c.folded")} path
             from climb c join {{nodes}} n on c.tree = n.tree and c.tier = n.tier and c.block = n.block and c.copy = n.copy))
-    select row_no, folded, proof from climb where tree is null"""
+    select a, b, folded, proof from climb where tree is null"""
+
+
+def _climbed(spark: SparkSession, start: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
+    """(a, b, folded, proof) of start (a, b, tree, block, slot, folded, kept) at the root; those whose tree is null are there already."""
+    with _unlimited(spark):
+        up = stored(spark, spark.sql(CLIMB, start=start, nodes=nodes), path)
+    return up.unionByName(start.where("tree is null").select("a", "b", "folded", F.unhex(F.lit("")).alias("proof")))
 
 
 def linked(blocks: DataFrame) -> DataFrame:
@@ -156,15 +169,27 @@ def manifest(spark: SparkSession, docs: DataFrame, tampered=tampered_text) -> Da
     number = totals.first()["n"] or 0
     top, root = build(spark, subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.col("root").alias("digest"), F.lit(number).cast("long").alias("n"), "under"), f"{folder}/top")
     # the last block of a source links to its place in the tree of sources, if there is one
-    above = number > 1
-    into = lambda own_link, top_link, kind: F.coalesce(own_link, F.when(F.lit(above), top_link)).cast(kind)
-    own = own.withColumns({"parent_tree": F.when(F.col("parent_tier").isNotNull(), F.col("tree")).when(F.lit(above), F.lit(TOP)).cast("long"), "parent_tier": into(F.col("parent_tier"), F.lit(0), "int"), "parent_block": into(F.col("parent_block"), F.floor(F.col("tree") / LEAVES), "long"), "parent_slot": into(F.col("parent_slot"), F.col("tree") % LEAVES, "int")})
+    above = F.lit(number > 1)
+    into = lambda own_link, top_link, kind: F.coalesce(own_link, F.when(above, top_link)).cast(kind)
+    own = own.withColumns({"parent_tree": F.when(F.col("parent_tier").isNotNull(), F.col("tree")).when(above, F.lit(TOP)).cast("long"), "parent_tier": into(F.col("parent_tier"), F.lit(0), "int"), "parent_block": into(F.col("parent_block"), F.floor(F.col("tree") / LEAVES), "long"), "parent_slot": into(F.col("parent_slot"), F.col("tree") % LEAVES, "int")})
     top = top.withColumn("parent_tree", F.when(F.col("parent_tier").isNotNull(), F.lit(TOP)).cast("long"))
     nodes = stored(spark, linked(stored(spark, own.unionByName(top), f"{folder}/blocks")), f"{folder}/nodes")
     alone = F.col("n") == 1
-    place = lambda c: F.when(~alone, c).when(F.lit(above), F.col("tree")).otherwise(F.lit(0))
-    start = rows.select("row_no", F.when(~alone, F.col("tree")).when(F.lit(above), F.lit(TOP)).cast("long").alias("tree"), F.floor(place(F.col("pos")) / LEAVES).cast("long").alias("block"), (place(F.col("pos")) % LEAVES).cast("int").alias("slot"), F.coalesce("changed", "leaf").alias("folded"))
-    with _unlimited(spark):
-        climbed = stored(spark, spark.sql(CLIMB, start=start, nodes=nodes).select("row_no", "folded", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256")), f"{folder}/climbed")
-    out = rows.join(subroots.select("tree", F.col("root").alias("subroot")), "tree").join(climbed, "row_no").crossJoin(F.broadcast(root.select("root")))  # one row, or none for an empty table
-    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+    tree = F.when(~alone, F.col("tree")).when(above, F.lit(TOP)).cast("long")
+    place = F.when(~alone, F.col("pos")).otherwise(F.col("tree"))
+    at = [tree.alias("tree"), F.floor(place / LEAVES).cast("long").alias("block"), (place % LEAVES).cast("int").alias("slot")]
+    # every document climbs with the digest that is checked; the proof over a block, the same for all its documents, is carried up by the block's first
+    start = rows.select(F.col("row_no").alias("a"), F.lit(0).cast("long").alias("b"), *at, F.unhex(F.coalesce("changed", "leaf")).alias("folded"), F.lit(False).alias("kept"))
+    first = rows.where(F.col("pos") % LEAVES == 0).select(F.col("tree").alias("a"), F.floor(F.col("pos") / LEAVES).cast("long").alias("b"), *at, F.unhex("leaf").alias("folded"), F.lit(True).alias("kept"))
+    climbed = _climbed(spark, start, nodes, f"{folder}/climbed").select(F.col("a").alias("row_no"), F.col("folded"))
+    proofs = _climbed(spark, first, nodes, f"{folder}/proofs").select(F.col("a").alias("tree"), F.col("b").alias("block"), "proof")
+    # of that proof, what comes after the siblings within the block holds for all its documents; theirs within it are read from the block
+    lowest = nodes.where("tree >= 0 and tier = 0 and copy = 0").select("tree", "block", "levels")
+    within = F.expr(_step("levels", f"cast(pos % {LEAVES} as int)", "unhex(leaf)") + ".proof")
+    own_length = "length(" + _step("levels", "0", "unhex('')") + ".proof)"
+    both = proofs.join(lowest, ["tree", "block"], "left").withColumn("rest", F.when(F.col("levels").isNull(), F.col("proof")).otherwise(F.expr(f"substring(proof, {own_length} + 1)"))).drop("proof")
+    out = rows.withColumn("block", F.floor(F.col("pos") / LEAVES).cast("long")).join(both, ["tree", "block"]).withColumn("proof", F.concat(F.coalesce(within, F.unhex(F.lit(""))), F.col("rest")))
+    out = out.select("row_no", "tree", "doc_id", "leaf", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"))
+    out = out.join(subroots.select("tree", F.col("root").alias("subroot")), "tree").join(climbed, "row_no").crossJoin(F.broadcast(root.select("root")))  # one row, or none for an empty table
+    folded = F.lower(F.hex("folded"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
