@@ -10,7 +10,6 @@ from tickloom.functions import columns as C
 from tickloom.functions import options_math as O
 from tickloom.operators import bars as B
 from tickloom.operators import chain as H
-from tickloom.operators import ema as E
 from tickloom.operators import evaluate as V
 from tickloom.operators import forecast as R
 from tickloom.operators import impute as I
@@ -185,18 +184,6 @@ def test_correlation_default_threshold(spark):
     assert [(r.a, r.b) for r in N.links(pairs).where("minute = 640").collect()] == [("A", "B")]
 
 
-def test_ema_retest_watching_then_confirmed(spark):
-    prior = [(DAY - dt.timedelta(1), i, 100.0 if i < 8 else 99.0, 100.0, 99.0) for i in range(9)]
-    def state(today):
-        rows = [("A", d, b, 570 + 10 * b, h, lo, c, True) for d, b, c, h, lo in prior + [(DAY, *t) for t in today]]
-        df = spark.createDataFrame(rows, "symbol string, session_date date, bucket int, start int, high double, low double, close double, complete boolean")
-        return E.ema_episodes(E.fold(df)).where(F.col("session_date") == F.lit(DAY)).collect()
-    first = state([(0, 102.0, 103.0, 99.0)])
-    assert [(e.side, e.status, e.crossed) for e in first] == [("bullish", "watching", 0)]
-    both = state([(0, 102.0, 103.0, 99.0), (1, 101.0, 103.0, 99.0)])
-    assert [(e.status, e.retested, e.confirm_price) for e in both] == [("confirmed", 1, 101.0)]
-
-
 def test_black_scholes_rejects_bad_input(spark):
     df = spark.createDataFrame([(100.0, 100.0, 1.0, 0.2, 0.04, "CALL"), (0.0, 100.0, 1.0, 0.2, 0.04, "CALL"), (100.0, 100.0, 1.0, 0.2, 0.04, "X"), (100.0, None, 1.0, 0.2, 0.04, "PUT")], "s double, k double, t double, v double, r double, c string")
     got = [x[0] for x in df.select(O.black_scholes(*[F.col(c) for c in "sktvrc"])).collect()]
@@ -219,16 +206,6 @@ def test_band_is_the_interpolated_quantiles(spark):
         impute.drawn(spark.createDataFrame([], "row_id string, version_id string, missing array<int>, estimates array<double>, factor array<array<double>>"), draws)
 
 
-def test_levels_at_a_confirmed_retest(spark):
-    from tickloom.operators import ema
-
-    day = dt.date(2026, 9, 30)
-    levels = spark.createDataFrame([("A", day, n, p) for n, p in (("low", 90.0), ("near", 101.0), ("high", 110.0))], "symbol string, session_date date, name string, price double")
-    e = spark.createDataFrame([("A", day, 0, "bullish", 100.0), ("A", day, 1, "bearish", 100.0), ("A", day, 2, "bullish", 120.0), ("A", day, 3, "bullish", None), ("B", day, 0, "bullish", 100.0)], "symbol string, session_date date, nth int, side string, confirm_price double")
-    got = {(r.symbol, r.nth): (r.confluence, r.target) for r in ema.touched_levels(e, levels).collect()}
-    assert got[("A", 0)] == (1, "near") and got[("A", 1)] == (1, "low") and got[("A", 2)] == (0, None) and ("A", 3) not in got and got[("B", 0)][1] is None
-
-
 def test_greeks_are_the_slopes_of_the_price(spark):
     from tickloom.plans import catalogue
 

@@ -21,62 +21,6 @@ SF = "/root/testdata/sf0.001"
 DAY = dt.date(2026, 9, 30)
 
 
-def machine(buckets):
-    """Cross and retest episodes of one symbol, step by step. buckets: (today, bucket, high, low, close, complete)."""
-    ema, seeds, prev, eps = None, [], None, []
-    for today, b, high, low, close, complete in buckets:
-        if not complete:
-            ema, seeds, prev = None, [], None
-            for e in eps:
-                if e["status"] in ("watching", "confirmed"):
-                    e["status"], e["ended"] = "cancelled", b
-            continue
-        if ema is not None:
-            ema += 2 / 9 * (close - ema)
-        else:
-            seeds.append(close)
-            if len(seeds) == 8:
-                ema, seeds = sum(seeds) / 8, []
-        if today and ema is not None and prev and prev[1] is not None:
-            bull, bear = prev[0] <= prev[1] and close > ema, prev[0] >= prev[1] and close < ema
-            for e in eps:
-                long = e["side"] == "bullish"
-                k = b - e["crossed"]
-                if e["status"] == "confirmed" and (close < ema if long else close > ema):
-                    e["status"], e["ended"] = "invalidated", b
-                elif e["status"] == "watching":
-                    if bear if long else bull:
-                        e["status"], e["ended"] = "cancelled", b
-                    elif 1 <= k <= 3 and low <= prev[1] <= high and (close > ema if long else close < ema):
-                        e["status"], e["retested"] = "confirmed", b
-                    elif k >= 3:
-                        e["status"], e["ended"] = "expired", b
-            side = "bullish" if bull else "bearish" if bear else None
-            if side and not any(e["side"] == side and e["status"] in ("watching", "confirmed") for e in eps):
-                eps.append({"side": side, "status": "watching", "crossed": b, "retested": None, "ended": None})
-        prev = (close, ema)
-    return [(e["side"], e["status"], e["crossed"], e["retested"], e["ended"]) for e in eps]
-
-
-def test_ema_fold_is_the_state_machine(spark):
-    random.seed(3)
-    rows, want = [], {}
-    for s in range(12):
-        seq = []
-        for k, day in enumerate((DAY - dt.timedelta(1), DAY)):
-            for b in range(39):
-                c = 100 + random.uniform(-3, 3)
-                ok = random.random() > 0.02
-                rows.append((f"S{s}", day, b, 570 + 10 * b, c + random.random() * 2, c - random.random() * 2, c, ok))
-                seq.append((k == 1, b, rows[-1][4], rows[-1][5], c, ok))
-        want[f"S{s}"] = machine(seq)
-    df = spark.createDataFrame(rows, "symbol string, session_date date, bucket int, start int, high double, low double, close double, complete boolean")
-    got: dict = {f"S{s}": [] for s in range(12)}
-    for r in E.ema_episodes(E.fold(df)).where(F.col("session_date") == F.lit(DAY)).orderBy("symbol", "nth").collect():
-        got[r.symbol].append((r.side, r.status, r.crossed, r.retested, r.ended))
-    assert got == want and sum(map(len, want.values())) > 30
-
-
 def test_reversal_fold_step_and_stream_agree(spark):
     random.seed(5)
     codes = [*A.CODES, "INSIDE-RISE", None, None, None]
@@ -158,20 +102,4 @@ def test_empty_tables(spark):
     b = X.bars(spark, SF).where("false")
     for f in CASES.values():
         assert f(spark, b).count() == 0
-    assert E.ema_episodes(E.fold(B.ten_minute(b))).count() == 0
-
-
-def test_streamed_ema_is_the_batch_ema(spark):
-    t = {r.symbol: r.ema for r in catalogue.QUERIES["ema_seeded"](spark, SF).where("bucket = 12").collect()}
-    got = {r.symbol: r.ema for r in catalogue.QUERIES["stream_ema"](spark, SF).collect()}
-    assert all(v == pytest.approx(got[k]) for k, v in t.items() if v is not None)
-
-
-def test_streamed_retests_are_the_machines():
-    random.seed(6)
-    for _ in range(30):
-        seq = [(True, b, *(lambda c: (c + random.random() * 2, c - random.random() * 2, c))(100 + random.uniform(-3, 3)), random.random() > 0.03) for b in range(60)]
-        state = None
-        for x in seq:
-            state = live.ema_step(state, x[1:])
-        assert state[8] == sum(e[3] is not None for e in machine(seq))
+    assert E.ema_episodes(E.fold(E.calendar_buckets(b))).count() == 0 and E.clock(b, E.fold(E.calendar_buckets(b))).count() == 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.columns import CLOSE, OPEN, grid_status, to_eastern, valid_bar
+from ..functions.columns import CLOSE, OPEN, grid_status, to_eastern, valid_bar, valid_price
 
 P = ("symbol", "session_date")
 
@@ -106,7 +106,7 @@ def ten_minute(bars: DataFrame, size: int = 10) -> DataFrame:
     """
     v = F.when(F.col("volume") >= 0, F.col("volume")).otherwise(0.0)
     b = F.floor((F.col("minute") - OPEN) / size)
-    agg = bars.where(F.col("minute") >= OPEN).groupBy(*P, b.cast("int").alias("bucket")).agg(F.min_by("open", "minute").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "minute").alias("close"), F.sum(v).alias("volume"), ((F.count("*") == size) & (F.count_distinct("minute") == size) & F.bool_and(valid_bar() | F.col("volume").isNotNull() & (F.col("volume") < 0))).alias("complete"))
+    agg = bars.where(F.col("minute") >= OPEN).groupBy(*P, b.cast("int").alias("bucket")).agg(F.min_by("open", "minute").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "minute").alias("close"), F.sum(v).alias("volume"), ((F.count("*") == size) & (F.count_distinct("minute") == size) & F.bool_and(valid_price(*[F.col(c) for c in ("open", "high", "low", "close")]))).alias("complete"))
     return agg.withColumn("start", F.col("bucket") * size + OPEN)
 
 

@@ -51,17 +51,30 @@ def day_types(bars: DataFrame, levels: DataFrame, k: int = 2) -> DataFrame:
 
 
 def mapped_levels(levels: DataFrame, ratio: Column, sigma: Column) -> DataFrame:
-    """Long table of named price levels: the prior range and close, premarket proxies scaled by ratio, and one sigma either side of the prior close."""
-    rows = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("price")) for n, v in (("prior high", F.col("prior_high")), ("prior low", F.col("prior_low")), ("prior close", F.col("prior_close")), ("premarket high", F.col("pm_high") * ratio), ("premarket low", F.col("pm_low") * ratio), ("sigma up", F.col("prior_close") + sigma), ("sigma down", F.col("prior_close") - sigma))])
-    return levels.select(*P, F.explode(rows).alias("x")).select(*P, "x.name", "x.price").where("price is not null")
+    """Long table of named levels (P, nth, name, low, high, price): the prior range and close, premarket proxies scaled by ratio, and one sigma either side of the prior close. Each is a point: low and high are its price."""
+    rows = F.array(*[F.struct(F.lit(k).alias("nth"), F.lit(n).alias("name"), v.alias("price")) for k, (n, v) in enumerate((("prior high", F.col("prior_high")), ("prior low", F.col("prior_low")), ("prior close", F.col("prior_close")), ("premarket high", F.col("pm_high") * ratio), ("premarket low", F.col("pm_low") * ratio), ("sigma up", F.col("prior_close") + sigma), ("sigma down", F.col("prior_close") - sigma)))])
+    return levels.select(*P, F.explode(rows).alias("x")).select(*P, "x.nth", "x.name", F.col("x.price").alias("low"), F.col("x.price").alias("high"), "x.price").where("price is not null")
+
+
+def zones(levels: DataFrame) -> DataFrame:
+    """Intervals (P, nth, name, low, high) of each session: between the prior and the premarket highs, and between the lows, and a sigma band around the prior close; those whose two ends are known."""
+    a, b = F.least, F.greatest
+    rows = F.array(*[F.struct(F.lit(k).alias("nth"), F.lit(n).alias("name"), lo.alias("low"), hi.alias("high")) for k, (n, lo, hi) in enumerate((("high zone", a("prior_high", "pm_high"), b("prior_high", "pm_high")), ("low zone", a("prior_low", "pm_low"), b("prior_low", "pm_low"))))])
+    return levels.where("prior_high is not null and prior_low is not null and pm_high is not null and pm_low is not null").select(*P, F.explode(rows).alias("x")).select(*P, "x.*")
 
 
 def around(prices: DataFrame, levels: DataFrame, near: float = 2.0) -> DataFrame:
-    """prices (P, minute, close) against the session's levels (P, name, price): nearest above, nearest below, and how many lie within near.
+    """prices (P, minute, close) against the session's levels (P, nth, name, low, high): the nearest strictly above, the nearest strictly below, those that hold the price, and how many lie within near of it.
 
-    Levels are few for each session, so they travel as an array beside each price.
+    A session's few levels travel as two arrays beside each price, one sorted by where they begin, one by where they end, so that the nearest are the first that qualify.
+    Levels that aren't intervals of positive prices, or have no name, are left out; a price of a session without levels has none. Of equally near ones the lower nth comes first.
     """
-    sets = levels.groupBy(*P).agg(F.array_sort(F.collect_list(F.struct("price", "name"))).alias("levels"))
-    rows = prices.join(sets, list(P))
-    up, down = F.filter("levels", lambda x: x["price"] > F.col("close")), F.filter("levels", lambda x: x["price"] < F.col("close"))
-    return rows.select(*P, "minute", "close", F.try_element_at(up, F.lit(1))["name"].alias("above"), F.try_element_at(down, F.lit(-1))["name"].alias("below"), F.size(F.filter("levels", lambda x: F.abs(x["price"] - F.col("close")) <= near)).cast("long").alias("confluence"))
+    good = levels.where((F.trim("name") != "") & (F.col("low") > 0) & (F.col("high") >= F.col("low")) & (F.col("high") < float("inf")))
+    sets = good.groupBy(*P).agg(F.array_sort(F.collect_list(F.struct("low", "nth", "name", "high"))).alias("_up"), F.array_sort(F.collect_list(F.struct((-F.col("high")).alias("minus"), "nth", "name"))).alias("_down"))
+    rows = prices.join(sets, list(P), "left")
+    at = F.col("close")
+    above = F.try_element_at(F.filter("_up", lambda x: x["low"] > at), F.lit(1))["name"]
+    below = F.try_element_at(F.filter("_down", lambda x: -x["minus"] < at), F.lit(1))["name"]
+    held = F.array_sort(F.transform(F.filter("_up", lambda x: (x["low"] <= at) & (x["high"] >= at)), lambda x: F.struct(x["nth"], x["name"].alias("name"))))
+    close_by = F.filter("_up", lambda x: (x["low"] - near <= at) & (x["high"] + near >= at))
+    return rows.select(*P, "minute", "close", above.alias("above"), below.alias("below"), F.coalesce(F.array_join(F.transform(held, lambda x: x["name"]), ","), F.lit("")).alias("overlapping"), F.coalesce(F.size(close_by), F.lit(0)).cast("long").alias("confluence"))

@@ -105,15 +105,25 @@ MAPPED = """, m as (select symbol, session_date, unnest(['prior high', 'prior lo
 @query(shown(X.levels_sql() + MAPPED + ", f as (select * from m where price is not null)", "f", "symbol session_date name price:d"))
 def price_levels(spark, d):
     lv = L.with_previous(L.session_ranges(X.bars(spark, d, X.PRE)))
-    return rounded(L.mapped_levels(lv, F.lit(2), expected_move(F.col("prior_close"), F.lit(0.2), F.lit(390))))
+    return rounded(L.mapped_levels(lv, F.lit(2), expected_move(F.col("prior_close"), F.lit(0.2), F.lit(390))).drop("nth", "low", "high"))
 
 
-@query(shown(X.levels_sql() + MAPPED + """, f as (select b.symbol, b.session_date, b.minute, arg_min(m.name, row(m.price, m.name)) filter (m.price > b.close) above, arg_max(m.name, row(m.price, m.name)) filter (m.price < b.close) below,
-    count(*) filter (abs(m.price - b.close) <= 500) confluence from bars b join m using (symbol, session_date) where m.price is not null group by all)""", "f", f"{BARS} above below confluence:l"))
+#: Points and zones of a session as intervals.
+INTERVALS = MAPPED.replace("unnest([", "unnest(range(7)) nth, unnest([", 1) + """, iv as (select symbol, session_date, nth, name, price low, price high from m where price is not null
+    union all select symbol, session_date, 10 + z, ['high zone', 'low zone'][z + 1], [least(prior_high, pm_high), least(prior_low, pm_low)][z + 1], [greatest(prior_high, pm_high), greatest(prior_low, pm_low)][z + 1] from levels, range(2) t(z) where prior_high is not null and pm_high is not null and prior_low is not null and pm_low is not null)"""
+
+
+def _intervals(b: DataFrame) -> DataFrame:
+    lv = L.with_previous(L.session_ranges(b))
+    return L.mapped_levels(lv, F.lit(2), expected_move(F.col("prior_close"), F.lit(0.2), F.lit(390))).drop("price").unionByName(L.zones(lv).withColumn("nth", F.col("nth") + 10))
+
+
+@query(shown(X.levels_sql() + INTERVALS + """, f as (select b.symbol, b.session_date, b.minute, arg_min(l.name, row(l.low, l.nth)) filter (l.low > b.close) above, arg_min(l.name, row(-l.high, l.nth)) filter (l.high < b.close) below,
+    coalesce(string_agg(l.name, ',' order by l.nth) filter (l.low <= b.close and l.high >= b.close), '') overlapping, count(*) filter (l.low - 500 <= b.close and l.high + 500 >= b.close) confluence from bars b left join iv l on l.symbol = b.symbol and l.session_date = b.session_date group by all)""", "f", f"{BARS} above below overlapping confluence:l"))
 def level_lookup(spark, d):
+    """Each price against its session's points and zones: strictly above, strictly below, overlapping, near."""
     b = X.bars(spark, d, X.PRE)
-    lv = L.mapped_levels(L.with_previous(L.session_ranges(b)), F.lit(2), expected_move(F.col("prior_close"), F.lit(0.2), F.lit(390)))
-    return rounded(L.around(b, lv, near=500.0).drop("close"))
+    return rounded(L.around(b, _intervals(b), near=500.0).drop("close"))
 
 
 @query(shown(X.premium_sql(), "premium", f"{BARS} mid:d extrinsic:d spread:d valid baseline_bars:l z:d slope:d iv:d"))
@@ -188,20 +198,87 @@ def premium_divergence(spark, d):
     return rounded(M.divergences(p).withColumnRenamed("trigger", "trigger_price"))
 
 
-@query(shown(X.bars_sql(X.DENSE) + TEN + """, o as (select *, row_number() over (partition by symbol, session_date order by bucket) i from ten where complete),
-    recursive_ema as (select symbol, session_date, bucket, i, close, case when i = 8 then avg(close) over (partition by symbol, session_date order by i rows 7 preceding) end seed from o),
-    f as (select symbol, session_date, bucket, i, case when i >= 8 then (select sum(e.w * e.c) from (select case when r.i = 8 then pow(7.0::double / 9, a.i - 8) else (2.0::double / 9) * pow(7.0::double / 9, a.i - r.i) end w, case when r.i = 8 then r.seed else r.close end c from recursive_ema r where r.symbol = a.symbol and r.session_date = a.session_date and r.i between 8 and a.i) e) end ema from recursive_ema a)""", "f", "symbol session_date bucket:l ema:d"))
+def ema_sql(close: int, open: int = 570) -> str:  # noqa: A002
+    """Buckets, fold and episodes of a tape named bars as a recursion over buckets: one open episode of either side at most."""
+    def judged(me: str, other: str, sign: str, wrong: str) -> str:
+        return f"""case when {me}_s = 'watching' or {me}_s = 'confirmed' then case when not ok then 'cancelled' when {me}_s = 'confirmed' and c {wrong} ne then 'invalidated'
+            when {me}_s = 'watching' and x_{other} then 'cancelled' when {me}_s = 'watching' and e - {me}_c between 10 and 30 and lo <= pe and hi >= pe and c {sign} ne then 'confirmed'
+            when {me}_s = 'watching' and e - {me}_c >= 30 then 'expired' else {me}_s end end {me}_j"""
+
+    def side(me: str) -> str:
+        opened = f"(x_{me} and coalesce({me}_j not in ('watching', 'confirmed'), true))"
+        held = f"{me}_j in ('watching', 'confirmed')"
+        return f"""case when {opened} then 'watching' when {held} then {me}_j end {me}_s, case when {opened} then e when {held} then {me}_c end {me}_c, case when {opened} then null when {held} and {me}_j <> {me}_s then e when {held} then {me}_r end {me}_r,
+            case when {opened} then c when {held} then {me}_x end {me}_x, case when {opened} then null when {held} and {me}_j <> {me}_s then c when {held} then {me}_p end {me}_p, case when {opened} then null when {held} and {me}_j <> {me}_s then pe when {held} then {me}_f end {me}_f,
+            case when {opened} then n when {held} then {me}_n end {me}_n, case when {me}_j not in ('watching', 'confirmed') then {{'side': '{me}', 'status': {me}_j, 'crossed': {me}_c, 'retested': {me}_r, 'ended': e, 'cross_price': {me}_x, 'confirm_price': {me}_p, 'reference': {me}_f, 'nth': {me}_n}} end {me}_o"""
+
+    state = lambda me: f"null::varchar {me}_s, null::int {me}_c, null::int {me}_r, null::double {me}_x, null::double {me}_p, null::double {me}_f, null::int {me}_n, null::struct(side varchar, status varchar, crossed int, retested int, ended int, cross_price double, confirm_price double, reference double, nth int) {me}_o"
+    names = lambda me: ", ".join(f"{me}_{k}" for k in "scrxpfno")
+    return f""", cal as (select symbol, session_date, lag(session_date) over (partition by symbol order by session_date) prev, max(minute) filter (minute >= {open}) last from bars group by symbol, session_date),
+    made as (select symbol, session_date, ((minute - {open}) // 10)::int b, max(high) hi, min(low) lo, arg_max(close, minute) c, count(*) = 10 and count(distinct minute) = 10 ok from bars where minute >= {open} group by all),
+    steps as (select k.*, row_number() over (partition by symbol, session_date order by day, b) i from (select cal.symbol, cal.session_date, 0 as day, t.b::int b from cal join cal p on p.symbol = cal.symbol and p.session_date = cal.prev, lateral (select unnest(range(0, (p.last - {open}) // 10 + 1)) b) t
+        union all select symbol, session_date, 1, t.b::int from cal, range(0, ({close} - {open}) // 10) t(b)) k),
+    tape as (select s.symbol, s.session_date, s.day, s.b, s.i, {open} + (s.b + 1) * 10 e, hi, lo, c, coalesce(ok, false) ok from steps s join cal using (symbol, session_date) left join made m on m.symbol = s.symbol and m.b = s.b and m.session_date = case when s.day = 1 then s.session_date else cal.prev end),
+    fold as (select symbol, session_date, 0::bigint i, 0 as day, -1 b, null::double ema, []::double[] seeds, null::double pc, null::double pe, 0 pb, 0 n, {state('bull')}, {state('bear')} from cal
+        union all select symbol, session_date, i, day, b, ne, case when not ok then [] when ema is null then list_append(seeds, c) else seeds end, case when ok then c end, ne, case when not ok then 0 when day = 0 then pb + 1 else pb end,
+            n + case when (x_bull and coalesce(bull_j not in ('watching', 'confirmed'), true)) or (x_bear and coalesce(bear_j not in ('watching', 'confirmed'), true)) then 1 else 0 end, {side('bull')}, {side('bear')}
+        from (select *, {judged('bull', 'bear', '>', '<')}, {judged('bear', 'bull', '<', '>')} from (select *, coalesce(day = 1 and pc <= pe and c > ne, false) x_bull, coalesce(day = 1 and pc >= pe and c < ne, false) x_bear from
+            (select t.symbol, t.session_date, t.i, t.day, t.b, t.e, t.hi, t.lo, t.c, t.ok, f.ema, f.seeds, f.pc, f.pe, f.pb, f.n, {names('f.bull')}, {names('f.bear')},
+                case when not t.ok then null when f.ema is not null then f.ema + 2.0::double / 9 * (t.c - f.ema) when len(f.seeds) = 7 then (list_sum(f.seeds) + t.c) / 8 end ne from fold f join tape t on t.symbol = f.symbol and t.session_date = f.session_date and t.i = f.i + 1)))),
+    over as (select symbol, session_date, bull_o o from fold where bull_o is not null union all select symbol, session_date, bear_o from fold where bear_o is not null),
+    lastly as (select * from fold qualify row_number() over (partition by symbol, session_date order by i desc) = 1),
+    open_bull as (select symbol, session_date, 'bull' side, case bull_s when 'watching' then 'expired' else bull_s end status, bull_c crossed, bull_r retested, case bull_s when 'watching' then {close} end ended, bull_x cross_price, bull_p confirm_price, bull_f reference, bull_n nth from lastly where bull_s is not null),
+    open_bear as (select symbol, session_date, 'bear' side, case bear_s when 'watching' then 'expired' else bear_s end status, bear_c crossed, bear_r retested, case bear_s when 'watching' then {close} end ended, bear_x cross_price, bear_p confirm_price, bear_f reference, bear_n nth from lastly where bear_s is not null),
+    eps as (select symbol, session_date, nth, case side when 'bull' then 'bullish' else 'bearish' end side, status, crossed, retested, ended, cross_price, confirm_price, reference from
+        (select symbol, session_date, o.nth nth, o.side side, o.status status, o.crossed crossed, o.retested retested, o.ended ended, o.cross_price cross_price, o.confirm_price confirm_price, o.reference reference from over
+        union all select symbol, session_date, nth, side, status, crossed, retested, ended, cross_price, confirm_price, reference from open_bull union all select symbol, session_date, nth, side, status, crossed, retested, ended, cross_price, confirm_price, reference from open_bear))"""
+
+
+def recursive(sql: str) -> str:
+    """The same with, so that one of its tables may read itself."""
+    return sql.replace("with ", "with recursive ", 1)
+
+
+EPISODE = "symbol session_date nth:l side status crossed:l retested:l ended:l cross_price:d confirm_price:d reference:d"
+
+
+def _folded(spark, d, shape=X.GAPS, close=960):
+    return E.fold(E.calendar_buckets(X.bars(spark, d, shape), close_at=close))
+
+
+@query(recursive(shown(X.bars_sql(X.DENSE) + ema_sql(700) + ", f as (select symbol, session_date, b bucket, ema from fold where day = 1 and pc is not null)", "f", "symbol session_date bucket:l ema:d")))
 def ema_seeded(spark, d):
-    """EMA with a seed of eight closes; the SQL writes the recursion out as a weighted sum."""
-    t = B.ten_minute(X.bars(spark, d, X.DENSE))
-    return rounded(E.ema_points(E.fold(t.where("complete"))))
+    """EMA from a seed of eight closes, which the previous session's buckets give where there are any."""
+    return rounded(E.ema_points(_folded(spark, d, X.DENSE, 700)))
 
 
-@query()
+@query(recursive(shown(X.bars_sql(X.GAPS) + ema_sql(960), "eps", EPISODE)))
 def ema_retest_episodes(spark, d):
-    """Cross and retest episodes; tests compare the fold with a plain state machine."""
-    t = B.ten_minute(X.bars(spark, d, (3, 13, 390, 570)))
-    return rounded(E.ema_episodes(E.fold(t), 38))
+    """Cross and retest episodes on a tape with gaps: buckets without all minutes, or without any, start the EMA anew."""
+    return rounded(E.ema_episodes(_folded(spark, d)))
+
+
+@query(recursive(shown(X.bars_sql(X.DENSE) + ema_sql(700), "eps", EPISODE)))
+def ema_retest_whole_tape(spark, d):
+    """The same where every minute is there, session after session."""
+    return rounded(E.ema_episodes(_folded(spark, d, X.DENSE, 700)))
+
+
+@query(recursive(shown(X.bars_sql(X.DENSE) + ema_sql(720) + f""", g as (select symbol, session_date, unnest(range(540, 720))::int as minute from cal),
+    ev as (select symbol, session_date, side, nth, unnest([crossed, retested, ended]) - 1 tm, unnest(['watching', 'confirmed', status]) what, unnest([0, 1, 2]) rk from eps),
+    ba as (select symbol, session_date, side, tm, arg_max(what, (nth, rk)) what from ev where tm is not null group by all),
+    pt as (select symbol, session_date, e - 1 tm, e, ema, case when ok then c end c, case when fold.ok then least(len(seeds), 8) else 0 end warm, pb, ok from (select f.*, t.ok ok, t.e e, t.c c from fold f join tape t using (symbol, session_date, i)) fold where day = 1),
+    w0 as (select symbol, session_date, ema, least(len(seeds), 8) warm, pb from fold where day = 0 qualify row_number() over (partition by symbol, session_date order by i desc) = 1),
+    f0 as (select g.*, b.minute latest_minute, p.tm is not null any_bucket, coalesce(p.ok, true) whole, case when p.tm is null then w0.ema else p.ema end ema, case when p.tm is null then w0.warm else p.warm end warm, case when p.tm is null then w0.pb else p.pb end prior_bars, q.e latest_end, q.c latest_close, coalesce(u.what, 'idle') bullish, coalesce(v.what, 'idle') bearish
+        from g left join w0 using (symbol, session_date) asof left join (select * from bars where minute >= 570) b on b.symbol = g.symbol and b.session_date = g.session_date and b.minute <= g.minute asof left join pt p on p.symbol = g.symbol and p.session_date = g.session_date and p.tm <= g.minute
+        asof left join (select * from pt where ok) q on q.symbol = g.symbol and q.session_date = g.session_date and q.tm <= g.minute asof left join (select * from ba where side = 'bullish') u on u.symbol = g.symbol and u.session_date = g.session_date and u.tm <= g.minute
+        asof left join (select * from ba where side = 'bearish') v on v.symbol = g.symbol and v.session_date = g.session_date and v.tm <= g.minute),
+    f as (select *, minute - latest_minute age, ema is not null and prior_bars > 0 seeded_from_prior, case when minute < 570 then 'premarket' when latest_minute is null then 'unavailable' when minute - latest_minute > 2 then 'stale' when not whole then 'unavailable' when latest_end is null or ema is null then 'warming' else 'ready' end status from f0)""",
+    "f", f"{BARS} status ema:d latest_end:l latest_close:d warm:l prior_bars:l seeded_from_prior latest_minute:l age:l bullish bearish")))
+def ema_clock(spark, d):
+    """What is known of the EMA and its patterns at every minute, from half an hour before the open to the close; the tape ends twenty minutes before that."""
+    b = X.bars(spark, d, X.DENSE)
+    return rounded(E.clock(b, E.fold(E.calendar_buckets(b, close_at=720)), close_at=720))
 
 
 @query(shown(X.bars_sql(X.GAPS) + f""", g as (select distinct symbol, session_date, (570 + m * 15)::int as minute from bars, range(0, 26) t(m)),
@@ -275,10 +352,11 @@ def session_readout(spark, d):
     return rounded(R.minute_readout(one("S01", b), one("S02", b), one("S00", X.quotes(spark, d, X.PRE))))
 
 
-@query()
+@query(recursive(shown(X.levels_sql(X.PRE) + INTERVALS + ema_sql(960) + """, f as (select e.symbol, e.session_date, e.nth, side, status, crossed, retested, ended, cross_price, confirm_price, reference, coalesce(list(l.name order by l.nth) filter (e.reference >= l.low - 500 and e.reference <= l.high + 500), []) confluence,
+    case side when 'bullish' then arg_min(l.name, row(l.low, l.nth)) filter (l.low > e.confirm_price) else arg_min(l.name, row(-l.high, l.nth)) filter (l.high < e.confirm_price) end target
+    from eps e left join iv l on l.symbol = e.symbol and l.session_date = e.session_date where confirm_price is not null group by e.symbol, e.session_date, e.nth, side, status, crossed, retested, ended, cross_price, confirm_price, reference), g as (select *, array_to_string(confluence, ',') names from f)""", "g", f"{EPISODE} names target")))
 def ema_level_targets(spark, d):
-    """Levels frozen at each confirmed retest."""
+    """Levels, points and zones, frozen at each confirmed retest."""
     b = X.bars(spark, d, X.PRE)
-    lv = L.mapped_levels(L.with_previous(L.session_ranges(b)), F.lit(2), expected_move(F.col("prior_close"), F.lit(0.2), F.lit(390)))
-    e = E.ema_episodes(E.fold(B.ten_minute(B.regular_hours(b)).withColumn("complete", F.lit(True))))
-    return rounded(E.touched_levels(e, lv, near=500.0).select("symbol", "session_date", "nth", "side", "status", "confirm_price", "confluence", "target"))
+    e = E.ema_episodes(E.fold(E.calendar_buckets(b)))
+    return rounded(E.touched_levels(e, _intervals(b), tolerance=500.0).withColumn("names", F.array_join("confluence", ",")).drop("confluence"))

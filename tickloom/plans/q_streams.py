@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import shared_dir
 from ..operators import chain as H
+from ..operators import ema as E
 from ..streaming import live as S
 from . import fixtures as X
+from . import q_bars
 from .q_evaluate import reversal_samples
-from .registry import query, rounded
+from .registry import query, rounded, shown
 
 
 def _events(spark, d) -> DataFrame:
@@ -56,15 +58,17 @@ def stream_distinct(spark, d):
     return S.finished(S.distinct_within(e, "user_id", "60 days").select("user_id"), shared_dir(spark))
 
 
+def _latest(spark, e: DataFrame, path: str) -> DataFrame:
+    """The latest row of each user, merged batch by batch, of events."""
+    e.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(S.upsert_latest(spark, f"{path}/latest", ["user_id"], ["ts", "event_id"])).start().awaitTermination()
+    return S.latest_rows(spark, f"{path}/latest", e.schema)
+
+
 @query("select user_id, event_id, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def stream_latest(spark, d):
     """Latest row of each key, merged batch by batch."""
     path = shared_dir(spark)
-    e = _events(spark, d).select("user_id", "ts", "event_id", "value")
-    q = e.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(S.upsert_latest(spark, f"{path}/versions", ["user_id"], ["ts", "event_id"])).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{path}/versions/{last}").select("user_id", "event_id", "value")
+    return _latest(spark, _events(spark, d).select("user_id", "ts", "event_id", "value"), path).select("user_id", "event_id", "value")
 
 
 @query("select user_id, event_id, value from (select * from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) qualify date_trunc('milliseconds', ts) >= max(date_trunc('milliseconds', ts)) over () - interval 6 hour")
@@ -72,8 +76,7 @@ def stream_latest_bounded(spark, d):
     """Latest row of each key, and of these only those within six hours of the newest, as a chain keeps quotes within a minute of it."""
     path = shared_dir(spark)
     e = _events(spark, d).select("user_id", F.date_trunc("millisecond", "ts").alias("ts"), "event_id", "value")
-    e.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(S.upsert_latest(spark, f"{path}/versions", ["user_id"], ["ts", "event_id"])).start().awaitTermination()
-    latest = spark.read.parquet(f"{path}/versions/0")
+    latest = _latest(spark, e, path)
     return H.bounded_snapshot(latest.withColumn("all", F.lit(0)), "all", seconds=6 * 3600).select("user_id", "event_id", "value")
 
 
@@ -125,13 +128,34 @@ def stream_replay(spark, d):
     return out.agg(F.count_distinct("day").alias("steps"), F.sum("count").alias("rows"))
 
 
-@query()
-def stream_ema(spark, d):
-    """EMA and confirmed retests kept as state over batches; tests compare the EMA with the batch fold."""
-    from ..operators import bars as B
+#: Parts in which buckets land, in the order of time.
+PARTS = 4
 
+
+def _streamed_ema(spark, d) -> DataFrame:
+    """Buckets of all sessions land part by part, parts end within sessions, and a file is a batch or more."""
     path = shared_dir(spark)
-    t = B.ten_minute(X.bars(spark, d, X.DENSE))
-    t.where("complete").select("symbol", F.col("bucket").alias("seq"), "bucket", "high", "low", "close", "complete").write.parquet(f"{path}/buckets")
-    stream = S.landed(spark, f"{path}/buckets", spark.read.parquet(f"{path}/buckets").schema)
-    return rounded(S.finished(S.ema_states(stream), f"{path}/run", "update").drop("epoch"))
+    b = E.calendar_buckets(X.bars(spark, d, X.DENSE), close_at=700)
+    b = b.withColumn("at", F.datediff("session_date", F.lit("2026-01-05").cast("date")) * 39 + F.col("bucket"))
+    b.write.parquet(f"{path}/all")
+    b = spark.read.parquet(f"{path}/all")
+    upto = F.lit(b.agg(F.max("at")).first()[0] or 0) + 1
+    for k in range(PARTS):
+        b.where(F.floor(F.col("at") * PARTS / upto) == k).repartition("symbol").write.mode("append").parquet(f"{path}/buckets")
+    stream = S.landed(spark, f"{path}/buckets", b.schema, files_per_trigger=6)
+    out = S.finished(S.ema_states(stream), f"{path}/run", "update")
+    of = ["symbol", "session_date", "kind", "nth"]
+    last = out.groupBy(*of).agg(F.max_by(F.struct(*[c for c in out.columns if c not in (*of, "epoch")]), "epoch").alias("s"))
+    return last.select("symbol", F.to_date("session_date").alias("session_date"), "kind", "nth", "s.*")
+
+
+@query(q_bars.recursive(shown(X.bars_sql(X.DENSE) + q_bars.ema_sql(700) + ", f as (select symbol, session_date, b bucket, ema from fold where day = 1 and pc is not null)", "f", "symbol session_date bucket:l ema:d")))
+def stream_ema(spark, d):
+    """EMA of every session, its state kept over batches."""
+    return rounded(_streamed_ema(spark, d).where("kind = 'point'").select("symbol", "session_date", F.col("nth").alias("bucket"), "ema"))
+
+
+@query(q_bars.recursive(shown(X.bars_sql(X.DENSE) + q_bars.ema_sql(700), "eps", q_bars.EPISODE)))
+def stream_ema_episodes(spark, d):
+    """Episodes of every session as the stream last gave them."""
+    return rounded(_streamed_ema(spark, d).where("kind = 'episode'").drop("kind", "ema"))

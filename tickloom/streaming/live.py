@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.alerts import CODES, REARM
+from ..operators.ema import ALPHA, SEEDS, SIZE, WINDOW
 
 
 def landed(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -81,55 +82,135 @@ def reversal_warnings(samples: DataFrame) -> DataFrame:
     return samples.groupBy("scope").applyInPandasWithState(f, f"scope string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def ema_step(state: tuple | None, b: tuple) -> tuple:
-    """One ten-minute bucket (bucket, high, low, close, complete) for the EMA and its open episode on either side, in plain Python.
+#: What a stream of buckets keeps for a symbol: place in the calendar, today's EMA, the EMA of today's buckets alone (which warms tomorrow's), and the open episode of either side.
+EMA_STATE = "session string, opened int, closes int, bucket int, n int, ema double, seeds array<double>, pc double, pe double, own_ema double, own_seeds array<double>, own_pc double, own_pe double, gap boolean, " + ", ".join(f"{s}_status string, {s}_nth int, {s}_crossed int, {s}_retested int, {s}_cross double, {s}_confirm double, {s}_reference double" for s in ("bull", "bear"))
+EMA_OUT = "symbol string, session_date string, kind string, nth int, ema double, side string, status string, crossed int, retested int, ended int, cross_price double, confirm_price double, reference double"
 
-    state: (ema, seeds, prev_close, prev_ema, watching_bull, watching_bear, confirmed_bull, confirmed_bear, confirmations), the bucket in which each began or -1.
-    """
-    ema, seeds, pc, pe, wu, wd, cu, cd, n = state or (None, [], None, None, -1, -1, -1, -1, 0)
-    bucket, high, low, close, complete = b
-    if not complete:
-        return (None, [], None, None, -1, -1, -1, -1, n)
+
+def _smooth(ema: float | None, seeds: list[float], close: float) -> tuple[float | None, list[float]]:
     if ema is not None:
-        new = ema + 2 / 9 * (close - ema)
+        return ema + ALPHA * (close - ema), seeds
+    seeds = [*seeds, close]
+    return (sum(seeds) / SEEDS if len(seeds) == SEEDS else None), seeds
+
+
+def _over(now: dict, out: list, name: str, status: str, ended: int) -> None:
+    """Ends the open episode of a side."""
+    out.append(_said(now, name, status, ended))
+    now[f"{name}_status"] = None
+
+
+def _said(now: dict, name: str, status: str | None = None, ended: int | None = None) -> tuple:
+    return (now["session"], "episode", now[f"{name}_nth"], None, SIDES[name], status or now[f"{name}_status"], now[f"{name}_crossed"], now[f"{name}_retested"], ended, now[f"{name}_cross"], now[f"{name}_confirm"], now[f"{name}_reference"])
+
+
+SIDES = {"bull": "bullish", "bear": "bearish"}
+
+
+def _gap(now: dict, out: list) -> None:
+    """The next bucket of today is not complete."""
+    now["bucket"] += 1
+    end = now["opened"] + (now["bucket"] + 1) * SIZE
+    now.update(ema=None, seeds=[], pc=None, pe=None)
+    for name in SIDES:
+        if now[f"{name}_status"]:
+            _over(now, out, name, "cancelled", end)
+
+
+def _close(now: dict, out: list) -> None:
+    """The session has ended: buckets that never came are gaps, and what is still watched or confirmed goes no further."""
+    while now["opened"] + (now["bucket"] + 2) * SIZE <= now["closes"]:
+        _gap(now, out)
+    for name in SIDES:
+        if now[f"{name}_status"] == "watching":
+            _over(now, out, name, "expired", now["closes"])
+        now[f"{name}_status"] = None
+
+
+def ema_step(now: dict | None, b: tuple) -> tuple[dict, list]:
+    """One bucket (session, opened, closes, bucket, high, low, close, rows, complete) for a symbol's state, in plain Python for the stream; the batch fold says the same in columns.
+
+    A new session goes on from what the buckets of the one before say alone, and has no episode of it. Buckets that are left out are gaps; one that isn't
+    later than the last is ignored. Gives the new state and what changed: points, and episodes as they stand now.
+    """
+    session, opened, closes, bucket, high, low, close, rows, complete = b
+    out: list = []
+    if now is not None and (session, bucket) <= (now["session"], now["bucket"]):
+        return now, out
+    now = dict(now) if now else {f"{s}_{c}": None for s in SIDES for c in ("status", "nth", "crossed", "retested", "cross", "confirm", "reference")} | {"session": "", "own_ema": None, "own_seeds": [], "own_pc": None, "own_pe": None, "bucket": -1, "opened": opened, "closes": 0}
+    if session != now["session"]:
+        _close(now, out)
+        now.update(session=session, opened=opened, closes=closes, bucket=-1, n=0, ema=now["own_ema"], seeds=now["own_seeds"], pc=now["own_pc"], pe=now["own_pe"], own_ema=None, own_seeds=[], own_pc=None, own_pe=None, gap=False)
+    while now["bucket"] < bucket - 1:
+        _gap(now, out)
+        now["gap"] = True
+    end = opened + (bucket + 1) * SIZE
+    today = end <= closes
+    if rows and (not complete or now["gap"]):  # a gap counts for tomorrow only where something came after it
+        now.update(own_ema=None, own_seeds=[], own_pc=None, own_pe=None, gap=False)
+    now["gap"] = now["gap"] or not rows
+    if complete:
+        now["own_ema"], now["own_seeds"] = _smooth(now["own_ema"], now["own_seeds"], close)
+        now["own_pc"], now["own_pe"] = close, now["own_ema"]
+    if not complete or not today:
+        if today:
+            _gap(now, out)
+        now["bucket"] = bucket
     else:
-        seeds = [*seeds, close]
-        new = sum(seeds) / 8 if len(seeds) == 8 else None
-        seeds = [] if new is not None else seeds
-    if new is not None and pe is not None:
-        bull, bear = pc <= pe and close > new, pc >= pe and close < new
-        cu, cd = (-1 if cu >= 0 and close < new else cu), (-1 if cd >= 0 and close > new else cd)
-        for up in (True, False):
-            began = wu if up else wd
-            if began < 0:
-                continue
-            k, right = bucket - began, close > new if up else close < new
-            done = bear if up else bull
-            hit = not done and 1 <= k <= 3 and low <= pe <= high and right
-            if hit:
-                n += 1
-                cu, cd = (bucket, cd) if up else (cu, bucket)
-            if done or hit or k >= 3:
-                wu, wd = (-1, wd) if up else (wu, -1)
-        if bull and wu < 0 and cu < 0:
-            wu = bucket
-        if bear and wd < 0 and cd < 0:
-            wd = bucket
-    return (new, seeds, close, new, wu, wd, cu, cd, n)
+        now["bucket"] = bucket
+        pc, pe = now["pc"], now["pe"]
+        ema, now["seeds"] = _smooth(now["ema"], now["seeds"], close)
+        now.update(ema=ema, pc=close, pe=ema)
+        out.append((session, "point", bucket, ema, *[None] * 8))
+        if ema is not None and pe is not None:
+            crossed = {"bull": pc <= pe and close > ema, "bear": pc >= pe and close < ema}
+            for name, other in (("bull", "bear"), ("bear", "bull")):
+                status = now[f"{name}_status"]
+                right, wrong = (close > ema, close < ema) if name == "bull" else (close < ema, close > ema)
+                if status == "confirmed" and wrong:
+                    _over(now, out, name, "invalidated", end)
+                elif status == "watching":
+                    later = (end - now[f"{name}_crossed"]) / SIZE
+                    if crossed[other]:
+                        _over(now, out, name, "cancelled", end)
+                    elif 0 < later <= WINDOW and low <= pe <= high and right:
+                        now.update({f"{name}_status": "confirmed", f"{name}_retested": end, f"{name}_confirm": close, f"{name}_reference": pe})
+                        out.append(_said(now, name))
+                    elif later >= WINDOW:
+                        _over(now, out, name, "expired", end)
+            for name in SIDES:
+                if crossed[name] and not now[f"{name}_status"]:
+                    now.update({f"{name}_status": "watching", f"{name}_nth": now["n"], f"{name}_crossed": end, f"{name}_retested": None, f"{name}_cross": close, f"{name}_confirm": None, f"{name}_reference": None}, n=now["n"] + 1)
+                    out.append(_said(now, name))
+    if today and end + SIZE > closes:
+        for name in SIDES:
+            if now[f"{name}_status"] == "watching":
+                _over(now, out, name, "expired", closes)
+    return now, out
 
 
 def ema_states(buckets: DataFrame) -> DataFrame:
-    """buckets (symbol, seq, bucket, high, low, close, complete): each symbol's EMA and count of confirmed retests after every batch, the state kept over batches."""
-    shape = "ema double, seeds array<double>, prev_close double, prev_ema double, watching_bull int, watching_bear int, confirmed_bull int, confirmed_bear int, confirmations int"
+    """buckets (symbol, session_date, open_minute, close_minute, bucket, high, low, close, rows, complete), those of a symbol in order over batches: each batch's points, and its episodes that changed, as they stand after it.
+
+    kind point: nth is the bucket; episode: nth counts those of a session. The state is one EMA and two open episodes, however long the stream.
+    """
+    names = [c.split()[0] for c in EMA_STATE.split(", ")]
+    out_names = [c.split()[0] for c in EMA_OUT.split(", ")]
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        for row in pd.concat(list(parts)).sort_values("seq")[["bucket", "high", "low", "close", "complete"]].itertuples(index=False):
-            now = ema_step(now, (int(row.bucket), float(row.high), float(row.low), float(row.close), bool(row.complete)))
-        state.update(now)
-        yield pd.DataFrame([(k[0], now[0], now[8])], columns=["symbol", "ema", "confirmations"])
+        now = dict(zip(names, state.get, strict=True)) if state.exists else None
+        if now:
+            now.update(seeds=list(now["seeds"]), own_seeds=list(now["own_seeds"]))
+        rows = pd.concat(list(parts)).assign(session=lambda r: r["session_date"].astype(str)).sort_values(["session", "bucket"])
+        said: dict = {}
+        for r in rows.itertuples(index=False):
+            now, out = ema_step(now, (r.session, int(r.open_minute), int(r.close_minute), int(r.bucket), r.high, r.low, r.close, int(r.rows), bool(r.complete)))
+            said.update({(o[0], o[1], o[2]): o for o in out})
+        state.update(tuple(now[c] for c in names))
+        kinds = {c.split()[0]: {"int": "Int32", "double": "Float64"}.get(c.split()[1], "object") for c in EMA_OUT.split(", ")}
+        yield pd.DataFrame([(k[0], *o) for o in said.values()], columns=out_names).astype(kinds)
 
-    return buckets.groupBy("symbol").applyInPandasWithState(run, "symbol string, ema double, confirmations int", shape, "update", GroupStateTimeout.NoTimeout)
+    return buckets.groupBy("symbol").applyInPandasWithState(run, EMA_OUT, EMA_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def running_baseline(points: DataFrame, lookback: int = 60, least: int = 5) -> DataFrame:
@@ -170,16 +251,65 @@ def freshness_alerts(rows: DataFrame, most: str = "120 seconds", late: str = "0
     return rows.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(run, "symbol string, late boolean", "last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_latest(spark: SparkSession, path: str, keys: list[str], order: list[str]):
-    """For foreachBatch: keeps one row for each key, the last in order, in numbered versions under path. A batch that is run again gives the same version; the one before is kept for that, older ones go."""
+#: Buckets of keys in a table of latest rows. A batch rewrites those that it touches.
+KEY_BUCKETS = 64
+
+
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def pointers(spark: SparkSession, path: str) -> dict[int, int]:
+    """Bucket to the batch whose file holds it, as the last pointer file says; at most one entry for each bucket. Empty where nothing was written."""
+    fs, make = _fs(spark, path)
+    if not fs.exists(make(f"{path}/pointers")):
+        return {}
+    done = sorted(int(f.getPath().getName()) for f in fs.listStatus(make(f"{path}/pointers")) if fs.exists(make(f"{path}/pointers/{f.getPath().getName()}/_SUCCESS")))
+    return {r.bucket: r.epoch for r in spark.read.schema("bucket int, epoch long").parquet(f"{path}/pointers/{done[-1]}").collect()} if done else {}
+
+
+def latest_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What upsert_latest keeps under path."""
+    at = pointers(spark, path)
+    if not at:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/rows/{e}/bucket={b}" for b, e in sorted(at.items())])
+
+
+def upsert_latest(spark: SparkSession, path: str, keys: list[str], order: list[str], buckets: int = KEY_BUCKETS):
+    """For foreachBatch: keeps one row for each key, the last in order. Keys are dealt to buckets by hash; a batch reads and rewrites the buckets that it touches, then a pointer file says where each bucket lies.
+
+    A batch that is run again finds the pointers of the batch before and gives the same; files of no pointer but the last two go.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        best = F.max_by(F.struct(*batch.columns), F.struct(*order))
-        rows = batch if epoch == 0 else batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}"))
-        rows.groupBy(*keys).agg(best.alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/{epoch}")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{epoch - 2}")
-        if epoch >= 2:
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        spark = batch.sparkSession
+        fs, make = _fs(spark, path)
+        if fs.exists(make(f"{path}/pointers/{epoch}")):  # this batch was run before
+            fs.delete(make(f"{path}/pointers/{epoch}"), True)
+        before = pointers(spark, path)
+        of = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = f"{path}/incoming/{epoch}"
+        batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*").withColumn("bucket", of).write.mode("overwrite").parquet(new)
+        rows = spark.read.parquet(new)
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        old = [f"{path}/rows/{before[b]}/bucket={b}" for b in touched if b in before]
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", of))
+        best = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("bucket", "r.*")
+        best.repartition(min(len(touched), spark.sparkContext.defaultParallelism * 4), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/{epoch}")
+        now = before | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(sorted(now.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/pointers/{epoch}")
+        fs.delete(make(new), True)
+        for b in touched:  # what the pointers before the last ones said is not needed again
+            for f in fs.listStatus(make(f"{path}/rows")):
+                e = int(f.getPath().getName())
+                if e not in (epoch, before.get(b)):
+                    fs.delete(make(f"{path}/rows/{e}/bucket={b}"), True)
 
     return merge
 
