@@ -73,7 +73,7 @@ def test_filters_keep_entries_from_being_merged(spark, tmp_path):
     level = {r.digest: (r.keep_id, r.group_size) for r in lsm.compact(spark, spark.read.parquet(f"{tmp_path}/runs"), f"{tmp_path}/level").collect()}
     assert len(level) == 4200 and all(n == (2 if d.startswith("two") else 1) for d, (_, n) in level.items())
     assert all(level[d][0] == min(i for i, (_, x) in enumerate(rows) if x == d) for d in ("two 0", "two 199", "one 7"))
-    assert [lsm.bits_for(n, 16, lsm.LARGEST) for n in (0, 10**5, 10**7, 10**12)] == [15, 21, 28, 30]
+    assert [lsm.bits_for(n, 16) for n in (0, 10**5, 10**7, 10**12)] == [15, 21, 28, 44]
 
 
 def plain_fingerprint(t):
@@ -266,3 +266,48 @@ def test_every_copied_passage_of_over_50_words_goes(spark, docs):
             rows.append((3 * k + j, "\n".join(before + passage + after)))
             kept[3 * k + j] = rows[-1][1] if j == 0 else "\n".join(before + after)
     assert {r.doc_id: r.text for r in linededup.line_dedup(spark, docs(*rows)).collect()} == kept
+
+
+def test_vectors_without_ids_link_and_join_others(spark):
+    """At angles 0, 0.4 and 0.8 a vector without an id joins its neighbours; two equal ones without ids are a component of their own, without a name."""
+    at = lambda t: [float(np.cos(t)), float(np.sin(t)), 0.0]
+    schema = "vec_id long, embedding array<double>"
+    got = {repr(r.vec_id): (r.n_links, r.component_id, r.kept) for r in rabitq.similar(spark, spark.createDataFrame([(1, at(0)), (None, at(0.4)), (3, at(0.8))], schema), recall=0.9999).collect()}
+    assert got == {"1": (1, 1, True), "None": (2, 1, False), "3": (1, 1, False)}
+    got = rabitq.similar(spark, spark.createDataFrame([(None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0]), (5, at(0))], schema), recall=0.9999).collect()
+    assert sorted((repr(r.vec_id), r.n_links, r.component_id, r.kept) for r in got) == [("5", 0, 5, True), ("None", 1, None, True), ("None", 1, None, True)]
+
+
+def test_pairs_are_compared_once_whatever_tables_they_meet_in():
+    rng = np.random.default_rng(5)
+    unit = rabitq.unit_rows(rng.standard_normal((40, 8)))
+    unit[20:] = rabitq.unit_rows(unit[:20] + 0.05 * rng.standard_normal((20, 8)))
+    keys = np.array([rabitq.keys_of(unit, t, 1) for t in range(6)])
+    a, b = np.triu_indices(40, 1)
+    seen = np.zeros(len(a), int)
+    for t in range(6):
+        together = keys[t, a] == keys[t, b]
+        seen[together] += rabitq.first_meeting(keys[:5], np.full(40, t), a[together], b[together])
+    assert (seen == (keys[:, a] == keys[:, b]).any(0)).all()
+
+
+def test_fingerprints_without_ids_join_others(spark, docs, monkeypatch):
+    """Fingerprints 0, 7, 63: the one in between has no doc_id, and still joins the others."""
+    fps = spark.createDataFrame([(1, 0), (None, 7), (3, 63), (None, 0x0F0F0F0F0F0F0F0F), (None, 0x0F0F0F0F0F0F0F0F)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: fps)
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.simhash_components(spark, docs((1, "x"))).collect()), key=repr)
+    assert got == sorted([(1, 0, 1), (None, 7, 1), (3, 63, 1), (None, 0x0F0F0F0F0F0F0F0F, None), (None, 0x0F0F0F0F0F0F0F0F, None)], key=repr)
+
+
+def test_filter_of_hits_beyond_a_broadcast(spark, docs, monkeypatch, tmp_path):
+    """The same rows pass, whether pages are broadcast or joined: all hits, and few others."""
+    rows = [(i, f"text {i % 700 if i < 1400 else i}") for i in range(4000)]
+    df = docs(*rows).repartition(4)
+    want = sorted(map(tuple, lsm.exact_groups(spark, df).collect()))
+    monkeypatch.setattr(lsm, "HIT_BYTES", 0)
+    monkeypatch.setattr(lsm, "RUN_BYTES", 0)
+    assert sorted(map(tuple, lsm.exact_groups(spark, df).collect())) == want
+    digests = df.select(lsm.digest(lsm.without_spaces(F.col("text"))).alias("digest"), "doc_id")
+    hits = digests.groupBy("digest").count().where("count > 1").select("digest")
+    passed = [r.doc_id for r in lsm.maybe_in(spark, digests, hits, f"{tmp_path}/pages").collect()]
+    assert set(range(1400)) <= set(passed) and len(passed) < 1400 + 400

@@ -89,14 +89,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, key=F.md5) -> DataFrame:
     parts = units(base, key, texts=True)
     index = stored(spark, units(base, key, texts=False), f"{folder}/index")
     often = stored(spark, index.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), f"{folder}/often")
-    texts = maybe_in(parts, often).groupBy("digest", "kind", "bytes").agg(_first().alias("first"), F.count("*").alias("n"))
+    texts = maybe_in(spark, parts, often, f"{folder}/hits").groupBy("digest", "kind", "bytes").agg(_first().alias("first"), F.count("*").alias("n"))
     lines = F.split("bytes", "\n", -1)  # words are counted once for each text that is common, not for each line
     texts = texts.withColumns({"words": n_words(lines[0]), "next": n_words(F.coalesce(F.get(lines, F.lit(1)), F.lit("")))}).where(eligible())
     one = lambda *names: [F.first(c).alias(c) for c in names]
     per_digest = texts.groupBy("digest").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n"), *one("first", "words", "next"))
     per_digest = stored(spark, per_digest.where("n > 1"), f"{folder}/verified")
     later = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start") > F.col("first")
-    gone = maybe_in(index, often).join(per_digest.where("n_texts = 1"), "digest").where(later).select(*place, "words", "next")
+    gone = maybe_in(spark, index, often, f"{folder}/hits-again").join(per_digest.where("n_texts = 1"), "digest").where(later).select(*place, "words", "next")
     mixed = per_digest.where("n_texts > 1").select("digest")
     if not mixed.isEmpty():  # different texts under one digest: each by its own bytes
         apart = parts.join(mixed, "digest").join(texts.join(mixed, "digest").select("digest", "kind", "bytes", "first", "words", "next"), ["digest", "kind", "bytes"])

@@ -4,7 +4,7 @@ Input partitions are dealt to memtables. A memtable is flushed as a sorted run,
 stays of its own rows, and how many there are. Each run has a bitmap filter. Compaction reads the filters first: an entry
 that the filters of all other runs deny goes into the next level as it is; only the others are merged, digest by digest,
 keeping the smallest identifier of the longest texts. Digests with more than one row are hits: a filter sized by their
-number lets only rows of hits through a second scan of the texts, and those are verified by bytes before they count as copies.
+number, with no limit, lets only rows of hits through a second scan of the texts, and those are verified by bytes before they count as copies.
 """
 
 from __future__ import annotations
@@ -20,10 +20,8 @@ from .common import not_null, shared_dir, stored
 RUNS = 4
 #: Bits of filter for each digest: of the runs, whose filters meet entries page by page, and of the hits.
 RUN_BITS, HIT_BITS = 8, 16
-#: The filter of the hits is broadcast: at most 2**LARGEST bits, 128 MB. Beyond 67 million hits more rows that are none pass, and are verified too.
-LARGEST = 30
-#: Filter pages of the runs up to this many bytes are broadcast; beyond, the join by run and page is left to Spark.
-BROADCAST_BYTES = 16 << 20
+#: Filter pages up to so many bytes are broadcast, of the runs and of the hits (67 million of them); beyond, rows meet their pages by a join, which Spark deals by page.
+RUN_BYTES, HIT_BYTES = 16 << 20, 128 << 20
 #: Bits and bytes of a page.
 _PAGE, _BYTES = 15, 4096
 
@@ -44,9 +42,13 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
 
 
-def bits_for(n: int, each: int, largest: int = 62) -> int:
+def bits_for(n: int, each: int) -> int:
     """Logarithm of the bits of a filter for n digests."""
-    return min(largest, max(_PAGE, math.ceil(math.log2(max(1, n * each)))))
+    return max(_PAGE, math.ceil(math.log2(max(1, n * each))))
+
+
+def filter_bytes(bits: int) -> int:
+    return _BYTES << (bits - _PAGE)
 
 
 def _bit(bits: int) -> Column:
@@ -68,10 +70,12 @@ def probed(rows: DataFrame, pages: DataFrame, bits: int, *keys: str) -> DataFram
     return rows.withColumn("maybe", F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop("page", "bits")
 
 
-def maybe_in(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows whose digest may be among the hits, a stored table. The broadcast grows with the hits, 2 bytes each, to 128 MB."""
-    bits = bits_for(hits.count(), HIT_BITS, LARGEST)
-    return probed(rows, F.broadcast(filter_of(hits, bits)), bits).where("maybe").drop("maybe")
+def maybe_in(spark: SparkSession, rows: DataFrame, hits: DataFrame, path: str) -> DataFrame:
+    """Rows (digest and more) whose digest may be among the hits, a stored table. The filter has HIT_BITS bits a hit, however many there are."""
+    bits = bits_for(hits.count(), HIT_BITS)
+    pages = filter_of(hits, bits)
+    pages = F.broadcast(pages) if filter_bytes(bits) <= HIT_BYTES else stored(spark, pages, path)
+    return probed(rows, pages, bits).where("maybe").drop("maybe")
 
 
 def flush(spark: SparkSession, log: DataFrame, path: str) -> DataFrame:
@@ -86,7 +90,7 @@ def beyond_own(spark: SparkSession, runs: DataFrame, path: str) -> DataFrame:
     bits = bits_for(n, RUN_BITS)
     filters = stored(spark, filter_of(runs, bits, "run"), path)
     others = filters.select(F.explode(F.array_remove(F.array(*map(F.lit, range(RUNS))), F.col("run"))).alias("run"), "page", "bits").groupBy("run", "page").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return probed(runs, F.broadcast(others) if RUNS * _BYTES << (bits - _PAGE) <= BROADCAST_BYTES else others, bits, "run")
+    return probed(runs, F.broadcast(others) if RUNS * filter_bytes(bits) <= RUN_BYTES else others, bits, "run")
 
 
 def compact(spark: SparkSession, runs: DataFrame, path: str) -> DataFrame:
@@ -112,7 +116,7 @@ def exact_groups(spark: SparkSession, docs: DataFrame, key=digest) -> DataFrame:
     level = compact(spark, flush(spark, log, f"{folder}/level0"), f"{folder}/level1")
     hits = level.where("group_size > 1").select("digest")
     rows = docs.select("doc_id", text.alias("norm"), F.length(not_null()).alias("n_points")).withColumn("digest", key(F.col("norm")))
-    rows = maybe_in(rows, hits)
+    rows = maybe_in(spark, rows, hits, f"{folder}/hits")
     # copies of one text collapse in each task before the shuffle, so a large group moves its text once for each task
     texts = rows.groupBy("digest", "norm").agg(_best().getField("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     per_digest = texts.groupBy("digest").agg(F.count("*").alias("n_texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))

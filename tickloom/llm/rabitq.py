@@ -140,11 +140,11 @@ def close_pairs(keys: np.ndarray, sides: np.ndarray, codes: np.ndarray, limit: i
                 yield (a, b) if across else (a[a < b], b[a < b])
 
 
-def first_meeting(marks: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether pairs of rows meet in no table before theirs. marks: 16 bits of each row's key in each table; another key has the same ones once in 65,536."""
+def first_meeting(keys: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows meet in no table before theirs. keys: (table, row), computed from the vectors, for all tables before the last that occurs."""
     met = np.zeros(len(a), bool)
-    for t in range(int(table.max(initial=0))):
-        met |= (marks[a, t] == marks[b, t]) & (t < table[a])
+    for t, key in enumerate(keys):
+        met |= (key[a] == key[b]) & (t < table[a])
     return ~met
 
 
@@ -165,8 +165,9 @@ def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOL
     """One row for every row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold nulls or non-finite numbers link with nothing, nor do vectors of different lengths.
-    Equal vectors are one class, whose members all link to each other. Repeated vec_ids are told apart only by their vectors, and
-    equal rows stay. A null vec_id comes last. Extra columns are ignored; an empty table gives an empty result.
+    Equal vectors are one class, whose members all link to each other; classes are what links join, so a vector whose vec_id is null
+    counts and joins others like any other. A component has its smallest vec_id, null only where no member has one. Repeated vec_ids
+    are told apart only by their vectors, and equal rows stay. Extra columns are ignored; an empty table gives an empty result.
     """
     folder = shared_dir(spark)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -174,53 +175,29 @@ def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOL
     real = F.coalesce((F.size(numbers) > 0) & F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(numbers, lambda x: x != 0), F.lit(False))
     v = v.withColumn("real", real).withColumn("plain", F.when(F.col("real"), F.transform(numbers, lambda x: x + 0.0)))
     v = v.withColumn("class", F.sha2(F.to_json(F.struct("plain")), 256))
-    classes = v.where("real").groupBy("class").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"), F.first("embedding").alias("embedding")).where("rep is not null")
-    classes = stored(spark, classes, f"{folder}/classes")
+    classes = v.where("real").groupBy("class").agg(F.min("vec_id").alias("least"), F.count("*").alias("members"), F.first("embedding").alias("embedding"))
+    classes = stored(spark, classes.withColumn("rep", F.monotonically_increasing_id()), f"{folder}/classes")  # written, so the numbers stay
     longest = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     dim = max(2, longest[1] or 2)
     width = max(1, math.ceil(math.log(max(1, longest[0] / BUCKET)) / math.log(2 * dim)))
     tables = tables_for(dim, threshold, width, recall)
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each table: bucket, table, vector as bytes, code and correction factor."""
-        for batch in batches:
-            sizes = np.array([len(x) for x in batch.column(2)])
-            for n in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == n)
-                part = batch.take(pa.array(rows))
-                values = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(rows), n)
-                unit = unit_rows(values)
-                codes, factors = codes_of(unit)
-                data, code = pa.array([x.tobytes() for x in values], pa.binary()), pa.array([x.tobytes() for x in codes], pa.binary())
-                for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys_of(unit, t, width) * 4096 + n % 4096), pa.array(np.full(len(rows), t, np.int32)), part.column(0), part.column(1), data, code, pa.array(factors)], ["key", "tab", "rep", "members", "data", "code", "factor"])
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in dealt(batches):
-            yield batch.select(["key", "tab"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each table: bucket, vector's name, and a note of its length, table, marks of all tables' keys and code."""
+        """A row for each table: bucket, table, vector's name, and a note of its length, table and code."""
         for batch in batches:
             sizes = np.array([len(x) for x in batch.column(1)])
             for n in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == n)
                 part = batch.take(pa.array(rows))
                 unit = unit_rows(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n))
-                keys = np.array([keys_of(unit, t, width) * 4096 + n % 4096 for t in range(tables)])
-                marks = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype("<u2").T
                 code = codes_of(unit)[0].view("<u2")
                 for t in range(tables):
-                    notes = np.ascontiguousarray(np.concatenate([np.full((len(rows), 1), x, "<u2") for x in (n & 65535, n >> 16, t)] + [marks, code], axis=1))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[t]), pa.array(np.full(len(rows), t, np.int32)), part.column(0), pa.array([x.tobytes() for x in notes], pa.binary())], ["key", "tab", "rep", "note"])
-
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in dealt(batches):
-            yield batch.select(["key", "tab"])
+                    notes = np.ascontiguousarray(np.concatenate([np.full((len(rows), 1), x, "<u2") for x in (n & 65535, n >> 16, t)] + [code], axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys_of(unit, t, width) * 4096 + n % 4096), pa.array(np.full(len(rows), t, np.int32)), part.column(0), pa.array([x.tobytes() for x in notes], pa.binary())], ["key", "tab", "rep", "note"])
 
-    vecs = classes.select("rep", "embedding")
-    keyed = vecs.mapInArrow(dealt, "key long, tab int, rep long, note binary").select(F.xxhash64("key", "tab").alias("key"), "rep", "note")
-    # sizes come from the keys alone; only buckets over a chunk are looked up
-    large = vecs.mapInArrow(buckets, "key long, tab int").groupBy(F.xxhash64("key", "tab").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    keyed = classes.select("rep", "embedding").mapInArrow(dealt, "key long, tab int, rep long, note binary").select(F.xxhash64("key", "tab").alias("key"), "rep", "note")
+    keyed = stored(spark, keyed, f"{folder}/keyed")  # keys are computed once, for the sizes and for the deal
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     large = stored(spark, large, f"{folder}/large")
     keyed = keyed.join(F.broadcast(large) if large.count() <= BROADCAST_BUCKETS else large, "key", "left")
     keyed = keyed.withColumn("chunks", F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int"))
@@ -230,27 +207,27 @@ def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOL
     keyed = keyed.select(F.when(F.col("chunks") == 1, F.col("key")).otherwise(F.xxhash64("key", lo, hi)).alias("key"), "rep", "note", side.alias("side"))
 
     def with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key to those whose code has a partner in the bucket that it meets first there."""
+        """Rows sorted by key to those whose code has a partner in the bucket."""
         for n, t in _whole_buckets(batches):
-            keys, sides, table, marks, codes = _noted(t, tables)
+            keys, sides, _, codes = _noted(t)
             alive = np.zeros(len(keys), bool)
             for a, b in close_pairs(keys, sides, codes, most_apart(n, threshold)):
-                first = first_meeting(marks, table, a, b)
-                alive[a[first]] = alive[b[first]] = True
+                alive[a] = alive[b] = True
             yield from t.take(pa.array(np.flatnonzero(alive))).to_batches()
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with their vectors, sorted by key. (a, b, n): a has n further links of its own found here; b joins a to what it hangs together with."""
         for n, t in _whole_buckets(batches):
-            keys, sides, table, marks, codes = _noted(t, tables)
+            keys, sides, table, codes = _noted(t)
             reps, members = t["rep"].to_numpy(), t["members"].to_numpy()
             vectors = t["embedding"].combine_chunks()
             unit = unit_rows(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), n))
+            before = np.array([keys_of(unit, k, width) for k in range(int(table.max(initial=0)))]).reshape(-1, len(keys))
             turned = unit @ rotation(n, 0).T
             query, factors = query_planes(turned), np.abs(turned).sum(1) / math.sqrt(n)
             counts, parent = np.zeros(len(keys), np.int64), np.arange(len(keys))
             for a, b in close_pairs(keys, sides, codes, most_apart(n, threshold)):
-                first = first_meeting(marks, table, a, b)
+                first = first_meeting(before, table, a, b)
                 a, b = a[first], b[first]
                 about, error = estimates(query, codes, factors, n, a, b)
                 likely = about + error >= threshold
@@ -270,10 +247,14 @@ def similar(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOL
     found = stored(spark, rows.mapInArrow(compared, "a long, b long, n long"), f"{folder}/found")
     counted = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     linked = connected_components(spark, found.where("a <> b").select("a", "b")).withColumnRenamed("id", "rep")
-    named = classes.select("class", "rep", "members").join(counted, "rep", "left").join(linked, "rep", "left")
-    named = named.select(F.col("class").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = v.select("vec_id", F.when(F.col("real"), F.col("class")).alias("class")).join(named, F.col("class") == F.col("c"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    named = classes.select("class", "rep", "least", "members").join(counted, "rep", "left").join(linked, "rep", "left")
+    named = named.select("class", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    together = named.where("component is not null")  # the others are their own components
+    names = together.groupBy("component").agg(F.min("least").alias("name"))
+    named = named.where("component is null").select("class", "n_links", F.col("least").alias("component_id")).unionByName(together.join(names, "component").select("class", "n_links", F.col("name").alias("component_id")))
+    named = named.withColumnRenamed("class", "c")
+    out = v.select("vec_id", "real", F.when(F.col("real"), F.col("class")).alias("class")).join(named, F.col("class") == F.col("c"), "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("real"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -298,7 +279,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.
         yield from given(pa.Table.from_batches(held))
 
 
-def _noted(t: pa.Table, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, sides, tables, marks and codes of rows."""
+def _noted(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sides, tables and codes of rows."""
     notes = np.frombuffer(b"".join(t["note"].to_pylist()), "<u2").reshape(t.num_rows, -1)
-    return t["key"].to_numpy(), t["side"].to_numpy(), notes[:, 2], notes[:, 3 : tables + 3], np.ascontiguousarray(notes[:, tables + 3 :]).view("<u8")
+    return t["key"].to_numpy(), t["side"].to_numpy(), notes[:, 2], np.ascontiguousarray(notes[:, 3:]).view("<u8")

@@ -219,14 +219,17 @@ def hamming_links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS
 def simhash_components(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row for every row of docs: doc_id, fp (long), component_id: the smallest doc_id reachable by links, its own included.
 
-    Nulls and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay. Extra columns are ignored. A row whose
-    doc_id is null stays, with the component of its fingerprint. An empty table gives an empty result.
+    Nulls and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay. Links join fingerprints, so rows without a
+    doc_id join others like any other; a component is null only where no row of it has one. Extra columns are ignored; an empty table gives an empty result.
     """
     folder = shared_dir(spark)
     fps = stored(spark, fingerprints(docs), f"{folder}/fingerprints")
-    distinct = stored(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{folder}/distinct")
-    linked = connected_components(spark, hamming_links(spark, distinct.where("rep is not null"), radius))
-    named = distinct.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct = stored(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/distinct")
+    linked = connected_components(spark, hamming_links(spark, distinct.select("fp", F.col("fp").alias("rep")), radius))
+    rows = distinct.join(linked.withColumnRenamed("id", "fp"), "fp", "left")
+    together = rows.where("component is not null")  # the others are their own components
+    names = together.groupBy("component").agg(F.min("least").alias("name"))
+    named = rows.where("component is null").select("fp", F.col("least").alias("component_id")).unionByName(together.join(names, "component").select("fp", F.col("name").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
