@@ -233,3 +233,22 @@ def test_context_states_in_order(spark):
     assert run(both, observed=minutes(6))[0] == "stale" and run(both, observed=minutes(1), provider_as_of=minutes(9))[0] == "stale"
     assert run(both, observed=minutes(-1))[0] == "unavailable" and run(both, health("error"), observed=minutes(1))[:2] == ("unavailable", "UNAVAILABLE")
     assert run(both, observed=minutes(1), provider_status=F.lit("stale"))[0] == "stale" and run(both, observed=minutes(1), provider_status=F.lit("down"))[0] == "unavailable"
+
+
+def test_industry_cues_need_a_relevant_headline(spark):
+    from tickloom.operators import news
+
+    titles = [("a", "GPU demand surges"), ("b", "AI boom: GPU demand surges"), ("c", "Nvidia waits; GPU demand surges"), ("d", "Chipmakers say GPU demand weakens"), ("e", None), ("f", "")]
+    got = {(r.article_id, r.rule, r.sector) for r in news.company_cues(spark, spark.createDataFrame(titles, "article_id string, title string")).collect()}
+    assert got == {("b", "industry-ai-chip-demand-strength", "XLK"), ("c", "industry-ai-chip-demand-strength", "XLK"), ("d", "industry-ai-chip-demand-weakness", "XLK")}
+
+
+def test_paths_hold_what_lies_beyond_a_held_node(spark):
+    from tickloom.operators import news
+
+    routes = spark.createDataFrame([("a", "r", "USO", 1), ("a", "s", "TNX", 1)], "article_id string, rule string, target string, expected int")
+    links = spark.createDataFrame([("XLE", "USO", 0.5, 0.5), ("USO", "XLI", -0.5, 0.5), ("USO", "XLB", 0.5, 0.4), ("TNX", "XLF", 0.5, 0.5)], "source string, target string, rho double, strength double")
+    nodes = spark.createDataFrame([("USO", 1, True), ("XLE", -1, True), ("XLI", -1, True), ("TNX", 1, False), ("XLF", 1, True)], "node string, sign int, eligible boolean")
+    got = {",".join(r.path): (r.expected, r.observed, r.state) for r in news.news_paths(routes, links, nodes).collect()}
+    assert got == {"NEWS,USO": (1, 1, "agrees"), "NEWS,USO,XLE": (1, -1, "conflicts"), "NEWS,USO,XLI": (-1, -1, "agrees"), "NEWS,TNX": (1, None, "unavailable"), "NEWS,TNX,XLF": (1, None, "unavailable")}
+    assert {r.state for r in news.news_paths(routes, links, nodes, prices_held=True).collect()} == {"unavailable"}

@@ -9,9 +9,9 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_read_rss_allows_any_number_of_hosts(spark, tmp_path):
-    pages = spark.sql("select id * 3 + 1 page_id, concat('https://h', id, '.net/x') url from range(12000) union all select id * 3 + 2, concat('https://h', id, '.org/x') from range(200)")
+    pages = spark.sql("select id * 3 page_id, concat('https://h', id, '.net/x') url from range(12000) union all select id * 3 + 2, concat('https://h', id, '.org/x') from range(200)")
     pages.write.parquet(str(tmp_path / "pages.parquet"))
-    newest = sorted((-((3 * i + 1) * 37 % 86400), f"https://h{i}.net/x", f"page {3 * i + 1}") for i in range(12000))[:100]
+    newest = sorted((-(3 * i * 37 % 86400), f"https://h{i}.net/x", f"page {3 * i}") for i in range(12000))[:100]
     got = [(r.link, r.title) for r in catalogue.QUERIES["read_rss"](spark, str(tmp_path)).collect()]
     assert got == [(u, t) for _, u, t in newest]
 

@@ -42,12 +42,8 @@ def _hits(rows: DataFrame, text: str, rules: DataFrame | list[dict]) -> DataFram
     return out.select(*rows.columns, "_m.nth", "_m.rule", "_m.direction", "_m.cue")
 
 
-def _once(headlines: DataFrame, cues) -> DataFrame:
-    """cues(titles) joined back to the articles: a title that several articles have, as corrections and copies do, is read once. titles: (article_id, title), the title as its own key."""
-    rows = headlines.where("title is not null").select("article_id", "title")
-    titles = _kept(rows.select("title").distinct())  # else filters on titles would be made before they are distinct
-    found = cues(titles.select(F.col("title").alias("article_id"), "title")).withColumnRenamed("article_id", "_title")
-    return rows.join(found, F.col("title") == F.col("_title")).drop("title", "_title")
+def _titles(headlines: DataFrame) -> DataFrame:
+    return headlines.where("title is not null").select("article_id", "title")
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -61,12 +57,9 @@ def macro_cues(spark: SparkSession, headlines: DataFrame, rules: DataFrame | lis
     """(article_id, rule, direction, cue): for each rule the first clause that matches it. Long titles and questions have none, nor do hedged clauses."""
     rules = rules if rules is not None else R.rule_rows()
 
-    def cues(titles: DataFrame) -> DataFrame:
-        ok = titles.where((F.length("title") <= LONGEST) & ~F.contains(F.col("title"), F.lit("?")))
-        clauses = ok.select("article_id", F.posexplode(F.split(F.regexp_replace("title", DASHES, "-"), R.CLAUSES)).alias("at", "clause")).where(~F.col("clause").rlike("(?i)" + R.HEDGED))
-        return _hits(clauses, "clause", rules).groupBy("article_id", "rule", "direction", "nth").agg(F.min_by("cue", "at").alias("cue")).drop("nth")
-
-    return _once(headlines, cues)
+    ok = _titles(headlines).where((F.length("title") <= LONGEST) & ~F.contains(F.col("title"), F.lit("?")))
+    clauses = ok.select("article_id", F.posexplode(F.split(F.regexp_replace("title", DASHES, "-"), R.CLAUSES)).alias("at", "clause")).where(~F.col("clause").rlike("(?i)" + R.HEDGED))
+    return _hits(clauses, "clause", rules).groupBy("article_id", "rule", "direction", "nth").agg(F.min_by("cue", "at").alias("cue")).drop("nth")
 
 
 def _hinted(row) -> Column:
@@ -91,14 +84,13 @@ def mentions(spark: SparkSession, texts: DataFrame, issuers: DataFrame | list[di
 
 
 def company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
-    """(article_id, rule, direction, ticker, sector, scope, cue): cues about a named issuer, or the chip industry when a clause names none, each with the words of its first place."""
-    return _once(headlines, lambda titles: _company_cues(spark, titles))
-
+    """(article_id, rule, direction, ticker, sector, scope, cue): cues about a named issuer, or the chip industry when a clause names none, each with the words of its first place.
 
-def _company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
+    A headline that neither names an issuer nor speaks of the technology sector has none, whatever its words.
+    """
     plain = _plain(F.col("title"))
-    ok = headlines.select("article_id", plain.alias("title")).where((F.length("title") <= LONGEST) & ~F.contains(F.col("title"), F.lit("?")) & ~F.col("title").rlike("(?i)" + R.RETROSPECTIVE))
-    clauses = ok.select("article_id", F.posexplode(F.split("title", R.COMPANY_CLAUSES)).alias("at", "clause")).select(F.struct("article_id", "at").alias("key"), F.trim("clause").alias("text"))
+    ok = _titles(headlines).select("article_id", plain.alias("title")).where((F.length("title") <= LONGEST) & ~F.contains(F.col("title"), F.lit("?")) & ~F.col("title").rlike("(?i)" + R.RETROSPECTIVE))
+    clauses = ok.select("article_id", F.col("title").rlike("(?i)" + R.ECOSYSTEM).alias("technology"), F.posexplode(F.split("title", R.COMPANY_CLAUSES)).alias("at", "clause")).select(F.struct("article_id", "at").alias("key"), "technology", F.trim("clause").alias("text"))
     clauses = _kept(clauses)
     w = Window.partitionBy("key").orderBy("start", F.desc("end"), "ticker")
     # next mention of a different issuer: the next start whose ticker is another
@@ -116,10 +108,12 @@ def _company_cues(spark: SparkSession, headlines: DataFrame) -> DataFrame:
     by_prefix = _hits(rows, "prefix", R.rule_rows(R.PREFIX)).where("rule <> 'company-export-restriction' or next is null").select(*out(F.col("text"), F.col("start")))
     # clauses that name nobody
     bare = clauses.join(found.select("key").distinct(), "key", "left_anti").where(~F.col("text").rlike("(?i)" + R.COMPANY_HEDGED))
-    single = named(spark, ok).where("size(tickers) = 1").select("article_id", F.col("tickers")[0].alias("ticker"), F.col("sectors")[0].alias("sector"))
+    whole = _kept(named(spark, ok))
+    single = whole.where("size(tickers) = 1").select("article_id", F.col("tickers")[0].alias("ticker"), F.col("sectors")[0].alias("sector"))
     own = bare.where(F.col("text").rlike("(?i)" + R.OWN_CLAUSE)).withColumn("article_id", F.col("key.article_id")).join(single, "article_id").withColumn("tail", F.regexp_replace("text", r"(?i)^its\s+", ""))
     by_own = _hits(own, "tail", R.rule_rows(R.COMPANY)).select(*out(F.col("cue"), F.lit(0)))
-    industry = _hits(bare, "text", R.rule_rows(R.INDUSTRY)).select("key", "rule", "direction", F.lit(None).cast("string").alias("ticker"), F.lit("XLK").alias("sector"), "cue", F.lit(0).alias("start"))
+    relevant = bare.withColumn("article_id", F.col("key.article_id")).join(whole.select("article_id", F.lit(True).alias("names")), "article_id", "left").where("technology or names")
+    industry = _hits(relevant, "text", R.rule_rows(R.INDUSTRY)).select("key", "rule", "direction", F.lit(None).cast("string").alias("ticker"), F.lit("XLK").alias("sector"), "cue", F.lit(0).alias("start"))
     every = by_tail.unionByName(by_prefix).unionByName(by_own).withColumn("scope", F.lit("company")).unionByName(industry.withColumn("scope", F.lit("industry")))
     return every.groupBy(F.col("key.article_id").alias("article_id"), "rule", "direction", "ticker", "sector", "scope").agg(F.min_by("cue", F.struct("key.at", "start")).alias("cue"))
 
@@ -144,7 +138,7 @@ def relevant_headlines(spark: SparkSession, headlines: DataFrame, cues: DataFram
     title = _plain(F.col("title"))
     topics = F.filter(F.array(*[F.when(title.rlike("(?i)" + p), n) for n, p in R.TOPICS]), lambda x: x.isNotNull())
     rows = headlines.where(F.length("title") <= LONGEST).select("article_id", topics.alias("topics"), title.rlike("(?i)" + R.ECOSYSTEM).alias("_technology"))
-    rows = rows.join(_once(headlines, lambda titles: named(spark, titles)), "article_id", "left").join(said, "article_id", "left").where("_technology or tickers is not null")
+    rows = rows.join(named(spark, _titles(headlines)), "article_id", "left").join(said, "article_id", "left").where("_technology or tickers is not null")
     other = F.array(F.when(F.col("tickers").isNotNull(), R.OTHER_COMPANY).otherwise(R.OTHER_TECHNOLOGY))
     directions = F.coalesce("directions", F.array().cast("array<string>"))
     return rows.select("article_id", F.when(F.size("topics") > 0, F.col("topics")).otherwise(other).alias("topics"), _sorted_union(F.col("tickers"), F.col("_t")).alias("tickers"), _sorted_union(F.col("sectors"), F.col("_s")).alias("sectors"), classification(directions).alias("classification"), F.coalesce("evidence", F.lit(0)).alias("evidence"))
@@ -154,8 +148,8 @@ def relevance_routes(spark: SparkSession, headlines: DataFrame) -> DataFrame:
     """(article_id, rule, target, tickers, topics): which sector a headline mentions, by its issuers, or by the computing topic where it names none. No direction."""
     title = _plain(F.col("title"))
     rows = headlines.select("article_id", title.rlike("(?i)" + R.COMPUTING).alias("computing"))
-    by_title = lambda titles: mentions(spark, titles.select(F.col("article_id").alias("key"), _plain(F.col("title")).alias("text"))).groupBy(F.col("key").alias("article_id"), F.col("sector").alias("target")).agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
-    issuers = _once(headlines, by_title).where(F.col("target").isin(*R.ALL))
+    found = mentions(spark, _titles(headlines).select(F.col("article_id").alias("key"), _plain(F.col("title")).alias("text")))
+    issuers = found.groupBy(F.col("key").alias("article_id"), F.col("sector").alias("target")).agg(F.array_sort(F.collect_set("ticker")).alias("tickers")).where(F.col("target").isin(*R.ALL))
     words = F.when(F.col("computing"), F.array(F.lit("Company reference"), F.lit("AI / computing"))).otherwise(F.array(F.lit("Company reference")))
     company = rows.join(issuers, "article_id").select("article_id", F.lit("company-mentioned-sector").alias("rule"), "target", "tickers", words.alias("topics"))
     topic = rows.where("computing").join(issuers.select("article_id").distinct(), "article_id", "left_anti")
@@ -210,9 +204,37 @@ def agreement(routes: DataFrame, observed: DataFrame) -> DataFrame:
     return routes.join(o, "target", "left").withColumn("reading", F.when(F.col("seen").isNull(), "unavailable").when(F.col("seen") == 0, "mixed").when(F.col("seen") == F.col("expected"), "agrees").otherwise("conflicts"))
 
 
+#: Targets from which a route goes on along saved links.
+MACRO_NODES = ("USO", "TNX")
+
+
+def usable_links(links: DataFrame) -> DataFrame:
+    """(macro, sector, rho) of saved links (source, target, rho, strength), whichever end is the macro node: those whose strength is the size of a correlation that isn't zero."""
+    sound = (F.col("rho") != 0) & (F.abs("rho") <= 1) & (F.abs(F.col("strength") - F.abs("rho")) <= 1e-12)
+    ends = lambda a, b: links.where(sound & F.col(a).isin(*MACRO_NODES) & F.col(b).isin(*R.ALL)).select(F.col(a).alias("macro"), F.col(b).alias("sector"), "rho")
+    return ends("source", "target").unionAll(ends("target", "source"))
+
+
 def onward(routes: DataFrame, links: DataFrame) -> DataFrame:
-    """Second hop: from a macro target to the sectors that it is linked to, links (macro, sector, rho)."""
-    return routes.join(links.withColumnRenamed("macro", "target"), "target").select("article_id", "rule", F.col("target").alias("via"), F.col("sector").alias("target"), (F.col("expected") * F.signum("rho")).cast("int").alias("expected"))
+    """Second hop: from a macro target to the sectors that it is linked to, by links (macro, sector, rho)."""
+    return routes.join(links.withColumnRenamed("macro", "target"), "target").select("article_id", "rule", F.col("target").alias("via"), F.col("sector").alias("target"), F.col("expected").alias("_first"), "rho").withColumn("expected", (F.col("_first") * F.signum("rho")).cast("int")).drop("_first")
+
+
+def news_paths(routes: DataFrame, links: DataFrame, nodes: DataFrame, prices_held: bool = False) -> DataFrame:
+    """Paths of routes (article_id, rule, target, expected) over saved links: (article_id, rule, path, expected, observed, state, rho).
+
+    nodes: (node, sign, eligible). A node that isn't eligible or is missing is held: what is seen at it is unavailable, and so is what lies beyond it. Of
+    paths that occur twice one stays, the one of the link that is least in correlation.
+    """
+    seen = nodes.select("node", F.when(F.col("eligible"), F.col("sign")).alias("_sign"))
+    at = routes.join(seen.withColumnRenamed("node", "target").withColumnRenamed("_sign", "_first"), "target", "left")
+    direct = at.select("article_id", "rule", F.array(F.lit("NEWS"), F.col("target")).alias("path"), F.col("expected").cast("int").alias("expected"), F.col("_first").alias("observed"), F.lit(None).cast("double").alias("rho"))
+    hop = onward(routes, usable_links(links)).join(seen.select(F.col("node").alias("via"), F.col("_sign").alias("_first")), "via", "left").join(seen.select(F.col("node").alias("target"), F.col("_sign").alias("_second")), "target", "left")
+    beyond = hop.select("article_id", "rule", F.array(F.lit("NEWS"), F.col("via"), F.col("target")).alias("path"), "expected", F.when(F.col("_first").isNotNull(), F.col("_second")).alias("observed"), "rho")
+    rows = direct.unionByName(beyond).groupBy("article_id", "rule", "path").agg(F.min_by(F.struct("expected", "observed", "rho"), "rho").alias("a"), F.first(F.struct("expected", "observed", "rho")).alias("b"))
+    rows = rows.select("article_id", "rule", "path", F.coalesce("a", "b").alias("r")).select("article_id", "rule", "path", "r.expected", F.when(F.lit(not prices_held), F.col("r.observed")).alias("observed"), "r.rho")
+    state = F.when(F.col("observed").isNull(), "unavailable").when(F.col("observed") == 0, "mixed").when(F.col("observed") == F.col("expected"), "agrees").otherwise("conflicts")
+    return rows.withColumn("state", state)
 
 
 def scheduled_events(events: DataFrame, health: DataFrame, cutoff: Column, observed: Column, ahead_hours: int = 24) -> DataFrame:

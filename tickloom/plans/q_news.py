@@ -10,56 +10,61 @@ from ..operators import news_rules as R
 from . import fixtures as X
 from .registry import query, rounded
 
-#: Wordings; those that must give a company or industry cue with its rule, direction, scope and words. @ is an issuer.
-SAYINGS = (
-    ("Oil prices rise after a quiet week",),
-    ("Brent crude fell while traders waited",),
-    ("Treasury yields climbed; stocks steady",),
-    ("Treasury yields may fall next month",),
-    ("CPI comes in hotter than expected",),
-    ("Consumer prices were lower than expected",),
-    ("Fed raises its benchmark interest rate",),
-    ("Fed cuts rates, but oil prices jumped",),
-    ("Government imposes new import tariffs",),
-    ("Parliament lifted existing tariffs",),
-    ("@ raises full-year revenue guidance", "company-guidance-raised", "TAILWIND", "company", "@ raises full-year revenue guidance"),
-    ("@ cuts its outlook", "company-guidance-lowered", "HEADWIND", "company", "@ cuts its outlook"),
-    ("@ reports strong cloud demand", "company-demand-strength", "TAILWIND", "company", "@ reports strong cloud demand"),
-    ("Regulator fines @", "company-regulatory-action", "HEADWIND", "company", "Regulator fines @"),
-    ("@ could raise its guidance",),
-    ("Is @ ready for winter?",),
-    ("Rain expected in the north",),
-    ("GPU demand surges", "industry-ai-chip-demand-strength", "TAILWIND", "industry", "GPU demand surges"),
-    ("Analysts say @ outlook disappoints", "company-outlook-disappoints", "HEADWIND", "company", "@ outlook disappoints"),
-    ("@ quarterly earnings beat estimates in Europe", "company-earnings-beat", "TAILWIND", "company", "@ quarterly earnings beat estimates"),
-    ("@ revenue misses analyst expectations", "company-earnings-miss", "HEADWIND", "company", "@ revenue misses analyst expectations"),
-    ("Rivals wait while @ sees slowing AI demand", "company-demand-weakness", "HEADWIND", "company", "@ sees slowing AI demand"),
-    ("@ suffers major outage", "company-operational-disruption", "HEADWIND", "company", "@ suffers major outage"),
-    ("@ faces an antitrust probe", "company-regulatory-pressure", "HEADWIND", "company", "@ faces an antitrust probe"),
-    ("@ restores cloud services after outage", "company-operational-recovery", "TAILWIND", "company", "@ restores cloud services after outage"),
-    ("Government bans chip exports by @", "company-export-restriction", "HEADWIND", "company", "Government bans chip exports by @"),
-    ("FDA approves @", "company-regulatory-approval", "TAILWIND", "company", "FDA approves @"),
-    ("@ holds its meeting; its revenue beat forecasts", "company-earnings-beat", "TAILWIND", "company", "revenue beat forecasts"),
-    ("Semiconductor demand slows", "industry-ai-chip-demand-weakness", "HEADWIND", "industry", "Semiconductor demand slows"),
-    ("Washington tightens AI chip export controls", "industry-chip-export-restriction", "HEADWIND", "industry", "tightens AI chip export controls"),
-    ("Ministry eases semiconductor export restrictions", "industry-chip-export-relief", "TAILWIND", "industry", "eases semiconductor export restrictions"),
-    ("ChatGPT maker plans more data centers",),
-    ("How @ lost its way last year",),
+#: Wordings; @ is an issuer. Titles get their order's number, so hardly two are equal.
+WORDINGS = (
+    "Oil prices rise after a quiet week",
+    "Brent crude fell while traders waited",
+    "Treasury yields climbed; stocks steady",
+    "Treasury yields may fall next month",
+    "CPI comes in hotter than expected",
+    "Consumer prices were lower than expected",
+    "Fed raises its benchmark interest rate",
+    "Fed cuts rates, but oil prices jumped",
+    "Government imposes new import tariffs",
+    "Parliament lifted existing tariffs",
+    "@ raises full-year revenue guidance",
+    "@ cuts its outlook",
+    "@ reports strong cloud demand",
+    "Regulator fines @",
+    "@ could raise its guidance",
+    "Is @ ready for winter?",
+    "Rain expected in the north",
+    "GPU demand surges",
+    "Analysts say @ outlook disappoints",
+    "@ quarterly earnings beat estimates in Europe",
+    "@ revenue misses analyst expectations",
+    "Rivals wait while @ sees slowing AI demand",
+    "@ suffers major outage",
+    "@ faces an antitrust probe",
+    "@ restores cloud services after outage",
+    "Government bans chip exports by @",
+    "FDA approves @",
+    "@ holds its meeting; its revenue beat forecasts",
+    "Semiconductor demand slows",
+    "Washington tightens AI chip export controls",
+    "Ministry eases semiconductor export restrictions",
+    "ChatGPT maker plans more data centers",
+    "How @ lost its way last year",
 )
-WORDINGS = tuple(x[0] for x in SAYINGS)
 NAMES = tuple(a[0] for _, _, a in R.ISSUERS)
 _list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
-HEADLINES = f"""heads as (select o_orderkey::varchar article_id, replace({_list(WORDINGS)}[(o_orderkey % {len(WORDINGS)})::int + 1], '@', {_list(NAMES)}[(o_custkey % {len(NAMES)})::int + 1]) title, o_orderdate published_at, o_custkey, o_orderkey from orders)"""
+HEADLINES = f"""heads as (select o_orderkey::varchar article_id, replace({_list(WORDINGS)}[(o_orderkey % {len(WORDINGS)})::int + 1], '@', {_list(NAMES)}[(o_custkey % {len(NAMES)})::int + 1]) || ' (no. ' || o_orderkey || ')' title, o_orderdate published_at, o_custkey, o_orderkey from orders)"""
 
 
 def heads(spark, d) -> DataFrame:
     pick = lambda xs, c: F.element_at(F.array(*map(F.lit, xs)), (F.col(c) % len(xs)).cast("int") + 1)
-    return X.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("article_id"), F.replace(pick(WORDINGS, "o_orderkey"), F.lit("@"), pick(NAMES, "o_custkey")).alias("title"), F.col("o_orderdate").cast("timestamp").alias("published_at"), "o_custkey", "o_orderkey")
+    return X.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("article_id"), F.concat(F.replace(pick(WORDINGS, "o_orderkey"), F.lit("@"), pick(NAMES, "o_custkey")), F.lit(" (no. "), F.col("o_orderkey").cast("string"), F.lit(")")).alias("title"), F.col("o_orderdate").cast("timestamp").alias("published_at"), "o_custkey", "o_orderkey")
+
+
+def _hits(table: str, text: str, rules) -> str:
+    """Rows of a table for each rule whose pattern is in a text of theirs: with ruleid, direction and hit. The patterns are constants, so each is compiled once."""
+    sql = lambda p: "'(?i)" + p.replace("'", "''") + "'"
+    each = ", ".join(f"case when regexp_matches({text}, {sql(p)}) then {{'ruleid': '{r}', 'direction': '{d}', 'hit': regexp_extract({text}, {sql(p)})}} end" for r, d, p in rules)
+    return f"(select * exclude (r), r.ruleid ruleid, r.direction direction, r.hit hit from (select *, unnest(list_filter([{each}], lambda x: x is not null)) r from {table}))"
 
 
-_rules = lambda rules: "(values " + ", ".join(f"({k}, '{r}', '{d}', '(?i){p.replace(chr(39), chr(39) * 2)}')" for k, (r, d, p) in enumerate(rules)) + ") t(nth, ruleid, direction, pattern)"
 MACRO = f"""cl as (select article_id, unnest(c) clause, unnest(range(1, len(c) + 1)) i from (select article_id, regexp_split_to_array(title, '{R.CLAUSES}') c from heads where length(title) <= 600 and not contains(title, '?'))),
-    ok as (select * from cl where not regexp_matches(clause, '(?i){R.HEDGED}')), macro as (select article_id, ruleid, direction, arg_min(regexp_extract(clause, pattern), i) cue from ok join {_rules(R.MACRO)} on regexp_matches(clause, pattern) group by article_id, ruleid, direction)"""
+    ok as (select * from cl where not regexp_matches(clause, '(?i){R.HEDGED}')), macro as (select article_id, ruleid, direction, arg_min(hit, i) cue from {_hits("ok", "clause", R.MACRO)} group by article_id, ruleid, direction)"""
 
 
 @query(f'with {HEADLINES}, {MACRO} select article_id, ruleid as "rule", direction, cue from macro')
@@ -77,18 +82,26 @@ def issuer_mentions(spark, d):
 
 
 _q = lambda x: "'" + x.replace("'", "''") + "'"
-COMPANY = f"""comp as (select article_id, o_orderkey % {len(WORDINGS)} k, {_list([t for t, _, _ in R.ISSUERS])}[(o_custkey % 12)::int + 1] ticker, {_list([s for _, s, _ in R.ISSUERS])}[(o_custkey % 12)::int + 1] sector, {_list(NAMES)}[(o_custkey % 12)::int + 1] alias, title from heads),
-    must(k, ruleid, direction, "scope", words) as (values {", ".join(f"({k}, {', '.join(map(_q, x[1:]))})" for k, x in enumerate(SAYINGS) if len(x) > 1)}),
-    cues as (select article_id, ruleid, direction, case when "scope" = 'company' then ticker end ticker, case when "scope" = 'company' then sector else 'XLK' end sector, "scope", replace(words, '@', alias) cue from comp join must using (k))"""
+#: Prefix and industry rules, as the company rules, on what comes before a mention and on clauses that name nobody.
+COMPANY = f"""comp as (select article_id, title, i.ticker, i.sector, i.alias, regexp_matches(title, '(?i){R.ECOSYSTEM}') technology from heads left join {_issuers.replace(") t(", ") i(")} on contains(title, i.alias) and regexp_matches(title, '(^|[^A-Za-z0-9])' || i.alias || '($|[^A-Za-z0-9])') where length(title) <= 600),
+    parts as (select article_id, ticker, sector, alias, technology, unnest(c) raw, unnest(range(1, len(c) + 1)) i from (select *, regexp_split_to_array(title, '{R.COMPANY_CLAUSES}') c from comp where not contains(title, '?') and not regexp_matches(title, '(?i){R.RETROSPECTIVE}'))),
+    clause as (select *, trim(raw) t, coalesce(regexp_matches(trim(raw), '(^|[^A-Za-z0-9])' || alias || '($|[^A-Za-z0-9])'), false) names from parts),
+    said as (select *, trim(substr(t, 1, strpos(t, alias) - 1)) prefix, trim(regexp_replace(substr(t, strpos(t, alias) + length(alias)), '^\\s*(?:''s\\s+)?(?:\\([^)]*\\)\\s*)?', '')) tail from clause where names),
+    clear as (select * from said where not regexp_matches(tail, '(?i){R.COMPANY_HEDGED}') and not regexp_matches(prefix, '(?i){R.COMPANY_HEDGED}')), bare as (select * from clause where not names and not regexp_matches(t, '(?i){R.COMPANY_HEDGED}')),
+    any_cue as (select article_id, i, strpos(t, alias) p, ruleid, direction, ticker, sector, 'company' "scope", alias || ' ' || hit cue from {_hits("clear", "tail", R.COMPANY)}
+        union all select article_id, i, strpos(t, alias), ruleid, direction, ticker, sector, 'company', t from {_hits("clear", "prefix", R.PREFIX)}
+        union all select article_id, i, 0, ruleid, direction, ticker, sector, 'company', hit from {_hits("(select *, regexp_replace(t, '(?i)^its\\s+', '') rest from bare)", "rest", R.COMPANY)} where alias is not null and regexp_matches(t, '(?i){R.OWN_CLAUSE}')
+        union all select article_id, i, 0, ruleid, direction, null, 'XLK', 'industry', hit from {_hits("bare", "t", R.INDUSTRY)} where technology or alias is not null),
+    cues as (select article_id, ruleid, direction, ticker, sector, "scope", arg_min(cue, (i, p)) cue from any_cue group by article_id, ruleid, direction, ticker, sector, "scope")"""
 
 
 @query(f'with {HEADLINES}, {COMPANY} select article_id, ruleid as "rule", direction, ticker, sector, "scope", cue from cues')
 def company_headlines(spark, d):
-    """The SQL says what each wording must give; all seventeen company and industry rules speak."""
+    """Every company and industry rule on titles that name one issuer at most; the SQL goes by the rules too."""
     return N.company_cues(spark, heads(spark, d))
 
 
-RELEVANT = f"""rel as (select comp.article_id, list_filter([{", ".join(f"case when regexp_matches(title, '(?i){p}') then {_q(n)} end" for n, p in R.TOPICS)}], lambda x: x is not null) topics, contains({_list(WORDINGS)}[k::int + 1], '@') named, regexp_matches(title, '(?i){R.ECOSYSTEM}') technology,
+RELEVANT = f"""rel as (select comp.article_id, list_filter([{", ".join(f"case when regexp_matches(title, '(?i){p}') then {_q(n)} end" for n, p in R.TOPICS)}], lambda x: x is not null) topics, alias is not null named, technology,
     regexp_matches(title, '(?i){R.COMPUTING}') computing, comp.ticker, comp.sector, cues.sector cue_sector, coalesce(direction, 'UNCERTAIN') classification, (direction is not null)::bigint evidence from comp left join cues using (article_id))"""
 
 
@@ -106,7 +119,16 @@ def relevance_routes(spark, d):
 
 
 _routes = "(values " + ", ".join(f"('{r}', '{t}', {s})" for r, ts, s in R.ROUTES for t in ts) + ") r(ruleid, target, expected)"
-_links = [("USO", "XLE", 0.7), ("USO", "XLI", -0.3), ("TNX", "XLF", 0.5), ("TNX", "XLU", -0.6)]
+#: Saved links: either end may be the macro node; the last five are unsound or lead nowhere.
+_links = [("USO", "XLE", 0.7, 0.7), ("XLI", "USO", -0.3, 0.3), ("TNX", "XLF", 0.5, 0.5), ("XLU", "TNX", -0.6, 0.6), ("TNX", "XLK", 0.4, 0.3), ("USO", "XLB", 0.0, 0.0), ("TNX", "XLV", 1.2, 1.2), ("USO", "TNX", 0.5, 0.5), ("XLK", "XLC", 0.9, 0.9)]
+LINKS = f"""links as (select via, sector, rho from (select source via, target sector, rho, strength from (values {', '.join(f"('{a}', '{b}', {c}::double, {e}::double)" for a, b, c, e in _links)}) t(source, target, rho, strength)
+    union all select target, source, rho, strength from (values {', '.join(f"('{a}', '{b}', {c}::double, {e}::double)" for a, b, c, e in _links)}) t(source, target, rho, strength)) where via in ('USO', 'TNX') and list_contains({_list(R.ALL)}, sector) and rho <> 0 and abs(rho) <= 1 and abs(strength - abs(rho)) <= 1e-12)"""
+
+
+def saved_links(spark) -> DataFrame:
+    return spark.createDataFrame(_links, "source string, target string, rho double, strength double")
+
+
 ROUTED = f"""{HEADLINES}, {MACRO}, {COMPANY}, routed as (select distinct article_id, ruleid, target, expected from macro join {_routes} using (ruleid) union select article_id, ruleid, sector, case when direction = 'TAILWIND' then 1 else -1 end from cues)"""
 
 
@@ -128,9 +150,19 @@ def route_agreement(spark, d):
     return rounded(N.agreement(_routed(spark, d), nodes).drop("seen"))
 
 
-@query(f"""with {ROUTED}, l as (select * from (values {', '.join(f"('{a}', '{b}', {c})" for a, b, c in _links)}) t(via, sector, rho)) select article_id, ruleid as "rule", via, sector target, (expected * sign(rho))::bigint expected from routed join l on via = target""")
+@query(f"""with {ROUTED}, {LINKS} select article_id, ruleid as "rule", via, sector target, (expected * sign(rho))::bigint expected from routed join links on via = target""")
 def second_hop(spark, d):
-    return rounded(N.onward(_routed(spark, d), spark.createDataFrame(_links, "macro string, sector string, rho double")))
+    return rounded(N.onward(_routed(spark, d), N.usable_links(saved_links(spark))).drop("rho"))
+
+
+@query(f"""with {ROUTED}, {LINKS}, o as (select {_list((*R.ALL, 'USO', 'TNX'))}[i + 1] node, (i % 3) - 1 seen, i <> 4 and i <> 11 ok from range(0, 12) t(i)), e as (select node, case when ok then seen end seen from o),
+    f as (select article_id, ruleid, 'NEWS,' || target path, expected, e.seen observed, null::double rho from routed left join e on e.node = target
+        union all select article_id, ruleid, 'NEWS,' || via || ',' || sector, expected * sign(rho), case when a.seen is not null then b.seen end, rho from routed join links on via = target left join e a on a.node = via left join e b on b.node = sector)
+    select article_id, ruleid as "rule", path, expected::bigint expected, observed::bigint observed, round(rho + 1e-9, 6) rho, case when observed is null then 'unavailable' when observed = 0 then 'mixed' when observed = expected then 'agrees' else 'conflicts' end state from f""")
+def news_paths(spark, d):
+    """Paths over saved links with what is seen at their ends; two nodes are held, one is missing."""
+    nodes = spark.createDataFrame([(n, i % 3 - 1, i not in (4, 11)) for i, n in enumerate((*R.ALL, "USO", "TNX")) if i < 12], "node string, sign int, eligible boolean")
+    return rounded(N.news_paths(_routed(spark, d), saved_links(spark), nodes).withColumn("path", F.array_join("path", ",")))
 
 
 ARTICLES = f"""{HEADLINES}, arts as (select article_id, title, 'u' || (o_orderkey % 500) url, 's' || (o_custkey % 5) source_id, published_at, published_at + to_minutes((o_custkey % 7)::int) received_at, published_at + to_minutes((o_custkey % 11)::int) first_observed_at, published_at + interval 12 minute assessed_at from heads)"""
@@ -161,7 +193,7 @@ def _context_sql(years: int, company: bool, late: str = "available") -> str:
     moved = LATEST.replace("o_orderdate published_at", f"o_orderdate + interval {years} year published_at")
     heads2 = MACRO.replace("from heads where", "from heads2 where")
     near = "near as (select latest.*, o_custkey, o_orderkey from latest join heads using (article_id), cut where source_id <> 's3' and latest.published_at >= c - interval 48000 hour), heads2 as (select article_id, title from near)"
-    more = f", {COMPANY.replace('from heads)', 'from near)')}, {RELEVANT}, ev as (select distinct article_id, ruleid, direction from macro union all select article_id, ruleid, direction from cues), rh as (select * from rel where named or technology)" if company else ", ev as (select distinct article_id, ruleid, direction from macro), rh as (select 'UNCERTAIN' classification from near where false)"
+    more = f", {COMPANY.replace('from heads left', 'from near left')}, {RELEVANT}, ev as (select distinct article_id, ruleid, direction from macro union all select article_id, ruleid, direction from cues), rh as (select * from rel where named or technology)" if company else ", ev as (select distinct article_id, ruleid, direction from macro), rh as (select 'UNCERTAIN' classification from near where false)"
     return f"""with {moved}, {near}, {heads2}{more} select 'available' status, case when count(distinct direction) > 1 then 'MIXED' else max(direction) end classification, (select count(*) from near) considered, (select count(*) from near) - count(distinct article_id) unclassified, count(*) evidence,
         (select count(*) from rh) relevant, (select count(*) from rh where classification = 'UNCERTAIN') uncertain, 5::bigint sources, 4::bigint healthy, true partial from ev"""
 
