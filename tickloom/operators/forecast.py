@@ -139,11 +139,72 @@ def registry_report(registry: DataFrame) -> DataFrame:
 
 
 def matrix_report(matrices: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """(version_id, m array of arrays): square, symmetric, with a positive diagonal; by joining each entry to its mirror."""
+    """(version_id, m array of arrays): square, symmetric, with a positive diagonal, by joining each entry to its mirror; and positive definite, by its factor."""
     rows = matrices.select("version_id", F.size("m").alias("n"), F.posexplode("m").alias("i", "row")).select("version_id", "n", "i", F.size("row").alias("width"), F.posexplode("row").alias("j", "x"))
     mirror = rows.select("version_id", F.col("i").alias("j"), F.col("j").alias("i"), F.col("x").alias("y"))
     j = rows.join(mirror, ["version_id", "i", "j"], "left")
-    return j.groupBy("version_id").agg(F.bool_and(F.col("width") == F.col("n")).alias("square"), F.bool_and(F.coalesce(F.abs(F.col("x") - F.col("y")) <= tolerance, F.lit(False))).alias("symmetric"), F.bool_and((F.col("i") != F.col("j")) | (F.col("x") > 0)).alias("positive_diagonal"))
+    return j.groupBy("version_id").agg(F.bool_and(F.col("width") == F.col("n")).alias("square"), F.bool_and(F.coalesce(F.abs(F.col("x") - F.col("y")) <= tolerance, F.lit(False))).alias("symmetric"), F.bool_and((F.col("i") != F.col("j")) | (F.col("x") > 0)).alias("positive_diagonal")).join(matrices.select("version_id", positive_definite(F.col("m")).alias("positive_definite")), "version_id")
+
+
+def cholesky(m: Column) -> Column:
+    """Lower factor of a square array of arrays; from a pivot that isn't positive on, its entries are null. A fold over rows and, within, over columns."""
+
+    def row(done: Column, i: Column) -> Column:
+        def entry(own: Column, j: Column) -> Column:
+            other = F.when(j == i, own).otherwise(F.get(done, j))
+            rest = F.aggregate(F.zip_with(own, F.slice(other, 1, F.size(own)), lambda a, b: a * b), F.get(F.get(m, i), j), lambda a, x: a - x)
+            return F.concat(own, F.array(F.when(j < i, rest / F.get(F.get(done, j), j)).when(rest > 0, F.sqrt(rest))))
+
+        return F.concat(done, F.array(F.aggregate(F.sequence(F.lit(0), i), F.array().cast("array<double>"), entry)))
+
+    steps = F.filter(F.transform(m, lambda r, i: i), lambda i: i >= 0)
+    return F.aggregate(steps, F.array().cast("array<array<double>>"), row)
+
+
+def positive_definite(m: Column) -> Column:
+    """Whether every pivot of the factor is there; false where rows are not as long as there are rows, or hold null or NaN."""
+    sound = F.forall(m, lambda r: (F.size(r) == F.size(m)) & F.forall(r, lambda v: v.isNotNull() & ~F.isnan(v)))
+    return F.when(F.coalesce(sound, F.lit(False)), F.forall(cholesky(m), lambda r: F.element_at(r, -1).isNotNull())).otherwise(F.lit(False))
+
+
+#: Links that a saved graph may hold, and how closely its matrix and its list must agree.
+LEAST_WEIGHT, MOST_LINKS, AGREE = 0.6, 55, 1e-12
+
+
+def graph_report(graphs: DataFrame) -> DataFrame:
+    """graphs (version_id, nodes, adjacency, edges of (source, target, weight), weight_sum) to (version_id, rule, holds).
+
+    Edges join two different nodes of the list, each pair once, with a weight from 0.6 to 1; the matrix has the edges' weights on either side
+    of its diagonal and zero elsewhere, so neither holds a link that the other lacks; the sum is that of the edges.
+    """
+    n = "size(nodes)"
+    place = "transform(edges, e -> named_struct('a', array_position(nodes, e.source), 'b', array_position(nodes, e.target), 'w', e.weight))"
+    g = graphs.withColumn("_e", F.expr(place))
+    pairs = "transform(_e, e -> named_struct('a', least(e.a, e.b), 'b', greatest(e.a, e.b)))"
+    stated = f"transform(sequence(1, {n}), i -> transform(sequence(1, {n}), j -> coalesce(get(filter(_e, e -> i <> j and least(e.a, e.b) = least(i, j) and greatest(e.a, e.b) = greatest(i, j)), 0).w, 0d)))"
+    g = g.withColumn("_s", F.expr(stated))
+    whole = f"size(adjacency) = {n} and forall(adjacency, r -> size(r) = {n} and forall(r, v -> v is not null and not isnan(v)))"
+    rules = {
+        "square": whole,
+        "known ends": "forall(_e, e -> e.a > 0 and e.b > 0 and e.a <> e.b)",
+        "distinct links": f"size(edges) <= {MOST_LINKS} and size(array_distinct({pairs})) = size(edges)",
+        "weights": f"forall(edges, e -> e.weight between {LEAST_WEIGHT} and 1)",
+        "edges in matrix": f"({whole}) and forall(sequence(0, {n} - 1), i -> forall(sequence(0, {n} - 1), j -> _s[i][j] = 0 or abs(get(get(adjacency, i), j) - _s[i][j]) <= {AGREE}))",
+        "matrix in edges": f"({whole}) and forall(sequence(0, {n} - 1), i -> forall(sequence(0, {n} - 1), j -> _s[i][j] <> 0 or abs(get(get(adjacency, i), j)) <= {AGREE}))",
+        "weight sum": "abs(aggregate(edges, 0d, (a, e) -> a + e.weight) - weight_sum) <= 1e-10",
+    }
+    entries = F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(F.expr(v), F.lit(False)).alias("holds")) for k, v in rules.items()])
+    return g.select("version_id", F.explode(entries).alias("r")).select("version_id", "r.rule", "r.holds")
+
+
+def draw_report(draws: DataFrame, wanted: int = 64, width: int = 4) -> DataFrame:
+    """draws (bundle_id, draw_id from 0, z) to (bundle_id, whole, antithetic): as many as wanted, each of width finite numbers; the second half is the first with its signs turned. Draws meet their partners by a join."""
+    half = wanted // 2
+    a = draws.withColumn("fine", F.coalesce((F.size("z") == width) & F.forall("z", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)))
+    partner = draws.select("bundle_id", (F.col("draw_id") - half).alias("draw_id"), F.col("z").alias("other"))
+    j = a.join(partner, ["bundle_id", "draw_id"], "left")
+    turned = (F.col("draw_id") >= half) | F.coalesce(F.forall(F.zip_with("z", "other", lambda x, y: x == -y), lambda v: v), F.lit(False))
+    return j.groupBy("bundle_id").agg(((F.count("*") == wanted) & (F.count_distinct("draw_id") == wanted) & F.bool_and(F.col("draw_id").between(0, wanted - 1)) & F.bool_and("fine")).alias("whole"), F.bool_and(turned).alias("antithetic"))
 
 
 # Feature vectors: long tables (keys, feature, value)

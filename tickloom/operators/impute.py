@@ -27,11 +27,12 @@ def status(present: Column, off_grid: Column, duplicate: Column, valid: Column)
 def conditioned(rows: DataFrame, versions: DataFrame) -> DataFrame:
     """rows (row_id, version_id, x array with nulls) and versions (version_id, mean, scale, cov): estimates of the missing values.
 
-    (row_id, version_id, missing, estimates, variances, explained, reason): in standard units of the version; arrays over the missing
+    (row_id, version_id, x, missing, estimates, variances, explained, factor, reason): in standard units of the version; arrays over the missing
     places in order. reason says why a row has none: too many missing, or beyond six deviations.
     """
+    rows = rows.withColumn("x", F.transform("x", lambda v: F.when(~F.isnan(v), v)))  # NaN is a gap like null
     z = F.transform(F.arrays_zip(F.col("x").alias("x"), F.col("mean").alias("m"), F.col("scale").alias("s")), lambda t: (t["x"] - t["m"]) / t["s"])
-    gaps = F.filter(F.transform("x", lambda v, i: F.when(v.isNull() | F.isnan(v), i)), lambda i: i.isNotNull())
+    gaps = F.filter(F.transform("x", lambda v, i: F.when(v.isNull(), i)), lambda i: i.isNotNull())
     rows = rows.join(versions, "version_id").withColumns({"z": z, "missing": gaps})
     patterns = rows.where(F.size("missing").between(1, MOST_FEATURES)).groupBy("version_id", "missing").agg(F.first("cov").alias("cov"))
 
@@ -48,7 +49,7 @@ def conditioned(rows: DataFrame, versions: DataFrame) -> DataFrame:
                 full = np.zeros((len(m), len(s)))
                 full[:, o] = weights
                 try:
-                    factor = np.linalg.cholesky(left + RIDGE * np.eye(len(m))).tolist()
+                    factor = np.linalg.cholesky(left).tolist()
                 except np.linalg.LinAlgError:
                     factor = None
                 out.append((version, list(map(int, m)), full.tolist(), np.diag(left).tolist(), np.clip(1 - np.diag(left) / np.diag(s)[m], 0, 1).tolist(), factor))
@@ -62,7 +63,7 @@ def conditioned(rows: DataFrame, versions: DataFrame) -> DataFrame:
     reason = F.when(F.size("missing") > MOST_FEATURES, "too many missing").when(F.exists("z", lambda v: F.abs(v) > GUARD), "observed beyond guard").when(F.exists("_e", lambda v: F.abs(v) > GUARD), "estimate beyond guard")
     j = j.withColumn("reason", reason)
     good = F.col("reason").isNull() & (F.size("missing") > 0)
-    return j.select("row_id", "version_id", "missing", *[F.when(good, F.col(a)).alias(b) for a, b in (("_e", "estimates"), ("variances", "variances"), ("explained", "explained"), ("factor", "factor"))], "reason")
+    return j.select("row_id", "version_id", "x", "missing", *[F.when(good, F.col(a)).alias(b) for a, b in (("_e", "estimates"), ("variances", "variances"), ("explained", "explained"), ("factor", "factor"))], "reason")
 
 
 def drawn(estimates: DataFrame, draws: DataFrame) -> DataFrame:
@@ -88,19 +89,20 @@ def availability(statuses: DataFrame, *keys: str) -> DataFrame:
 
 
 def rebuilt(rows: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
-    """Graph features of drawn or imputed values: rows (keys, symbol, return_5, vwap_gap), links (graph_id, a, b, weight) of one graph.
+    """Graph features of drawn or imputed values: rows (keys, symbol, return_5, vwap_gap and, where links hold several graphs, graph_id), links (graph_id, a, b, weight).
 
-    (keys, sector_signed_breadth, bullish/bearish cluster and edge-weight fractions): the same steps as for live nodes, keyed by row and draw.
+    (keys, sector_signed_breadth, bullish/bearish cluster and edge-weight fractions): the same steps as for live nodes, keyed by row and draw; each row goes through its own graph.
     """
     s = rows.withColumn("sign", macro_sign(F.col("return_5"), F.col("vwap_gap"))).withColumnRenamed("symbol", "node")
-    graphs = links.select("graph_id").distinct()
-    if graphs.count() > 1:
-        raise ValueError("links of one graph are wanted")
-    graph = s.join(graphs, F.lit(True))  # one row
-    edges = edge_participation(links, graph.select(*keys, "graph_id", "node", "sign"), keys)
+    if "graph_id" not in s.columns:
+        graphs = links.select("graph_id").distinct()
+        if graphs.count() > 1:
+            raise ValueError("rows need a graph_id, as links are of several graphs")
+        s = s.join(graphs, F.lit(True))  # one row
+    edges = edge_participation(links, s.select(*keys, "graph_id", "node", "sign"), keys)
     live = s.where("sign <> 0")
-    a, b = live.select(*keys, "sign", F.col("node").alias("a")), live.select(*keys, "sign", F.col("node").alias("b"))
-    same = a.join(links.select("a", "b"), "a").join(b, [*keys, "sign", "b"])
+    a, b = live.select(*keys, "graph_id", "sign", F.col("node").alias("a")), live.select(*keys, "sign", F.col("node").alias("b"))
+    same = a.join(links.select("graph_id", "a", "b"), ["graph_id", "a"]).join(b, [*keys, "sign", "b"]).drop("graph_id")
     sizes = largest_clusters(components(live.select(*keys, "sign", "node"), same, [*keys, "sign"]), [*keys, "sign"])
     most = lambda v: F.coalesce(F.max(F.when(F.col("sign") == v, F.col("size"))), F.lit(0)) / NODES
     k = sizes.groupBy(*keys).agg(most(1).alias("bullish_cluster_fraction"), most(-1).alias("bearish_cluster_fraction"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
 from ..operators import forecast as R
+from ..operators import fallback as K
 from ..operators import impute as I
 from ..operators import network as N
 from . import fixtures as X
@@ -207,7 +208,7 @@ def registry_checks(spark, d):
     return R.registry_report(s)
 
 
-@query("""with m as (select p_partkey::varchar version_id, p_size::double v, case when p_partkey % 3 = 0 then 1.0::double else 0.0::double end off from part) select version_id, true square, off = 0 as "symmetric", v > 3 positive_diagonal from m""")
+@query("""with m as (select p_partkey::varchar version_id, p_size::double v, case when p_partkey % 3 = 0 then 1.0::double else 0.0::double end off from part) select version_id, true square, off = 0 as "symmetric", v > 3 positive_diagonal, v > 3 positive_definite from m""")
 def matrix_checks(spark, d):
     off = F.when(F.col("p_partkey") % 3 == 0, 1.0).otherwise(0.0)
     v = F.col("p_size").cast("double")
@@ -215,6 +216,44 @@ def matrix_checks(spark, d):
     return R.matrix_report(m)
 
 
+@query("""with m as (select l_suppkey s, corr(l_quantity, l_discount) a, corr(l_quantity, l_tax) b, corr(l_discount, l_tax) c from lineitem group by 1), k as (select s, least(greatest(a * 4, -1), 1) a, least(greatest(b * 4, -1), 1) b, least(greatest(c * 4, -1), 1) c from m)
+    select s l_suppkey, coalesce(1 - a * a > 0 and 1 + 2 * a * b * c - a * a - b * b - c * c > 0, false) positive_definite from k where abs(1 + 2 * a * b * c - a * a - b * b - c * c) > 1e-9 or a is null or b is null or c is null""")
+def covariance_checks(spark, d):
+    """Exaggerated correlations of three measures of each supplier's lines: some are no longer those of anything. The SQL goes by minors, not by a factor; matrices of which one is zero but for rounding are left out."""
+    clip = lambda x, y: F.least(F.greatest(F.corr(x, y) * 4, F.lit(-1.0)), F.lit(1.0))
+    m = X.table(spark, d, "lineitem").groupBy("l_suppkey").agg(clip("l_quantity", "l_discount").alias("a"), clip("l_quantity", "l_tax").alias("b"), clip("l_discount", "l_tax").alias("c"))
+    a, b, c, one = F.col("a"), F.col("b"), F.col("c"), F.lit(1.0)
+    det = 1 + 2 * a * b * c - a * a - b * b - c * c
+    m = m.where((F.abs(det) > 1e-9) | a.isNull() | b.isNull() | c.isNull())
+    return m.select("l_suppkey", R.positive_definite(F.array(F.array(one, a, b), F.array(a, one, c), F.array(b, c, one))).alias("positive_definite"))
+
+
+GRAPH_RULES = ("square", "known ends", "distinct links", "weights", "edges in matrix", "matrix in edges", "weight sum")
+
+
+@query(f"""with g as (select p_partkey::varchar version_id, p_partkey % 8 k from part) select version_id, unnest({list(GRAPH_RULES)}) as "rule", unnest([k <> 7, k <> 5, k <> 4, k <> 3, k not in (1, 7), k not in (2, 5, 7), k <> 6]) as holds from g""")
+def graph_checks(spark, d):
+    """Saved graphs made of parts, each eighth broken in one way: its matrix, its list, or one against the other."""
+    k = F.col("p_partkey") % 8
+    edge = lambda a, b, w: F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.lit(w).alias("weight"))
+    number = lambda v: F.lit(float(v))
+    ab = F.when(k == 1, 0.9).when(k == 3, 0.5).otherwise(0.7)
+    rows = F.array(F.array(number(0), ab, F.when(k == 2, 0.6).otherwise(0.0)), F.array(F.when(k == 3, 0.5).otherwise(0.7), number(0), number(0.8)), F.array(number(0), number(0.8), number(0)))
+    edges = F.when(k == 3, F.array(edge("A", "B", 0.5), edge("B", "C", 0.8))).when(k == 4, F.array(edge("A", "B", 0.7), edge("B", "C", 0.8), edge("B", "A", 0.7))).when(k == 5, F.array(edge("A", "B", 0.7), edge("B", "D", 0.8))).otherwise(F.array(edge("A", "B", 0.7), edge("B", "C", 0.8)))
+    total = F.when(k == 3, 1.3).when(k == 4, 2.2).when(k == 6, 9.0).otherwise(1.5)
+    g = X.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("version_id"), F.array(*map(F.lit, "ABC")).alias("nodes"), F.when(k == 7, F.slice(rows, 1, 2)).otherwise(rows).alias("adjacency"), edges.alias("edges"), total.alias("weight_sum"))
+    return R.graph_report(g)
+
+
+@query("""select s_suppkey bundle_id, s_suppkey % 5 <> 0 whole, s_suppkey % 3 <> 0 and s_suppkey % 5 <> 0 antithetic from supplier""")
+def draw_checks(spark, d):
+    """Bundles of saved draws made of suppliers: some lack a draw, some hold one whose sign isn't turned."""
+    b = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("bundle_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("draw_id")).where("bundle_id % 5 <> 0 or draw_id <> 63")
+    n = F.col("draw_id") % 32
+    sign = F.when((F.col("draw_id") >= 32) & ~((F.col("draw_id") == 40) & (F.col("bundle_id") % 3 == 0)), -1.0).otherwise(1.0)
+    return R.draw_report(b.select("bundle_id", "draw_id", F.array(*[sign * (n + F.col("bundle_id") % 7 + j + 1).cast("double") for j in range(4)]).alias("z")))
+
+
 def _lines(spark, d) -> DataFrame:
     """Every line as a row of three measures, some of them missing."""
     a, b = F.col("l_quantity") / 50, F.col("l_discount") * 10
@@ -226,7 +265,7 @@ def _version(spark) -> DataFrame:
     return spark.createDataFrame([("v", [0.5, 0.5, 2.0], [0.25, 0.25, 1.0], [[1.0, 0.6, 0.2], [0.6, 1.0, 0.1], [0.2, 0.1, 1.0]])], "version_id string, mean array<double>, scale array<double>, cov array<array<double>>")
 
 
-#: Lines with their standardised values; w: weights, v: variances and the 2 x 2 factor, with the ridge, in closed form.
+#: Lines with their standardised values; w: weights, with the ridge, in closed form.
 OBSERVED = """r as (select distinct concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_linenumber, l_quantity, l_discount, l_tax) row_id, (l_quantity / 50 - 0.5::double) / 0.25::double za, (l_discount * 10 - 0.5::double) / 0.25::double zb, l_tax * 100 / 2 - 2.0::double zc, l_partkey % 3 = 0 mb, l_suppkey % 4 = 0 mc from lineitem),
     w as (select 1.00000001::double d, 1.00000001::double * 1.00000001::double - 0.04::double dac, 1.00000001::double * 1.00000001::double - 0.36::double dab),
     k as (select 0.6::double / d wb, 0.2::double / d wc, (0.6::double * d - 0.02::double) / dac wba, (0.1::double * d - 0.12::double) / dac wbc, (0.2::double * d - 0.06::double) / dab wca, (0.1::double * d - 0.12::double) / dab wcb from w),
@@ -240,9 +279,9 @@ def conditional_estimates(spark, d):
     return rounded(got.select("row_id", F.try_element_at("estimates", F.lit(1)).alias("first_estimate"), F.try_element_at("estimates", F.lit(2)).alias("second_estimate")), 5)
 
 
-@query(f"""with {OBSERVED}, f as (select *, case when mb and mc then sqrt(1.00000001::double - 0.6::double * wb) when mb then sqrt(1.00000001::double - 0.6::double * wba - 0.1::double * wbc) else sqrt(1.00000001::double - 0.2::double * wca - 0.1::double * wcb) end l1, (0.1::double - (0.6::double * wc + 0.2::double * wb) / 2) l21 from e where (mb or mc) and not far),
+@query(f"""with {OBSERVED}, f as (select *, case when mb and mc then sqrt(1 - 0.6::double * wb) when mb then sqrt(1 - 0.6::double * wba - 0.1::double * wbc) else sqrt(1 - 0.2::double * wca - 0.1::double * wcb) end l1, (0.1::double - (0.6::double * wc + 0.2::double * wb) / 2) l21 from e where (mb or mc) and not far),
     g as (select *, sin(id * 12.9898::double) * 1.5::double z1, sin(id * 12.9898::double + 1) * 1.5::double z2 from f, range(0, 64) t(id)),
-    p as (select row_id, -0.2::double + 0.4::double * (e1 + l1 * z1) + case when mb and mc then 0.4::double * (e2 + l21 / l1 * z1 + sqrt(1.00000001::double - 0.2::double * wc - l21 / l1 * l21 / l1) * z2) else 0 end lo from g),
+    p as (select row_id, -0.2::double + 0.4::double * (e1 + l1 * z1) + case when mb and mc then 0.4::double * (e2 + l21 / l1 * z1 + sqrt(1 - 0.2::double * wc - l21 / l1 * l21 / l1) * z2) else 0 end lo from g),
     q as (select row_id, quantile_cont(1 / (1 + exp(-lo)), [0.1, 0.9]) q from p group by row_id) select row_id, round(q[1] + 1e-9, 6) + 0.0 low, round(q[2] + 1e-9, 6) + 0.0 high from q""")
 def sensitivity_band(spark, d):
     """64 saved draws for each estimate of every line, scored, and their 10 % and 90 % quantiles."""
@@ -252,6 +291,61 @@ def sensitivity_band(spark, d):
     return rounded(I.band(p, "row_id"))
 
 
+#: Places that a row of thirty lacks, by its key: both values of a node, of two, of a rate, of three nodes, of the core, or none.
+_GAPS = ("[4 + 2 * s, 5 + 2 * s]", "[4 + 2 * s, 5 + 2 * s, 4 + 2 * t, 5 + 2 * t]", "[28]", "[4 + 2 * s, 29]", "[4 + 2 * s, 4 + 2 * t, 28]", "[0]", "[4 + 2 * s, 5 + 2 * s, 28, 29]", "[]", "[26, 27]", "[5 + 2 * s, 26]")
+
+
+def _imputed_inputs(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    gaps = F.expr("case k % 10 " + " ".join(f"when {n} then cast(array({g[1:-1]}) as array<int>)" for n, g in enumerate(_GAPS)) + " end")
+    o = X.table(spark, d, "orders").select(k.alias("k"), F.concat(F.lit("m"), F.month("o_orderdate")).alias("version_id"), (c % 11).alias("s"), ((c % 11 + 4) % 11).alias("t"), F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: ((k * (i + 3) + c * (i * i + 1)) % 201 - 100) / 1000.0).alias("full")).withColumn("gaps", gaps)
+    rows = o.select(F.col("k").cast("string").alias("row_id"), "version_id", F.transform("full", lambda v, i: F.when(~F.array_contains("gaps", i), v)).alias("x"))
+    m = spark.range(1, 13).select(F.col("id").cast("int").alias("m"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("version_id"))
+    places = F.sequence(F.lit(0), F.lit(29))
+    rho = 0.3 + 0.02 * F.col("m")
+    versions = m.select("version_id", F.col("version_id").alias("graph_id"), F.transform(places, lambda i: 0.001 * (i % 3)).alias("mean"), F.transform(places, lambda i: 0.05 + 0.001 * F.col("m")).alias("scale"), F.transform(places, lambda i: F.transform(places, lambda j: F.when(i == j, 1.0).otherwise(rho))).alias("cov"))
+    links = m.select(F.col("version_id").alias("graph_id"), "m", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(10)))).where("a < b and (a + b + m) % 3 = 0").select("graph_id", "a", "b", (0.6 + (F.col("a") * 7 + F.col("b") * 3 + F.col("m")) % 10 / 25).alias("weight"))
+    names = F.array(*map(F.lit, R.FEATURES_35))
+    models = m.withColumn("horizon", F.explode(F.array(F.lit(30), F.lit(60)))).select("version_id", "horizon", names.alias("feature_order"), F.transform(names, lambda f: F.lit(0.01)).alias("mean"), F.transform(names, lambda f: F.lit(0.1)).alias("scale"), F.concat(F.array(F.lit(-0.2)), F.transform(names, lambda f, i: 0.05 * ((i + F.col("m")) % 5 - 2) * F.col("horizon") / 30)).alias("beta"))
+    n = F.col("id") % 32
+    draws = spark.range(64).select(F.col("id").cast("int").alias("draw_id"), F.array(*[F.sin(n * 12.9898 + j) * 1.5 * F.when(F.col("id") < 32, 1.0).otherwise(-1.0) for j in range(4)]).alias("z"))
+    return rows, versions, links, models, draws
+
+
+_W = ", ".join(str(R.FEATURES_35.index(f)) for f in (*R.RAW_30, *K.GRAPH_5))
+IMPUTED = f"""with recursive o as (select o_orderkey k, month(o_orderdate)::int m, (o_custkey % 11)::int s, ((o_custkey % 11 + 4) % 11)::int t, o_custkey c from orders),
+    g as (select *, list_sort(case k % 10 {' '.join(f'when {n} then {g}::int[]' for n, g in enumerate(_GAPS))} end) gaps from o),
+    x as (select k, m, gaps, [case when not list_contains(gaps, i::int) then ((k * (i + 3) + c * (i * i + 1)) % 201 - 100) / 1000.0::double end for i in range(0, 30)] x from g),
+    h as (select *, list_distinct([(i - 4) // 2 for i in gaps]) nodes, [0.001::double * (i % 3) for i in range(0, 30)] mu, 0.05::double + 0.001::double * m sc, 0.3::double + 0.02::double * m rho from x),
+    y as (select *, case when len(gaps) = 0 then 'observed' when len(list_filter(gaps, lambda i: i < 4)) > 0 then 'core input' when len(nodes) > 2 then 'too many nodes' when len(gaps) > 4 then 'too many features' end reason,
+        rho / (1 - rho + 1e-8::double + (30 - len(gaps)) * rho) w, list_sum([case when x[i + 1] is not null then (x[i + 1] - mu[i + 1]) / sc else 0 end for i in range(0, 30)]) total from h),
+    z as (select *, w * total est, 1 - rho * w * (30 - len(gaps)) va, rho - rho * w * (30 - len(gaps)) co from y where reason is null),
+    f1 as (select *, sqrt(va) l1, co / sqrt(va) c1 from z), f2 as (select *, sqrt(va - c1 * c1) l2, (co - c1 * c1) / sqrt(va - c1 * c1) c2 from f1), f3 as (select *, sqrt(va - c1 * c1 - c2 * c2) l3, (co - c1 * c1 - c2 * c2) / sqrt(va - c1 * c1 - c2 * c2) c3 from f2), f4 as (select *, sqrt(va - c1 * c1 - c2 * c2 - c3 * c3) l4 from f3),
+    dr as (select -1 id, [0, 0, 0, 0]::double[] z union all select id, [sin((id % 32) * 12.9898::double + j) * 1.5::double * case when id < 32 then 1 else -1 end for j in range(0, 4)] from range(0, 64) q(id)),
+    v as (select k, m, gaps, x, id, [mu[gaps[r] + 1] + sc * (est + d) for d, r in [l1 * z[1], c1 * z[1] + l2 * z[2], c1 * z[1] + c2 * z[2] + l3 * z[3], c1 * z[1] + c2 * z[2] + c3 * z[3] + l4 * z[4]][1:len(gaps)]] vals from f4, dr),
+    u as (select k, m, id, [coalesce(x[i + 1], vals[list_position(gaps, i::int)]) for i in range(0, 30)] a from v),
+    b as (select *, list_sum([case when a[5 + 2 * s] > 0 and a[6 + 2 * s] > 0 then 1 << s else 0 end for s in range(0, 11)])::int up, list_sum([case when a[5 + 2 * s] < 0 and a[6 + 2 * s] < 0 then 1 << s else 0 end for s in range(0, 11)])::int down from u),
+    ed as (select m::int m, a::int a, b::int b, 0.6::double + (a * 7 + b * 3 + m) % 10 / 25 wt from range(1, 13) p(m), range(0, 11) q(a), range(0, 11) r(b) where a < b and (a + b + m) % 3 = 0),
+    nr as (select m, i::int i, (sum(case when a = i then 1 << b when b = i then 1 << a else 0 end))::int near from ed, range(0, 11) q(i) group by m, i), adj as (select m, list(near order by i) near from nr group by m),
+    rc(m, mask, i, reach, step) as (select m, mask::int, i::int, (1 << i)::int, 0 from adj, range(0, 2048) q(mask), range(0, 11) r(i) where mask & (1 << i) > 0
+        union all select rc.m, mask, i, reach | (list_reduce([case when reach & (1 << j) > 0 then near[j + 1] else 0 end for j in range(0, 11)], lambda p, q: p | q) & mask), step + 1 from rc join adj on adj.m = rc.m where step < 10),
+    big as (select m, mask, max(bit_count(reach)) n from rc where step = 10 group by m, mask), sh as (select m, mask::int mask, sum(case when mask & (1 << a) > 0 and mask & (1 << b) > 0 then wt else 0 end) / sum(wt) share from ed, range(0, 2048) q(mask) group by m, mask),
+    tb as (select sh.m, sh.mask, coalesce(n, 0) / 11 n, share from sh left join big on big.m = sh.m and big.mask = sh.mask),
+    gf as (select b.k, b.m, b.id, list_concat(a, [(bit_count(up) - bit_count(down)) / 11, p.n, q.n, p.share, q.share]) a from b join tb p on p.m = b.m and p.mask = up join tb q on q.m = b.m and q.mask = down),
+    sc as (select k, id, hz, 1 / (1 + exp(-(list_sum([0.05::double * (([{_W}][i] + m) % 5 - 2) * hz / 30 * (v - 0.01::double) / 0.1::double for v, i in a]) - 0.2::double))) p from gf, (values (30), (60)) t(hz)),
+    bd as (select k, hz, max(p) filter (id = -1) p, quantile_cont(p, [0.1, 0.9]) filter (id >= 0) q from sc group by k, hz),
+    al as (select y.k, hz, y.reason, p, q[1] lo, q[2] hi from y cross join (values (30), (60)) t(hz) left join bd using (k, hz)),
+    wy as (select *, case when p > 0.55 then 'bullish' when p < 0.45 then 'bearish' when p is not null then 'neutral' end d0, case when lo > 0.55 then 'bullish' when lo < 0.45 then 'bearish' when lo is not null then 'neutral' end d1, case when hi > 0.55 then 'bullish' when hi < 0.45 then 'bearish' when hi is not null then 'neutral' end d2 from al)
+    select k::varchar row_id, 'm' || m version_id, hz::bigint horizon, reason, round(p + 1e-9, 6) + 0.0 p_up, round(lo + 1e-9, 6) + 0.0 low, round(hi + 1e-9, 6) + 0.0 high, d0 direction, d0 = d1 and d1 = d2 stable from wy join o using (k)"""
+
+
+@query(IMPUTED)
+def imputed_forecast(spark, d):
+    """Orders as rows of thirty values, some missing: estimates and 64 draws through the graph of their month and its fitted models."""
+    rows, versions, links, models, draws = _imputed_inputs(spark, d)
+    return rounded(K.imputed_forecast(rows, versions, K.set_tables(links), draws, K.linear(models)))
+
+
 @query("""with s as (select l_orderkey k, case when l_returnflag = 'R' and l_linenumber = 2 then 'fatal' when l_linestatus = 'O' and l_linenumber in (1, 3) then 'missing' else 'observed' end st, l_linenumber::varchar node, l_linenumber = 3 core from lineitem)
     select k, case when count(*) filter (st = 'fatal') > 0 then 'fatal input' when count(*) filter (core and st <> 'observed') > 0 then 'core input' when count(distinct node) filter (st = 'missing') > 2 then 'too many nodes' when count(*) filter (st = 'missing') > 4 then 'too many features' when count(distinct node) filter (st = 'observed') < 9 then 'too few sectors' end reason from s group by k""")
 def input_availability(spark, d):
