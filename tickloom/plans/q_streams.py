@@ -10,7 +10,7 @@ from ..operators import chain as H
 from ..operators import ema as E
 from ..streaming import live as S
 from . import fixtures as X
-from . import q_bars
+from . import q_bars, q_news
 from .q_evaluate import reversal_samples
 from .registry import query, rounded, shown
 
@@ -45,6 +45,14 @@ def stream_ten_minute_bars(spark, d):
     return _bars(spark, d, 10)
 
 
+@query("""with e as (select *, time_bucket(interval 10 minute, ts, interval 5 minute) w from events), m as (select date_trunc('milliseconds', max(ts)) - interval 2 minute t from events), g as (select event_type symbol, w, first(value order by ts, event_id) as open, max(value) high, min(value) low, last(value order by ts, event_id) as close, count(*)::double volume from e group by all)
+    select symbol, strftime(w, '%Y-%m-%d %H:%M:%S') seen_at, open, high, low, close, volume from g, m where w + interval 10 minute <= t""")
+def stream_offset_bars(spark, d):
+    """Ten-minute windows that begin at five past, as those of a session that opens off the clock's tens."""
+    bars = S.completed_bars(_ticks(spark, d), 10, offset="5 minutes")
+    return S.finished(bars, shared_dir(spark)).withColumn("seen_at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts")
+
+
 @query("select event_id from events where event_id % 200 <= 60")
 def stream_known_in_time(spark, d):
     e = _events(spark, d).withColumn("first_seen_ts", F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 200))
@@ -88,6 +96,45 @@ def stream_freshness(spark, d):
     return out.groupBy("symbol").agg(F.max_by("late", "epoch").alias("late"))
 
 
+@query("""with r as (select distinct user_id from events union all select max(user_id) + 1 from events), w as (select time_bucket(interval 6 hour, min(ts)) a, max(ts) + interval 24 hour b from events), b as (select unnest(generate_series(a, b, interval 6 hour)) t from w),
+    g as (select r.user_id, b.t, e.ts from r cross join b asof left join (select user_id u, date_trunc('milliseconds', ts) ts from events) e on e.u = r.user_id and e.ts <= b.t), l as (select user_id, t, coalesce(t - ts > interval 6 hour, true) late from g)
+    select user_id::varchar symbol, strftime(t, '%Y-%m-%d %H:%M:%S') seen_at, late from (select *, lag(late) over (partition by user_id order by t) was from l) where late is distinct from was""")
+def stream_roster(spark, d):
+    """Users as inputs that must come, one of whom never does; a clock beats every six hours and goes on for a day after all has stopped."""
+    path = shared_dir(spark)
+    e = X.table(spark, d, "events")
+    roster = e.select(F.col("user_id").cast("string").alias("symbol")).distinct().unionAll(e.agg((F.max("user_id") + 1).cast("string").alias("symbol")))
+    six = F.expr("interval 6 hours")
+    ends = e.agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"))
+    start = F.timestamp_seconds(F.floor(F.unix_timestamp("a") / 21600) * 21600)
+    ends.select(F.explode(F.sequence(start, F.col("b") + F.expr("interval 24 hours"), six)).alias("ts")).write.parquet(f"{path}/beats")
+    beats = S.landed(spark, f"{path}/beats", "ts timestamp")
+    rows = _events(spark, d).select(F.col("user_id").cast("string").alias("symbol"), F.date_trunc("millisecond", "ts").alias("ts"))
+    out = S.finished(S.roster_alerts(rows, beats, roster, "6 hours"), f"{path}/run")
+    return out.select("symbol", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("seen_at"), "late")
+
+
+@query(f"""with {q_news.ARTICLES}, parts as (select min(assessed_at) a, max(assessed_at) b from arts), cut as (select k, a + (b - a) * (k + 1) / 4 c from parts, range(0, 4) t(k)), last as (select k, max(assessed_at) now from arts join cut on assessed_at <= c group by k),
+    ok as (select arts.*, k, now from arts join cut on assessed_at <= c join last using (k) where published_at <= received_at and received_at <= first_observed_at and first_observed_at <= assessed_at)
+    select k::bigint part, url, article_id, published_at >= now - interval 4000 hour active from ok qualify row_number() over (partition by k, url order by received_at desc, first_observed_at desc, published_at desc, article_id desc) = 1""")
+def stream_corrections(spark, d):
+    """What is known of every url after each of four parts of the articles, by the stream's changes up to then; the look-back is 4,000 hours here."""
+    path = shared_dir(spark)
+    a = q_news.articles(spark, d).drop("title")
+    a.write.parquet(f"{path}/all")
+    a = spark.read.parquet(f"{path}/all")
+    us = F.unix_micros("assessed_at")
+    lo, hi = a.agg(F.min(us), F.max(us)).first()
+    part = F.when(us <= lo, 0).otherwise(F.ceil((us - lo) * 4 / max(1, (hi or 0) - (lo or 0))) - 1)
+    a = a.withColumn("part", part.cast("int"))
+    for k in range(4):
+        a.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{path}/in")
+        out = S.finished(S.corrections(S.landed(spark, f"{path}/in", a.drop("part").schema), "4000 hours", keep="36500 days").withColumn("part", F.lit(k)), f"{path}/run", "update")
+    said = F.max_by(F.struct("article_id", "active"), "epoch").alias("s")
+    upto = [out.where(F.col("part") <= k).groupBy("url").agg(said).select(F.lit(k).alias("part"), "url", "s.*") for k in range(4)]
+    return rounded(upto[0].unionByName(upto[1]).unionByName(upto[2]).unionByName(upto[3]))
+
+
 @query()
 def stream_reversal(spark, d):
     """The stateful stream over the same samples as reversal_fold; tests compare the two."""

@@ -251,6 +251,78 @@ def freshness_alerts(rows: DataFrame, most: str = "120 seconds", late: str = "0
     return rows.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(run, "symbol string, late boolean", "last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def roster_alerts(rows: DataFrame, beats: DataFrame, roster: DataFrame, most: str = "120 seconds") -> DataFrame:
+    """rows (symbol, ts), beats (ts) of a clock, roster (symbol) of those that must come: (symbol, at, late) whenever what is known of one changes, from the first beat on.
+
+    A beat reaches every symbol of the roster, so one that never came is late at once, and total silence shows as soon as the clock goes on; in production the
+    clock is a rate source. late: nothing so far, something older than most, or something later than the beat. Others than those of the roster are left out.
+    """
+    ms = int(pd.Timedelta(most).total_seconds() * 1000)
+    wanted = roster.select("symbol").distinct()
+    came = rows.join(wanted, "symbol", "left_semi").select("symbol", "ts", F.lit(False).alias("beat"))
+    every = beats.crossJoin(wanted).select("symbol", "ts", F.lit(True).alias("beat"))  # a beat for each of the roster
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, said = state.get if state.exists else (None, None)
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["ts", "beat"]).itertuples(index=False):
+            at = int(r.ts.timestamp() * 1000)
+            if not r.beat:
+                last = at if last is None else max(last, at)
+                continue
+            late = last is None or at - last > ms or last > at
+            if late != said:
+                said = late
+                out.append((k[0], r.ts, late))
+        state.update((last, said))
+        yield pd.DataFrame(out, columns=["symbol", "at", "late"]).astype({"symbol": "object", "late": "bool"})
+
+    return came.unionAll(every).groupBy("symbol").applyInPandasWithState(run, "symbol string, at timestamp, late boolean", "last long, said boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def corrections(articles: DataFrame, lookback: str = "24 hours", late: str = "0 seconds", keep: str = "7 days") -> DataFrame:
+    """articles (url, article_id, published_at, received_at, first_observed_at, assessed_at): (url, article_id, published_at, active) whenever the latest known article of a url changes, or goes beyond the look-back.
+
+    The latest is by received, first observed, published and id, of those whose times are in order; one whose publication is too old takes the place of an earlier
+    one and is not active, so an ineligible correction suppresses what it corrects. Time is the watermark on assessed_at. A url is forgotten keep after its last article went.
+    """
+    us = lambda t: int(pd.Timedelta(t) / pd.Timedelta("1us"))
+    back, kept = us(lookback), us(keep)
+
+    def micros(t: pd.Timestamp) -> int:
+        return int(t.value // 1000)
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        best = tuple(state.get) if state.exists else None  # received, first observed, published, article, whether it was given as active
+        if state.hasTimedOut:
+            received, first, published, article, active = best
+            if active:
+                state.update((received, first, published, article, False))
+                state.setTimeoutTimestamp(max((published + back + kept) // 1000, now // 1000 + 1))
+                yield pd.DataFrame([(k[0], article, pd.Timestamp(published, unit="us"), False)], columns=["url", "article_id", "published_at", "active"])
+            else:
+                state.remove()
+            return
+        before = best
+        for p in parts:
+            for r in p.itertuples(index=False):
+                now = max(now, micros(r.assessed_at))
+                if r.published_at <= r.received_at <= r.first_observed_at <= r.assessed_at:
+                    one = (micros(r.received_at), micros(r.first_observed_at), micros(r.published_at), r.article_id)
+                    best = (*one, None) if best is None or one > best[:4] else best
+        if best is None:
+            return
+        active = now - best[2] <= back
+        state.update((*best[:4], active))
+        state.setTimeoutTimestamp(max((best[2] + back + (0 if active else kept)) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if before is None or best[:4] != before[:4] or active != before[4]:
+            yield pd.DataFrame([(k[0], best[3], pd.Timestamp(best[2], unit="us"), active)], columns=["url", "article_id", "published_at", "active"])
+
+    shape = "received long, first long, published long, article_id string, active boolean"
+    return articles.withWatermark("assessed_at", late).groupBy("url").applyInPandasWithState(run, "url string, article_id string, published_at timestamp, active boolean", shape, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 #: Buckets of keys in a table of latest rows. A batch rewrites those that it touches.
 KEY_BUCKETS = 64
 
