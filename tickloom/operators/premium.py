@@ -122,6 +122,28 @@ def episodes(samples: DataFrame) -> DataFrame:
     return runs.select(*P, F.row_number().over(w).cast("long").alias("episode"), "code", "first_minute", "last_minute", "samples", F.lag("code").over(w).alias("previous_code"))
 
 
+def playbook_history(rows: DataFrame) -> DataFrame:
+    """rows (P, minute, code, sampled), one for each minute of a session: adds current, previous and latest as they are known at each minute, each (code, first_minute, last_minute) or null.
+
+    code is the candidate that may be used at the minute, null where there is none or inputs are stale. Sampled minutes make episodes: runs of one code without
+    a sample between that lacks it. At other minutes a code may still be current, but adds nothing. current: the latest episode if its run goes on and the minute's own
+    code is its code; previous: the one before that, or the latest if none is current. One partitioning and order serve all windows.
+    """
+    upto, before = by_minute().rowsBetween(Window.unboundedPreceding, 0), by_minute().rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("sampled"), F.struct(F.col("code").alias("c")))
+    rows = rows.withColumns({"_was": F.last(seen, ignorenulls=True).over(before)["c"], "_hit": F.col("sampled") & F.col("code").isNotNull()})
+    rows = rows.withColumn("_new", F.col("_hit") & ~F.coalesce(F.col("_was") == F.col("code"), F.lit(False)))
+    start, hit = F.when(F.col("_new"), F.struct("code", F.col("minute").alias("first_minute"))), F.when(F.col("_hit"), F.col("minute"))
+    episode = lambda w: F.struct(F.last(start, ignorenulls=True).over(w)["code"].alias("code"), F.last(start, ignorenulls=True).over(w)["first_minute"].alias("first_minute"), F.last(hit, ignorenulls=True).over(w).alias("last_minute"))
+    rows = rows.withColumns({"_latest": episode(upto), "_earlier": episode(before), "_on": F.last(F.when(F.col("sampled"), F.col("code").isNotNull()), ignorenulls=True).over(upto)})
+    # what was the latest episode when the newest one began
+    rows = rows.withColumn("_second", F.last(F.when(F.col("_new"), F.col("_earlier")), ignorenulls=True).over(upto))
+    there = lambda e: F.when(e["code"].isNotNull(), e)
+    now = F.coalesce(F.col("_on") & (F.col("_latest.code") == F.col("code")), F.lit(False))
+    latest, second = there(F.col("_latest")), there(F.col("_second"))
+    return rows.withColumns({"current": F.when(now, latest), "previous": F.when(now, second).otherwise(latest), "latest": latest}).drop("_was", "_hit", "_new", "_latest", "_earlier", "_on", "_second")
+
+
 def sample_minutes(*series: DataFrame) -> DataFrame:
     """Distinct (P, minute) over several series."""
     out = series[0].select(*P, "minute")
@@ -130,10 +152,23 @@ def sample_minutes(*series: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def divergences(points: DataFrame, keep: int = 6, least: int = 5, most: int = 40) -> DataFrame:
+def known_divergences(found: DataFrame, grid: DataFrame, keep: int = 6) -> DataFrame:
+    """found as divergences gives them (all of a session), grid (P, minute): the last keep of those known at each minute, as an array of (second_minute, first_minute, kind, trigger, confirmed_minute), newest first.
+
+    A pivot is known two minutes after it; a confirmation from its own minute on. A session has few, so they travel as an array.
+    """
+    one = F.struct("second_minute", "first_minute", "kind", "trigger", "confirmed_minute")
+    sets = found.groupBy(*P).agg(F.collect_list(one).alias("_d"))
+    m = F.col("minute")
+    known = F.transform(F.filter("_d", lambda x: x["second_minute"] + 2 <= m), lambda x: F.struct((-x["second_minute"]).alias("s"), (-x["first_minute"]).alias("f"), x["kind"].alias("kind"), x["trigger"].alias("trigger"), F.when(x["confirmed_minute"] <= m, x["confirmed_minute"]).alias("confirmed_minute")))
+    last = F.transform(F.slice(F.array_sort(known), 1, keep), lambda x: F.struct((-x["s"]).alias("second_minute"), (-x["f"]).alias("first_minute"), x["kind"].alias("kind"), x["trigger"].alias("trigger"), x["confirmed_minute"].alias("confirmed_minute")))
+    return grid.join(sets, list(P), "left").withColumn("divergences", F.coalesce(last, F.expr("array()").cast("array<struct<second_minute:int,first_minute:int,kind:string,trigger:double,confirmed_minute:int>>"))).drop("_d")
+
+
+def divergences(points: DataFrame, keep: int | None = 6, least: int = 5, most: int = 40) -> DataFrame:
     """points (P, minute, price, extrinsic), valid ones only: pairs of adjacent pivots of a kind, price higher, premium not.
 
-    (P, kind, first_minute, second_minute, trigger, confirmed_minute), the last keep by second_minute.
+    (P, kind, first_minute, second_minute, trigger, confirmed_minute), the last keep by second_minute, or all.
     """
     w5 = by_minute().rowsBetween(-2, 2)
     rows = points.withColumns({"_lo": F.min("price").over(w5), "_hi": F.max("price").over(w5), "_n": F.count("*").over(w5), "_span": F.lead("minute", 2).over(by_minute()) - F.lag("minute", 2).over(by_minute())})
@@ -147,8 +182,10 @@ def divergences(points: DataFrame, keep: int = 6, least: int = 5, most: int = 40
     inside = pairs.join(p, list(P)).where("m > a_minute and m < b_minute").groupBy(*P, "kind", "a_minute", "b_minute").agg(F.max("x").alias("_max"), F.min("x").alias("_min")).withColumn("trigger", F.when(up, F.col("_max")).otherwise(F.col("_min")))
     beyond = F.when(up, F.col("x") > F.col("trigger")).otherwise(F.col("x") < F.col("trigger"))
     later = inside.join(p, list(P)).groupBy(*P, "kind", "a_minute", "b_minute", "trigger").agg(F.min(F.when((F.col("m") > F.col("b_minute") + 2) & beyond, F.col("m"))).alias("confirmed_minute"))
-    last = Window.partitionBy(*P).orderBy(F.desc("b_minute"), F.desc("a_minute"), "kind")
-    return later.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= keep).select(*P, "kind", F.col("a_minute").alias("first_minute"), F.col("b_minute").alias("second_minute"), "trigger", "confirmed_minute")
+    if keep is not None:
+        last = Window.partitionBy(*P).orderBy(F.desc("b_minute"), F.desc("a_minute"), "kind")
+        later = later.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= keep)
+    return later.select(*P, "kind", F.col("a_minute").alias("first_minute"), F.col("b_minute").alias("second_minute"), "trigger", "confirmed_minute")
 
 
 def stale_inputs(grid: DataFrame, inputs: dict[str, DataFrame], most: int = 2) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import CLOSE, OPEN, direction_label
 from ..functions.options_math import expected_move
 from . import bars as B
+from . import ema as E
 from . import levels as L
 from . import premium as M
 from .bars import P
@@ -39,9 +40,12 @@ def fund_states(fund: DataFrame) -> DataFrame:
     return rows.drop("open", "high", "low", "volume", "choppy")
 
 
-def minute_readout(index: DataFrame, fund: DataFrame, quotes: DataFrame, most: int = 2) -> DataFrame:
+def minute_readout(index: DataFrame, fund: DataFrame, quotes: DataFrame, most: int = 2, extras: dict[str, DataFrame] | None = None) -> DataFrame:
     """index and fund bars and quotes, all under the session's own symbol: one row for each regular minute of each session that any of them has.
 
+    extras, by name, are further inputs (P, minute, values) such as the network's summary, forecasts, gamma or news contexts: each adds a column of its last
+    values by then with their as_of, in the same merge. sampled says whether any of the three has a row at the minute itself.
+
     Prices, anchor, ratio and expected move, regime and day type, premium reading and phase, confirmations, direction, pattern and whether it may be
     acted upon, and stale where any of the three is missing or over most minutes old. A part without rows by then is null.
     """
@@ -50,10 +54,22 @@ def minute_readout(index: DataFrame, fund: DataFrame, quotes: DataFrame, most: i
     p = M.postures(M.premium_series(quotes)).select(*P, "minute", "z", "slope", "phase", "recent_low", F.first("iv", ignorenulls=True).over(upto).alias("opening_iv"))
     sessions = reduce(DataFrame.unionByName, [t.select(*P) for t in (index, fund, quotes)]).distinct()
     grid = sessions.withColumn("minute", F.explode(F.sequence(F.lit(OPEN), F.lit(CLOSE - 1))))
-    rows = last_of_each(grid, {"index": x, "fund": fund_states(fund), "premium": p})
+    extras = extras or {}
+    rows = last_of_each(grid, {"index": x, "fund": fund_states(fund), "premium": p} | extras)
     old = [F.coalesce(F.col("minute") - F.col(f"{n}.as_of") > most, F.lit(True)) for n in ("index", "fund", "premium")]
-    rows = rows.withColumn("stale", F.greatest(*old)).select(*P, "minute", "stale", F.col("index.close").alias("price"), "index.anchor", "fund.*", "premium.z", "premium.slope", "premium.phase", "premium.recent_low", "premium.opening_iv").drop("as_of")
+    rows = rows.withColumn("stale", F.greatest(*old)).select(*P, "minute", "stale", F.col("index.close").alias("price"), "index.anchor", "fund.*", "premium.z", "premium.slope", "premium.phase", "premium.recent_low", "premium.opening_iv", F.coalesce(F.greatest("index.as_of", "fund.as_of", "premium.as_of") == F.col("minute"), F.lit(False)).alias("sampled"), *extras).drop("as_of")
     rows = M.passes(M.active_candidate(M.direction_gate(rows)))
     rows = rows.withColumns({"ratio": F.col("anchor") / F.col("first_open"), "expected_move": expected_move(F.col("anchor"), F.col("opening_iv"), F.lit(CLOSE - OPEN)), "label": direction_label(F.col("z"))})
     return rows.withColumns({"sigma_up": F.col("anchor") + F.col("expected_move"), "sigma_down": F.col("anchor") - F.col("expected_move"), "premarket_high": F.col("ratio") * F.col("pm_high"), "premarket_low": F.col("ratio") * F.col("pm_low")}).select(
-        *P, "minute", "price", F.col("close").alias("fund_price"), "vwap", "anchor", "ratio", "expected_move", "sigma_up", "sigma_down", "premarket_high", "premarket_low", "regime", "day_type", "day_side", "z", "slope", "phase", "label", "above", "below", "crosses", "direction", "code", "passed", "stale")
+        *P, "minute", "price", F.col("close").alias("fund_price"), "vwap", "anchor", "ratio", "expected_move", "sigma_up", "sigma_down", "premarket_high", "premarket_low", "regime", "day_type", "day_side", "z", "slope", "phase", "label", "above", "below", "crosses", "direction", "code", "passed", "stale", "sampled", *extras)
+
+
+def full_readout(index: DataFrame, fund: DataFrame, quotes: DataFrame, most: int = 2, extras: dict[str, DataFrame] | None = None) -> DataFrame:
+    """minute_readout with the EMA clock of the index, the last six divergences that are known, and the playbook's current, previous and latest episode at each minute."""
+    ema = E.clock(B.regular_hours(index), E.fold(E.calendar_buckets(index))).select(*P, "minute", F.col("status").alias("ema_status"), "ema", "bullish", "bearish")
+    rows = minute_readout(index, fund, quotes, most, {"ema": ema} | (extras or {}))
+    rows = rows.withColumns({c: F.col(f"ema.{c}").alias(c) for c in ("ema_status", "bullish", "bearish")}).withColumn("ema", F.col("ema.ema"))
+    points = M.premium_series(quotes).where("valid").select(*P, "minute", F.col("close").alias("price"), "extrinsic")
+    rows = M.known_divergences(M.divergences(points, keep=None), rows)
+    usable = rows.withColumns({"_code": F.col("code"), "code": F.when(~F.col("stale"), F.col("code"))})
+    return M.playbook_history(usable).withColumn("code", F.col("_code")).drop("_code")

@@ -349,7 +349,43 @@ def session_readout(spark, d):
     """One row a minute of everything: S01 is the index, S02 its fund, S00 the option whose premium is read."""
     b = X.bars(spark, d, X.PRE)
     one = lambda s, rows: rows.where(F.col("symbol") == s).withColumn("symbol", F.lit("S00"))
-    return rounded(R.minute_readout(one("S01", b), one("S02", b), one("S00", X.quotes(spark, d, X.PRE))))
+    return rounded(R.minute_readout(one("S01", b), one("S02", b), one("S00", X.quotes(spark, d, X.PRE))).drop("sampled"))
+
+
+#: Playbook, EMA and divergences beside the readout. Samples are minutes at which any of the three has a row of its own.
+FULL = READOUT + ema_sql(960).replace("from bars", "from xbars") + f""", smp as (select distinct session_date, minute from bars where symbol in ('S00', 'S01', 'S02') and minute >= 570),
+    h0 as (select r5.symbol, r5.session_date, r5.minute, case when not stale then code end c, s.minute is not null sm from r5 left join smp s on s.session_date = r5.session_date and s.minute = r5.minute),
+    h1 as (select *, lag(c) over ({P}) pc from h0 where sm), h2 as (select *, sum((c is not null and c is distinct from pc)::int) over ({P} rows unbounded preceding) ep from h1),
+    he as (select symbol, session_date, ep, any_value(c) code, min(minute) a, max(minute) b from h2 where c is not null group by all),
+    h3 as (select h0.*, h2.ep, h2.c is not null going from h0 asof left join h2 on h2.symbol = h0.symbol and h2.session_date = h0.session_date and h2.minute <= h0.minute),
+    hl as (select h3.symbol, h3.session_date, h3.minute, h3.c, h3.ep, h3.going, x.code lc, x.a la, max(h2.minute) lb from h3 left join he x on x.symbol = h3.symbol and x.session_date = h3.session_date and x.ep = h3.ep left join h2 on h2.symbol = h3.symbol and h2.session_date = h3.session_date and h2.ep = h3.ep and h2.c is not null and h2.minute <= h3.minute group by all),
+    hp as (select hl.*, lc || ':' || la || '-' || lb latest, y.code || ':' || y.a || '-' || y.b sec, coalesce(going and c = lc, false) nw from hl left join he y on y.symbol = hl.symbol and y.session_date = hl.session_date and y.ep = hl.ep - 1),
+    ev as (select symbol, session_date, side, nth, unnest([crossed, retested, ended]) - 1 tm, unnest(['watching', 'confirmed', status]) what, unnest([0, 1, 2]) rk from eps where symbol = 'S01'), ba as (select session_date, side, tm, arg_max(what, (nth, rk)) what from ev where tm is not null group by all),
+    pt as (select f.session_date, t.e - 1 tm, f.ema, t.ok from fold f join tape t using (symbol, session_date, i) where f.day = 1 and f.symbol = 'S01'), w0 as (select session_date, ema from fold where symbol = 'S01' and i = (select max(i) from fold g where g.symbol = fold.symbol and g.session_date = fold.session_date and (g.day = 0))),
+    xs as (select distinct session_date from xbars where symbol = 'S01'),
+    em as (select gr.session_date, gr.minute, case when xs.session_date is null then null when p.tm is null then w0.ema else p.ema end ema, case when xs.session_date is null then null when b.minute is null then 'unavailable' when gr.minute - b.minute > 2 then 'stale' when not coalesce(p.ok, true) then 'unavailable' when q.tm is null or (case when p.tm is null then w0.ema else p.ema end) is null then 'warming' else 'ready' end status,
+        case when xs.session_date is not null then coalesce(u.what, 'idle') end bullish, case when xs.session_date is not null then coalesce(v.what, 'idle') end bearish from gr left join xs on xs.session_date = gr.session_date left join w0 on w0.session_date = gr.session_date asof left join (select * from xbars where symbol = 'S01') b on b.session_date = gr.session_date and b.minute <= gr.minute
+        asof left join pt p on p.session_date = gr.session_date and p.tm <= gr.minute asof left join (select * from pt where ok) q on q.session_date = gr.session_date and q.tm <= gr.minute asof left join (select * from ba where side = 'bullish') u on u.session_date = gr.session_date and u.tm <= gr.minute asof left join (select * from ba where side = 'bearish') v on v.session_date = gr.session_date and v.tm <= gr.minute),
+    dv as (select session_date, minute, close price, extrinsic from premium where valid and symbol = 'S00'),
+    dn as (select *, min(price) over w lo, max(price) over w hi, count(*) over w c, lead(minute, 2) over o - lag(minute, 2) over o sp from dv window w as (partition by session_date order by minute rows between 2 preceding and 2 following), o as (partition by session_date order by minute)),
+    dp as (select session_date, minute, price, extrinsic, 'bullish' kind from dn where c = 5 and sp = 4 and price <= lo union all select session_date, minute, price, extrinsic, 'bearish' from dn where c = 5 and sp = 4 and price >= hi),
+    dq as (select *, lag(minute) over k am, lag(price) over k ap, lag(extrinsic) over k ae from dp window k as (partition by session_date, kind order by minute)), dr as (select * from dq where minute - am between 5 and 40 and price > ap and extrinsic <= ae),
+    dt as (select dr.session_date, dr.kind, dr.am, dr.minute bm, case when dr.kind = 'bullish' then max(v.price) else min(v.price) end trig from dr join dv v on v.session_date = dr.session_date and v.minute > dr.am and v.minute < dr.minute group by dr.session_date, dr.kind, dr.am, dr.minute),
+    dc as (select dt.*, min(v.minute) cm from dt left join dv v on v.session_date = dt.session_date and v.minute > dt.bm + 2 and case when dt.kind = 'bullish' then v.price > trig else v.price < trig end group by all),
+    dk as (select gr.session_date, gr.minute, list(kind || ':' || am || '-' || bm || case when cm <= gr.minute then '!' else '' end order by bm desc, am desc, kind)[1:6] ds from gr join dc on dc.session_date = gr.session_date and dc.bm + 2 <= gr.minute group by all),
+    full_rows as (select r5.symbol, r5.session_date, r5.minute, r5.price, r5.code, r5.stale, em.ema, em.status ema_status, em.bullish, em.bearish, case when hp.nw then hp.latest end as current_episode, case when hp.nw then hp.sec else hp.latest end previous_episode, hp.latest latest_episode, coalesce(array_to_string(dk.ds, ' '), '') divergences
+        from r5 join hp on hp.session_date = r5.session_date and hp.minute = r5.minute left join em on em.session_date = r5.session_date and em.minute = r5.minute left join dk on dk.session_date = r5.session_date and dk.minute = r5.minute)"""
+
+
+@query(recursive(shown(FULL.replace(", cal as (", ", xbars as (select * from bars where minute >= 570), cal as (", 1), "full_rows", f"{BARS} price:d code stale ema:d ema_status bullish bearish current_episode previous_episode latest_episode divergences")))
+def full_readout(spark, d):
+    """The readout with the EMA's clock, what is known of divergences, and the playbook's current, previous and latest episode, at every minute."""
+    b = X.bars(spark, d, X.PRE)
+    one = lambda s, rows: rows.where(F.col("symbol") == s).withColumn("symbol", F.lit("S00"))
+    rows = R.full_readout(one("S01", b), one("S02", b), one("S00", X.quotes(spark, d, X.PRE)))
+    told = lambda c: F.concat(F.col(f"{c}.code"), F.lit(":"), F.col(f"{c}.first_minute"), F.lit("-"), F.col(f"{c}.last_minute")).alias(f"{c}_episode")
+    said = F.array_join(F.transform("divergences", lambda x: F.concat(x["kind"], F.lit(":"), x["first_minute"], F.lit("-"), x["second_minute"], F.when(x["confirmed_minute"].isNotNull(), "!").otherwise(""))), " ")
+    return rounded(rows.select("symbol", "session_date", "minute", "price", "code", "stale", "ema", "ema_status", "bullish", "bearish", *map(told, ("current", "previous", "latest")), said.alias("divergences")))
 
 
 @query(recursive(shown(X.levels_sql(X.PRE) + INTERVALS + ema_sql(960) + """, f as (select e.symbol, e.session_date, e.nth, side, status, crossed, retested, ended, cross_price, confirm_price, reference, coalesce(list(l.name order by l.nth) filter (e.reference >= l.low - 500 and e.reference <= l.high + 500), []) confluence,
