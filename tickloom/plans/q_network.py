@@ -303,7 +303,7 @@ def _imputed_inputs(spark, d):
     m = spark.range(1, 13).select(F.col("id").cast("int").alias("m"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("version_id"))
     places = F.sequence(F.lit(0), F.lit(29))
     rho = 0.3 + 0.02 * F.col("m")
-    versions = m.select("version_id", F.col("version_id").alias("graph_id"), F.transform(places, lambda i: 0.001 * (i % 3)).alias("mean"), F.transform(places, lambda i: 0.05 + 0.001 * F.col("m")).alias("scale"), F.transform(places, lambda i: F.transform(places, lambda j: F.when(i == j, 1.0).otherwise(rho))).alias("cov"))
+    versions = m.select("version_id", F.col("version_id").alias("graph_id"), F.transform(places, lambda i: 0.0005 + 0.001 * (i % 3)).alias("mean"), F.transform(places, lambda i: 0.05 + 0.001 * F.col("m")).alias("scale"), F.transform(places, lambda i: F.transform(places, lambda j: F.when(i == j, 1.0).otherwise(rho))).alias("cov"))
     links = m.select(F.col("version_id").alias("graph_id"), "m", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(10)))).where("a < b and (a + b + m) % 3 = 0").select("graph_id", "a", "b", (0.6 + (F.col("a") * 7 + F.col("b") * 3 + F.col("m")) % 10 / 25).alias("weight"))
     names = F.array(*map(F.lit, R.FEATURES_35))
     models = m.withColumn("horizon", F.explode(F.array(F.lit(30), F.lit(60)))).select("version_id", "horizon", names.alias("feature_order"), F.transform(names, lambda f: F.lit(0.01)).alias("mean"), F.transform(names, lambda f: F.lit(0.1)).alias("scale"), F.concat(F.array(F.lit(-0.2)), F.transform(names, lambda f, i: 0.05 * ((i + F.col("m")) % 5 - 2) * F.col("horizon") / 30)).alias("beta"))
@@ -316,7 +316,7 @@ _W = ", ".join(str(R.FEATURES_35.index(f)) for f in (*R.RAW_30, *K.GRAPH_5))
 IMPUTED = f"""with recursive o as (select o_orderkey k, month(o_orderdate)::int m, (o_custkey % 11)::int s, ((o_custkey % 11 + 4) % 11)::int t, o_custkey c from orders),
     g as (select *, list_sort(case k % 10 {' '.join(f'when {n} then {g}::int[]' for n, g in enumerate(_GAPS))} end) gaps from o),
     x as (select k, m, gaps, [case when not list_contains(gaps, i::int) then ((k * (i + 3) + c * (i * i + 1)) % 201 - 100) / 1000.0::double end for i in range(0, 30)] x from g),
-    h as (select *, list_distinct([(i - 4) // 2 for i in gaps]) nodes, [0.001::double * (i % 3) for i in range(0, 30)] mu, 0.05::double + 0.001::double * m sc, 0.3::double + 0.02::double * m rho from x),
+    h as (select *, list_distinct([(i - 4) // 2 for i in gaps]) nodes, [0.0005::double + 0.001::double * (i % 3) for i in range(0, 30)] mu, 0.05::double + 0.001::double * m sc, 0.3::double + 0.02::double * m rho from x),
     y as (select *, case when len(gaps) = 0 then 'observed' when len(list_filter(gaps, lambda i: i < 4)) > 0 then 'core input' when len(nodes) > 2 then 'too many nodes' when len(gaps) > 4 then 'too many features' end reason,
         rho / (1 - rho + 1e-8::double + (30 - len(gaps)) * rho) w, list_sum([case when x[i + 1] is not null then (x[i + 1] - mu[i + 1]) / sc else 0 end for i in range(0, 30)]) total from h),
     z as (select *, w * total est, 1 - rho * w * (30 - len(gaps)) va, rho - rho * w * (30 - len(gaps)) co from y where reason is null),
