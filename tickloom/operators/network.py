@@ -11,6 +11,8 @@ from .bars import P, by_minute, at_offset, single_minutes, strict_vwap
 #: The eleven sector nodes in their order.
 SECTORS = ("XLK", "XLF", "XLY", "XLP", "XLE", "XLU", "XLV", "XLI", "XLB", "XLRE", "XLC")
 NODES = 11
+#: Pairs of thirteen nodes.
+MOST_EDGES = 78
 
 
 def quarantine_off_grid(bars: DataFrame, status: str = "grid_status") -> DataFrame:
@@ -136,7 +138,9 @@ def edge_states(links: DataFrame, nodes: DataFrame, keys: list[str], fresh: Colu
     by spread for macro-sector edges. An end that is missing, or inputs that are not fresh, leave the edge inactive and the rest null.
     """
     known = nodes.where("sign is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("node", "sign"))).alias("_signs"))  # thirteen nodes
-    rows = known.crossJoin(F.broadcast(links))  # the edges of one frozen graph of thirteen nodes, 78 at most
+    if links.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"one graph of thirteen nodes has {MOST_EDGES} edges at most")
+    rows = known.crossJoin(F.broadcast(links))
     a, b = F.try_element_at("_signs", F.col("source")), F.try_element_at("_signs", F.col("target"))
     there = F.coalesce(fresh, F.lit(False)) & a.isNotNull() & b.isNotNull()
     macro = F.col("kind") == "macro-sector"
