@@ -26,7 +26,7 @@ SEED = 11
 #: Queries whose exact neighbours are found for the fit, rows that are sampled for it, and the share of those neighbours that visits must find.
 FIT_QUERIES, FIT_ROWS, RECALL = 64, 8192, 0.95
 #: What the fit chooses from: directions of a table, width of a slot in deviations, tables, and visits in each.
-DIRECTIONS, WIDTHS, TABLES, VISITS = (2, 3, 4, 6, 8, 10, 12, 16, 20, 24), (0.7, 1.0, 1.5, 2.2), (1, 2, 4, 8), (1, 2, 4, 8, 16, 32, 64)
+DIRECTIONS, WIDTHS, TABLES, VISITS = (4, 6, 8, 10, 12, 16, 20, 24), (0.7, 1.0, 1.5, 2.2), (1, 2, 4, 8), (1, 2, 4, 8, 16, 32, 64, 128)
 #: Slots reach so many deviations to either side; what lies beyond is in the last ones.
 REACH = 2.2
 #: A row that is dealt costs as much as so many inner products.
@@ -125,7 +125,7 @@ def visited(at: np.ndarray, width: float, begin: np.ndarray, slope: float, sprea
 def fit(rows: np.ndarray, queries: np.ndarray, near: np.ndarray, of: np.ndarray, n: int, n_queries: int, long: float) -> Index:
     """rows: the sample; near: exact neighbours, of: each one's query. The cheapest choice whose visits find RECALL of them.
 
-    Where no choice does, the one that finds most; two directions are few enough to be visited whole.
+    Where no choice does, the one that finds most; the buckets of four directions with the widest slots are few enough to be visited whole.
     """
     dim = rows.shape[1]
     r, q, x = lifted(rows, long), asked(queries), lifted(near, long)
@@ -267,7 +267,7 @@ def _dealt(index: Index, visits: int | None):
 
 
 def _reranked(k: int):
-    """For mapInArrow over rows sorted by key, visitors (asks) and members: the k best members of each visitor in what is held together."""
+    """For mapInArrow over rows sorted by key, visitors (asks) and members: a list of the k best members of each visitor in what is held together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_keys(batches):
@@ -286,7 +286,12 @@ def _reranked(k: int):
                 pairs = np.unique(np.stack([names[i], names[j]], axis=1), axis=0, return_index=True)[1]  # a pair that met in several tables
                 i, j, s = i[pairs], j[pairs], s[pairs]
                 best = _best(s, least[j], names[i], k)
-                yield from pa.Table.from_arrays([t["class"].take(pa.array(i[best])), t["class"].take(pa.array(j[best])), pa.array(s[best]), t["ids"].take(pa.array(j[best]))], ["q", "x", "score", "ids"]).to_batches()
+                of = names[i[best]]  # lists are together, as the best are in the order of their queries
+                starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                rows = pa.array(j[best])
+                pairs = pa.StructArray.from_arrays([t["class"].take(rows).combine_chunks(), pa.array(s[best]), t["ids"].take(rows).combine_chunks()], ["x", "score", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)).astype(np.int32)), pairs)
+                yield from pa.Table.from_arrays([t["class"].take(pa.array(i[best][starts])), pa.chunked_array([lists])], ["q", "found"]).to_batches()
 
     return run
 
@@ -307,8 +312,11 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+FOUND = "array<struct<x:binary,score:double,ids:array<bigint>>>"
+
+
 def _visits(spark: SparkSession, members: DataFrame, visitors: DataFrame, k: int, path: str) -> DataFrame:
-    """(q, x, score, ids) of members and visitors (tab, dim, bucket, class, embedding, ids) that meet.
+    """(q, found: lists of x, score, ids) of members and visitors (tab, dim, bucket, class, embedding, ids) that meet.
 
     A bucket with over MEMBERS or VISITORS of them is a grid of chunks: members go to a row of its tasks, visitors to a column, so that all still meet.
     """
@@ -326,7 +334,7 @@ def _visits(spark: SparkSession, members: DataFrame, visitors: DataFrame, k: int
         return rows.select(F.xxhash64(*at, *cell).alias("key"), F.lit(asks).alias("asks"), "class", "embedding", (F.lit(None).cast("array<long>") if asks else F.col("ids")).alias("ids"))
 
     both = grid(members, False).unionByName(grid(visitors, True))
-    return both.repartition("key").sortWithinPartitions("key").mapInArrow(_reranked(k), "q binary, x binary, score double, ids array<long>")
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(_reranked(k), f"q binary, found {FOUND}")
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = NEAREST) -> DataFrame:
@@ -375,10 +383,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = N
 
 
 def _merged(met: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(class, best): the k + 1 best ids of each query, its own class always among what is found. The lists of a query are as many as its visits, each of k + 1."""
-    own = classes.where("queries > 0").select(F.col("class").alias("q"), F.col("class").alias("x"), F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")).alias("score"), "ids")
-    pairs = met.unionByName(own).groupBy("q", "x").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
-    one = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.isNull().alias("none"), i.alias("vec_id")))
-    lists = pairs.groupBy("q").agg(F.collect_list(one).alias("lists"))
-    best = F.slice(F.array_sort(F.flatten("lists")), 1, k + 1)
+    """(class, best): the k + 1 best ids of each query, its own class always among what is found. A query has a list for each of its visits, or for several held together, each of k + 1."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))
+    own = classes.where("queries > 0").select(F.col("class").alias("q"), F.array(F.struct(F.col("class").alias("x"), norm.alias("score"), F.col("ids"))).cast(FOUND).alias("found"))
+    lists = met.unionByName(own).groupBy("q").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("f"))
+    once = F.filter("f", lambda e, i: (i == 0) | (F.get("f", i - 1)["x"] != e["x"]))  # a pair that met in several tables; sorted by x
+    one = F.flatten(F.transform(once, lambda e: F.transform(e["ids"], lambda i: F.struct((-e["score"]).alias("minus"), i.isNull().alias("none"), i.alias("vec_id")))))
+    best = F.slice(F.array_sort(one), 1, k + 1)
     return lists.select(F.col("q").alias("class"), F.transform(best, lambda b: F.struct(b["vec_id"].alias("vec_id"), (-b["minus"]).alias("score"))).alias("best"))
