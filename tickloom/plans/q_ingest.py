@@ -179,10 +179,25 @@ def archive_round_trip(spark, d):
     e = X.table(spark, d, "events").select(F.lit("p").alias("provider"), F.col("event_type").alias("kind"), F.lit("ALL").alias("symbol"), F.date_format("ts", "yyyy-MM-dd").alias("date"), "event_id", "value", "user_id")
     A.write_archive(e, path)
     checks = A.verify(spark, path).select("kind", "date", "check")
-    rows = A.scan(spark, path, end="2024-01-10").groupBy("kind", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+    rows = A.scan(spark, path, end="2024-01-10").groupBy("kind", "date").agg(F.count("*").alias("n"))
     return rows.join(checks, ["kind", "date"])
 
 
+@query("""with c as (select event_type kind, strftime(ts::date, '%Y-%m-%d') as date, count(*) n from events group by all)
+    select kind, date, case kind when 'purchase' then 'missing' else 'ok' end as "check", kind in ('purchase', 'error') has_foreign, case kind when 'purchase' then 0 else n end n from c""")
+def archive_damage(spark, d):
+    """Purchases are written over behind the archive's back and errors get files that are no tables: both are told, and all sound entries are read."""
+    path = shared_dir(spark)
+    e = X.table(spark, d, "events").select(F.lit("p").alias("provider"), F.col("event_type").alias("kind"), F.lit("ALL").alias("symbol"), F.date_format("ts", "yyyy-MM-dd").alias("date"), "event_id", "value", "user_id")
+    batch = A.write_archive(e, path).first()[A.BATCH]
+    folder = f"{path}/data/{A.BATCH}={batch}"
+    e.where("kind = 'purchase'").withColumn("value", F.col("value") + 1).repartition(*A.PARTITIONS).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*A.PARTITIONS).parquet(folder)
+    e.where("kind = 'error'").select(F.lit("no table").alias("line"), *A.PARTITIONS).distinct().write.mode("append").partitionBy(*A.PARTITIONS).text(folder)
+    checks = A.verify(spark, path).select("kind", "date", "check", (F.col("foreign") > 0).alias("has_foreign"))
+    rows = A.scan(spark, path).groupBy("kind", "date").agg(F.count("*").alias("n"))
+    return checks.join(rows, ["kind", "date"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 @query("""select o_orderkey, sha256('date=' || strftime(o_orderdate, '%Y-%m-%d') || case when o_orderkey % 3 <> 0 then '&kind=' || o_orderpriority else '' end || '&symbol=' || o_custkey) "key" from orders""")
 def request_keys(spark, d):
     o = X.table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("kind"), F.col("o_custkey").alias("symbol"))

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import interval_seconds
 
 PARTITIONS = ("provider", "kind", "symbol", "date")
+#: Folder level above the partitions: one write. A repeated entry lies in the folder of each write.
+BATCH = "archive_batch"
+#: Rows of a file at most, so that a file's bytes fit in one row when they are hashed.
+FILE_ROWS = 2_000_000
+#: Damaged or foreign files that a scan leaves out by name.
+MOST_DAMAGED = 10_000
 
 
 def request_key(*columns: str) -> Column:
@@ -16,42 +26,117 @@ def request_key(*columns: str) -> Column:
     return F.sha2(F.concat_ws("&", *entries), 256)
 
 
-def row_digest(columns: list[str]) -> Column:
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+def _within(df: DataFrame, kind: str | None = None, provider: str | None = None, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Filters on partition columns, which prune folders before any file is opened."""
+    for c, v in (("kind", kind), ("provider", provider)):
+        df = df.where(F.col(c) == v) if v else df
+    df = df.where(F.col("symbol").isin(symbols)) if symbols else df
+    df = df.where(F.col("date") >= start) if start else df
+    return df.where(F.col("date") <= end) if end else df
 
 
-def entry_digest(rows: DataFrame) -> Column:
-    """Digest of a set of rows whatever their order: the sum of 60 bits of each row's digest."""
-    return F.sum(F.conv(F.substring(row_digest([c for c in rows.columns if c not in PARTITIONS]), 1, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+def _read(spark: SparkSession, path: str, form: str, columns: str, batch: str | None = None) -> DataFrame:
+    """Files under data with the partition columns as strings (so "007" stays what it is) and each file's path below data."""
+    folders = ", ".join(f"{c} string" for c in (BATCH, *PARTITIONS))
+    r = spark.read.format(form).schema(f"{columns}, {folders}" if columns else folders).option("basePath", f"{path}/data")
+    return r.load(f"{path}/data/{BATCH}={batch}" if batch else f"{path}/data")
 
 
-def write_archive(rows: DataFrame, path: str) -> DataFrame:
-    """Rows with PARTITIONS columns: data by partition, and a manifest row for each entry with key, digest, rows and status."""
-    rows.repartition(*PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(f"{path}/data")
-    manifest = rows.groupBy(*PARTITIONS).agg(entry_digest(rows).alias("digest"), F.count("*").alias("row_count")).withColumn("key", request_key(*PARTITIONS)).withColumn("status", F.lit("ok"))
-    manifest.write.mode("append").parquet(f"{path}/manifest")
-    return manifest
+def _file() -> Column:
+    return F.concat(F.lit(f"{BATCH}="), F.substring_index("_metadata.file_path", f"/data/{BATCH}=", -1))
 
 
-def verify(spark: SparkSession, path: str) -> DataFrame:
-    """Each manifest entry against what is stored: ok, missing, digest or row_count."""
-    manifest = spark.read.parquet(f"{path}/manifest").withColumns({c: F.col(c).cast("string") for c in PARTITIONS})
-    data = spark.read.parquet(f"{path}/data")
-    now = data.groupBy(*[F.col(c).cast("string").alias(c) for c in PARTITIONS]).agg(entry_digest(data).alias("d"), F.count("*").alias("n"))
-    j = manifest.join(now, list(PARTITIONS), "left")
-    return j.select("key", *PARTITIONS, F.when(F.col("n").isNull(), "missing").when(F.col("n") != F.col("row_count"), "row_count").when(F.col("d") != F.col("digest"), "digest").otherwise("ok").alias("check"))
+def _stored(spark: SparkSession, path: str, batch: str | None = None) -> DataFrame:
+    return _read(spark, path, "binaryFile", "path string, modificationTime timestamp, length bigint, content binary", batch)
 
 
-def scan(spark: SparkSession, path: str, kind: str | None = None, provider: str | None = None, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Filters on partition columns prune directories; entries that are not available are left out."""
-    data = spark.read.parquet(f"{path}/data")
-    for c, v in (("kind", kind), ("provider", provider)):
-        data = data.where(F.col(c) == v) if v else data
-    data = data.where(F.col("symbol").isin(symbols)) if symbols else data
-    data = data.where(F.col("date") >= start) if start else data
-    data = data.where(F.col("date") <= end) if end else data
-    bad = spark.read.parquet(f"{path}/manifest").where("status = 'unavailable'").select(*PARTITIONS)
-    return data.join(bad, list(PARTITIONS), "left_anti")
+def _hashed(stored: DataFrame) -> DataFrame:
+    return stored.select(BATCH, *PARTITIONS, request_key(*PARTITIONS).alias("key"), _file().alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_archive(rows: DataFrame, path: str, status: str = "complete") -> DataFrame:
+    """Rows with PARTITIONS columns, as one batch. Gives the manifest rows of the batch: an entry is what has the same PARTITIONS.
+
+    First the data, then length, SHA-256 and row count of every file written, last the manifest: a batch without it doesn't exist for
+    readers. A large entry is dealt to several tasks and files of at most FILE_ROWS rows. An entry written again replaces the earlier one.
+    Null and empty partition values are both null. A column named like BATCH is an error.
+    """
+    if BATCH in rows.columns:
+        raise ValueError(f"{BATCH} names the archive's own folders")
+    spark, batch = rows.sparkSession, f"b{uuid.uuid4().hex}"
+    data = rows.withColumns({c: F.col(c).cast("string") for c in PARTITIONS})
+    data.hint("rebalance", *PARTITIONS).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy(*PARTITIONS).parquet(f"{path}/data/{BATCH}={batch}")
+    counts = _read(spark, path, "parquet", "", batch).groupBy(_file().alias("file")).agg(F.count("*").alias("n"))
+    _hashed(_stored(spark, path, batch)).join(counts, "file").write.mode("append").parquet(f"{path}/files")
+    files = spark.read.parquet(f"{path}/files").where(F.col(BATCH) == batch)
+    columns = data.drop(*PARTITIONS).schema.json()
+    return _commit(files.groupBy(BATCH, *PARTITIONS, "key").agg(F.sum("n").alias("row_count"), F.count("*").alias("n_files")), path, status, columns)
+
+
+def write_unavailable(requests: DataFrame, path: str) -> DataFrame:
+    """Entries (PARTITIONS) that were asked for and not to be had: no rows; earlier ones of the same key are no longer read."""
+    batch = f"b{uuid.uuid4().hex}"
+    asked = requests.select(F.lit(batch).alias(BATCH), *[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in PARTITIONS]).distinct()
+    return _commit(asked.select("*", request_key(*PARTITIONS).alias("key"), F.lit(0).cast("long").alias("row_count"), F.lit(0).cast("long").alias("n_files")), path, "unavailable", None)
+
+
+def _commit(found: DataFrame, path: str, status: str, columns: str | None) -> DataFrame:
+    manifest = found.withColumns({"status": F.lit(status), "written_at": F.current_timestamp(), "columns": F.lit(columns).cast("string")})
+    manifest.write.mode("append").parquet(f"{path}/manifest")
+    return manifest
+
+
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest's latest row of each key."""
+    m = spark.read.parquet(f"{path}/manifest")
+    return m.groupBy("key").agg(F.max_by(F.struct(*m.columns), F.struct("written_at", BATCH)).alias("e")).select("e.*")
+
+
+def verify_files(spark: SparkSession, path: str, **within) -> DataFrame:
+    """Every file, recorded or found, within the filters of scan, against its bytes: ok, missing, length, sha256, foreign (in no manifest) or superseded."""
+    now = entries(spark, path).select(BATCH, "key", F.lit(True).alias("_now"))
+    recorded = _within(spark.read.parquet(f"{path}/files"), **within).join(now, [BATCH, "key"], "left")
+    recorded = recorded.withColumns({"r_length": F.col("length"), "r_sha256": F.col("sha256")}).drop("length", "sha256")
+    found = _hashed(_within(_stored(spark, path), **within))
+    j = recorded.alias("r").join(found.alias("f"), "file", "full")
+    check = (
+        F.when(F.col("r_sha256").isNull(), "foreign").when(F.col("_now").isNull(), "superseded").when(F.col("f.sha256").isNull(), "missing")
+        .when(F.col("f.length") != F.col("r_length"), "length").when(F.col("f.sha256") != F.col("r_sha256"), "sha256").otherwise("ok")
+    )
+    either = [F.when(F.col("r_sha256").isNull(), F.col(f"f.{c}")).otherwise(F.col(f"r.{c}")).alias(c) for c in (BATCH, *PARTITIONS, "key")]
+    return j.select("file", *either, check.alias("check"))
+
+
+def verify(spark: SparkSession, path: str, **within) -> DataFrame:
+    """Each current entry: check is the worst of its files (missing, then length, then sha256, else ok), foreign the number of files in its folders that no manifest knows."""
+    files = verify_files(spark, path, **within).where("check <> 'superseded'")
+    has = lambda c: F.bool_or(F.col("check") == c)
+    worst = files.groupBy("key").agg(F.when(has("missing"), "missing").when(has("length"), "length").when(has("sha256"), "sha256").alias("bad"), F.count_if(F.col("check") == "foreign").alias("foreign"))
+    rows = _within(entries(spark, path), **within).join(worst, "key", "left")
+    return rows.select("key", *PARTITIONS, "status", "row_count", F.coalesce("bad", F.lit("ok")).alias("check"), F.coalesce("foreign", F.lit(0)).alias("foreign"))
+
+
+def scan(spark: SparkSession, path: str, kind: str | None = None, provider: str | None = None, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, interval: str | None = None, checked: bool = True) -> DataFrame:
+    """Rows of the current entries that aren't unavailable, with the columns of all writes (later types count), partition values as strings.
+
+    checked hashes the files in question first: a damaged entry is left out whole and foreign files aren't opened, so neither can fail
+    the read or add rows; verify tells which. Over MOST_DAMAGED such files are an error: that archive wants repair. Nothing else is left
+    out: an error while reading a sound file stays an error.
+    """
+    within = {"kind": kind, "provider": provider, "symbols": symbols, "start": start, "end": end}
+    written = spark.read.parquet(f"{path}/manifest").where("columns is not null").groupBy("columns").agg(F.max("written_at").alias("at")).orderBy("at").collect()
+    fields = {f.name: f for w in written for f in StructType.fromJson(json.loads(w.columns)).fields}
+    data = _within(_read(spark, path, "parquet", StructType(list(fields.values())).toDDL()), **within)
+    if checked:
+        wrong = verify_files(spark, path, **within).where("check not in ('ok', 'superseded')").select("check", "file", F.concat_ws("/", BATCH, "key").alias("entry")).limit(MOST_DAMAGED + 1).collect()
+        if len(wrong) > MOST_DAMAGED:
+            raise ValueError(f"over {MOST_DAMAGED} files of the archive are damaged or foreign")
+        foreign, damaged = ([r[c] for r in wrong if (r.check == "foreign") == (c == "file")] for c in ("file", "entry"))
+        data = data.where(~_file().isin(foreign)) if foreign else data
+        data = data.where(~F.concat_ws("/", BATCH, request_key(*PARTITIONS)).isin(sorted(set(damaged)))) if damaged else data
+    there = entries(spark, path).where("status <> 'unavailable'").select(BATCH, F.col("key").alias("_key"))
+    rows = data.join(there, (data[BATCH] == there[BATCH]) & (request_key(*PARTITIONS) == F.col("_key")), "left_semi").drop(BATCH)
+    return rows.where(F.col("interval") == interval) if interval else rows
 
 
 def known_at(rows: DataFrame, as_of: Column) -> DataFrame:
