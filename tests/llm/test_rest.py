@@ -60,6 +60,20 @@ def test_many_messages_in_one_conversation(spark):
     assert r.n_turns == 3000 and r.loss_sha256 == hashlib.sha256("".join(f"t{i}" for i in range(1, 3000, 2)).encode()).hexdigest()
 
 
+def test_streamed_log_folds_to_the_rows(spark):
+    """Deltas, edits and regenerations of every row, ties and repeated rows included, give what whole messages give."""
+    random.seed(5)
+    words = ["</s>", "\\", "é😀", "\n", "[INST]", "word ", ""]
+    rows = [(c, random.choice([None, 0, 0, 1, 2, 40]), random.choice(["user", "assistant", None]), random.choice([None, "".join(random.choice(words) for _ in range(random.randint(0, 9)))])) for c in (0, 1, 2, None) for _ in range(30)]
+    conv = spark.createDataFrame(rows + rows[:40], "conv_id long, turn long, role string, text string").withColumns({"copy": F.lit("clash"), "seq": F.lit(-1), "way": F.lit(9)}).repartition(3)
+    log = chat.streamed_events(conv)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] == len(rows) + 40
+    same = lambda events: sorted(map(str, chat.digests(chat.format_conversations(events)).collect()))
+    assert same(log) == same(chat.message_events(conv))
+    assert chat.streamed_events(conv.where("false")).count() == 0
+
+
 def test_mixing_meets_its_rates(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "big").when(F.col("id") % 10 < 9, "mid").when(F.col("id") % 20 == 9, "tiny").alias("source"), F.lit("x").alias("text"), F.lit(1).alias("_c"))
     w = spark.createDataFrame([("big", 1.0), ("mid", 2.0), ("tiny", 1.0)], "source string, weight double")

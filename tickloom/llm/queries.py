@@ -31,7 +31,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = chat.message_events(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
+    events = chat.streamed_events(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
     return chat.digests(chat.format_conversations(events))
 
 
