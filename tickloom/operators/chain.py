@@ -120,29 +120,48 @@ def payoff(legs: DataFrame, low: float, high: float, samples: int = 81, multipli
     return rows.groupBy("strategy_id", "i").agg(F.first("price").alias("price"), F.sum((worth - F.col("premium")) * F.col("quantity") * multiplier).alias("profit"))
 
 
-def parity(quotes: DataFrame, prints: DataFrame, rates: DataFrame, max_spread: float = 0.25, max_age: int = 120) -> DataFrame:
-    """Implied spot and forward by put-call parity, one row for each (session_date, strike, cutoff).
-
-    quotes: (session_date, strike, cutoff, open_second, close_second, second, right, bid, ask); prints: (session_date, second, price);
-    rates: (created, rate). The latest second at or before the cutoff must have exactly one call and one put, both valid and not
-    over max_age seconds old. The rate is the latest dated 1 to 7 days before, from -5 to 50; otherwise 0 is assumed.
-    """
-    key = ["session_date", "strike", "cutoff"]
-    rows = quotes.where("second <= cutoff and second >= open_second and second < close_second")
+def _pairs(quotes: DataFrame, key: list[str], max_spread: float) -> DataFrame:
+    """Calls and puts of each second of the regular session, and whether all of them are two-sided and not wide."""
     ok = (F.col("bid") > 0) & (F.col("ask") >= F.col("bid")) & ((F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2) <= max_spread)
-    by = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    by = quotes.where("second >= open_second and second < close_second").withColumn("_ok", F.coalesce(ok, F.lit(False)))
     side = lambda r, v: F.max(F.when(F.col("right") == r, F.col(v)))
-    pairs = by.groupBy(*key, "open_second", "close_second", "second").agg(F.count_if(F.col("right") == "CALL").alias("calls"), F.count_if(F.col("right") == "PUT").alias("puts"), F.bool_and("_ok").alias("valid"), *[side(r, v).alias(f"{r[0].lower()}_{v}") for r in ("CALL", "PUT") for v in ("bid", "ask")])
-    last = pairs.groupBy(*key, "open_second", "close_second").agg(F.max_by(F.struct("second", "calls", "puts", "valid", "c_bid", "c_ask", "p_bid", "p_ask"), "second").alias("q")).select(*key, "close_second", "q.*")
+    return by.groupBy(*key, "open_second", "close_second", "second").agg(F.count_if(F.col("right") == "CALL").alias("calls"), F.count_if(F.col("right") == "PUT").alias("puts"), F.bool_and("_ok").alias("valid"), *[side(r, v).alias(f"{r[0].lower()}_{v}") for r in ("CALL", "PUT") for v in ("bid", "ask")])
+
+
+def _implied(pairs: DataFrame, prints: DataFrame, rates: DataFrame, old: Column) -> DataFrame:
+    """Adds status, spot, forward, low, high and comparison to pairs; old says that a pair is too old at its cutoff."""
     single = prints.groupBy("session_date", "second").agg(F.count("*").alias("_n"), F.max("price").alias("print")).where("_n = 1").drop("_n")
     age = F.datediff("session_date", "created")
-    rate = last.select("session_date").distinct().join(rates, (age >= 1) & (age <= 7) & F.col("rate").between(-5, 50)).groupBy("session_date").agg(F.max_by("rate", "created").alias("rate"))
-    j = last.join(single, ["session_date", "second"], "left").join(rate, "session_date", "left")
+    rate = pairs.select("session_date").distinct().join(rates, (age >= 1) & (age <= 7) & F.col("rate").between(-5, 50)).groupBy("session_date").agg(F.max_by("rate", "created").alias("rate"))
+    j = pairs.join(single, ["session_date", "second"], "left").join(rate, "session_date", "left")
     j = j.withColumns({"rate_assumed": F.col("rate").isNull(), "_d": discount(F.coalesce("rate", F.lit(0.0)), (F.col("close_second") - F.col("second")) / 60)})
     c, p, k, d = (F.col("c_bid") + F.col("c_ask")) / 2, (F.col("p_bid") + F.col("p_ask")) / 2, F.col("strike"), F.col("_d")
-    status = F.when(~(k > 0), "strike").when(F.col("cutoff") - F.col("second") > max_age, "stale").when((F.col("calls") != 1) | (F.col("puts") != 1), "unpaired").when(~F.col("valid"), "invalid quote").otherwise("ok")
+    status = F.when(~(k > 0), "strike").when(old, "stale").when((F.col("calls") != 1) | (F.col("puts") != 1), "unpaired").when(~F.col("valid"), "invalid quote").otherwise("ok")
     j = j.withColumn("status", status)
     good = F.col("status") == "ok"
     j = j.withColumns({"spot": F.when(good, c - p + k * d), "forward": F.when(good, k + (c - p) / d), "low": F.when(good, F.col("c_bid") - F.col("p_ask") + k * d), "high": F.when(good, F.col("c_ask") - F.col("p_bid") + k * d)})
     comparison = F.when(F.col("print").isNull() | ~good, "unavailable").when(F.col("print") < F.col("low"), "above").when(F.col("print") > F.col("high"), "below").otherwise("inside")
-    return j.select(*key, "second", "status", "rate_assumed", "spot", "forward", "low", "high", comparison.alias("comparison"))
+    return j.withColumn("comparison", comparison)
+
+
+def parity(quotes: DataFrame, prints: DataFrame, rates: DataFrame, max_spread: float = 0.25, max_age: int = 120) -> DataFrame:
+    """Implied spot and forward by put-call parity, one row for each (session_date, strike, cutoff).
+
+    quotes: (session_date, strike, cutoff, open_second, close_second, second, right, bid, ask); prints: (session_date, second, price);
+    rates: (created, rate). The latest second at or before the cutoff must have exactly one call and one put, both valid and not
+    over max_age seconds old. The rate is the latest dated 1 to 7 days before, from -5 to 50; otherwise 0 is assumed.
+    """
+    key = ["session_date", "strike", "cutoff"]
+    pairs = _pairs(quotes.where("second <= cutoff"), key, max_spread)
+    last = pairs.groupBy(*key, "open_second", "close_second").agg(F.max_by(F.struct("second", "calls", "puts", "valid", "c_bid", "c_ask", "p_bid", "p_ask"), "second").alias("q")).select(*key, "close_second", "q.*")
+    j = _implied(last, prints, rates, F.col("cutoff") - F.col("second") > max_age)
+    return j.select(*key, "second", "status", "rate_assumed", "spot", "forward", "low", "high", "comparison")
+
+
+def parity_marks(quotes: DataFrame, prints: DataFrame, rates: DataFrame, max_spread: float = 0.25) -> DataFrame:
+    """What parity says at every second that has a quote, one row for each (session_date, strike, second), whatever the cutoff: quotes as for parity without one.
+
+    A cutoff's answer is the last of these, or stale, so all cutoffs are one merge and quotes aren't repeated for each.
+    """
+    j = _implied(_pairs(quotes, ["session_date", "strike"], max_spread), prints, rates, F.lit(False))
+    return j.select("session_date", "strike", "second", "status", "rate_assumed", "spot", "forward", "low", "high", "comparison")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CLOSE, OPEN, direction_label
 from ..functions.options_math import expected_move
+from . import alerts as A
 from . import bars as B
 from . import ema as E
 from . import levels as L
@@ -73,3 +74,22 @@ def full_readout(index: DataFrame, fund: DataFrame, quotes: DataFrame, most: int
     rows = M.known_divergences(M.divergences(points, keep=None), rows)
     usable = rows.withColumns({"_code": F.col("code"), "code": F.when(~F.col("stale"), F.col("code"))})
     return M.playbook_history(usable).withColumn("code", F.col("_code")).drop("_code")
+
+
+def analysis(index: DataFrame, fund: DataFrame, quotes: DataFrame, marks: DataFrame, strikes: DataFrame, network: DataFrame, forecasts: DataFrame, most: int = 2, most_seconds: int = 120) -> DataFrame:
+    """full_readout with what parity implies, the network, the forecast and the reversal that a pattern warns of, all as known at each minute in the same merge.
+
+    marks: parity_marks; strikes: (P, strike), the session's measurement strike, other strikes are not read. network: (session_date, minute, values);
+    forecasts: (session_date, minute, values), one row a minute. Both come with their as_of, and are null before their first row. implied_status is stale,
+    without values, where the last pair is over most_seconds old, and null where there is none. A stale minute warns of no reversal.
+    """
+    sessions = reduce(DataFrame.unionByName, [t.select(*P) for t in (index, fund, quotes)]).distinct()
+    at = marks.join(strikes, ["session_date", "strike"]).withColumn("minute", F.ceil(F.col("second") / 60).cast("int"))
+    implied = at.select(*P, "minute", "second", "status", "spot", "forward", "low", "high", "comparison")
+    named = lambda t: sessions.join(t, "session_date")
+    rows = full_readout(index, fund, quotes, most, {"implied": implied, "network": named(network), "forecast": named(forecasts)})
+    old = F.col("minute") * 60 - F.col("implied.second") > most_seconds
+    rows = rows.withColumn("implied_status", F.when(old, "stale").otherwise(F.col("implied.status")))
+    rows = rows.withColumns({f"implied_{c}": F.when(~old, F.col(f"implied.{c}")) for c in ("spot", "forward", "low", "high", "comparison")})
+    warned = A.copy_of(F.when(~F.col("stale"), F.col("code")))
+    return rows.withColumns({"reversal": warned["direction"], "review": warned["review"]}).drop("implied")
