@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CLOSE, OPEN, direction_label
 from ..functions.options_math import expected_move
+from ..functions.shared import written
 from . import alerts as A
 from . import bars as B
 from . import ema as E
@@ -66,11 +67,14 @@ def minute_readout(index: DataFrame, fund: DataFrame, quotes: DataFrame, most: i
 
 
 def full_readout(index: DataFrame, fund: DataFrame, quotes: DataFrame, most: int = 2, extras: dict[str, DataFrame] | None = None) -> DataFrame:
-    """minute_readout with the EMA clock of the index, the last six divergences that are known, and the playbook's current, previous and latest episode at each minute."""
+    """minute_readout with the EMA clock of the index, the last six divergences that are known, and the playbook's current, previous and latest episode at each minute.
+
+    Clock, readout and premium are tables of one row a minute; they are written on the way, as what follows reads them several times.
+    """
     ema = E.clock(B.regular_hours(index), E.fold(E.calendar_buckets(index))).select(*P, "minute", F.col("status").alias("ema_status"), "ema", "bullish", "bearish")
-    rows = minute_readout(index, fund, quotes, most, {"ema": ema} | (extras or {}))
+    rows = written(minute_readout(index, fund, quotes, most, {"ema": written(ema)} | (extras or {})))
     rows = rows.withColumns({c: F.col(f"ema.{c}").alias(c) for c in ("ema_status", "bullish", "bearish")}).withColumn("ema", F.col("ema.ema"))
-    points = M.premium_series(quotes).where("valid").select(*P, "minute", F.col("close").alias("price"), "extrinsic")
+    points = written(M.premium_series(quotes).where("valid").select(*P, "minute", F.col("close").alias("price"), "extrinsic"))
     rows = M.known_divergences(M.divergences(points, keep=None), rows)
     usable = rows.withColumns({"_code": F.col("code"), "code": F.when(~F.col("stale"), F.col("code"))})
     return M.playbook_history(usable).withColumn("code", F.col("_code")).drop("_code")

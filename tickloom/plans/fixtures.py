@@ -45,7 +45,10 @@ def bars_sql(shape: tuple[int, int, int, int] = GAPS) -> str:
 
 def quotes(spark: SparkSession, sf_dir: str, shape: tuple[int, int, int, int] = DENSE) -> DataFrame:
     """One call quote a minute for each symbol, around a made-up underlying from 6000 to 6100; some are wide or out of step."""
-    b = bars(spark, sf_dir, shape)
+    return quoted(bars(spark, sf_dir, shape))
+
+
+def quoted(b: DataFrame) -> DataFrame:
     cents = F.floor(F.col("close") * 100).cast("long")
     und = 6000 + (cents % 10000) / 100
     worth = F.greatest(F.lit(0.0), und - 6050) + 5 + (F.col("volume").cast("long") % 40) / 8

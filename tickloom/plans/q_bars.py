@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import direction_label, valid_bar
 from ..functions.options_math import expected_move
+from ..functions.shared import written
 from ..operators import bars as B
 from ..operators import ema as E
 from ..operators import levels as L
@@ -380,9 +381,9 @@ FULL = READOUT + ema_sql(960).replace("from bars", "from xbars") + f""", smp as
 @query(recursive(shown(FULL.replace(", cal as (", ", xbars as (select * from bars where minute >= 570), cal as (", 1), "full_rows", f"{BARS} price:d code stale ema:d ema_status bullish bearish current_episode previous_episode latest_episode divergences")))
 def full_readout(spark, d):
     """The readout with the EMA's clock, what is known of divergences, and the playbook's current, previous and latest episode, at every minute."""
-    b = X.bars(spark, d, X.PRE)
+    b = written(X.bars(spark, d, X.PRE))
     one = lambda s, rows: rows.where(F.col("symbol") == s).withColumn("symbol", F.lit("S00"))
-    rows = R.full_readout(one("S01", b), one("S02", b), one("S00", X.quotes(spark, d, X.PRE)))
+    rows = R.full_readout(one("S01", b), one("S02", b), one("S00", X.quoted(b)))
     told = lambda c: F.concat(F.col(f"{c}.code"), F.lit(":"), F.col(f"{c}.first_minute"), F.lit("-"), F.col(f"{c}.last_minute")).alias(f"{c}_episode")
     said = F.array_join(F.transform("divergences", lambda x: F.concat(x["kind"], F.lit(":"), x["first_minute"], F.lit("-"), x["second_minute"], F.when(x["confirmed_minute"].isNotNull(), "!").otherwise(""))), " ")
     return rounded(rows.select("symbol", "session_date", "minute", "price", "code", "stale", "ema", "ema_status", "bullish", "bearish", *map(told, ("current", "previous", "latest")), said.alias("divergences")))

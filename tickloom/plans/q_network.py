@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
+from ..functions.shared import written
 from ..operators import forecast as R
 from ..operators import fallback as K
 from ..operators import impute as I
@@ -50,15 +51,17 @@ CLUSTERS = "with recursive " + LINKED + """, reach(session_date, minute, sg, a,
 
 
 def _labels(spark, d):
-    s = states(spark, d).where(SECTORS)
-    e = N.links(sector_pairs(spark, d), LEAST).where("sign <> 0").select("session_date", "minute", "sign", "a", "b")
+    """States, pairs and components. States and pairs serve several readers each, so they are written once."""
+    s = written(states(spark, d).where(SECTORS))
+    pairs = written(N.pair_correlations(s))
+    e = N.links(pairs, LEAST).where("sign <> 0").select("session_date", "minute", "sign", "a", "b")
     nodes = s.where("sign <> 0").select("session_date", "minute", "sign", F.col("symbol").alias("node"))
-    return s, N.components(nodes, e, ["session_date", "minute", "sign"])
+    return s, pairs, N.components(nodes, e, ["session_date", "minute", "sign"])
 
 
 @query(CLUSTERS + """ select session_date, minute::bigint as minute, sg::bigint as "sign", node, label from lab""")
 def same_sign_components(spark, d):
-    return rounded(_labels(spark, d)[1])
+    return rounded(_labels(spark, d)[2])
 
 
 @query(CLUSTERS + f""", sz as (select session_date, minute, sg, label, count(*) n from lab group by all), big as (select session_date, minute, sg, max(n) n from sz group by all),
@@ -69,8 +72,8 @@ def same_sign_components(spark, d):
     select session_date, minute::bigint as minute, eligible::bigint eligible, round(ss / 11 + 1e-9, 6) + 0.0 breadth, round(mc + 1e-9, 6) + 0.0 mean_correlation, bu::bigint bullish, be::bigint bearish, round(bu / 11 + 1e-9, 6) + 0.0 bullish_fraction, round(be / 11 + 1e-9, 6) + 0.0 bearish_fraction, round(g1 + 1e-9, 6) + 0.0 bullish_growth_5, round(g2 + 1e-9, 6) + 0.0 bearish_growth_5,
     case when minute < 570 then 'premarket' when minute < 630 then 'warming' when eligible < 9 then 'unavailable' when bu >= 7 then 'bullish_coordinated' when be >= 7 then 'bearish_coordinated' when greatest(bu, be) <= 3 and abs(ss) <= 3 then 'dispersed' else 'unresolved' end status from w""")
 def network_summary(spark, d):
-    s, labels = _labels(spark, d)
-    return rounded(N.summary(s, sector_pairs(spark, d), N.largest_clusters(labels, ["session_date", "minute", "sign"])))
+    s, pairs, labels = _labels(spark, d)
+    return rounded(N.summary(s, pairs, N.largest_clusters(labels, ["session_date", "minute", "sign"])))
 
 
 GRAPH = "edges as (select 'S' || lpad(i::varchar, 2, '0') a, 'S' || lpad(j::varchar, 2, '0') b, 0.6::double + ((i * 7 + j * 3) % 10) / 25 weight from range(0, 11) x(i), range(0, 11) y(j) where i < j and (i + j) % 3 = 0)"
@@ -378,8 +381,8 @@ def _unpivot(names, keys="session_date, minute::bigint as minute"):
     w as (select core.*, breadth, m, bu, be, g1, g2 from core join gw using (session_date, minute)) """ + _unpivot([("spx_return_5", "spx_return_5"), ("spx_return_15", "spx_return_15"), ("spx_return_volatility_30", "spx_return_volatility_30"), ("spy_vwap_gap", "spy_vwap_gap"), ("sector_signed_breadth", "breadth"), ("bullish_cluster_fraction", "bu"), ("bearish_cluster_fraction", "be"), ("bullish_growth_5", "g1"), ("bearish_growth_5", "g2"), ("mean_correlation", "m")]) + " from w")
 def features_network(spark, d):
     """The ten network features."""
-    s, labels = _labels(spark, d)
-    net = N.summary(s, sector_pairs(spark, d), N.largest_clusters(labels, ["session_date", "minute", "sign"]))
+    s, pairs, labels = _labels(spark, d)
+    net = N.summary(s, pairs, N.largest_clusters(labels, ["session_date", "minute", "sign"]))
     return rounded(R.features_10(_core(spark, d), net))
 
 

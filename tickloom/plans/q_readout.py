@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import written
 from ..operators import chain as H
 from ..operators import forecast as R
 from ..operators import network as G
@@ -32,18 +33,18 @@ MOST = 600
     case when c in ('EXT-UP-COOLING', 'EXT-UP-FAILURE') then 'bearish' when c in ('EXT-UP-REBOUND', 'EXT-DOWN-REBOUND') then 'bullish' end reversal, case when c in ('EXT-UP-COOLING', 'EXT-UP-FAILURE') then 'bullish' when c in ('EXT-UP-REBOUND', 'EXT-DOWN-REBOUND') then 'bearish' end review from k""")
 def minute_analysis(spark, d):
     """Every minute of every session with all that is known by then: tape, patterns, EMA, parity, network, forecast, reversal."""
-    b = X.bars(spark, d, X.PRE)
+    b = written(X.bars(spark, d, X.PRE))
     one = lambda s, rows: rows.where(F.col("symbol") == s).withColumn("symbol", F.lit("S00"))
     c = chain(spark, d)
     q = c.select("session_date", "strike", "right", "bid", "ask", (F.hour("ts") * 3600 + F.minute("ts") * 60 - 5 * 3600).cast("long").alias("second"), F.lit(34200).alias("open_second"), F.lit(57600).alias("close_second"))
     prints = c.select("session_date").distinct().select("session_date", F.explode(F.sequence(F.lit(34200).cast("long"), F.lit(57600).cast("long"), F.lit(60).cast("long"))).alias("second"), F.lit(6001.0).alias("price"))
     rates = c.select(F.date_sub("session_date", 1).alias("created"), F.lit(3.6).alias("rate")).distinct()
     strikes = H.measurement_strike(c, "session_date").withColumn("symbol", F.lit("S00"))
-    s, labels = N._labels(spark, d)
-    network = G.summary(s, N.sector_pairs(spark, d), G.largest_clusters(labels, ["session_date", "minute", "sign"])).select("session_date", "minute", "status", "breadth")
+    s, pairs, labels = N._labels(spark, d)
+    network = G.summary(s, pairs, G.largest_clusters(labels, ["session_date", "minute", "sign"])).select("session_date", "minute", "status", "breadth")
     scored = R.scored(R.valid_on(N._vectors(spark, d), R.usable_models(N.registry(spark, d)))).where("symbol = 'S01' and horizon = 30")
     forecasts = scored.select("session_date", "minute", "p_up", "direction", R.horizon_gate(F.col("minute"), F.col("horizon"), F.lit(700)).alias("reason"))
-    rows = O.analysis(one("S01", b), one("S02", b), one("S00", X.quotes(spark, d, X.PRE)), H.parity_marks(q, prints, rates), strikes, network, forecasts, most_seconds=MOST)
+    rows = O.analysis(one("S01", b), one("S02", b), one("S00", X.quoted(b)), H.parity_marks(q, prints, rates), strikes, network, forecasts, most_seconds=MOST)
     last = F.concat(F.col("latest.code"), F.lit(":"), F.col("latest.first_minute"), F.lit("-"), F.col("latest.last_minute")).alias("latest_episode")
     said = F.array_join(F.transform("divergences", lambda x: F.concat(x["kind"], F.lit(":"), x["first_minute"], F.lit("-"), x["second_minute"], F.when(x["confirmed_minute"].isNotNull(), "!").otherwise(""))), " ")
     return rounded(rows.select("symbol", "session_date", "minute", "price", "code", "stale", "ema_status", last, said.alias("divergences"), "implied_status", "implied_spot", "implied_comparison", F.col("network.as_of").alias("network_as_of"), F.col("network.status").alias("network_status"), F.col("network.breadth").alias("breadth"), F.col("forecast.as_of").alias("forecast_as_of"), F.col("forecast.p_up").alias("p_up"), F.col("forecast.direction").alias("forecast_direction"), F.col("forecast.reason").alias("forecast_reason"), "reversal", "review"))
