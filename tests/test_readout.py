@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import forecast, network, news, readout, session
+from tickloom.operators import chain, forecast, network, news, readout, session
 
 DAYS = [dt.date(2026, 1, 5), dt.date(2026, 1, 6)]
 BAR = "symbol string, session_date date, minute int, open double, high double, low double, close double, volume double"
@@ -110,3 +110,65 @@ def test_session_parts(spark):
     assert (r["index_bars"], r["fund_bars"], r["context_bars"], r["mixed_symbols"], r["intraday"], r["previous_date"]) == (3, 3, 0, 1, True, DAYS[0])
     assert (r["strike"], r["quotes"], r["observed"], r["coherent"], r["excluded"], r["interest_known"]) == (100.0, 2, 2, 1, 1, 0)
     assert got[DAYS[0]]["observed"] == 0 and got[DAYS[0]]["strike"] is None and got[DAYS[0]]["previous_date"] is None
+
+
+def marks_and_quotes(spark):
+    """Quotes of two strikes: pairs, lone calls, doubled puts, wide and crossed ones, outside the session too."""
+    kinds = [("CALL", "PUT"), ("CALL",), ("CALL", "PUT", "PUT"), ("PUT", "CALL"), ("PUT", "CALL")]
+    rows = []
+    for d in DAYS:
+        for k in (6000.0, 6010.0):
+            for i, s in enumerate(range(34000, 36000, 50)):
+                for r in kinds[(i + int(k)) % 5]:
+                    wide = 9.0 if i % 7 == 0 else 0.1
+                    rows.append((d, k, s, r, 12.9 if r == "CALL" else 11.9, (12.9 if r == "CALL" else 11.9) + wide, 34200, 57600))
+    q = spark.createDataFrame(rows, "session_date date, strike double, second long, right string, bid double, ask double, open_second int, close_second int")
+    prints = spark.createDataFrame([(DAYS[0], s, 6001.0) for s in range(34000, 36000, 100)] + [(DAYS[0], 35000, 1.0)], "session_date date, second long, price double")
+    rates = spark.createDataFrame([(DAYS[0] - dt.timedelta(days=1), 3.6), (DAYS[0], 90.0)], "created date, rate double")
+    return q, prints, rates
+
+
+def test_marks_answer_for_every_cutoff(spark):
+    q, prints, rates = marks_and_quotes(spark)
+    cutoffs = list(range(34100, 36400, 130))
+    whole = chain.parity(q.withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs)))), prints, rates)
+    want = {(r["session_date"], r["strike"], r["cutoff"]): r.asDict() for r in whole.collect()}
+    marks = sorted(chain.parity_marks(q, prints, rates).collect(), key=lambda r: r["second"])
+    assert {r["status"] for r in marks} == {"ok", "unpaired", "invalid quote"} and all(34200 <= r["second"] < 57600 for r in marks)
+    n = 0
+    for d in DAYS:
+        for k in (6000.0, 6010.0):
+            for c in cutoffs:
+                last = [r for r in marks if (r["session_date"], r["strike"]) == (d, k) and r["second"] <= c]
+                got = want.get((d, k, c))
+                assert (got is None) == (not last)
+                if last:
+                    stale = c - last[-1]["second"] > 120
+                    assert got["status"] == ("stale" if stale else last[-1]["status"]) and got["second"] == last[-1]["second"]
+                    assert got["spot"] == (None if stale else last[-1]["spot"]) and got["comparison"] == ("unavailable" if stale else last[-1]["comparison"])
+                    n += stale
+    assert n
+
+
+def test_analysis_knows_nothing_of_later_rows(spark):
+    q, prints, rates = marks_and_quotes(spark)
+    strikes = spark.createDataFrame([("S", d, 6000.0) for d in DAYS], "symbol string, session_date date, strike double")
+    net = spark.createDataFrame([(DAYS[0], m, f"n{m}") for m in range(575, 590, 5)], "session_date date, minute int, status string")
+    fc = spark.createDataFrame([(DAYS[0], m, m / 1000) for m in range(571, 600)], "session_date date, minute int, p_up double")
+
+    def rows(cut=10**6):
+        upto = lambda t: t.where(F.col("minute") <= cut)
+        marks = chain.parity_marks(q.where(F.col("second") <= cut * 60), prints, rates)
+        return readout.analysis(upto(tape(spark, 10.0)), upto(tape(spark, 1.0)), upto(quotes(spark).withColumn("close", 100 + F.col("minute") % 7)), marks, strikes, upto(net), upto(fc))
+
+    whole = rows()
+    got = {r["minute"]: r for r in whole.where(F.col("session_date") == F.lit(DAYS[0])).collect()}
+    assert len(got) == 390 and whole.count() == 780
+    assert got[574]["network"] is None and got[579]["network"]["status"] == "n575" and got[700]["network"]["as_of"] == 585
+    assert got[570]["forecast"] is None and got[580]["forecast"]["p_up"] == pytest.approx(0.58)
+    assert got[590]["implied_status"] in ("ok", "unpaired", "invalid quote") and got[700]["implied_status"] == "stale" and got[700]["implied_spot"] is None
+    assert any(r["implied_spot"] for r in got.values())
+    assert all(r["reversal"] is None and r["review"] is None for r in got.values() if r["stale"] or r["code"] is None)
+    keep = ["symbol", "session_date", "minute", "price", "code", "stale", "ema", "ema_status", "implied_status", "implied_spot", "network", "forecast", "reversal", "divergences"]
+    for cut in (588,):
+        assert taken(whole.where(F.col("minute") <= cut).select(keep)) == taken(rows(cut).where(F.col("minute") <= cut).select(keep))

@@ -81,7 +81,7 @@ def full_readout(index: DataFrame, fund: DataFrame, quotes: DataFrame, most: int
 
 
 def analysis(index: DataFrame, fund: DataFrame, quotes: DataFrame, marks: DataFrame, strikes: DataFrame, network: DataFrame, forecasts: DataFrame, most: int = 2, most_seconds: int = 120) -> DataFrame:
-    """full_readout with what parity implies, the network, the forecast and the reversal that a pattern warns of, all as known at each minute in the same merge.
+    """full_readout (quotes have a close too) with what parity implies, the network, the forecast and the reversal that a pattern warns of, all as known at each minute in the same merge.
 
     marks: parity_marks; strikes: (P, strike), the session's measurement strike, other strikes are not read. network: (session_date, minute, values);
     forecasts: (session_date, minute, values), one row a minute. Both come with their as_of, and are null before their first row. implied_status is stale,
