@@ -132,3 +132,15 @@ def test_rows_go_through_their_own_graph(spark):
     assert got == {1: (2, round(0.8 / 1.4, 6)), 2: (1, 0.0)}
     with pytest.raises(ValueError):
         I.rebuilt(df.drop("graph_id"), links, ["k"])
+
+
+def test_bands_are_those_of_the_draws_and_one_pattern_is_no_one_task(spark):
+    rows = [(str(k), "v", [0.1 * (k % 7), None if k % 3 else 0.2, None if k % 2 else 0.3]) for k in range(60)]
+    versions = spark.createDataFrame([("v", [0.0] * 3, [1.0] * 3, [[1.0, 0.6, 0.2], [0.6, 1.0, 0.1], [0.2, 0.1, 1.0]])], "version_id string, mean array<double>, scale array<double>, cov array<array<double>>")
+    draws = spark.createDataFrame([(i, [math.sin(i), math.cos(i), 0.0, 0.0]) for i in range(8)], "draw_id int, z array<double>")
+    got = I.conditioned(spark.createDataFrame(rows, "row_id string, version_id string, x array<double>"), versions)
+    # half of all rows may share a pattern, so its weights go to them
+    assert "SortMergeJoin LeftOuter" not in got._jdf.queryExecution().toString() and "LeftOuter, BuildRight" in got._jdf.queryExecution().toString()
+    p = I.drawn(got, draws).select("row_id", (1 / (1 + F.exp(-F.aggregate("values", F.lit(-0.2), lambda a, v: a + 0.4 * v)))).alias("p"))
+    show = lambda df: sorted((r.row_id, round(r.low, 9), round(r.high, 9)) for r in df.collect())
+    assert show(I.drawn_band(got, draws, -0.2, 0.4)) == show(I.band(p, "row_id"))
