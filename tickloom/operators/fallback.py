@@ -5,20 +5,25 @@ A graph of eleven nodes has 2048 sets of active nodes, so what it says of each s
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import sign_label, sigmoid
+from ..functions.columns import sign_label
+from ..functions.shared import written
 from .forecast import FEATURES_35, RAW_30
-from .impute import LEAST_SECTORS, MOST_DRAWS, MOST_FEATURES, MOST_NODES, conditioned
+from .impute import LEAST_SECTORS, MOST_FEATURES, MOST_NODES, by_pattern, conditioned, logistic, quantiles, saved_draws
 from .network import NODES
 
 #: Features in the order of the scored vector: raw ones, then the graph's.
 GRAPH_5 = ("sector_signed_breadth", "bullish_cluster_fraction", "bearish_cluster_fraction", "bullish_edge_weight_fraction", "bearish_edge_weight_fraction")
 CORE = 4
 _ALL = f"sequence(0, {NODES - 1})"
-#: Graphs whose tables are broadcast, 32 KB each.
-BROADCAST_GRAPHS = 512
+#: Rows of a version that meet its graph and models at once; a larger version is dealt to several groups.
+GROUP_ROWS = 8192
+#: Members of each set of nodes.
+BITS = np.array([bin(m).count("1") for m in range(1 << NODES)])
 
 
 def set_tables(links: DataFrame) -> DataFrame:
@@ -42,10 +47,30 @@ def linear(models: DataFrame) -> DataFrame:
     return m.select("version_id", "horizon", "const", F.expr("transform(_order, f -> _slope[f])").alias("w"))
 
 
-def _quantile(sorted_values: str, p: float, n: int) -> Column:
-    at = (n - 1) * p
-    lo = int(at)
-    return F.expr(f"{sorted_values}[{lo}] + ({sorted_values}[{min(lo + 1, n - 1)}] - {sorted_values}[{lo}]) * {at - lo}d")
+def _scores(rows: pd.DataFrame, fixed: pd.DataFrame, z: np.ndarray) -> pd.DataFrame:
+    """Rows of one version, as conditioned gives them, under its graph and models: a row for each horizon. Rows without a reason have p_up, low and high."""
+    names = ["row_id", "version_id", "horizon", "reason", "p_up", "low", "high"]
+    if not len(rows) or not len(fixed):
+        return pd.DataFrame([], columns=names)
+    f = fixed.iloc[0]
+    mean, scale, cluster, share = (np.array(f[c], float) for c in ("mean", "scale", "cluster", "share"))
+    const, w, raw = np.array(f["const"], float), np.array([list(x) for x in f["w"]], float), len(RAW_30)
+    x = np.vstack(rows["x"].to_list()).astype(float)
+    out = np.full((3, len(rows), len(const)), np.nan)
+    for at, gaps, values in by_pattern(rows, z):
+        v, known = mean[gaps] + scale[gaps] * values, x[at]
+        places = {int(i): r for r, i in enumerate(gaps)}
+        up = down = np.zeros(v.shape[:2], int)
+        for s in range(NODES):
+            a, b = (v[:, :, places[i]] if i in places else known[:, [i]] for i in (CORE + 2 * s, CORE + 2 * s + 1))
+            up, down = up | ((a > 0) & (b > 0)) << s, down | ((a < 0) & (b < 0)) << s
+        graph = np.stack([(BITS[up] - BITS[down]) / NODES, cluster[up] / NODES, cluster[down] / NODES, share[up], share[down]], axis=2)
+        base = const + np.nan_to_num(known) @ w[:, :raw].T
+        p = logistic(base[:, None, :] + v @ w[:, gaps].T + graph @ w[:, raw:].T)
+        out[0, at], (out[1, at], out[2, at]) = p[:, 0], quantiles(p[:, 1:])
+    n = len(const)
+    repeat = lambda c: rows[c].to_numpy().repeat(n)
+    return pd.DataFrame({"row_id": repeat("row_id"), "version_id": repeat("version_id"), "horizon": np.tile(np.array(f["horizon"], int), len(rows)), "reason": repeat("reason"), "p_up": out[0].ravel(), "low": out[1].ravel(), "high": out[2].ravel()})
 
 
 def held_reason(x: str = "x") -> Column:
@@ -62,34 +87,17 @@ def imputed_forecast(rows: DataFrame, versions: DataFrame, tables: DataFrame, dr
     all; models: linear. low and high are the 10 % and 90 % quantiles of the draws' probabilities, stable says that both and the estimate have one direction.
     With a reason (held_reason, or why a row can't be conditioned) the rest is null. Rows of a version without a model are left out.
     """
-    saved = [r.z for r in draws.orderBy("draw_id").limit(MOST_DRAWS + 1).select("z").collect()]
-    if not 0 < len(saved) <= MOST_DRAWS:
-        raise ValueError(f"from 1 to {MOST_DRAWS} draws")
-    z = F.array(*[F.array(*[F.lit(float(v)) for v in d]) for d in saved])
-    rows = rows.withColumn("held", held_reason())
+    z = saved_draws(draws)
+    rows = written(rows.withColumn("held", held_reason()))  # read three times
+    counts = rows.groupBy("version_id").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("n"))
+    parts = counts.select("version_id", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("part"))
     fit = conditioned(rows.where("held is null").select("row_id", "version_id", "x"), versions)
-    j = fit.join(versions.select("version_id", "graph_id", "mean", "scale"), "version_id")
-    j = j.join(F.broadcast(tables) if tables.count() <= BROADCAST_GRAPHS else tables, "graph_id").withColumn("z", z)
-    j = j.withColumn("nodes", F.expr(f"filter(array_distinct(transform(missing, i -> cast(floor((i - {CORE}) / 2) as int))), s -> s < {NODES})"))
-    sign = lambda op, got: f"aggregate({got}, 0, (m, s) -> m | if(%s {op} 0 and %s {op} 0, shiftleft(1, s), 0))"
-    known = [f"x[{CORE} + 2 * s + {k}]" for k in (0, 1)]
-    j = j.withColumns({"up": F.expr(sign(">", f"filter({_ALL}, s -> not array_contains(nodes, s))") % tuple(known)), "down": F.expr(sign("<", f"filter({_ALL}, s -> not array_contains(nodes, s))") % tuple(known))})
-    # the estimate itself, then the draws: values of the missing features
-    moved = "transform(estimates, (e, r) -> mean[missing[r]] + scale[missing[r]] * (e + aggregate(factor[r], named_struct('k', 0, 's', 0d), (a, f) -> named_struct('k', a.k + 1, 's', a.s + f * d[a.k]), a -> a.s)))"
-    j = j.withColumn("values", F.expr(f"concat(array(transform(estimates, (e, r) -> mean[missing[r]] + scale[missing[r]] * e)), transform(z, d -> {moved}))"))
-    got = [f"coalesce(x[{CORE} + 2 * s + {k}], v[cast(array_position(missing, {CORE} + 2 * s + {k}) as int) - 1])" for k in (0, 1)]
-    sets = f"transform(values, v -> named_struct('v', v, 'up', up | {sign('>', 'nodes') % tuple(got)}, 'down', down | {sign('<', 'nodes') % tuple(got)}))"
-    j = j.withColumn("sets", F.expr(sets))
-    graph = f"array((bit_count(t.up) - bit_count(t.down)) / {NODES}d, cluster[t.up] / {NODES}d, cluster[t.down] / {NODES}d, share[t.up], share[t.down])"
-    j = j.withColumn("g", F.expr(f"transform(sets, t -> named_struct('v', t.v, 'g', {graph}))")).select("row_id", "version_id", "reason", "x", "missing", "g")
-    j = j.join(models, "version_id")
-    j = j.withColumn("base", F.expr("aggregate(transform(x, (v, i) -> if(v is null or isnan(v), 0d, v * w[i])), const, (a, b) -> a + b)"))
-    score = f"transform(g, t -> base + aggregate(transform(t.v, (v, r) -> v * w[missing[r]]), 0d, (a, b) -> a + b) + aggregate(transform(t.g, (v, k) -> v * w[{len(RAW_30)} + k]), 0d, (a, b) -> a + b))"
-    j = j.withColumn("p", F.transform(F.expr(score), sigmoid)).withColumn("sorted", F.expr("array_sort(slice(p, 2, size(p) - 1))"))
-    n = len(saved)
-    j = j.select("row_id", "version_id", "horizon", "reason", F.col("p")[0].alias("p_up"), _quantile("sorted", 0.1, n).alias("low"), _quantile("sorted", 0.9, n).alias("high"))
-    good = F.col("reason").isNull()
-    j = j.select("row_id", "version_id", "horizon", "reason", *[F.when(good, F.col(c)).alias(c) for c in ("p_up", "low", "high")])
+    fit = fit.join(F.broadcast(counts), "version_id").withColumn("part", F.pmod(F.xxhash64("row_id"), "n").cast("int")).select("row_id", "version_id", "part", "reason", "x", "missing", "estimates", "factor")
+    each = models.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("horizon", "const", "w"))).alias("m"))
+    fixed = versions.select("version_id", "graph_id", "mean", "scale").join(tables, "graph_id").join(each, "version_id")
+    fixed = fixed.join(parts, "version_id").select("version_id", "part", "mean", "scale", "cluster", "share", "m.horizon", "m.const", "m.w")
+    kind = rows.schema["row_id"].dataType.simpleString()
+    j = fit.groupBy("version_id", "part").cogroup(fixed.groupBy("version_id", "part")).applyInPandas(lambda a, b: _scores(a, b, z), f"row_id {kind}, version_id string, horizon int, reason string, p_up double, low double, high double")
     held = rows.where("held is not null").join(models.select("version_id", "horizon"), "version_id").select("row_id", "version_id", "horizon", F.col("held").alias("reason"), *[F.lit(None).cast("double").alias(c) for c in ("p_up", "low", "high")])
     out = j.unionByName(held)
     ways = [sign_label(F.col(c)) for c in ("p_up", "low", "high")]
