@@ -42,10 +42,11 @@ def chain_filter(quotes: DataFrame, root: str = "SPXW") -> DataFrame:
 
 
 def latest_per_contract(quotes: DataFrame, *scope: str) -> DataFrame:
-    """Last row of each exact contract, ties by the higher bid and ask. An aggregate, so that each task sends one row for each contract."""
+    """Last row of each exact contract, ties by the higher bid and ask, then by the other columns in their order, so that nothing is left to chance. An aggregate, so that each task sends one row for each contract."""
     keys = [*scope, *[c for c in CONTRACT if c not in scope]]
     rest = [c for c in quotes.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct("ts", "bid", "ask"))
+    first = ["ts", "bid", "ask"]
+    last = F.max_by(F.struct(*rest), F.struct(*first, *[c for c in rest if c not in first]))
     return quotes.groupBy(*keys).agg(last.alias("_r")).select(*keys, "_r.*").select(quotes.columns)
 
 

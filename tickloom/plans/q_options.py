@@ -20,6 +20,9 @@ CHAIN = f"""chain0 as (select date '2026-01-05' + {DAY} session_date, 5900.0::do
     chain as (select 'SPXW' root, session_date expiration, *, 10 + (l_quantity::bigint % 20) / 4 - 0.25 bid, 10 + (l_quantity::bigint % 20) / 4 + 0.25 ask, (l_partkey % 17) / 10000 gamma, l_quantity * 10 open_interest, ts - to_seconds((l_orderkey % 90)::int) greeks_ts, ts - to_seconds((l_linenumber * 11)::int) underlying_ts,
     ts + to_seconds((l_partkey % 7 - 5)::int) oi_ts, 5950 + (l_orderkey % 100) spot from chain0)"""
 
+#: Of quotes of one second and one price the line of the highest order counts, as the chain's columns begin with the line's.
+NEWEST = f"ts desc, bid desc, ask desc, {', '.join(f'{c} desc' for c in X.ORDER)}"
+
 
 def chain(spark, d) -> DataFrame:
     li = X.table(spark, d, "lineitem")
@@ -92,7 +95,7 @@ def gamma_by_strike(spark, d):
     return rounded(g.withColumns({k: F.col(k) / 1e6 for k in ("call_gamma", "put_gamma", "net_gamma")}), 4)
 
 
-LATEST = f"with {CHAIN}, latest as (select * from chain qualify row_number() over (partition by session_date, root, expiration, strike, \"right\" order by ts desc, bid desc, ask desc) = 1)"
+LATEST = f"with {CHAIN}, latest as (select * from chain qualify row_number() over (partition by session_date, root, expiration, strike, \"right\" order by {NEWEST}) = 1)"
 
 
 @query(LATEST + """ select session_date, strike, "right", strftime(ts, '%Y-%m-%d %H:%M:%S') seen_at, bid, ask from latest""")
@@ -101,7 +104,7 @@ def contract_book(spark, d):
     return rows.select("session_date", "strike", "right", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen_at"), "bid", "ask")
 
 
-@query(f"""with {CHAIN}, h as (select * from chain qualify row_number() over (partition by session_date, root, expiration, strike, "right", date_trunc('minute', ts) order by ts desc, bid desc, ask desc) = 1) select session_date, strike, "right", strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') seen_at, bid, ask from h""")
+@query(f"""with {CHAIN}, h as (select * from chain qualify row_number() over (partition by session_date, root, expiration, strike, "right", date_trunc('minute', ts) order by {NEWEST}) = 1) select session_date, strike, "right", strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') seen_at, bid, ask from h""")
 def contract_history(spark, d):
     """Every contract's quotes, the last of each minute, in order."""
     rows = H.sampled_history(chain(spark, d), 1, "session_date")
@@ -180,9 +183,10 @@ def payoff_profile(spark, d):
     x as (select c.session_date, c.strike, c.cutoff, q.s, q.r, q.bid, q.ask from c join q using (session_date, strike) where s <= cutoff and s >= 34200 and s < 57600),
     p as (select session_date, strike, cutoff, s, count(*) filter (r = 'CALL') nc, count(*) filter (r = 'PUT') np, bool_and(bid > 0 and ask >= bid and (ask - bid) / ((ask + bid) / 2) <= 0.25) ok, max(bid) filter (r = 'CALL') cb, max(ask) filter (r = 'CALL') ca, max(bid) filter (r = 'PUT') pb, max(ask) filter (r = 'PUT') pa from x group by all),
     l as (select * from p qualify row_number() over (partition by session_date, strike, cutoff order by s desc) = 1),
-    r as (select *, 1 / (1 + 3.6::double / 100 * ((57600 - s) / 60) / (1440 * 360)) dd, strike + 1.0 pr from l),
+    rt as (select min(session_date) - 1 created, 3.6::double rate from chain), r0 as (select l.*, rt.rate from l left join rt on l.session_date - rt.created between 1 and 7),
+    r as (select *, 1 / (1 + coalesce(rate, 0) / 100 * ((57600 - s) / 60) / (1440 * 360)) dd, strike + 1.0 pr from r0),
     z as (select *, case when cutoff - s > 3600 then 'stale' when nc <> 1 or np <> 1 then 'unpaired' when not ok then 'invalid quote' else 'ok' end status, (cb + ca) / 2 - (pb + pa) / 2 cp from r)
-    select session_date, strike, cutoff::bigint cutoff, s::bigint as second, status, false rate_assumed, case when status = 'ok' then round(cp + strike * dd + 1e-9, 6) + 0.0 end spot, case when status = 'ok' then round(strike + cp / dd + 1e-9, 6) + 0.0 end forward, case when status = 'ok' then round(cb - pa + strike * dd + 1e-9, 6) + 0.0 end low, case when status = 'ok' then round(ca - pb + strike * dd + 1e-9, 6) + 0.0 end high,
+    select session_date, strike, cutoff::bigint cutoff, s::bigint as second, status, rate is null rate_assumed, case when status = 'ok' then round(cp + strike * dd + 1e-9, 6) + 0.0 end spot, case when status = 'ok' then round(strike + cp / dd + 1e-9, 6) + 0.0 end forward, case when status = 'ok' then round(cb - pa + strike * dd + 1e-9, 6) + 0.0 end low, case when status = 'ok' then round(ca - pb + strike * dd + 1e-9, 6) + 0.0 end high,
     case when status <> 'ok' then 'unavailable' when pr < cb - pa + strike * dd then 'above' when pr > ca - pb + strike * dd then 'below' else 'inside' end comparison from z where false or true""".replace("strike + 1.0 pr", "6001.0::double pr"))
 def parity_spot(spark, d):
     c = chain(spark, d)
@@ -224,7 +228,7 @@ def snapshot(spark, d):
     ob as (select *, timestamp '2026-01-05 19:00:00' + to_days((session_date - date '2026-01-05')::int) cutoff from chain where ts <= timestamp '2026-01-05 19:00:00' + to_days((session_date - date '2026-01-05')::int)),
     st as (select session_date, arg_min(strike, row(abs(strike - spot), strike)) strike from ob join (select session_date, min(ts) m from ob where "right" = 'CALL' group by all) using (session_date) where ts = m and "right" = 'CALL' group by all),
     qt as (select session_date, count(*) quotes from ob join st using (session_date, strike) where "right" = 'CALL' group by all),
-    la as (select * from ob qualify row_number() over (partition by session_date, root, expiration, strike, "right" order by ts desc, bid desc, ask desc) = 1),
+    la as (select * from ob qualify row_number() over (partition by session_date, root, expiration, strike, "right" order by {NEWEST}) = 1),
     ch as (select session_date, count(*) observed, count(*) filter (near) coherent, count(*) filter (near and oi_ts <= cutoff) interest_known from (select *, date_diff('second', ts, max(ts) over (partition by session_date)) <= 600 near from la) group by all),
     ix as (select session_date, count(*) index_bars, arg_max(close, minute) spot, lag(session_date) over (order by session_date) previous_date from tp where symbol = 'S01' group by session_date),
     ct as (select session_date, count(*) filter (symbol = 'S02') fund_bars, count(*) filter (symbol not in ('S01', 'S02')) context_bars from tp group by all), mc as (select session_date, count(*) mixed_symbols from mx group by all)
