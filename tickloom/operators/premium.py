@@ -9,10 +9,19 @@ from ..functions.options_math import intrinsic
 from .bars import P, by_minute, with_run
 
 
+#: Decimals of readings that are compared with thresholds; two more than are shown.
+DECIMALS = 8
+
+
+def _settled(c: Column) -> Column:
+    return F.round(c, DECIMALS) + F.lit(0.0)
+
+
 def premium_series(quotes: DataFrame, lookback: int = 60, slope_bars: int = 3, max_spread: float = 0.25, least: int = 5) -> DataFrame:
     """quotes (P, minute, bid, ask, strike, right, underlying, lag_seconds, iv, iv_error): mid, extrinsic, spread, valid, z, slope, baseline_bars.
 
-    z and slope look at the unbroken run of valid minutes up to and including the current one.
+    z and slope look at the unbroken run of valid minutes up to and including the current one. Both are rounded to DECIMALS, so that a reading that equals
+    its baseline or a threshold does so whatever the order of summation.
     """
     mid = (F.col("bid") + F.col("ask")) / 2
     ex = mid - intrinsic(F.col("underlying"), F.col("strike"), F.col("right"))
@@ -23,16 +32,16 @@ def premium_series(quotes: DataFrame, lookback: int = 60, slope_bars: int = 3, m
     w = Window.partitionBy(*P, "run").orderBy("minute")
     base, tail = w.rowsBetween(-(lookback - 1), 0), w.rowsBetween(-(slope_bars - 1), 0)
     n, sd = F.count("extrinsic").over(base), F.stddev_pop("extrinsic").over(base)
-    rows = rows.withColumns({"baseline_bars": F.when(F.col("valid"), n).otherwise(F.lit(0)), "z": F.when(F.col("valid") & (n >= least) & (sd > 1e-8), (F.col("extrinsic") - F.avg("extrinsic").over(base)) / sd), "slope": F.when(F.col("valid") & (n >= least), F.regr_slope("extrinsic", F.col("minute").cast("double")).over(tail))})
+    rows = rows.withColumns({"baseline_bars": F.when(F.col("valid"), n).otherwise(F.lit(0)), "z": F.when(F.col("valid") & (n >= least) & (sd > 1e-8), _settled((F.col("extrinsic") - F.avg("extrinsic").over(base)) / sd)), "slope": F.when(F.col("valid") & (n >= least), _settled(F.regr_slope("extrinsic", F.col("minute").cast("double")).over(tail)))})
     return rows.withColumn("iv", F.when(F.col("iv_error") < 0.05, F.col("iv"))).drop("_ex", "run", "iv_error")
 
 
 def postures(points: DataFrame) -> DataFrame:
-    """Phase of each point: prior extremes are the z readings 29 to 3 before, the trend is the slope of the last ten; readings without z don't count."""
+    """Phase of each point: prior extremes are the z readings 29 to 3 before, the trend is the slope of the last ten; readings without z don't count. The trend is rounded like z."""
     w = Window.partitionBy(*P).orderBy("minute")
     some = points.where("z is not null").withColumn("_n", F.row_number().over(w).cast("double"))
     prior, ten = w.rowsBetween(-29, -3), w.rowsBetween(-9, 0)
-    some = some.select(*P, "minute", F.max("z").over(prior).alias("prior_high"), F.min("z").over(prior).alias("prior_low"), F.when(F.count("z").over(ten) >= 5, F.regr_slope("z", "_n").over(ten)).otherwise(F.lit(0.0)).alias("trend"), F.min("z").over(w.rowsBetween(-29, 0)).alias("recent_low"))
+    some = some.select(*P, "minute", F.max("z").over(prior).alias("prior_high"), F.min("z").over(prior).alias("prior_low"), F.when(F.count("z").over(ten) >= 5, _settled(F.regr_slope("z", "_n").over(ten))).otherwise(F.lit(0.0)).alias("trend"), F.min("z").over(w.rowsBetween(-29, 0)).alias("recent_low"))
     rows = points.join(some, [*P, "minute"], "left")
     known = F.col("valid") & F.col("z").isNotNull() & F.col("slope").isNotNull()
     decay = F.coalesce((F.col("prior_high") >= 2) & (F.col("z") > 0) & (F.col("trend") < -0.025), F.lit(False))
@@ -86,13 +95,13 @@ def direction_gate(rows: DataFrame, threshold: float = 1.0, choppy: int = 4) ->
 
 
 def boundary_tests(rows: DataFrame, k: int = 2, look: int = 12) -> DataFrame:
-    """Adds broke_down and broke_up: k adjacent closes below (above) the regime's boundary, after one at or beyond it on the other side within look bars."""
+    """Adds broke_down and broke_up: k adjacent closes below (above) the boundary of the row's regime, after one at or beyond it on the other side within look bars. All closes are held against this one boundary, whatever the regime was at theirs."""
     rows = rows.withColumn("_b", F.when(F.col("regime") == "EXT-DOWN", F.col("prior_low")).otherwise(F.col("prior_high")))
-    held_up = F.sum((F.col("close") > F.col("_b")).cast("int")).over(by_minute().rowsBetween(-(k - 1), 0)) == k
-    held_down = F.sum((F.col("close") < F.col("_b")).cast("int")).over(by_minute().rowsBetween(-(k - 1), 0)) == k
+    last = by_minute().rowsBetween(-(k - 1), 0)
+    held_up, held_down = ((F.count("close").over(last) == k) & c for c in (F.min("close").over(last) > F.col("_b"), F.max("close").over(last) < F.col("_b")))
     adjacent = F.coalesce(F.col("minute") - F.lag("minute", k - 1).over(by_minute()) == k - 1, F.lit(False))
     before = by_minute().rowsBetween(-(look - 1), -k)
-    was_down, was_up = F.max((F.col("close") <= F.col("_b")).cast("int")).over(before) == 1, F.max((F.col("close") >= F.col("_b")).cast("int")).over(before) == 1
+    was_down, was_up = F.min("close").over(before) <= F.col("_b"), F.max("close").over(before) >= F.col("_b")
     return rows.withColumns({"broke_down": adjacent & held_down & was_up, "broke_up": adjacent & held_up & was_down}).drop("_b")
 
 

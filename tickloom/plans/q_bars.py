@@ -133,7 +133,7 @@ def premium_points(spark, d):
 
 
 POSTURE = f""", z0 as (select *, row_number() over ({P})::double k from premium where z is not null),
-    z1 as (select symbol, session_date, minute, max(z) over pr prior_high, min(z) over pr prior_low, case when count(z) over t >= 5 then regr_slope(z, k) over t else 0 end trend, min(z) over r30 recent_low from z0
+    z1 as (select symbol, session_date, minute, max(z) over pr prior_high, min(z) over pr prior_low, case when count(z) over t >= 5 then round(regr_slope(z, k) over t, 8) + 0.0 else 0 end trend, min(z) over r30 recent_low from z0
         window pr as ({P} rows between 29 preceding and 3 preceding), t as ({P} rows 9 preceding), r30 as ({P} rows 29 preceding)),
     posture as (select p.*, z1.prior_high, z1.prior_low, z1.trend, z1.recent_low, case when not (valid and z is not null and slope is not null) then 'unknown' when coalesce(z1.prior_high >= 2 and z > 0 and trend < -0.025, false) then 'positive-decay'
         when coalesce(z1.prior_low <= -2 and z < 0 and trend > 0.025, false) then 'negative-recovery' when slope > 0.005 then 'expansion' when slope < -0.005 then 'compression' else 'balanced' end phase from premium p left join z1 using (symbol, session_date, minute))"""
