@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import options_math as O
+from ..functions.shared import dealt
 from ..operators import chain as H
 from ..operators import session as S
 from . import fixtures as X
@@ -50,7 +51,7 @@ def _bs_sql(tail: str) -> str:
 
 
 def _contracts(spark, d) -> DataFrame:
-    return X.table(spark, d, "part").select("p_partkey", (6000.0 + F.col("p_size")).alias("spot"), (5900.0 + F.col("p_partkey") % 200).alias("strike"), ((1 + F.col("p_partkey") % 30) / 365).alias("years"), (0.1 + F.col("p_size") / 100).alias("iv"), F.lit(0.04).alias("rate"), F.when(F.col("p_partkey") % 2 == 0, "CALL").otherwise("PUT").alias("right"))
+    return dealt(X.table(spark, d, "part"), "p_partkey", rows=50_000).select("p_partkey", (6000.0 + F.col("p_size")).alias("spot"), (5900.0 + F.col("p_partkey") % 200).alias("strike"), ((1 + F.col("p_partkey") % 30) / 365).alias("years"), (0.1 + F.col("p_size") / 100).alias("iv"), F.lit(0.04).alias("rate"), F.when(F.col("p_partkey") % 2 == 0, "CALL").otherwise("PUT").alias("right"))
 
 
 def _priced(c: DataFrame, spot=None):
@@ -175,7 +176,7 @@ def chain_admission(spark, d):
     select strategy_id, i::bigint i, round(any_value(price) + 1e-9, 6) + 0.0 price, round(sum(((case when r = 'CALL' then greatest(0.0::double, price - k) else greatest(0.0::double, k - price) end) - prem) * q * 100) + 1e-9, 4) + 0.0 profit from g group by strategy_id, i""")
 def payoff_profile(spark, d):
     legs = X.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 4).alias("strategy_id"), F.when(F.col("p_partkey") % 2 == 0, "CALL").otherwise("PUT").alias("right"), (6000.0 + F.col("p_size")).alias("strike"), (F.col("p_retailprice") / 100).alias("premium"), F.when(F.col("p_partkey") % 4 < 2, 1).otherwise(-1).alias("quantity"))
-    p = H.payoff(legs, 5900.0, 6100.0)
+    p = H.payoff(dealt(legs, "strategy_id", rows=50_000), 5900.0, 6100.0)
     return p.select("strategy_id", F.col("i").cast("long").alias("i"), (F.round(F.col("price") + 1e-9, 6) + F.lit(0.0)).alias("price"), (F.round(F.col("profit") + 1e-9, 4) + F.lit(0.0)).alias("profit"))
 
 
