@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid, sign_label
+from ..functions.shared import dealt
 from .bars import returns, strict_vwap, volatility
 from .network import NODES, SECTORS
 
@@ -139,11 +140,13 @@ def registry_report(registry: DataFrame) -> DataFrame:
 
 
 def matrix_report(matrices: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """(version_id, m array of arrays): square, symmetric, with a positive diagonal, by joining each entry to its mirror; and positive definite, by its factor."""
-    rows = matrices.select("version_id", F.size("m").alias("n"), F.posexplode("m").alias("i", "row")).select("version_id", "n", "i", F.size("row").alias("width"), F.posexplode("row").alias("j", "x"))
-    mirror = rows.select("version_id", F.col("i").alias("j"), F.col("j").alias("i"), F.col("x").alias("y"))
-    j = rows.join(mirror, ["version_id", "i", "j"], "left")
-    return j.groupBy("version_id").agg(F.bool_and(F.col("width") == F.col("n")).alias("square"), F.bool_and(F.coalesce(F.abs(F.col("x") - F.col("y")) <= tolerance, F.lit(False))).alias("symmetric"), F.bool_and((F.col("i") != F.col("j")) | (F.col("x") > 0)).alias("positive_diagonal")).join(matrices.select("version_id", positive_definite(F.col("m")).alias("positive_definite")), "version_id")
+    """(version_id, m array of arrays): square, symmetric, with a positive diagonal, each entry held against its mirror; and positive definite, by its factor. A matrix is looked at where it lies; those without an entry are left out."""
+    m = F.col("m")
+    square = F.forall(m, lambda r: F.coalesce(F.size(r) == F.size(m), F.lit(False)))
+    symmetric = F.forall(F.transform(m, lambda r, i: F.forall(F.transform(r, lambda x, j: F.coalesce(F.abs(x - F.get(F.get(m, j), i)) <= tolerance, F.lit(False))), lambda v: v)), lambda v: F.coalesce(v, F.lit(True)))
+    known = F.filter(F.flatten(F.transform(m, lambda r, i: F.transform(F.coalesce(r, F.array().cast("array<double>")), lambda x, j: (i != j) | (x > 0)))), lambda v: v.isNotNull())
+    positive = F.when(F.size(known) > 0, F.forall(known, lambda v: v))
+    return matrices.where(F.exists("m", lambda r: F.size(r) > 0)).select("version_id", square.alias("square"), symmetric.alias("symmetric"), positive.alias("positive_diagonal"), positive_definite(m).alias("positive_definite"))
 
 
 def cholesky(m: Column) -> Column:
@@ -197,12 +200,17 @@ def graph_report(graphs: DataFrame) -> DataFrame:
     return g.select("version_id", F.explode(entries).alias("r")).select("version_id", "r.rule", "r.holds")
 
 
+#: Draws that a task of their join sorts.
+DEALT_DRAWS = 500_000
+
+
 def draw_report(draws: DataFrame, wanted: int = 64, width: int = 4) -> DataFrame:
     """draws (bundle_id, draw_id from 0, z) to (bundle_id, whole, antithetic): as many as wanted, each of width finite numbers; the second half is the first with its signs turned. Draws meet their partners by a join."""
     half = wanted // 2
     a = draws.withColumn("fine", F.coalesce((F.size("z") == width) & F.forall("z", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)))
     partner = draws.select("bundle_id", (F.col("draw_id") - half).alias("draw_id"), F.col("z").alias("other"))
-    j = a.join(partner, ["bundle_id", "draw_id"], "left")
+    at = ["bundle_id", "draw_id"]
+    j = dealt(a, *at, rows=DEALT_DRAWS).join(dealt(partner, *at, rows=DEALT_DRAWS), at, "left")
     turned = (F.col("draw_id") >= half) | F.coalesce(F.forall(F.zip_with("z", "other", lambda x, y: x == -y), lambda v: v), F.lit(False))
     return j.groupBy("bundle_id").agg(((F.count("*") == wanted) & (F.count_distinct("draw_id") == wanted) & F.bool_and(F.col("draw_id").between(0, wanted - 1)) & F.bool_and("fine")).alias("whole"), F.bool_and(turned).alias("antithetic"))
 
