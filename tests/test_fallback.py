@@ -144,3 +144,20 @@ def test_bands_are_those_of_the_draws_and_one_pattern_is_no_one_task(spark):
     p = I.drawn(got, draws).select("row_id", (1 / (1 + F.exp(-F.aggregate("values", F.lit(-0.2), lambda a, v: a + 0.4 * v)))).alias("p"))
     show = lambda df: sorted((r.row_id, round(r.low, 9), round(r.high, 9)) for r in df.collect())
     assert show(I.drawn_band(got, draws, -0.2, 0.4)) == show(I.band(p, "row_id"))
+
+
+def test_matrix_report_looks_at_each_matrix_where_it_lies(spark):
+    rows = [("ok", [[2.0, 1.0], [1.0, 2.0]]), ("skew", [[2.0, 1.0], [0.0, 2.0]]), ("zero", [[0.0, 0.0], [0.0, 1.0]]), ("long", [[1.0, 0.0]]), ("gap", [[1.0, None], [None, 1.0]]), ("none", [])]
+    got = R.matrix_report(spark.createDataFrame(rows, "version_id string, m array<array<double>>"))
+    plan = got._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == {"ok": (True, True, True, True), "skew": (True, False, True, False), "zero": (True, True, False, False), "long": (False, False, True, False), "gap": (True, False, True, False)}
+
+
+def test_draws_meet_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(R, "DEALT_DRAWS", 50)
+    b = spark.range(10).selectExpr("id bundle_id", "explode(sequence(0, 63)) draw_id").selectExpr("bundle_id", "draw_id", "array(1d, 2d, 3d, 4d * if(draw_id < 32, 1, -1)) z")
+    b = b.withColumn("z", F.when(F.col("draw_id") < 32, F.col("z")).otherwise(F.array(F.lit(-1.0), F.lit(-2.0), F.lit(-3.0), F.lit(-4.0))))
+    got = R.draw_report(b)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+    assert {tuple(r)[1:] for r in got.collect()} == {(True, True)}
