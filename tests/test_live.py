@@ -1,6 +1,7 @@
 """Live forms: roster, corrections and merged rows, over several batches."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -28,6 +29,33 @@ def test_roster_tells_of_who_never_came_and_of_silence(spark, tmp_path):
     assert got == {"a": [(0, False), (6, True)], "b": [(0, True), (1, False), (4, True)], "never": [(0, True)]}
 
 
+def test_roster_of_many_in_few_buckets(spark, tmp_path):
+    """Forty symbols share three states over three runs, and change as a plain machine for each of them says; a beat exactly as much later as is allowed isn't late, to the millisecond."""
+    rng = random.Random(5)
+    base = dt.datetime(2026, 1, 5, tzinfo=dt.timezone.utc)
+    t = lambda ms: base + dt.timedelta(milliseconds=ms)
+    names = [f"s{i}" for i in range(39)] + ["exact"]
+    runs = [([(rng.choice(names[:30]), rng.randrange(600_000)) for _ in range(300)] + ([("exact", m) for m in range(1, 400, 7)] if k == 0 else []), sorted({rng.randrange(k * 200_000, k * 200_000 + 200_000) for _ in range(40)} | ({120_000 + m for m in range(1, 400, 7)} if k == 0 else set()))) for k in range(3)]
+    roster = spark.createDataFrame([(n,) for n in names], "symbol string")
+    state, want = {n: (None, None) for n in names}, set()
+    for come, beats in runs:
+        spark.createDataFrame([(s, t(m)) for s, m in come] + [("other", t(0))], "symbol string, ts timestamp").write.mode("append").parquet(str(tmp_path / "rows"))
+        spark.createDataFrame([(t(m),) for m in beats] + [(None,)], "ts timestamp").write.mode("append").parquet(str(tmp_path / "beats"))
+        out = S.finished(S.roster_alerts(S.landed(spark, str(tmp_path / "rows"), "symbol string, ts timestamp"), S.landed(spark, str(tmp_path / "beats"), "ts timestamp"), roster, buckets=3), str(tmp_path / "run"))
+        for n in names:
+            last, said = state[n]
+            for m, beat in sorted([(m, False) for s, m in come if s == n] + [(m, True) for m in beats]):
+                if not beat:
+                    last = m if last is None else max(last, m)
+                elif (late := last is None or m - last > 120_000 or last > m) != said:
+                    said = late
+                    want.add((n, m, late))
+            state[n] = (last, said)
+    got = [(r.symbol, r.ms - int(base.timestamp()) * 1000, r.late) for r in out.select("symbol", F.unix_millis("at").alias("ms"), "late").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert spark.read.format("statestore").load(str(tmp_path / "run" / "checkpoint")).count() == 3
+
+
 def test_corrections_suppress_what_they_correct(spark, tmp_path):
     """A correction that is out of the look-back takes the place of the earlier article; times out of order count for nothing; what ages is told once."""
     schema = "url string, article_id string, published_at timestamp, received_at timestamp, first_observed_at timestamp, assessed_at timestamp"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import statistics
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,33 +252,57 @@ def freshness_alerts(rows: DataFrame, most: str = "120 seconds", late: str = "0
     return rows.withWatermark("ts", late).groupBy("symbol").applyInPandasWithState(run, "symbol string, late boolean", "last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def roster_alerts(rows: DataFrame, beats: DataFrame, roster: DataFrame, most: str = "120 seconds") -> DataFrame:
+#: Buckets to which symbols of a roster are dealt; a bucket is one state, so the number stays the same as long as a checkpoint lives.
+ROSTER_BUCKETS = 1024
+#: Stands for no time.
+NEVER = np.iinfo(np.int64).min
+
+
+def roster_alerts(rows: DataFrame, beats: DataFrame, roster: DataFrame, most: str = "120 seconds", buckets: int = ROSTER_BUCKETS) -> DataFrame:
     """rows (symbol, ts), beats (ts) of a clock, roster (symbol) of those that must come: (symbol, at, late) whenever what is known of one changes, from the first beat on.
 
     A beat reaches every symbol of the roster, so one that never came is late at once, and total silence shows as soon as the clock goes on; in production the
-    clock is a rate source. late: nothing so far, something older than most, or something later than the beat. Others than those of the roster are left out.
+    clock is a rate source. late: nothing so far, something older than most, or something later than the beat. Others than those of the roster are left out,
+    and what has no time tells nothing. Symbols are dealt to buckets by hash, whose rows of a batch are numbers in arrays: a call for each symbol cost more than its rows.
     """
     ms = int(pd.Timedelta(most).total_seconds() * 1000)
     wanted = roster.select("symbol").distinct()
-    came = rows.join(wanted, "symbol", "left_semi").select("symbol", "ts", F.lit(False).alias("beat"))
-    every = beats.crossJoin(wanted).select("symbol", "ts", F.lit(True).alias("beat"))  # a beat for each of the roster
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, said = state.get if state.exists else (None, None)
-        out = []
-        for r in pd.concat(list(parts)).sort_values(["ts", "beat"]).itertuples(index=False):
-            at = int(r.ts.timestamp() * 1000)
-            if not r.beat:
-                last = at if last is None else max(last, at)
-                continue
-            late = last is None or at - last > ms or last > at
-            if late != said:
-                said = late
-                out.append((k[0], r.ts, late))
-        state.update((last, said))
-        yield pd.DataFrame(out, columns=["symbol", "at", "late"]).astype({"symbol": "object", "late": "bool"})
-
-    return came.unionAll(every).groupBy("symbol").applyInPandasWithState(run, "symbol string, at timestamp, late boolean", "last long, said boolean", "append", GroupStateTimeout.NoTimeout)
+    of = F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int").alias("bucket")
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    came = rows.where("ts is not null").join(wanted, "symbol", "left_semi").select(of, "symbol", us, F.lit(False).alias("beat"))
+    every = beats.where("ts is not null").crossJoin(wanted).select(of, "symbol", us, F.lit(True).alias("beat"))  # a beat for each of the roster
+
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, lasts, said = state.get if state.exists else ([], [], [])
+        places = {s: i for i, s in enumerate(known)}
+        pieces = []
+        for p in parts:  # symbols as numbers, so that the texts of a part go with it
+            codes, names = pd.factorize(p["symbol"], use_na_sentinel=False)
+            at = np.array([places.setdefault(None if pd.isna(s) else s, len(places)) for s in names], dtype=np.int64)
+            pieces.append((at[codes], p["us"].to_numpy(np.int64), p["beat"].to_numpy(bool)))
+        who, at, beat = (np.concatenate(c) for c in zip(*pieces, strict=True))
+        new = len(places) - len(known)
+        last = np.array([NEVER if v is None else v for v in lasts] + [NEVER] * new, dtype=np.int64)
+        was = np.array([-1 if v is None else int(v) for v in said] + [-1] * new, dtype=np.int8)
+        order = np.lexsort((beat, at, who))
+        who, at, beat = who[order], at[order], beat[order]
+        row = np.arange(len(who))
+        first = np.r_[True, who[1:] != who[:-1]]
+        begin = np.maximum.accumulate(np.where(first, row, 0))
+        event = np.maximum.accumulate(np.where(beat, -1, row))  # the last row before that isn't a beat, perhaps of another symbol
+        seen = np.maximum(last[who], np.where(event >= begin, at[event] // 1000, NEVER))
+        np.maximum.at(last, who[~beat], at[~beat] // 1000)
+        who, at, seen, ms_at = who[beat], at[beat], seen[beat], at[beat] // 1000
+        late = (seen == NEVER) | (ms_at - np.where(seen == NEVER, ms_at, seen) > ms) | (seen > ms_at)
+        first, ends = (np.r_[True, who[1:] != who[:-1]], np.r_[who[1:] != who[:-1], True]) if len(who) else (late, late)
+        changed = late != np.where(first, was[who], np.r_[False, late[:-1]][: len(late)])
+        was[who[ends]] = late[ends]
+        names = list(places)
+        state.update((names, [None if v == NEVER else v for v in last.tolist()], [None if v < 0 else bool(v) for v in was.tolist()]))
+        yield pd.DataFrame({"symbol": np.array(names, dtype=object)[who[changed]], "us": at[changed], "late": late[changed]})
+
+    out = came.unionAll(every).groupBy("bucket").applyInPandasWithState(run, "symbol string, us long, late boolean", "symbols array<string>, lasts array<long>, said array<boolean>", "append", GroupStateTimeout.NoTimeout)
+    return out.select("symbol", F.timestamp_micros("us").alias("at"), "late")
 
 
 def corrections(articles: DataFrame, lookback: str = "24 hours", late: str = "0 seconds", keep: str = "7 days") -> DataFrame:
