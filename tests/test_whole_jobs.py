@@ -3,7 +3,8 @@
 import pytest
 
 from tickloom.functions.shared import shared_dir
-from tickloom.plans import catalogue
+from tickloom.operators import forecast
+from tickloom.plans import catalogue, fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,18 @@ def test_shared_folder_is_never_local_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+@pytest.mark.parametrize("name", ["interaction_scores", "node_log_odds", "features_interaction", "features_network"])
+def test_tape_of_features_is_read_once(spark, monkeypatch, name):
+    """Bars are made of the ticks once and are a table from then on, whatever the number of their readers."""
+    read, table = [], fixtures.table
+    monkeypatch.setattr(fixtures, "table", lambda s, d, n: read.append(n) or table(s, d, n))
+    got = catalogue.QUERIES[name](spark, SF)
+    assert read == ["lineitem"] and not any("lineitem" in f for f in got.inputFiles())
+
+
+def test_feature_given_twice_or_without_a_name_makes_the_map_null(spark):
+    long = spark.createDataFrame([(1, "a", 1.0), (1, "b", None), (2, "a", 1.0), (2, "a", 1.0), (3, "a", 1.0), (3, None, 2.0), (4, None, 1.0)], "k int, feature string, value double")
+    got = {r.k: r.features for r in forecast.feature_vector(long, ["k"]).collect()}
+    assert got == {1: {"a": 1.0, "b": None}, 2: None, 3: None, 4: None}

@@ -22,7 +22,9 @@ WARM = 635
 
 def feature_vector(long: DataFrame, keys: list[str]) -> DataFrame:
     """Long (keys, feature, value) to a map, one row for each key; a feature given twice makes the map null."""
-    return long.groupBy(*keys).agg(F.when(F.count("*") == F.count_distinct("feature"), F.map_from_entries(F.collect_list(F.struct("feature", "value")))).alias("features"))
+    rows = long.groupBy(*keys).agg(F.collect_list(F.struct("feature", "value")).alias("_e"))
+    names = F.filter(F.array_distinct(F.transform("_e", lambda x: x["feature"])), lambda f: f.isNotNull())
+    return rows.select(*keys, F.when(F.size(names) == F.size("_e"), F.map_from_entries("_e")).alias("features"))
 
 
 def ordered(features: Column, order: Column) -> Column:
